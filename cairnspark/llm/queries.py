@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, spm, token_count
+from . import decontaminate, secret_scan, sharding, spm, token_count, weak_rules
 from .common import table
 
 #: Folder of the public vocabulary files.
@@ -23,12 +23,24 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_decode(table(spark, sf_dir, "documents"), SPM_MODEL)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.assess(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "hit.*")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), SPM_MODEL)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_sentencepiece, op8_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op3_sentencepiece, op4_quality_rules, op6_secret_scan, op7_decontamination, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,8 +2,8 @@
 
 Each rule votes good (1), bad (-1) or abstains (0) on a text's counts.  The
 votes are reduced to a table of vote patterns (at most 3 ** rules rows, whatever
-the corpus size); expectation-maximisation over the patterns estimates how each
-rule votes on good and on bad texts, and a text's posterior probability of being
+the corpus size); expectation-maximisation over the patterns estimates the
+accuracy of each rule, and a text's posterior probability of being
 good replaces all-must-pass filtering.  Scoring is a column expression.
 
 Defined results: a null or empty text has no words, so `base_failed`; repeated
@@ -29,78 +29,76 @@ def _ratio(a: Column, b: str) -> Column:
     return a / F.greatest(F.col(b), F.lit(1))
 
 
-def _vote(x: Column, good: Column, bad: Column) -> Column:
+def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
 def rules() -> dict[str, Column]:
-    """Name to vote; over the columns of :func:`textstats.text_counts`."""
+    """Name to vote; over the columns of :func:`textstats.text_counts`.
+
+    A defect votes bad and its absence abstains; only well-formed prose votes good.
+    """
     c = F.col
     letters = c("n_upper") + c("n_lower") + c("n_wide")
-    symbols, bangs = _ratio(c("n_symbols"), "n_words"), _ratio(c("n_bang"), "n_words")
+    symbols, share, bangs = _ratio(c("n_symbols"), "n_words"), _ratio(c("n_symbols"), "word_chars"), _ratio(c("n_bang"), "n_words")
     upper = c("n_upper") / F.greatest(letters, F.lit(1))
     repeats, lines = _ratio(c("n_repeat_words"), "n_words"), _ratio(c("n_dup_lines"), "n_lines")
-    distinct, mean = c("n_distinct_words") / F.sqrt(F.greatest(c("n_words"), F.lit(1))), _ratio(c("word_chars"), "n_words")
-    ended = _ratio(c("n_ended_lines"), "n_lines")
+    variety, mean = c("n_distinct_words") / F.sqrt(F.greatest(c("n_words"), F.lit(1))), _ratio(c("word_chars"), "n_words")
+    ended, none = _ratio(c("n_ended_lines"), "n_lines"), F.lit(False)
     return {
-        "symbols": _vote(symbols, symbols < 0.05, symbols > 0.25),
-        "exclamations": _vote(bangs, bangs < 0.05, bangs > 0.3),
-        "capitals": _vote(upper, (upper > 0.002) & (upper < 0.2), upper > 0.5),
-        "repeats": _vote(repeats, repeats < 0.1, repeats > 0.3),
-        "lines": _vote(lines, lines < 0.05, lines > 0.3),
-        "variety": _vote(distinct, distinct > 5, distinct < 2.5),
-        "word_length": _vote(mean, (mean > 3) & (mean < 9), (mean < 2) | (mean > 12)),
-        "endings": _vote(ended, ended > 0.7, ended < 0.2),
-        "pipes": _vote(c("n_pipe"), c("n_pipe") * 50 < c("n_words"), c("n_pipe") * 5 > c("n_words")),
+        "symbols": _vote(none, symbols > 0.2),
+        "symbol_share": _vote(none, share > 0.03),
+        "exclamations": _vote(none, bangs > 0.3),
+        "capitals": _vote(none, upper > 0.5),
+        "repeats": _vote(none, repeats > 0.3),
+        "lines": _vote(none, (lines > 0.3) & (c("n_lines") >= 3)),
+        "variety": _vote(none, variety < 2.5),
+        "word_length": _vote(none, (mean < 2) | (mean > 14)),
+        "pipes": _vote(none, c("n_pipe") * 10 > c("n_words")),
+        "prose": _vote((ended > 0.7) & (upper < 0.2) & (symbols < 0.1) & (bangs < 0.1) & (repeats < 0.15), none),
     }
 
 
 @dataclass
 class LabelModel:
-    """``prior``: probability of good; ``votes[rule][class][vote + 1]`` with class 0 bad, 1 good."""
+    """``prior``: probability of good; ``accuracy``: of each rule's cast votes.  Abstentions carry no evidence."""
 
     names: list[str]
     prior: float
-    votes: np.ndarray
+    accuracy: np.ndarray
 
-    def log_odds(self) -> np.ndarray:
-        return np.log(self.votes[:, 1]) - np.log(self.votes[:, 0])
+    def weights(self) -> np.ndarray:
+        return np.log(self.accuracy / (1 - self.accuracy))
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        z = np.log(self.prior / (1 - self.prior)) + self.log_odds()[np.arange(len(self.names)), patterns + 1].sum(1)
+        z = np.log(self.prior / (1 - self.prior)) + patterns @ self.weights()
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
     def column(self, votes: dict[str, Column]) -> Column:
         z = F.lit(float(np.log(self.prior / (1 - self.prior))))
-        for row, name in zip(self.log_odds(), self.names):
-            v = votes[name]
-            z = z + F.when(v == 1, float(row[2])).when(v == -1, float(row[0])).otherwise(float(row[1]))
+        for w, name in zip(self.weights(), self.names):
+            z = z + votes[name] * float(w)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def fit(names: list[str], patterns: np.ndarray, weight: np.ndarray, rounds: int = 100, smooth: float = 1.0) -> LabelModel:
-    """EM from the majority vote; ``patterns``: distinct vote rows, ``weight``: their counts.
+def fit(names: list[str], patterns: np.ndarray, weight: np.ndarray, *, rounds: int = 200, expected: float = 0.95, strength: float = 0.02) -> LabelModel:
+    """EM for the accuracies; ``patterns``: distinct vote rows, ``weight``: their counts.
 
-    Abstentions carry no evidence: their probability is shared by both classes.
+    A rule starts at accuracy ``expected``, which also counts as ``strength`` of
+    its cast votes (and one vote at least) in each estimate.
     """
-    model = LabelModel(names, 0.5, np.tile([[0.6, 0.2, 0.2], [0.2, 0.2, 0.6]], (len(names), 1, 1)))
+    model = LabelModel(names, 0.5, np.full(len(names), expected))
     if not len(patterns):
         return model
-    good = 1 / (1 + np.exp(-patterns.sum(1).astype(float)))
+    cast = weight @ (patterns != 0)
+    extra = np.maximum(1.0, strength * cast)
+    good = model.posterior(patterns)
     for _ in range(rounds):
-        prior = (smooth + weight @ good) / (2 * smooth + weight.sum())
-        votes = np.empty((len(names), 2, 3))
-        for k in range(len(names)):
-            abstain = (smooth + weight @ (patterns[:, k] == 0)) / (3 * smooth + weight.sum())
-            for c, share in enumerate((1 - good, good)):
-                cast = np.array([weight @ (share * (patterns[:, k] == v)) for v in (-1, 1)]) + smooth
-                p = cast / cast.sum() * (1 - abstain)
-                votes[k, c] = p[0], abstain, p[1]
-        model = LabelModel(names, float(np.clip(prior, 1e-6, 1 - 1e-6)), votes)
-        new = model.posterior(patterns)
-        done = np.abs(new - good).max() < 1e-9
-        good = new
-        if done:
+        right = (weight * good) @ (patterns == 1) + (weight * (1 - good)) @ (patterns == -1)
+        prior = (1 + weight @ good) / (2 + weight.sum())
+        model = LabelModel(names, float(prior), np.clip((right + expected * extra) / (cast + extra), 0.5, 0.9999))
+        before, good = good, model.posterior(patterns)
+        if np.abs(good - before).max() < 1e-9:
             break
     return model
 
