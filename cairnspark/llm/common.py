@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,18 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
         base = getattr(sc, "_cairn_dir", None)
         if base is None:
             base = sc._cairn_dir = "file://" + tempfile.mkdtemp(prefix="cairnspark-")
-            atexit.register(_remove, base)
     return base.rstrip("/")
 
 
-def _remove(uri: str) -> None:
-    import shutil
+def session_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; on local disks it goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/cairnspark-{spark.sparkContext.applicationId}"
+    if path not in _HELD:
+        _HELD.add(path)
+        if path.startswith(("/", "file:")):
+            atexit.register(shutil.rmtree, "/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    return path
 
-    shutil.rmtree(uri.removeprefix("file://"), ignore_errors=True)
+
+_HELD: set[str] = set()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/cairnspark/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

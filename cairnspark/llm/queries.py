@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, secret_scan, sharding, spm, token_count, weak_rules
+from . import decontaminate, rule_ensemble, secret_scan, sharding, spm, token_count, warc, weak_rules
 from .common import table
 
 #: Folder of the public vocabulary files.
@@ -27,6 +27,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.assess(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -39,8 +43,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), SPM_MODEL)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_sentencepiece, op4_quality_rules, op6_secret_scan, op7_decontamination, op8_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op3_sentencepiece, op4_quality_rules, op5_warc, op6_secret_scan, op7_decontamination, op8_token_counts, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
