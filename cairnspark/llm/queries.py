@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, rule_ensemble, secret_scan, sharding, spm, token_count, warc, weak_rules
+from . import decontaminate, line_dedup, near_dedup, rule_ensemble, secret_scan, sharding, spm, token_count, warc, weak_rules
 from .common import table
 
 #: Folder of the public vocabulary files.
@@ -51,8 +51,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "lines.*", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_minhash_near_dedup, op3_sentencepiece, op4_quality_rules, op5_warc, op6_secret_scan, op7_decontamination, op8_token_counts, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_sharding, op2_minhash_near_dedup, op3_sentencepiece, op4_quality_rules, op5_warc, op6_secret_scan, op7_decontamination, op8_token_counts, op9_quality_classifier, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
