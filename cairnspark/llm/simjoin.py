@@ -5,16 +5,18 @@ near certainty.  Candidates are formed and verified in three rounds:
 
 1. *star*: every member of a bucket against the bucket's least node;
 2. *forest*: in buckets whose members still lie in several components, the best
-   spanning forest of the plausible links between components;
-3. *rest*: in buckets that still hold several components, every plausible link
-   between components that no round has verified.
-
-Rounds 2 and 3 never form the pairs of a bucket as rows: its members are dealt
-to blocks of about :data:`BLOCK`, a task compares two blocks of signatures at a
-time, and only plausible links (estimate above threshold less margin) come out.
-So a bucket of any size is spread over tasks, and a large group of near copies,
-joined by rounds 1 and 2, has nothing left for round 3.  Every link that shares
-a bucket is either verified on full sets or inside a component already.
+   spanning forest of the plausible links (estimate above threshold less margin)
+   between components;
+3. *families*: nodes joined by plausible links form a family.  In a family of
+   several components all pairs between components are compared, and a spanning
+   forest of the confirmed links comes out.
+
+Rounds 2 and 3 never form the pairs of a group as rows: its members are dealt to
+blocks of about :data:`BLOCK`, a task holds two blocks at a time, and at most as
+many links as members come out.  A group of any size is spread over tasks; its
+largest component is sent once for each block of the other members.  Every pair
+that shares a bucket and is plausible is verified on full sets or is inside one
+component already.
 """
 
 from __future__ import annotations
@@ -78,69 +80,136 @@ def verify(pairs: DataFrame, facts: DataFrame, estimate: Callable, threshold: tu
     return rows.mapInArrow(run, "a long, b long")
 
 
-def plausible(rows: DataFrame, sigs: DataFrame, estimate: Callable, threshold: tuple[int, int], margin: float, forest: bool) -> DataFrame:
-    """Links between components inside each bucket, compared block by block. ``rows``: key, id, comp."""
-    p, q = threshold
+class Forest:
+    """Union-find over component labels inside a task."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while self.parent.setdefault(x, x) != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """True if a and b were apart."""
+        a, b = self.root(a), self.root(b)
+        self.parent[a] = b
+        return a != b
+
 
-    def pairs_of(key, left, right, ids, comps, blocks, n, sig):
-        same = left == right
-        i, j = np.triu_indices(len(ids), 1) if same else (x.ravel() for x in np.meshgrid(np.flatnonzero(blocks == left), np.flatnonzero(blocks == right), indexing="ij"))
-        ok = (comps[i] != comps[j]) & (ids[i] != ids[j]) & (np.minimum(n[i], n[j]) * q >= np.maximum(n[i], n[j]) * p)
-        i, j = i[ok], j[ok]
-        if not len(i):
-            return []
-        est = np.concatenate([estimate(sig[i[s : s + PAIRS]], sig[j[s : s + PAIRS]], n[i[s : s + PAIRS]], n[j[s : s + PAIRS]]) for s in range(0, len(i), PAIRS)])
-        ok = est >= p / q - margin
-        i, j, est = i[ok], j[ok], est[ok]
-        if forest:
-            parent = {}
-
-            def root(x):
-                while parent.setdefault(x, x) != x:
-                    parent[x] = x = parent[parent[x]]
-                return x
-
-            take = []
-            for k in np.argsort(-est, kind="stable").tolist():
-                a, b = root(int(comps[i[k]])), root(int(comps[j[k]]))
-                if a != b:
-                    parent[a] = b
-                    take.append(k)
-            i, j = i[take], j[take]
-        return [(min(a, b), max(a, b)) for a, b in zip(ids[i].tolist(), ids[j].tolist())]
+def _apart(i, j, ids, comps, n, sig, estimate: Callable, p: int, q: int, margin: float):
+    """Plausible pairs between components among the index pairs (i, j), most similar first."""
+    ok = (comps[i] != comps[j]) & (ids[i] != ids[j]) & (np.minimum(n[i], n[j]) * q >= np.maximum(n[i], n[j]) * p)
+    i, j = i[ok], j[ok]
+    if not len(i):
+        return i, j
+    est = np.concatenate([estimate(sig[i[s : s + PAIRS]], sig[j[s : s + PAIRS]], n[i[s : s + PAIRS]], n[j[s : s + PAIRS]]) for s in range(0, len(i), PAIRS)])
+    at = np.flatnonzero(est >= p / q - margin)
+    at = at[np.argsort(-est[at], kind="stable")]
+    return i[at], j[at]
+
+
+def _grouped(keys: int, handle: Callable):
+    """mapInArrow function for rows sorted by their first ``keys`` columns: ``handle`` gets each group's table and returns pairs."""
 
     def run(batches):
         import pyarrow as pa
 
-        def flush(parts):
-            t = pa.Table.from_batches(parts)
-            col = lambda k: t.column(k).to_numpy()
-            return pairs_of(t.column(0)[0].as_py(), t.column(1)[0].as_py(), t.column(2)[0].as_py(), col(3), col(4), col(5), col(6), _sigs(t.column(7).combine_chunks()))
+        def pairs(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         held: list = []
         last = None
         for b in batches:
             out = []
             if b.num_rows:
-                g = np.stack([b.column(k).to_numpy() for k in range(3)], 1)
+                g = np.stack([b.column(k).to_numpy() for k in range(keys)], 1)
                 cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]).any(1)) + 1).tolist(), b.num_rows]
                 for s, e in zip(cuts, cuts[1:]):
                     if held and tuple(g[s]) != last:
-                        out += flush(held)
+                        out += handle(pa.Table.from_batches(held))
                         held = []
                     last = tuple(g[s])
                     held.append(b.slice(s, e - s))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield pairs(out)
         if held:
-            out = flush(held)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield pairs(handle(pa.Table.from_batches(held)))
+
+    return run
+
+
+def _pair_up(left: int, right: int, blocks: np.ndarray):
+    """Index pairs inside one block, or between two."""
+    if left == right:
+        return np.triu_indices(len(blocks), 1)
+    return (x.ravel() for x in np.meshgrid(np.flatnonzero(blocks == left), np.flatnonzero(blocks == right), indexing="ij"))
+
+
+def plausible(rows: DataFrame, sigs: DataFrame, estimate: Callable, threshold: tuple[int, int], margin: float) -> DataFrame:
+    """A spanning forest of the plausible links between components in each pair of a bucket's blocks. ``rows``: key, id, comp."""
+    p, q = threshold
+
+    def handle(t):
+        col = lambda k: t.column(k).to_numpy()
+        ids, comps = col(3), col(4)
+        i, j = _apart(*_pair_up(t.column(1)[0].as_py(), t.column(2)[0].as_py(), col(5)), ids, comps, col(6), _sigs(t.column(7).combine_chunks()), estimate, p, q, margin)
+        forest = Forest()
+        return [(min(x, y), max(x, y)) for x, y, a, b in zip(ids[i].tolist(), ids[j].tolist(), comps[i].tolist(), comps[j].tolist()) if forest.join(a, b)]
 
     count = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
     dealt = rows.join(count, "key").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"l": F.least("block", "other"), "r": F.greatest("block", "other")}).join(sigs, "id")
     dealt = dealt.select("key", "l", "r", "id", "comp", "block", "n", "sig").repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(_grouped(3, handle), "a long, b long").distinct()
+
+
+def family_links(rows: DataFrame, facts: DataFrame, estimate: Callable, threshold: tuple[int, int], margin: float) -> DataFrame:
+    """Confirmed links between the components of each family, a spanning forest per pair of blocks. ``rows``: fam, id, comp."""
+    p, q = threshold
+
+    def handle(t):
+        col = lambda k: t.column(k).to_numpy()
+        kind, left, right = (t.column(k)[0].as_py() for k in (1, 2, 3))
+        ids, comps, core, blocks, items = col(4), col(5), col(6), col(7), t.column(10)
+        if kind == 0:
+            i, j = _pair_up(left, right, blocks)
+        else:
+            i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(core == 0), np.flatnonzero(core == 1), indexing="ij"))
+        i, j = _apart(i, j, ids, comps, col(8), _sigs(t.column(9).combine_chunks()), estimate, p, q, margin)
+        forest, out, sets = Forest(), [], {}
+
+        def full(k):
+            if k not in sets:
+                sets[k] = np.frombuffer(items[k].as_py(), np.uint64)
+            return sets[k]
+
+        for x, y in zip(i.tolist(), j.tolist()):
+            a, b = int(comps[x]), int(comps[y])
+            if forest.root(a) == forest.root(b):
+                continue
+            both = len(np.intersect1d(full(x), full(y), assume_unique=True))
+            if both and q * both >= p * (len(full(x)) + len(full(y)) - both):
+                forest.join(a, b)
+                out.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
+        return out
+
+    parts = rows.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("n"))
+    size = parts.groupBy("fam").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("long")
+    size = size.select("fam", F.col("top.comp").alias("top"), blocks(F.col("top.n")).alias("cores"), blocks(F.col("n") - F.col("top.n")).alias("rests"))
+    dealt = rows.join(size, "fam").withColumn("core", (F.col("comp") == F.col("top")).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.when(F.col("core") == 1, F.col("cores")).otherwise(F.col("rests"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    group = lambda kind, l, r: F.struct(F.lit(kind).alias("kind"), l.alias("l"), r.alias("r"))  # noqa: E731, E741
+    among = F.transform(upto("rests"), lambda x: group(0, F.least(F.col("block"), x), F.greatest(F.col("block"), x)))
+    outward = F.transform(upto("cores"), lambda x: group(1, F.col("block"), x))
+    inward = F.transform(upto("rests"), lambda x: group(1, x, F.col("block")))
+    dealt = dealt.withColumn("g", F.explode(F.when(F.col("core") == 1, inward).otherwise(F.concat(among, outward))))
+    dealt = dealt.select("fam", "g.*", "id", "comp", "core", "block").join(facts, "id")
+    dealt = dealt.select("fam", "kind", "l", "r", "id", "comp", "core", "block", "n", "sig", "items").repartition("fam", "kind", "l", "r").sortWithinPartitions("fam", "kind", "l", "r", "id")
+    return dealt.mapInArrow(_grouped(4, handle), "a long, b long").distinct()
 
 
 def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -162,17 +231,17 @@ def classes(nodes: DataFrame, facts_of: Callable[[DataFrame], DataFrame], estima
     tried = written(members.where("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
     links = written(verify(tried, facts, estimate, threshold, margin), "star-links")
     comps = written(connected_components(links), "components")
-    for forest in (True, False):
-        rest = written(_open(members, comps), "open-buckets")
-        if rest.isEmpty():
-            break
-        more = plausible(rest, sigs, estimate, threshold, margin, forest).join(tried, ["a", "b"], "left_anti")
-        more = written(more, "more-pairs")
-        if not more.isEmpty():
-            links = written(verify(more, facts, estimate, threshold, margin), "more-links")
-            if not links.isEmpty():
-                edges = links.unionByName(comps.where("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b")))
-                comps = written(connected_components(edges), "components")
-            tried = tried.unionByName(more)
-        discard(rest)
-    return comps
+    rest = written(_open(members, comps), "open-buckets")
+    near = written(plausible(rest, sigs, estimate, threshold, margin), "plausible")
+    if near.isEmpty():
+        return comps
+    inside = comps.where("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))
+    links = verify(near.join(tried, ["a", "b"], "left_anti"), facts, estimate, threshold, margin)
+    comps = written(connected_components(links.unionByName(inside)), "components")
+    families = connected_components(near.unionByName(inside)).select("id", F.col("comp").alias("fam"))
+    rows = written(families.join(comps, "id", "left").select("fam", "id", F.coalesce("comp", "id").alias("comp")), "families")
+    links = written(family_links(rows, facts, estimate, threshold, margin), "family-links")
+    if links.isEmpty():
+        return comps
+    inside = comps.where("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))
+    return written(connected_components(links.unionByName(inside)), "components")
