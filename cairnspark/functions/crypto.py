@@ -92,7 +92,7 @@ class DistancePreserving:
         """Encrypted vectors (array<double>); the nonce is a string column."""
         import pandas as pd
 
-        def run(vs: pd.Series, ns: pd.Series) -> pd.Series:
+        def run(vs, ns):
             return pd.Series([None if x is None else self.encrypt(x, n.encode(), False)[0].tolist() for x, n in zip(vs, ns)])
 
         return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(v, nonce)

@@ -32,7 +32,7 @@ def assign(v: Column, centroids: np.ndarray) -> Column:
     """Nearest cell of each vector, by Arrow batch and matrix product."""
     import pandas as pd
 
-    def run(batch: pd.Series) -> pd.Series:
+    def run(batch):
         return pd.Series(nearest(np.array(batch.tolist(), float), centroids) if len(batch) else [], dtype="int32")
 
     return F.pandas_udf(run, "int")(v)

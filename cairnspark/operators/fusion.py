@@ -80,7 +80,7 @@ def embed_column(text: Column, embed: Callable[[list[str]], list[list[float]]],
     """Vectors of a text column from a Python embedder, by Arrow batch; count and dimension are checked."""
     import pandas as pd
 
-    def run(batch: pd.Series) -> pd.Series:
+    def run(batch):
         out = embed(batch.fillna("").tolist())
         if len(out) != len(batch) or any(len(v) != dim for v in out):
             raise ValueError("the embedder returned another count or dimension")

@@ -88,7 +88,7 @@ class ProductQuantizer:
         """Codes by Arrow batch: one distance matrix per subspace."""
         import pandas as pd
 
-        def run(batch: pd.Series) -> pd.Series:
+        def run(batch):
             if not len(batch):
                 return pd.Series([], dtype=object)
             x = np.array(batch.tolist(), float)
