@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -68,6 +69,12 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast ``df`` only if its counted ``rows`` are within :data:`BROADCAST_ROWS`; else the join shuffles."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -3,16 +3,17 @@
 Nodes come with band keys; two nodes of similarity ``threshold`` share a key with
 near certainty.  Candidates are formed and verified in three rounds:
 
-1. *star*: every member of a bucket against the bucket's least node;
-2. *forest*: in buckets whose members still lie in several components, the best
-   spanning forest of the plausible links (estimate above threshold less margin)
-   between components;
-3. *families*: nodes joined by plausible links form a family.  In a family of
+1. *star*: every member of a bucket against the bucket's most central node, the
+   one with most fellow members over all of its buckets (the least on ties);
+2. *forest*: in buckets whose members still lie in several components, a spanning
+   forest of the plausible links (estimate above threshold less margin) between
+   components;
+3. *families*: nodes joined by links of both rounds form a family.  In a family of
    several components all pairs between components are compared, and a spanning
    forest of the confirmed links comes out.
 
 Rounds 2 and 3 never form the pairs of a group as rows: its members are dealt to
-blocks of about :data:`BLOCK`, a task holds two blocks at a time, and at most as
+blocks of bounded size, a task holds two blocks at a time, and at most as
 many links as members come out.  A group of any size is spread over tasks; its
 largest component is sent once for each block of the other members.  Every pair
 that shares a bucket and is plausible is verified on full sets or is inside one
@@ -27,31 +28,38 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, maybe_broadcast, written
+from .common import discard, maybe_broadcast, release, written
 from .components import connected_components
 
-BLOCK = 256
+#: Members of a block that carry signatures only (forest), or full sets too (families).
+LIGHT_BLOCK, BLOCK = 1024, 256
 #: Pairs compared at once inside a task.
 PAIRS = 8192
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, id, m): members of the buckets with two nodes or more; m is the least. ``nodes``: id long, keys array<long>."""
+    """(key, id, m): members of the buckets with two rows or more; m is the most central. ``nodes``: id long, keys array<long>; a node may repeat."""
     rows = nodes.select("id", F.explode("keys").alias("key"))
-    multi = written(rows.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("x")).where("m < x").select("key", "m"), "bucket-keys")
-    return written(rows.join(maybe_broadcast(multi, multi.count()), "key").select("key", "id", "m"), "bucket-members")
+    multi = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-keys")
+    members = written(rows.join(maybe_broadcast(multi, multi.count()), "key").select("key", "id", "n"), "bucket-members")
+    central = members.groupBy("id").agg(F.sum("n").alias("w"))
+    top = members.select("key", "id").join(central, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("t")).select("key", (-F.col("t.i")).alias("m"))
+    out = written(members.select("key", "id").join(top, "key"), "bucket-stars")
+    discard(multi, members)
+    return out
 
 
-def _sets(column) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), np.uint64) for x in column]
+def as_hashes(items: bytes) -> np.ndarray:
+    """The set itself, as it is stored."""
+    return np.frombuffer(items, np.uint64)
 
 
 def _sigs(column, dtype="<u2") -> np.ndarray:
     return np.stack([np.frombuffer(x.as_py(), dtype) for x in column]) if len(column) else np.zeros((0, 1), dtype)
 
 
-def verify(pairs: DataFrame, facts: DataFrame, estimate: Callable, threshold: tuple[int, int], margin: float) -> DataFrame:
-    """Pairs (a, b) whose full sets have ``q * intersection >= p * union``; ``facts``: id, n, sig, items (sorted hashes)."""
+def verify(pairs: DataFrame, facts: DataFrame, estimate: Callable, threshold: tuple[int, int], margin: float, decode: Callable) -> DataFrame:
+    """Pairs (a, b) whose full sets have ``q * intersection >= p * union``; ``facts``: id, n, sig and items, of which ``decode`` makes sorted distinct hashes."""
     p, q = threshold
 
     def run(batches):
@@ -67,8 +75,8 @@ def verify(pairs: DataFrame, facts: DataFrame, estimate: Callable, threshold: tu
             last, held = None, None
             for i in at.tolist():
                 if (left := b.column(0)[i].as_py()) != last:
-                    last, held = left, np.frombuffer(b.column(6)[i].as_py(), np.uint64)
-                other = np.frombuffer(b.column(7)[i].as_py(), np.uint64)
+                    last, held = left, decode(b.column(6)[i].as_py())
+                other = decode(b.column(7)[i].as_py())
                 both = len(np.intersect1d(held, other, assume_unique=True)) if len(held) else 0
                 if q * both >= p * (len(held) + len(other) - both) and both:
                     keep.append(i)
@@ -98,13 +106,18 @@ class Forest:
         return a != b
 
 
-def _apart(i, j, ids, comps, n, sig, estimate: Callable, p: int, q: int, margin: float):
+def _equal_share(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of equal registers: similarity, if the base is near 1."""
+    return (x == y).mean(1)
+
+
+def _apart(i, j, ids, comps, n, sig, p: int, q: int, margin: float):
     """Plausible pairs between components among the index pairs (i, j), most similar first."""
     ok = (comps[i] != comps[j]) & (ids[i] != ids[j]) & (np.minimum(n[i], n[j]) * q >= np.maximum(n[i], n[j]) * p)
     i, j = i[ok], j[ok]
     if not len(i):
         return i, j
-    est = np.concatenate([estimate(sig[i[s : s + PAIRS]], sig[j[s : s + PAIRS]], n[i[s : s + PAIRS]], n[j[s : s + PAIRS]]) for s in range(0, len(i), PAIRS)])
+    est = np.concatenate([_equal_share(sig[i[s : s + PAIRS]], sig[j[s : s + PAIRS]]) for s in range(0, len(i), PAIRS)])
     at = np.flatnonzero(est >= p / q - margin)
     at = at[np.argsort(-est[at], kind="stable")]
     return i[at], j[at]
@@ -139,50 +152,66 @@ def _grouped(keys: int, handle: Callable):
     return run
 
 
-def _pair_up(left: int, right: int, blocks: np.ndarray):
-    """Index pairs inside one block, or between two."""
-    if left == right:
-        return np.triu_indices(len(blocks), 1)
-    return (x.ravel() for x in np.meshgrid(np.flatnonzero(blocks == left), np.flatnonzero(blocks == right), indexing="ij"))
-
+def _dealt(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """group, kind, l, r, id, comp, core, block: a row for each pair of blocks a member is compared in.
 
-def plausible(rows: DataFrame, sigs: DataFrame, estimate: Callable, threshold: tuple[int, int], margin: float) -> DataFrame:
+    Kind 0 compares blocks of members outside the group's largest component (the
+    core) with each other, kind 1 such a block with a block of the core, so the
+    core is sent once for each block of the others.  Groups of one component go.
+    """
+    parts = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("n"))
+    size = parts.groupBy(group).agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("long")
+    size = size.select(group, F.col("top.comp").alias("top"), blocks(F.col("top.n")).alias("cores"), blocks(F.col("n") - F.col("top.n")).alias("rests"))
+    dealt = rows.join(size, group).withColumn("core", (F.col("comp") == F.col("top")).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.when(F.col("core") == 1, F.col("cores")).otherwise(F.col("rests"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    pair = lambda kind, l, r: F.struct(F.lit(kind).alias("kind"), l.alias("l"), r.alias("r"))  # noqa: E731, E741
+    among = F.transform(upto("rests"), lambda x: pair(0, F.least(F.col("block"), x), F.greatest(F.col("block"), x)))
+    outward = F.transform(upto("cores"), lambda x: pair(1, F.col("block"), x))
+    inward = F.transform(upto("rests"), lambda x: pair(1, x, F.col("block")))
+    return dealt.withColumn("g", F.explode(F.when(F.col("core") == 1, inward).otherwise(F.concat(among, outward)))).select(group, "g.*", "id", "comp", "core", "block")
+
+
+def _block_pairs(t, p: int, q: int, margin: float):
+    """(ids, comps, i, j) of a group's table in the form of :func:`_dealt` with n and sig: plausible pairs between components."""
+    col = lambda k: t.column(k).to_numpy()
+    kind, left, right = (t.column(k)[0].as_py() for k in (1, 2, 3))
+    ids, comps, core, blocks = col(4), col(5), col(6), col(7)
+    if kind == 1:
+        i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(core == 0), np.flatnonzero(core == 1), indexing="ij"))
+    elif left == right:
+        i, j = np.triu_indices(len(ids), 1)
+    else:
+        i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(blocks == left), np.flatnonzero(blocks == right), indexing="ij"))
+    return ids, comps, *_apart(i, j, ids, comps, col(8), _sigs(t.column(9).combine_chunks()), p, q, margin)
+
+
+def plausible(rows: DataFrame, sigs: DataFrame, threshold: tuple[int, int], margin: float) -> DataFrame:
     """A spanning forest of the plausible links between components in each pair of a bucket's blocks. ``rows``: key, id, comp."""
     p, q = threshold
 
     def handle(t):
-        col = lambda k: t.column(k).to_numpy()
-        ids, comps = col(3), col(4)
-        i, j = _apart(*_pair_up(t.column(1)[0].as_py(), t.column(2)[0].as_py(), col(5)), ids, comps, col(6), _sigs(t.column(7).combine_chunks()), estimate, p, q, margin)
+        ids, comps, i, j = _block_pairs(t, p, q, margin)
         forest = Forest()
         return [(min(x, y), max(x, y)) for x, y, a, b in zip(ids[i].tolist(), ids[j].tolist(), comps[i].tolist(), comps[j].tolist()) if forest.join(a, b)]
 
-    count = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    dealt = rows.join(count, "key").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), "blocks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"l": F.least("block", "other"), "r": F.greatest("block", "other")}).join(sigs, "id")
-    dealt = dealt.select("key", "l", "r", "id", "comp", "block", "n", "sig").repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "id")
-    return dealt.mapInArrow(_grouped(3, handle), "a long, b long").distinct()
+    dealt = _dealt(rows, "key", LIGHT_BLOCK).join(sigs, "id").select("key", "kind", "l", "r", "id", "comp", "core", "block", "n", "sig")
+    dealt = dealt.repartition("key", "kind", "l", "r").sortWithinPartitions("key", "kind", "l", "r", "id")
+    return dealt.mapInArrow(_grouped(4, handle), "a long, b long").distinct()
 
 
-def family_links(rows: DataFrame, facts: DataFrame, estimate: Callable, threshold: tuple[int, int], margin: float) -> DataFrame:
+def family_links(rows: DataFrame, facts: DataFrame, threshold: tuple[int, int], margin: float, decode: Callable) -> DataFrame:
     """Confirmed links between the components of each family, a spanning forest per pair of blocks. ``rows``: fam, id, comp."""
     p, q = threshold
 
     def handle(t):
-        col = lambda k: t.column(k).to_numpy()
-        kind, left, right = (t.column(k)[0].as_py() for k in (1, 2, 3))
-        ids, comps, core, blocks, items = col(4), col(5), col(6), col(7), t.column(10)
-        if kind == 0:
-            i, j = _pair_up(left, right, blocks)
-        else:
-            i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(core == 0), np.flatnonzero(core == 1), indexing="ij"))
-        i, j = _apart(i, j, ids, comps, col(8), _sigs(t.column(9).combine_chunks()), estimate, p, q, margin)
-        forest, out, sets = Forest(), [], {}
+        ids, comps, i, j = _block_pairs(t, p, q, margin)
+        items, forest, out, sets = t.column(10), Forest(), [], {}
 
         def full(k):
             if k not in sets:
-                sets[k] = np.frombuffer(items[k].as_py(), np.uint64)
+                sets[k] = decode(items[k].as_py())
             return sets[k]
 
         for x, y in zip(i.tolist(), j.tolist()):
@@ -195,20 +224,8 @@ def family_links(rows: DataFrame, facts: DataFrame, estimate: Callable, threshol
                 out.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
         return out
 
-    parts = rows.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("n"))
-    size = parts.groupBy("fam").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("long")
-    size = size.select("fam", F.col("top.comp").alias("top"), blocks(F.col("top.n")).alias("cores"), blocks(F.col("n") - F.col("top.n")).alias("rests"))
-    dealt = rows.join(size, "fam").withColumn("core", (F.col("comp") == F.col("top")).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.when(F.col("core") == 1, F.col("cores")).otherwise(F.col("rests"))))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    group = lambda kind, l, r: F.struct(F.lit(kind).alias("kind"), l.alias("l"), r.alias("r"))  # noqa: E731, E741
-    among = F.transform(upto("rests"), lambda x: group(0, F.least(F.col("block"), x), F.greatest(F.col("block"), x)))
-    outward = F.transform(upto("cores"), lambda x: group(1, F.col("block"), x))
-    inward = F.transform(upto("rests"), lambda x: group(1, x, F.col("block")))
-    dealt = dealt.withColumn("g", F.explode(F.when(F.col("core") == 1, inward).otherwise(F.concat(among, outward))))
-    dealt = dealt.select("fam", "g.*", "id", "comp", "core", "block").join(facts, "id")
-    dealt = dealt.select("fam", "kind", "l", "r", "id", "comp", "core", "block", "n", "sig", "items").repartition("fam", "kind", "l", "r").sortWithinPartitions("fam", "kind", "l", "r", "id")
+    dealt = _dealt(rows, "fam", BLOCK).join(facts, "id").select("fam", "kind", "l", "r", "id", "comp", "core", "block", "n", "sig", "items")
+    dealt = dealt.repartition("fam", "kind", "l", "r").sortWithinPartitions("fam", "kind", "l", "r", "id")
     return dealt.mapInArrow(_grouped(4, handle), "a long, b long").distinct()
 
 
@@ -219,29 +236,31 @@ def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(split, "key")
 
 
-def classes(nodes: DataFrame, facts_of: Callable[[DataFrame], DataFrame], estimate: Callable, *, threshold: tuple[int, int] = (80, 100), margin: float = 0.2) -> DataFrame:
+def classes(nodes: DataFrame, facts_of: Callable[[DataFrame], DataFrame], estimate: Callable, *, threshold: tuple[int, int] = (80, 100), margin: float = 0.2, decode: Callable = as_hashes) -> DataFrame:
     """(id, comp) of the nodes linked with others; comp is the least id of a class.
 
-    ``facts_of`` gets a table of ids and returns their id, n, sig and items;
-    ``estimate`` gets two signature blocks and the set sizes.
+    ``facts_of`` gets a table of distinct ids and returns their id, n, sig and
+    items; ``estimate`` gets two signature blocks and the set sizes.
     """
     members = buckets(nodes)
-    facts = facts_of(written(members.select("id").distinct(), "candidates"))
-    sigs = facts.select("id", "n", "sig")
+    release(nodes.sparkSession)
     tried = written(members.where("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
-    links = written(verify(tried, facts, estimate, threshold, margin), "star-links")
-    comps = written(connected_components(links), "components")
+    facts = facts_of(written(tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct(), "candidates"))
+    sigs = facts.select("id", "n", "sig")
+    comps = written(connected_components(verify(tried, facts, estimate, threshold, margin, decode)), "components")
     rest = written(_open(members, comps), "open-buckets")
-    near = written(plausible(rest, sigs, estimate, threshold, margin), "plausible")
+    discard(members)
+    near = written(plausible(rest, sigs, threshold, margin), "plausible")
+    discard(rest)
     if near.isEmpty():
         return comps
+    release(nodes.sparkSession)
+    # families: plausible links and components together; their members' confirmed links are a spanning forest
     inside = comps.where("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))
-    links = verify(near.join(tried, ["a", "b"], "left_anti"), facts, estimate, threshold, margin)
-    comps = written(connected_components(links.unionByName(inside)), "components")
     families = connected_components(near.unionByName(inside)).select("id", F.col("comp").alias("fam"))
     rows = written(families.join(comps, "id", "left").select("fam", "id", F.coalesce("comp", "id").alias("comp")), "families")
-    links = written(family_links(rows, facts, estimate, threshold, margin), "family-links")
+    links = written(family_links(rows, facts, threshold, margin, decode), "family-links")
+    discard(facts, rows)
     if links.isEmpty():
         return comps
-    inside = comps.where("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))
     return written(connected_components(links.unionByName(inside)), "components")
