@@ -40,11 +40,11 @@ class Typed:
 
     def eq(self, value: Any) -> Column:
         fits = {"string": isinstance(value, str), "number": _number(value), "boolean": isinstance(value, bool)}[self.kind]
-        return F.coalesce(self.column == F.lit(value), F.lit(False)) if fits else F.lit(False)
+        return self.column == F.lit(value) if fits else F.lit(False)
 
     def compare(self, op: str, value: Any) -> Column:
         fits = self.kind == "string" and isinstance(value, str) or self.kind == "number" and _number(value)
-        return F.coalesce(_ORDER[op](self.column, F.lit(value)), F.lit(False)) if fits else F.lit(False)
+        return _ORDER[op](self.column, F.lit(value)) if fits else F.lit(False)
 
 
 _ORDER = {"lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "gt": lambda a, b: a > b, "gte": lambda a, b: a >= b}
@@ -107,7 +107,10 @@ def columns_of(dtypes: list[tuple[str, str]]) -> dict[str, Typed]:
 
 
 def compile_filter(tree: Mapping | str | bytes | None, fields: Mapping[str, Typed] | None = None, payload: Column | None = None) -> Column:
-    """A boolean column, never null. ``fields``: typed columns by path; ``payload``: a variant for all others."""
+    """A condition for ``where``, in which null counts as false. ``fields``: typed columns by path; ``payload``: a variant for all others.
+
+    Leaves over typed columns stay bare, so that the scan can take them; a negation makes its operand two-valued first.
+    """
     if isinstance(tree, (str, bytes)):
         try:
             tree = json.loads(tree)
@@ -134,7 +137,7 @@ def compile_filter(tree: Mapping | str | bytes | None, fields: Mapping[str, Type
             parts = [node(x) for x in body]
             return reduce((lambda a, b: a & b) if op == "and" else (lambda a, b: a | b), parts) if parts else F.lit(op == "and")
         if op == "not":
-            return ~node(body)
+            return ~F.coalesce(node(body), F.lit(False))
         if op not in OPERATORS or not isinstance(body, Mapping) or "field" not in body:
             raise FilterError(f"unknown or malformed operator {op!r}")
         x = field(body["field"])
@@ -146,13 +149,13 @@ def compile_filter(tree: Mapping | str | bytes | None, fields: Mapping[str, Type
             values = body["values"]
             if isinstance(x, Typed) and values:
                 fit = [v for v in values if (isinstance(v, str) if x.kind == "string" else isinstance(v, bool) if x.kind == "boolean" else _number(v))]
-                return F.coalesce(x.column.isin(*fit), F.lit(False)) if fit else F.lit(False)
+                return x.column.isin(*fit) if fit else F.lit(False)
             return reduce(lambda a, b: a | b, [x.eq(v) for v in values]) if x and values else F.lit(False)
         if "value" not in body:
             raise FilterError(f"{op} takes a value")
         if op in ("eq", "ne"):
             found = x.eq(body["value"]) if x else F.lit(False)
-            return ~found if op == "ne" else found
+            return ~F.coalesce(found, F.lit(False)) if op == "ne" else found
         return x.compare(op, body["value"]) if x else F.lit(False)
 
     return node(tree)
