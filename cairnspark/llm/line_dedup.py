@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import maybe_broadcast, written
+from .common import discard, maybe_broadcast, written
 from .simjoin import classes
 
 SHINGLE = 9
@@ -72,6 +72,10 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def shingle_set(line: bytes) -> np.ndarray:
+    return np.unique(windows([line.decode()])[0])
+
+
 def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
     return (x == y).mean(1)
 
@@ -120,8 +124,8 @@ def _facts(lines: DataFrame) -> DataFrame:
             for i, j in _blocks(texts):
                 h, start, stop = windows(texts[i:j])
                 sigs = (minima(h, start, stop, a, b) & np.uint32(0xFFFF)).astype("<u2")
-                sets = [np.unique(h[s:e]) for s, e in zip(start.tolist(), stop.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "sig", "items"])
+                size = [len(np.unique(h[s:e])) for s, e in zip(start.tolist(), stop.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array([x.encode() for x in texts[i:j]], pa.binary())], names=["id", "n", "sig", "items"])
 
     return lines.mapInArrow(run, "id long, n long, sig binary, items binary")
 
@@ -143,7 +147,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         one = lines.select("id", "line").join(maybe_broadcast(ids, ids.count()), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
         return written(_facts(one), "line-facts")
 
-    comps = classes(nodes, facts_of, estimate, threshold=threshold, margin=0.4)
+    comps = classes(nodes, facts_of, estimate, threshold=threshold, margin=0.4, decode=shingle_set)
+    discard(nodes)
     place = F.struct("doc_id", "rid", "pos")
     known = places.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).join(comps, "id", "left").where("n > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "id"))
     known = written(known.select("id", "comp", "first"), "line-classes")
@@ -151,6 +156,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     known = written(known.join(keeper, "comp").select("id", "keeper"), "line-keepers")
     gone = places.join(maybe_broadcast(known, 2 * known.count()), "id").where(~place.eqNullSafe(F.col("keeper"))).groupBy("rid").agg(F.collect_set("pos").alias("_gone"))
     gone = written(gone, "lines-gone")
+    discard(places, known)
     weight = gone.agg(F.coalesce(F.sum(1 + F.size("_gone") / 2), F.lit(0.0)).alias("w")).first()["w"]
     rows = docs.withColumn("_rid", _rid(id_col, text_col)).join(maybe_broadcast(gone.withColumnRenamed("rid", "_rid"), int(weight)), "_rid", "left")
     n = F.coalesce(F.size(parts), F.lit(0))
