@@ -1,31 +1,34 @@
 """Two-pass external shuffle into shards (DataFrame functions only).
 
-Pass one scatters records into memory-sized buckets with seeded hashes: the
-shard by rendezvous hashing of ``doc_id`` (law ``key``), the bucket inside the
-shard by a hash of id, content and scan position, so that repeats of one key
-spread over the buckets of their shard.  Pass two gathers one bucket per group,
-permutes it with Fisher-Yates (Spark's ``shuffle`` function) and numbers its
-rows; bucket offsets make the slots of a shard gapless.
+Pass one scatters whole records into memory-sized buckets with seeded hashes:
+the shard by rendezvous hashing of ``doc_id`` (law ``key``), the bucket inside
+the shard by a hash of id, content and scan position, so that repeats of one key
+spread over the buckets of their shard.  Pass two gathers one bucket at a time,
+permutes it with Fisher-Yates (Spark's ``shuffle`` function) and writes it.  The
+buckets' row counts, taken from the written files, make slots gapless.
+
+``path``/data/shard=N has the records as structs, so that their columns may have
+any name, and ``path``/buckets a row for every bucket.
 
 Defined results: null texts have no bytes (size 16) and crc32 of the empty
 string; a null ``doc_id`` is one more key; repeated rows each get a slot of
-their own; an empty table gives no rows; other columns are ignored by
-:func:`assign` and carried by :func:`write_shards`.
+their own; an empty table gives no rows; other columns are carried along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import written
+from .common import maybe_broadcast, new_path
 
 SEED = 20_240_607
 RECORD_OVERHEAD = 16
-#: Aim for one bucket: this many bytes of the rows that pass two gathers.
-BUCKET_BYTES = 64 << 20
-#: Bytes of a row of :func:`assign` in a bucket's array.
-SLIM_ROW = 64
+#: A bucket's share of the heap an executor has for a core: a task may hold a few buckets, each in more than one form.
+HEAP_SHARE = 32
+#: No bucket needs to be smaller than this many bytes.
+LEAST_BUCKET = 16 << 20
 
 
 def owner(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -34,46 +37,62 @@ def owner(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.array_max(scores)["s"]
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, shards: int, seed: int) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        (F.octet_length(text) + RECORD_OVERHEAD).cast("long").alias("size"),
-        F.crc32(text).cast("long").alias("text_crc32"),
-        owner(F.col(id_col), shards, seed).alias("shard"),
-        owner(F.col(id_col), shards + 1, seed).alias("grown_shard"),
-        F.xxhash64(F.lit(seed + 1), F.col(id_col), F.crc32(text), F.monotonically_increasing_id()).alias("u"),
-    )
+def size_of(text: Column) -> Column:
+    return (F.octet_length(F.coalesce(text, F.lit(""))) + RECORD_OVERHEAD).cast("long")
+
+
+def bucket_bytes_of(spark: SparkSession) -> int:
+    """Bytes of text of a memory-sized bucket in this session."""
+    sc = spark.sparkContext
+    conf = sc.getConf()
+    heap = sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get("spark.executor.memory", "1g"))
+    return max(LEAST_BUCKET, heap // int(conf.get("spark.executor.cores", "4")) // HEAP_SHARE)
+
+
+def _by_shard(values: list[int]) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), F.col("shard") + 1)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, bucket_bytes: int | None = None) -> None:
+    """Write all records of ``docs`` under ``path``, bucket after bucket, each bucket in Fisher-Yates order."""
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    volume = docs.select(owner(ident, shards, seed).alias("shard"), size_of(text).alias("size")).groupBy("shard").agg(F.sum("size").alias("b")).collect()  # a row for each shard
+    counts, bucket_bytes = [1] * shards, bucket_bytes or bucket_bytes_of(docs.sparkSession)
+    for r in volume:
+        counts[r["shard"]] = max(1, -(-int(r["b"]) // bucket_bytes))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), owner(ident, shards, seed).alias("shard"), F.xxhash64(F.lit(seed + 1), ident, F.crc32(F.coalesce(text, F.lit(""))), F.monotonically_increasing_id()).alias("u"))
+    rows = rows.withColumn("bucket", F.pmod("u", _by_shard(counts)).cast("int")).repartition(sum(counts), "shard", "bucket")
+    # sorted first: a retried task gathers, and so permutes, a bucket in the same way
+    gathered = rows.sortWithinPartitions("shard", "bucket", "u").groupBy("shard", "bucket").agg(F.collect_list("record").alias("records"))
+    dealt = gathered.select("shard", "bucket", F.posexplode(F.shuffle("records", F.lit(seed))).alias("place", "record"))
+    # the writer wants its rows by shard; this keeps them by bucket and place too
+    dealt.select("record", "bucket", "place", "shard").sortWithinPartitions("shard", "bucket", "place").write.partitionBy("shard").parquet(f"{path}/data")
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # of buckets, not of records
+    filled = _data(docs.sparkSession, path, docs.schema).groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n_rows"))
+    filled.withColumn("first_slot", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).cast("long")).write.parquet(f"{path}/buckets")
 
 
-def _buckets(rows: DataFrame, shards: int, weight: Column, bucket_bytes: int) -> Column:
-    """Column of bucket counts by shard; at most ``shards`` rows come to the driver."""
-    counts = {r["shard"]: max(1, -(-int(r["b"]) // bucket_bytes)) for r in rows.groupBy("shard").agg(F.sum(weight).alias("b")).collect()}
-    return F.element_at(F.array(*[F.lit(counts.get(s, 1)) for s in range(shards)]), F.col("shard") + 1)
+def _data(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
+    # the schema is given: without rows there is no file to take it from
+    schema = T.StructType([T.StructField("record", record), T.StructField("bucket", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("shard", T.IntegerType())])
+    return spark.read.schema(schema).parquet(f"{path}/data")
 
 
-def assign(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """One row per record: doc_id, size, text_crc32, law, shard, slot, grown_shard, bucket."""
-    rows = written(_sized(docs, id_col, text_col, shards, seed), "shard-rows")
-    rows = rows.withColumn("bucket", F.pmod("u", _buckets(rows, shards, F.lit(SLIM_ROW), bucket_bytes)).cast("int"))
-    offsets = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    # a row per bucket, not per record: a shard's buckets are few
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    gathered = rows.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct("u", "doc_id", "size", "text_crc32", "grown_shard"))).alias("records"))
-    shuffled = gathered.join(offsets, ["shard", "bucket"]).select("shard", "bucket", "offset", F.posexplode(F.shuffle("records", F.lit(seed))).alias("i", "r"))
-    return shuffled.select("r.doc_id", "r.size", "r.text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("offset") + F.col("i")).cast("long").alias("slot"), F.col("r.grown_shard").cast("int").alias("grown_shard"), "bucket")
+def read_shards(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
+    """record (of the type of the records written), shard, bucket and slot: the place in the shard, gapless from 0."""
+    buckets = spark.read.parquet(f"{path}/buckets").select("shard", "bucket", "first_slot")
+    rows = _data(spark, path, record).join(maybe_broadcast(buckets, buckets.count()), ["shard", "bucket"])
+    return rows.select("record", "shard", "bucket", (F.col("first_slot") + F.col("place")).alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
-    """Write whole records as Parquet under ``path``/shard=N, bucket after bucket, each bucket in Fisher-Yates order.
+def assign(docs: DataFrame, shards: int = 40, *, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, **options) -> DataFrame:
+    """Shard all of ``docs`` (under ``path``, or a folder of the session) and tell from the files where each record stands.
 
-    The records' own columns are kept under any name (they travel as one struct
-    and are written as columns beside the partition folder).
+    Per record: doc_id, size, text_crc32, law, shard, slot, grown_shard and bucket.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    size = F.octet_length(text) + RECORD_OVERHEAD
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), owner(F.col(id_col), shards, seed).alias("shard"), size.alias("size"), F.xxhash64(F.lit(seed + 1), F.col(id_col), F.crc32(text), F.monotonically_increasing_id()).alias("u"))
-    row = row.withColumn("bucket", F.pmod("u", _buckets(row, shards, F.col("size"), bucket_bytes)).cast("int"))
-    gathered = row.groupBy("shard", "bucket").agg(F.shuffle(F.sort_array(F.collect_list(F.struct("u", "r"))), F.lit(seed)).alias("records"))
-    gathered.select("shard", F.explode("records").alias("x")).select(F.col("x.r").alias("record"), "shard").write.partitionBy("shard").parquet(path)
+    spark = docs.sparkSession
+    path = path or new_path(spark, "shards")
+    write_shards(docs, path, shards, id_col=id_col, text_col=text_col, seed=seed, **options)
+    rows = read_shards(spark, path, docs.schema)
+    ident, text = F.col("record").getField(id_col), F.col("record").getField(text_col)
+    return rows.select(ident.alias("doc_id"), size_of(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).cast("long").alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", owner(ident, shards + 1, seed).alias("grown_shard"), "bucket")
