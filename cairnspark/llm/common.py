@@ -80,5 +80,18 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores as set it apart from ``columns`` (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_of(docs: DataFrame) -> Column:
+    """All columns as one struct: what travels with a record under any names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -20,7 +20,7 @@ Work is linear in matches; no pair of texts is formed, so a widely copied
 passage only adds its own occurrences.
 
 Defined results: null and empty texts have no words and are clean; items without
-words are ignored; repeated item ids count as one item; repeated rows each get a
+words are ignored; repeated item ids count as one item, a null one has the empty name; repeated rows each get a
 result; the items table may be empty; other columns are ignored.
 """
 
@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, maybe_broadcast, written
+from .common import fresh, lower_ascii, maybe_broadcast, row_of, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
@@ -48,7 +48,7 @@ def _shingles(w: Column, k: int) -> Column:
 
 def _windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """item_id, w (words), len, k and shingles (array of position and hash) of each window."""
-    w = items.select(F.col(id_col).cast("string").alias("item_id"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    w = items.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("item_id"), words(F.col(f"`{text_col}`")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
     cut = w.select("item_id", F.explode(starts).alias("s"), "w").select("item_id", F.slice("w", F.col("s") + 1, window).alias("w")).distinct()
     cut = cut.withColumn("len", F.size("w")).withColumn("k", F.least(F.col("len"), F.lit(SHINGLE)))
@@ -63,7 +63,7 @@ def _candidates(docs: DataFrame, items: DataFrame, text_col: str, item_id: str,
     wins = written(_windows(items, item_id, item_text, window), "bench-windows")
     grams = written(wins.select("k", F.explode("shingles.h").alias("h")).distinct(), "bench-shingles")
     sizes = {r["k"]: r["n"] for r in grams.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most SHINGLE rows
-    texts = docs.select(_key(text_col).alias("tk"), words(F.col(text_col)).alias("w"))
+    texts = docs.select(_key(text_col).alias("tk"), words(F.col(f"`{text_col}`")).alias("w"))
     found = None
     for k, n in sorted(sizes.items()):
         at = texts.select("tk", F.size("w").alias("n_words"), F.explode(_shingles(F.col("w"), k)).alias("s")).select("tk", "n_words", "s.pos", "s.h")
@@ -92,13 +92,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, text_c
     cand = _candidates(docs, items, text_col, item_id, item_text, window)
     weight = cand.agg(F.coalesce(F.sum(F.size("c")), F.lit(0)).alias("n")).first()["n"]
     cand = maybe_broadcast(cand, weight * 10)  # a candidate is some ten times a row of two longs
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), _key(text_col).alias("tk"))
+    rows = docs.select(row_of(docs).alias("r"), _key(text_col).alias("tk"))
     rows = rows.join(cand, "tk", "left").select("r", "c", words(F.col(f"r.`{text_col}`")).alias("w"))
     true = F.filter(F.coalesce("c", F.array().cast(cand.schema["c"].dataType)), lambda x: F.slice(F.col("w"), x["start"] + 1, F.size(x["w"])) == x["w"])
     rows = rows.select("r", F.size("w").cast("long").alias("n_words"), true.alias("o"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("o", lambda x: F.sequence(x["start"], x["start"] + F.size(x["w"]) - 1)))))
     names = F.array_sort(F.array_distinct(F.transform("o", lambda x: x["item_id"])))
     hit = F.struct("n_words", covered.cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.size("o") > 0).alias("contaminated"))
-    taken = set(docs.columns)
-    name = next(x for i in range(len(taken) + 1) if (x := "hit" + "_" * i) not in taken)
+    name = fresh(docs.columns, "hit")
     return rows.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns], hit.alias(name))

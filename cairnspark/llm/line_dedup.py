@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import discard, maybe_broadcast, written
+from .common import discard, fresh, maybe_broadcast, row_of, written
 from .simjoin import classes
 
 SHINGLE = 9
@@ -154,14 +154,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     known = written(known.select("id", "comp", "first"), "line-classes")
     keeper = known.groupBy("comp").agg(F.min("first").alias("keeper"))
     known = written(known.join(keeper, "comp").select("id", "keeper"), "line-keepers")
-    gone = places.join(maybe_broadcast(known, 2 * known.count()), "id").where(~place.eqNullSafe(F.col("keeper"))).groupBy("rid").agg(F.collect_set("pos").alias("_gone"))
+    gone = places.join(maybe_broadcast(known, 2 * known.count()), "id").where(~place.eqNullSafe(F.col("keeper"))).groupBy("rid").agg(F.collect_set("pos").alias("gone"))
     gone = written(gone, "lines-gone")
     discard(places, known)
-    weight = gone.agg(F.coalesce(F.sum(1 + F.size("_gone") / 2), F.lit(0.0)).alias("w")).first()["w"]
-    rows = docs.withColumn("_rid", _rid(id_col, text_col)).join(maybe_broadcast(gone.withColumnRenamed("rid", "_rid"), int(weight)), "_rid", "left")
-    n = F.coalesce(F.size(parts), F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
-    stats = F.struct(F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
-    name = next(x for i in range(len(docs.columns) + 1) if (x := "lines" + "_" * i) not in docs.columns)
-    return rows.select(*[(kept if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns], stats.alias(name))
+    weight = gone.agg(F.coalesce(F.sum(1 + F.size("gone") / 2), F.lit(0.0)).alias("w")).first()["w"]
+    rows = docs.select(row_of(docs).alias("r"), _rid(id_col, text_col).alias("rid")).join(maybe_broadcast(gone, int(weight)), "rid", "left")
+    text = F.col(f"r.`{text_col}`")
+    parts = F.split(text, "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    stats = F.struct(F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    return rows.select(*[(kept if c == text_col else F.col(f"r.`{c}`")).alias(c) for c in docs.columns], stats.alias(fresh(docs.columns, "lines")))

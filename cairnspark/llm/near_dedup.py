@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import maybe_broadcast, written
+from .common import fresh, maybe_broadcast, written
 from .simjoin import classes
 
 REGISTERS, BAND = 128, 4
@@ -109,7 +109,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFr
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(np.array(f1).view(np.int64)), pa.array(np.array(f2).view(np.int64)), lists], names=["doc_id", "n_shingles", "f1", "f2", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
 
 
 def _facts(texts: DataFrame, shingle: int) -> DataFrame:
@@ -135,7 +135,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     def facts_of(ids: DataFrame) -> DataFrame:
         n = ids.count()
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
         facts = written(_facts(texts.join(maybe_broadcast(ids, n), "id", "left_semi"), shingle), "facts")
         return facts if facts.count() == n else written(facts.dropDuplicates(["id", "n", "sig", "items"]), "facts")
 
@@ -149,5 +149,6 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, one document of each class (rows that repeat its id stay with it)."""
-    gone = written(components(docs, id_col=id_col, **options).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(maybe_broadcast(gone, gone.count()), F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    name = fresh(docs.columns, "gone")
+    gone = written(components(docs, id_col=id_col, **options).where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct(), "near-copies")
+    return docs.join(maybe_broadcast(gone, gone.count()), F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")

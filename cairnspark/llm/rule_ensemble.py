@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import row_of
 from .textstats import text_counts
 
 FIT_ROWS = 20_000
@@ -161,15 +162,26 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality", fit_rows: int = FIT_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted and the columns of ``keep``, for every text."""
-    docs = docs.withColumn("_id", F.col(f"`{id_col}`"))
-    inputs = statistics()
-    marks = labels.where(F.col(label_id).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(label_id))).groupBy(F.col(label_id).alias("_id")).agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality", fit_rows: int = FIT_ROWS) -> RuleModel:
+    """Fit on the labelled rows that are not held out; no label of a held-out row is read."""
+    ident, mark, inputs = F.col(f"`{label_id}`"), F.col(f"`{label}`"), statistics()
+    marks = labels.where(ident.isNotNull() & mark.isNotNull() & ~held_out(ident)).groupBy(ident.alias("id")).agg((F.avg(mark) >= 0.5).cast("int").alias("y"))
     # the ids to fit on are picked first: at most fit_rows small rows are broadcast, and only their texts are counted
-    order = F.xxhash64(F.lit(11), F.col("_id"))
-    texts = docs.select("_id", F.col(f"`{text_col}`").alias("_text_in")).join(F.broadcast(marks.orderBy(order, "_id").limit(fit_rows)), "_id")
-    rows = text_counts(texts, text_col="_text_in", keep=("_id", "_y")).select("_id", "_y", *[v.alias(k) for k, v in inputs.items()]).orderBy(order, "_id", *inputs).limit(fit_rows).toPandas()
-    model = fit(list(inputs), rows[list(inputs)].to_numpy(float).reshape(len(rows), len(inputs)), rows["_y"].to_numpy(float))
-    scored = text_counts(docs, text_col=f"`{text_col}`", keep=("_id", *keep)).withColumn("score", model.column(inputs))
-    return scored.select(F.col("_id").alias("doc_id"), held_out(F.col("_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *keep)
+    order = F.xxhash64(F.lit(11), F.col("id"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(marks.orderBy(order, "id").limit(fit_rows)), "id")
+    rows = text_counts(texts, F.col("text"), {"id": F.col("id"), "y": F.col("y")}).select("id", "y", *[v.alias(k) for k, v in inputs.items()]).orderBy(order, "id", *inputs).limit(fit_rows).toPandas()
+    return fit(list(inputs), rows[list(inputs)].to_numpy(float).reshape(len(rows), len(inputs)), rows["y"].to_numpy(float))
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, held_out, score and predicted of every text."""
+    score = train(docs, labels, id_col=id_col, text_col=text_col, **options).column(statistics())
+    scored = text_counts(docs, F.col(f"`{text_col}`"), {"doc_id": F.col(f"`{id_col}`")})
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores 0.5 or more."""
+    score = train(docs, labels, text_col=text_col, **options).column(statistics())
+    scored = text_counts(docs.select(row_of(docs).alias("row")), F.col(f"row.`{text_col}`"), {"row": F.col("row")})
+    return scored.where(score >= 0.5).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import maybe_broadcast, new_path
+from .common import maybe_broadcast, new_path, row_of
 
 SEED = 20_240_607
 RECORD_OVERHEAD = 16
@@ -60,7 +60,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40, *, id_col: str =
     counts, bucket_bytes = [1] * shards, bucket_bytes or bucket_bytes_of(docs.sparkSession)
     for r in volume:
         counts[r["shard"]] = max(1, -(-int(r["b"]) // bucket_bytes))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), owner(ident, shards, seed).alias("shard"), F.xxhash64(F.lit(seed + 1), ident, F.crc32(F.coalesce(text, F.lit(""))), F.monotonically_increasing_id()).alias("u"))
+    rows = docs.select(row_of(docs).alias("record"), owner(ident, shards, seed).alias("shard"), F.xxhash64(F.lit(seed + 1), ident, F.crc32(F.coalesce(text, F.lit(""))), F.monotonically_increasing_id()).alias("u"))
     rows = rows.withColumn("bucket", F.pmod("u", _by_shard(counts)).cast("int")).repartition(sum(counts), "shard", "bucket")
     # sorted first: a retried task gathers, and so permutes, a bucket in the same way
     gathered = rows.sortWithinPartitions("shard", "bucket", "u").groupBy("shard", "bucket").agg(F.collect_list("record").alias("records"))

@@ -5,8 +5,8 @@ Null and empty texts have zero in every count.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 
 from . import textbytes as tb
 
@@ -79,8 +79,9 @@ def _distinct(h, doc):
     return doc[first]
 
 
-def text_counts(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and :data:`COUNTS` (long) of every whole text."""
+def text_counts(docs: DataFrame, text: Column, keep: dict[str, Column]) -> DataFrame:
+    """The columns ``keep`` (name to column) and :data:`COUNTS` (long) of every whole text."""
+    names = [*keep, *COUNTS]
 
     def run(batches):
         import pyarrow as pa
@@ -89,8 +90,8 @@ def text_counts(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...
             buf, offs = tb.buffers(b.column(0))
             for i, j in tb.groups(offs):
                 part = counts_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                yield pa.RecordBatch.from_arrays([*[b.column(k + 1).slice(i, j - i) for k in range(len(keep))], *[pa.array(part[c], pa.int64()) for c in COUNTS]], names=[*keep, *COUNTS])
+                yield pa.RecordBatch.from_arrays([*[b.column(k + 1).slice(i, j - i) for k in range(len(names) - len(COUNTS))], *[pa.array(part[c], pa.int64()) for c in COUNTS]], names=names)
 
-    texts = docs.select(F.col(text_col).alias("_text"), *keep)
-    kinds = dict(texts.dtypes)
-    return texts.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} long" for c in COUNTS)]))
+    texts = docs.select(text.alias("text"), *[c.alias(k) for k, c in keep.items()])
+    schema = T.StructType([*[T.StructField(k, f.dataType) for k, f in zip(keep, texts.schema.fields[1:])], *[T.StructField(c, T.LongType()) for c in COUNTS]])
+    return texts.mapInArrow(run, schema)

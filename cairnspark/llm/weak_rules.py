@@ -105,7 +105,7 @@ def fit(names: list[str], patterns: np.ndarray, weight: np.ndarray, *, rounds: i
 
 def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_quality: float = 0.5) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, quality (posterior) and each rule's vote."""
-    counts = written(text_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), "rule-counts")
+    counts = written(text_counts(docs, F.col(f"`{text_col}`"), {"doc_id": F.col(f"`{id_col}`")}), "rule-counts")
     votes = rules()
     seen = counts.select(*[v.cast("tinyint").alias(k) for k, v in votes.items()]).groupBy(*votes).agg(F.count(F.lit(1)).alias("n")).orderBy(*votes).collect()  # at most 3 ** rules rows
     model = fit(list(votes), np.array([[r[k] for k in votes] for r in seen], int).reshape(len(seen), len(votes)), np.array([r["n"] for r in seen], float))
