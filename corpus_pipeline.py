@@ -30,15 +30,14 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    scored = rule_ensemble.classify(docs, table(spark, sf_dir, "labels"), keep=rest)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return rule_ensemble.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(docs)
-    stats = out.columns[-1]
-    return out.where(f"{stats}.n_dropped = 0 or trim(text) <> ''").withColumn("n_chars", F.when(F.col(f"{stats}.n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    dropped = F.col(out.columns[-1]).n_dropped
+    n_chars = F.when(dropped > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.where((dropped == 0) | F.col("text").rlike(r"\S")).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
