@@ -37,16 +37,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(docs)
     dropped = F.col(out.columns[-1]).n_dropped
     n_chars = F.when(dropped > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.where((dropped == 0) | F.col("text").rlike(r"\S")).withColumn("n_chars", n_chars).select(*docs.columns)
+    return out.where((dropped == 0) | F.col("text").rlike(r"\S")).withColumn("n_chars", n_chars).drop(out.columns[-1])
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.dedup(docs).select(*docs.columns)
+    return near_dedup.dedup(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return out.where(f"not {out.columns[-1]}.contaminated").select(*docs.columns)
+    return out.where(~F.col(out.columns[-1]).contaminated).drop(out.columns[-1])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
