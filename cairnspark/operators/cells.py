@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .quantize import ProductQuantizer, kmeans, nearest
+from .search import distances, exact_keys, final_ranks, matrix, top_k_by_task
 
 TRAIN_ROWS = 262_144
 #: A cell is split beyond this many rows and merged below that many.
@@ -89,6 +90,38 @@ class CellIndex:
                 return rows
         return rows.withColumn("score", V.score(self.metric, F.col(vector_col), query)).orderBy(V.sort_key(self.metric, F.col("score")), id_col).limit(k)
 
+    def join(self, queries: DataFrame, k: int = 10, *, nprobe: int = 64, id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
+        """(query_id, id, score, rank): the k nearest of each query's nprobe nearest cells, with exact scores.
+
+        Only cells that some query probes are read; a batch scores all queries at
+        once and leaves out rows of cells that a query doesn't probe.
+        """
+        spark, metric, centroids = queries.sparkSession, self.metric, self.centroids
+        nprobe = min(nprobe, len(centroids))
+
+        def nearest_cells(q):
+            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if metric == "cosine" else q
+            return np.argsort(distances("l2", q, centroids), axis=1, kind="stable")[:, :nprobe]
+
+        def cells_of(batch):
+            import pandas as pd
+
+            return pd.Series(list(nearest_cells(np.array(batch.tolist(), float)).astype("int32")) if len(batch) else [], dtype=object)
+
+        probed = queries.select(F.explode(F.pandas_udf(cells_of, "array<int>")(F.col(query_vector))).alias("c")).distinct().collect()  # at most one row for each cell
+        rows = spark.read.parquet(self.path).where(F.col("cell").isin([r["c"] for r in probed]))
+
+        def keys(_, q, data):
+            x, cell = data
+            key = distances(metric, q, x)
+            near = np.zeros((len(q), len(centroids)), bool)
+            np.put_along_axis(near, nearest_cells(q), True, 1)
+            key[~near[:, cell]] = np.inf
+            return key
+
+        found = top_k_by_task(rows, queries, k, lambda c: (matrix(c[0]), c[1].to_numpy()), keys, lambda q, d, at: exact_keys(metric, q, d[0][at]), data_cols=[vector_col, "cell"], id_col=id_col, query_id=query_id, query_vector=query_vector)
+        return final_ranks(found, k, metric)
+
     def append(self, points: DataFrame, vector_col: str = "vector") -> None:
         """Add rows to the cells nearest to them."""
         v = V.normalize(F.col(vector_col)) if self.metric == "cosine" else F.col(vector_col).cast("array<double>")
@@ -129,57 +162,67 @@ def token_candidates(index: CellIndex, spark: SparkSession, query: Sequence[Sequ
     return spark.read.parquet(index.path).where(F.col("cell").isin(cells)).select(doc_col).distinct()
 
 
-def graph_search(points: DataFrame, query: Sequence[float], k: int = 10, *, beam: int = 64, degree: int = 16, partitions: int = 8, metric: str = "l2", id_col: str = "id", vector_col: str = "vector", seed: int = 1) -> DataFrame:
-    """Top-k by beam search over a navigable graph in each Arrow batch, merged and re-scored exactly.
-
-    The optional graph strategy: each batch (bounded by Spark's Arrow settings)
-    gets a pruned neighbour graph; the default strategy stays the exact scan.
+def _links(y: np.ndarray, degree: int, seed: int) -> list[list[int]]:
+    """A navigable graph: neighbours that no nearer neighbour shadows, and a few random ones."""
+    n, rng, links = len(y), np.random.default_rng(seed), []
+    for i in range(n):
+        pool = rng.choice(n, min(n, 8 * degree), replace=False) if n > 4096 else np.arange(n)
+        d = ((y[pool] - y[i]) ** 2).sum(1)
+        order = np.argsort(d, kind="stable")
+        pool, d = pool[order], d[order]
+        kept: list[int] = []
+        for j, far in zip(pool.tolist(), d.tolist()):
+            if j != i and (not kept or ((y[kept] - y[j]) ** 2).sum(1).min() >= far):
+                kept.append(j)
+                if len(kept) == degree:
+                    break
+        links.append(kept + rng.integers(0, n, 4).tolist())
+    return links
+
+
+def _beam(y: np.ndarray, links: list[list[int]], z: np.ndarray, start: int, width: int, dot: bool) -> list[int]:
+    """Best-first search from ``start`` that keeps the ``width`` nearest rows."""
+    import heapq
+
+    far = (lambda at: -(y[at] @ z)) if dot else (lambda at: ((y[at] - z) ** 2).sum(1))
+    first = float(far(np.array([start]))[0])
+    seen, best, todo = {start}, [(-first, start)], [(first, start)]
+    while todo:
+        d, i = heapq.heappop(todo)
+        if len(best) == width and d > -best[0][0]:
+            break
+        new = [j for j in links[i] if j not in seen]
+        if not new:
+            continue
+        seen.update(new)
+        for j, e in zip(new, far(np.array(new)).tolist()):
+            if len(best) < width or e < -best[0][0]:
+                heapq.heappush(todo, (e, j))
+                heapq.heappush(best, (-e, j))
+                if len(best) > width:
+                    heapq.heappop(best)
+    return [j for _, j in best]
+
+
+def graph_join(points: DataFrame, queries: DataFrame, k: int = 10, *, beam: int = 64, degree: int = 16, metric: str = "l2", id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", seed: int = 1) -> DataFrame:
+    """(query_id, id, score, rank) by beam search over a pruned neighbour graph of each Arrow batch.
+
+    The optional graph strategy: a batch is bounded by Spark's Arrow settings and
+    found rows get exact scores; the default strategy stays the exact scan.
     """
 
-    def run(batches):
-        import heapq
-
-        import pyarrow as pa
-
-        q = np.asarray(query, float)
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            x = np.array(b.column(1).to_pylist(), float)
-            y = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30) if metric == "cosine" else x
-            z = q / max(np.linalg.norm(q), 1e-30) if metric == "cosine" else q
-            rng, links = np.random.default_rng(seed), []
-            for i in range(n):
-                pool = rng.choice(n, min(n, 8 * degree), replace=False) if n > 4096 else np.arange(n)
-                d = ((y[pool] - y[i]) ** 2).sum(1)
-                kept: list[int] = []
-                for j in pool[np.argsort(d, kind="stable")].tolist():
-                    if j != i and all(((y[j] - y[s]) ** 2).sum() >= ((y[j] - y[i]) ** 2).sum() for s in kept):
-                        kept.append(j)
-                        if len(kept) == degree:
-                            break
-                links.append(kept + rng.integers(0, n, 4).tolist())
-            far = lambda i: -float(y[i] @ z) if metric == "dot" else float(((y[i] - z) ** 2).sum())
-            start = int(((y - y.mean(0)) ** 2).sum(1).argmin())
-            seen, best, todo = {start}, [(-far(start), start)], [(far(start), start)]
-            width = max(beam, k)
-            while todo:
-                d, i = heapq.heappop(todo)
-                if len(best) == width and d > -best[0][0]:
-                    break
-                for j in links[i]:
-                    if j not in seen:
-                        seen.add(j)
-                        e = far(j)
-                        if len(best) < width or e < -best[0][0]:
-                            heapq.heappush(todo, (e, j))
-                            heapq.heappush(best, (-e, j))
-                            if len(best) > width:
-                                heapq.heappop(best)
-            at = pa.array([j for _, j in best])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["id", "vector"])
-
-    rows = points.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).repartition(partitions)
-    found = rows.mapInArrow(run, f"id {dict(points.dtypes)[id_col]}, vector array<double>")
-    return found.withColumn("score", V.score(metric, F.col("vector"), query)).orderBy(V.sort_key(metric, F.col("score")), "id").limit(k).select("id", "score")
+    def prepare(columns):
+        x = matrix(columns[0])
+        y = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
+        return x, y, _links(y, degree, seed), int(((y - y.mean(0)) ** 2).sum(1).argmin())
+
+    def keys(_, q, data):
+        x, y, links, start = data
+        out = np.full((len(q), len(x)), np.inf)
+        for row, v in zip(out, q):
+            z = v / max(np.linalg.norm(v), 1e-300) if metric == "cosine" else v
+            at = np.array(_beam(y, links, z, start, max(beam, k), metric == "dot"))
+            row[at] = exact_keys(metric, v, x[at])
+        return out
+
+    return final_ranks(top_k_by_task(points, queries, k, prepare, keys, data_cols=[vector_col], id_col=id_col, query_id=query_id, query_vector=query_vector), k, metric)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .search import where
+from .search import ranked, where
 
 SEPARATOR = "\x1f"
 
@@ -66,6 +66,35 @@ def max_sim_scores(tokens: DataFrame, query: Sequence[Sequence[float]], metric:
     return best.select("doc_id", sum((F.col(f"q{i}") for i in range(1, len(query))), F.col("q0")).alias("score"))
 
 
+#: Query tokens scored in one pass over the documents' tokens.
+TOKENS = 64
+
+
+def join(tokens: DataFrame, queries: DataFrame, k: int = 10, *, metric: str = "cosine", query_id: str = "query_id") -> DataFrame:
+    """(query_id, doc_id, score, rank) by MaxSim for a bounded set of queries (query_id, ordinal, vector).
+
+    Blocks of queries are literals of one pass each, so a document of any number
+    of tokens is reduced to one partial row in every task.
+    """
+    held: dict = {}
+    for r in queries.orderBy(query_id, "ordinal").collect():  # the query set is a request
+        held.setdefault(r[query_id], []).append(r["vector"])
+    blocks: list[list] = []
+    for name, vectors in held.items():
+        if not blocks or sum(len(v) for _, v in blocks[-1]) + len(vectors) > TOKENS:
+            blocks.append([])
+        blocks[-1].append((name, vectors))
+    kind, out = dict(queries.dtypes)[query_id], None
+    for block in blocks:
+        best = tokens.groupBy("doc_id").agg(*[F.max(V.score(metric, F.col("vector"), v)).alias(f"q{i}_{j}") for i, (_, vs) in enumerate(block) for j, v in enumerate(vs)])
+        scores = F.array(*[F.struct(F.lit(name).cast(kind).alias("query_id"), sum((F.col(f"q{i}_{j}") for j in range(1, len(vs))), F.col(f"q{i}_0")).alias("score")) for i, (name, vs) in enumerate(block)])
+        rows = best.select("doc_id", F.explode(scores).alias("s")).select("s.query_id", "doc_id", "s.score")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        out = tokens.select(F.lit(None).cast(kind).alias("query_id"), "doc_id", F.lit(0.0).alias("score")).limit(0)
+    return ranked(out, k, F.desc("score"), F.col("doc_id"), by=["query_id"])
+
+
 def search(tokens: DataFrame, query: Sequence[Sequence[float]], k: int = 10, *, metric: str = "cosine", tree=None) -> DataFrame:
     """Top-k documents by MaxSim; the filter reads the anchor token's columns; an empty query finds nothing."""
     if tree is not None:

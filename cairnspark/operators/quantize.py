@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .search import distances, final_ranks, matrix, ranked, top_k_by_task
 
 #: Rows a codebook is trained on at most (drawn by hash of the vector).
 TRAIN_ROWS = 262_144
@@ -46,6 +47,9 @@ class ScalarQuantizer:
         """Full-precision query against the decoded vector."""
         return V.score(metric, self.decode(code), query)
 
+    def keys(self, q: np.ndarray, codes: np.ndarray, metric: str) -> np.ndarray:
+        return distances(metric, q, np.array(self.lo) + codes * np.array(self.step))
+
 
 @dataclass(frozen=True)
 class BinaryQuantizer:
@@ -66,6 +70,21 @@ class BinaryQuantizer:
     def score(self, code: Column, query_code: Column) -> Column:
         return V.hamming(code, query_code)
 
+    def join(self, points: DataFrame, queries: DataFrame, k: int, *, code_col: str = "code", id_col: str = "id", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
+        """(query_id, id, distance, rank): the k codes with the fewest bits unlike those of each query."""
+        mean = np.array(self.mean)
+
+        def bits(columns):
+            words = columns[0].flatten().to_numpy().astype(np.int64).reshape(len(columns[0]), -1)
+            return np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, : len(mean)].astype(float)
+
+        def keys(_, q, x):
+            y = (q > mean).astype(float)
+            return y @ (1 - x).T + (1 - y) @ x.T
+
+        near = top_k_by_task(points, queries, k, bits, keys, data_cols=[code_col], id_col=id_col, query_id=query_id, query_vector=query_vector)
+        return final_ranks(near, k, "l2").select("query_id", "id", F.col("score").cast("int").alias("distance"), "rank")
+
 
 @dataclass(frozen=True)
 class ProductQuantizer:
@@ -110,6 +129,18 @@ class ProductQuantizer:
             return ((self.books - q[:, None, :]) ** 2).sum(2)
         return (self.books * q[:, None, :]).sum(2)
 
+    def keys(self, q: np.ndarray, codes: np.ndarray, metric: str) -> np.ndarray:
+        """Sums of the queries' lookup tables; for cosine as :meth:`score` says."""
+        m, _, d = self.books.shape
+        if metric == "cosine":
+            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        part = q.reshape(len(q), m, d)
+        total = np.zeros((len(q), len(codes)))
+        for j in range(m):
+            table = distances("l2" if metric == "l2" else "dot", part[:, j], self.books[j])
+            total += table[:, codes[:, j].astype(int)]
+        return total
+
     def score(self, code: Column, query: Sequence[float], metric: str = "l2") -> Column:
         """Asymmetric score from the query's lookup table: a literal array and m array reads per row.
 
@@ -152,6 +183,19 @@ def kmeans(x: np.ndarray, k: int, iterations: int, seed: int) -> np.ndarray:
     return c
 
 
+def join(points: DataFrame, queries: DataFrame, k: int, quantizer, *, code_col: str = "code", factor: int = 4, metric: str = "l2", id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
+    """(query_id, id, score, rank): k x factor rows of each query by its codes, then exact scores and the top k.
+
+    Rows are read twice: codes for all of them, vectors for the candidates.
+    """
+    depth = k * factor
+    near = top_k_by_task(points, queries, depth, lambda c: matrix(c[0]), lambda _, q, codes: quantizer.keys(q, codes, metric), data_cols=[code_col], id_col=id_col, query_id=query_id, query_vector=query_vector)
+    pool = ranked(near, depth, F.col("key"), F.col("id"), by=["query_id"]).select("query_id", "id")
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("qv"))
+    rows = pool.join(points.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), "id").join(q, "query_id").withColumn("score", V.score(metric, F.col("v"), F.col("qv")))
+    return ranked(rows.select("query_id", "id", "score"), k, V.sort_key(metric, F.col("score")), F.col("id"), by=["query_id"])
+
+
 def two_phase(points: DataFrame, approximate: Column, query: V.Vector, k: int, *, factor: int = 4, metric: str = "l2", id_col: str = "id", vector_col: str = "vector", ascending: bool = True) -> DataFrame:
     """k x factor rows by the approximate score, then exact scores and the top k."""
     pool = points.withColumn("approx", approximate).orderBy(F.asc("approx") if ascending else F.desc("approx"), id_col).limit(k * factor)

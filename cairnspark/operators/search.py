@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,24 +70,76 @@ def ranked(rows: DataFrame, depth: int, *order: Column | str, by: Sequence[str]
     return rows.orderBy(*order).limit(depth).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-#: A query set of at most this many rows is broadcast to the points.
-QUERY_ROWS = 10_000
+#: Queries are broadcast in blocks of at most QUERY_ROWS and scored SCORED at a time.
+QUERY_ROWS, SCORED = 10_000, 256
 
 
-def knn_join(points: DataFrame, queries: DataFrame, k: int = 10, *, metric: str = "l2", id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """(query_id, id, score, rank): the k nearest points of each query, exactly.
+def matrix(column) -> np.ndarray:
+    """Rows of an Arrow list column (one length, no nulls) as a matrix of doubles."""
+    n = len(column)
+    flat = column.flatten()
+    if column.null_count or flat.null_count:
+        raise ValueError("vectors have no nulls")
+    flat = flat.to_numpy(zero_copy_only=False).astype(float)
+    if n and len(flat) % n or (n and (np.diff(column.offsets.to_numpy()) != len(flat) // n).any()):
+        raise ValueError("vectors have one length")
+    return flat.reshape(n, -1)
 
-    Each Arrow batch of points is scored against a block of queries by one
-    matrix product and keeps its own k best per query, so only
-    batches * k rows per query are shuffled for the final top-k.  Queries are
-    broadcast in blocks of at most :data:`QUERY_ROWS`.
-    """
-    import numpy as np
 
+def distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sort keys of all rows of x for all queries by one matrix product (rounding differs from :func:`exact_keys`)."""
+    product = q @ x.T
+    if metric == "dot":
+        return -product
+    if metric == "l2":
+        return (q * q).sum(1)[:, None] - 2 * product + (x * x).sum(1)[None, :]
+    size = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
+    return -np.divide(product, size, out=np.zeros_like(product), where=size > 0)
+
+
+def exact_keys(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sort keys of the rows of x for one query, summed in component order as the column expressions do."""
+    total = lambda v: np.add.accumulate(v, axis=1)[:, -1] if v.shape[1] else np.zeros(len(v))
+    if metric == "l2":
+        return total((x - q) ** 2)
+    product = total(x * q)
+    if metric == "dot":
+        return -product
+    size = np.sqrt(total(x * x)) * np.sqrt(total((q * q)[None, :]))
+    return -np.divide(product, size, out=np.zeros_like(product), where=size > 0)
+
+
+class Best:
+    """The k least (key, id) of each query over all batches of a task: at most queries x k rows leave it."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.keys, self.ids = k, [np.zeros(0)] * n, [np.zeros(0, object)] * n
+
+    def bound(self, i: int) -> float:
+        return self.keys[i][-1] if len(self.keys[i]) == self.k else np.inf
+
+    def add(self, i: int, keys: np.ndarray, ids: np.ndarray) -> None:
+        keys, ids = np.append(self.keys[i], keys), np.append(self.ids[i], ids)
+        at = np.lexsort((ids, keys))[: self.k]
+        self.keys[i], self.ids[i] = keys[at], ids[at]
+
+    def rows(self):
+        return np.repeat(np.arange(len(self.ids)), [len(x) for x in self.ids]), np.concatenate(self.ids or [[]]), np.concatenate(self.keys or [[]])
+
+
+def top_k_by_task(points: DataFrame, queries: DataFrame, k: int, prepare, keys_of, refine=None, *, data_cols: Sequence[str], id_col: str = "id", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
+    """(query_id, id, key): candidates for the k least keys of each query, k for every task at most.
+
+    ``prepare(columns)`` reads a batch's ``data_cols`` (rows without the first are
+    left out); ``keys_of(numbers, queries, data)`` gives the batch's keys for a
+    block of queries (infinite: not a candidate); ``refine(query, data, rows)``
+    gives final ones for rows within rounding of the k-th.
+    """
     spark = points.sparkSession
     total = queries.count()
-    kinds, qkinds = dict(points.dtypes), dict(queries.dtypes)
+    kinds, qkind = dict(points.dtypes), dict(queries.dtypes)[query_id]
     parts = max(1, -(-total // QUERY_ROWS))
+    schema = f"query_id {qkind}, id {kinds[id_col]}, key double"
     out = None
     for part in range(parts):
         block = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(parts)) == part)
@@ -95,43 +148,48 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int = 10, *, metric: str
             continue
         share = spark.sparkContext.broadcast(([r[0] for r in held], np.array([r[1] for r in held], float)))
 
-        def best(batches, share=share):
+        def run(batches, share=share):
             import pyarrow as pa
 
-            qids, q = share.value
-            qn = np.sqrt((q * q).sum(1))
+            names, q = share.value
+            best, schema = Best(len(q), k), None
             for b in batches:
+                schema = b.schema
                 if not b.num_rows:
                     continue
-                x = np.array(b.column(1).to_pylist(), float)
-                xn = np.sqrt((x * x).sum(1))
-                product = q @ x.T
-                if metric == "l2":
-                    key = (qn**2)[:, None] - 2 * product + (xn**2)[None, :]
-                elif metric == "dot":
-                    key = -product
-                else:
-                    size = qn[:, None] * xn[None, :]
-                    key = -np.divide(product, size, out=np.zeros_like(product), where=size > 0)
-                # ties and rounding: keep a few more than k, the final ranking recomputes scores
-                keep = min(b.num_rows, k + 8)
-                at = np.argpartition(key, keep - 1, axis=1)[:, :keep]
-                edge = np.take_along_axis(key, at, 1).max(1)
-                rows = [np.flatnonzero(row <= e + 1e-9 * (1 + abs(e))) for row, e in zip(key, edge)]
-                qi = np.repeat(np.arange(len(q)), [len(r) for r in rows])
-                pi = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in qi]), b.column(0).take(pa.array(pi)), b.column(1).take(pa.array(pi))], names=["query_id", "id", "vector"])
-
-        near = points.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).mapInArrow(best, f"query_id {qkinds[query_id]}, id {kinds[id_col]}, vector array<double>")
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                data = prepare(b.columns[1:])
+                for s in range(0, len(q), SCORED):
+                    n = np.arange(s, min(s + SCORED, len(q)))
+                    keys = keys_of(n, q[n], data)
+                    cut = np.partition(keys, k - 1, axis=1)[:, k - 1] if keys.shape[1] > k else np.full(len(n), np.inf)
+                    for i, row, edge in zip(n.tolist(), keys, cut):
+                        edge = min(edge, best.bound(i))
+                        near = np.flatnonzero((row <= edge + 1e-9 * (1 + abs(edge))) & (row < np.inf)) if edge < np.inf else np.flatnonzero(row < np.inf)
+                        if len(near):
+                            best.add(i, refine(q[i], data, near) if refine else row[near], ids[near])
+            if schema is not None:
+                at, ids, keys = best.rows()
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at.tolist()]), pa.array(ids.tolist(), schema.field(0).type), pa.array(keys, pa.float64())], names=["query_id", "id", "key"])
+
+        near = points.where(F.col(data_cols[0]).isNotNull()).select(F.col(id_col).alias("id"), *data_cols).mapInArrow(run, schema)
         out = near if out is None else out.unionByName(near)
-    if out is None:
-        out = points.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).limit(0).selectExpr(f"cast(null as {qkinds[query_id]}) query_id", "id", "vector")
-    exact = out.join(maybe_small(queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("qv")), total), "query_id").withColumn("score", V.score(metric, F.col("vector"), F.col("qv")))
-    return ranked(exact.select("query_id", "id", "score"), k, V.sort_key(metric, F.col("score")), F.col("id"), by=["query_id"])
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def knn_join(points: DataFrame, queries: DataFrame, k: int = 10, *, metric: str = "l2", id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
+    """(query_id, id, score, rank): the k nearest points of each query, exactly.
+
+    Each Arrow batch of points is scored against a block of queries by one matrix
+    product; rows within rounding of the k-th get exact scores, and a task sends
+    its k best of each query, without vectors, to the final ranking.
+    """
+    near = top_k_by_task(points, queries, check_limit("k", k), lambda c: matrix(c[0]), lambda _, q, x: distances(metric, q, x), lambda q, x, at: exact_keys(metric, q, x[at]), data_cols=[vector_col], id_col=id_col, query_id=query_id, query_vector=query_vector)
+    return final_ranks(near, k, metric)
 
 
-def maybe_small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= QUERY_ROWS else df
+def final_ranks(near: DataFrame, k: int, metric: str) -> DataFrame:
+    return ranked(near, k, F.col("key"), F.col("id"), by=["query_id"]).select("query_id", "id", V.report(metric, F.col("key")).alias("score"), "rank")
 
 
 def merge_top_k(shards: Sequence[DataFrame], k: int, *, metric: str = "l2", id_col: str = "id") -> DataFrame:

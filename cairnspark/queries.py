@@ -86,30 +86,37 @@ for _n, (_t, _w) in FILTERS.items():
     query(knn_sql("l2", _w), f"knn_filtered_{_n}")(_knn("l2", _t))
 
 
-def join_sql(metric: str, k: int, points_where: str = "true", queries_where: str = "vec_id < 20") -> str:
+#: The query set of searches: every row whose id is divisible by 100, against all rows.
+QUERY_SET = "{} % 100 = 0"
+
+
+def join_sql(metric: str, k: int, points_where: str = "true") -> str:
     s = SQL_SCORE[metric]
     return f"""SELECT query_id, id, round(s, 6) AS score, rank FROM (
       SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY {SQL_KEY[metric]}, id) AS rank
-      FROM (SELECT query_id, id, {s} AS s FROM ({P} WHERE {points_where}), (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE {queries_where}))) WHERE rank <= {k}"""
+      FROM (SELECT query_id, id, {s} AS s FROM ({P} WHERE {points_where}), (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE {QUERY_SET.format("vec_id")}))) WHERE rank <= {k}"""
 
 
-def queries_of(p: DataFrame, where: str) -> DataFrame:
-    return p.where(where).select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+def queries_of(p: DataFrame) -> DataFrame:
+    return p.where(QUERY_SET.format("id")).select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
 
 
-def _join(metric: str, k: int = 10, where: str = "id < 20", mask: int | None = None) -> Query:
+def _join(metric: str, k: int = 10, mask: int | None = None) -> Query:
     def run(spark, sf_dir):
         p = points(spark, sf_dir)
         base = p if mask is None else p.where(evaluate.selectivity_mask(F.col("id"), mask))
-        return search.knn_join(base, queries_of(p, where), k, metric=metric).select("query_id", "id", six(), F.col("rank").cast("long"))
+        return search.knn_join(base, queries_of(p), k, metric=metric).select("query_id", "id", six(), F.col("rank").cast("long"))
 
     return run
 
 
+def shown(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "id", six(), F.col("rank").cast("long"))
+
+
 query(join_sql("l2", 10), "knn_join_l2")(_join("l2"))
 query(join_sql("cosine", 10), "knn_join_cosine")(_join("cosine"))
 query(join_sql("dot", 5), "knn_join_dot")(_join("dot", 5))
-query(join_sql("l2", 10, queries_where="vec_id % 100 = 0"), "knn_join_query_set")(_join("l2", where="id % 100 = 0"))
 for _s in (1, 5, 25):
     query(join_sql("l2", 10, f"vec_id % 100 < {_s}"), f"filtered_truth_{_s}")(_join("l2", mask=_s))
 
@@ -322,24 +329,31 @@ def term_ids(spark, sf_dir):
 # --- late interaction ---------------------------------------------------------
 
 DOC_TOKENS = f"SELECT id // 5 AS doc_id, id % 5 AS ordinal, label, v FROM ({P})"
-MAXSIM_SQL = "SELECT doc_id, sum(m) AS s FROM (SELECT doc_id, t, max(list_cosine_similarity(v, q)) AS m FROM ({0}), (SELECT vec_id AS t, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 4) GROUP BY doc_id, t) GROUP BY doc_id"
+MAXSIM_SQL = f"""SELECT query_id, doc_id, round(s, 6) AS score, rank FROM (SELECT query_id, doc_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, sum(m) AS s FROM (SELECT query_id, t, doc_id, max(list_cosine_similarity(v, q)) AS m FROM ({{0}}), (SELECT doc_id AS query_id, ordinal AS t, v AS q FROM ({DOC_TOKENS}) WHERE {QUERY_SET.format("doc_id")}) GROUP BY ALL) GROUP BY ALL)) WHERE rank <= 10"""
 
 
 def doc_tokens(p: DataFrame) -> DataFrame:
     return p.select(F.floor(F.col("id") / 5).alias("doc_id"), (F.col("id") % 5).alias("ordinal"), "label", "vector")
 
 
+def token_queries(p: DataFrame) -> DataFrame:
+    return doc_tokens(p).where(QUERY_SET.format("doc_id")).select(F.col("doc_id").alias("query_id"), "ordinal", "vector")
+
+
 def _maxsim(tree=None) -> Query:
     def run(spark, sf_dir):
         p = points(spark, sf_dir)
-        q = [r["vector"] for r in p.where("id < 4").orderBy("id").collect()]  # one request's tokens
-        return multivector.search(doc_tokens(p), q, tree=tree).select("doc_id", six())
+        tokens = doc_tokens(p)
+        if tree is not None:
+            tokens = tokens.join(search.where(tokens.where("ordinal = 0"), tree).select("doc_id"), "doc_id", "left_semi")
+        return multivector.join(tokens, token_queries(p)).select("query_id", "doc_id", six(), F.col("rank").cast("long"))
 
     return run
 
 
-query(f"SELECT doc_id, round(s, 6) AS score FROM ({MAXSIM_SQL.format(DOC_TOKENS)}) ORDER BY s DESC, doc_id LIMIT 10", "maxsim_topk")(_maxsim())
-query(f"SELECT doc_id, round(s, 6) AS score FROM ({MAXSIM_SQL.format(f'SELECT * FROM ({DOC_TOKENS}) WHERE doc_id IN (SELECT id // 5 FROM ({P}) WHERE id % 5 = 0 AND label < 5)')}) ORDER BY s DESC, doc_id LIMIT 10", "maxsim_filtered")(_maxsim({"lt": {"field": "label", "value": 5}}))
+query(MAXSIM_SQL.format(DOC_TOKENS), "maxsim_topk")(_maxsim())
+query(MAXSIM_SQL.format(f"SELECT * FROM ({DOC_TOKENS}) WHERE doc_id IN (SELECT id // 5 FROM ({P}) WHERE id % 5 = 0 AND label < 5)"), "maxsim_filtered")(_maxsim({"lt": {"field": "label", "value": 5}}))
 
 
 @query(f"SELECT doc_id, count(*) AS tokens FROM ({DOC_TOKENS}) GROUP BY doc_id")
@@ -369,9 +383,9 @@ def latest_state(spark, sf_dir):
     return latest(op_rows(spark, sf_dir).where("op = 'upsert'")).select("id", "value", "event_id")
 
 
-@query("SELECT user_id AS id, value, event_id FROM events WHERE event_id < 500 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+@query("SELECT user_id AS id, value, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def upsert_batch_last_wins(spark, sf_dir):
-    batch = table(spark, sf_dir, "events").where("event_id < 500")
+    batch = table(spark, sf_dir, "events")
     return latest(batch.select(F.col("user_id").alias("id"), F.col("event_id").alias("lsn"), F.lit("upsert").alias("op"), "value", "event_id")).select("id", "value", "event_id")
 
 
@@ -426,11 +440,11 @@ def sq_codes(spark, sf_dir):
     return p.select("id", F.aggregate(code, F.lit(0).cast("long"), lambda s, c: s + c).alias("code_sum"))
 
 
-@query(knn_sql("l2"))
+@query(join_sql("l2", 10))
 def sq_topk_rerank(spark, sf_dir):
     p = points(spark, sf_dir)
-    q, sq = vector_of(p, 0), quantize.ScalarQuantizer.train(p)
-    return quantize.two_phase(p, sq.score(sq.encode(F.col("vector")), q), q, 10).select("id", "label", six())
+    sq = quantize.ScalarQuantizer.train(p)
+    return shown(quantize.join(p.withColumn("code", sq.encode(F.col("vector"))), queries_of(p), 10, sq))
 
 
 BITS_SQL = f"WITH d AS ({DIM_SQL}), m AS (SELECT pos, avg(x) AS mean FROM d GROUP BY pos), b AS (SELECT id, pos, x > mean AS bit FROM d JOIN m USING (pos))"
@@ -443,20 +457,19 @@ def bq_codes(spark, sf_dir):
     return p.select("id", F.aggregate(code, F.lit(0), lambda s, w: s + F.bit_count(w)).alias("ones"))
 
 
-@query(f"{BITS_SQL} SELECT x.id, CAST(sum(CASE WHEN x.bit <> y.bit THEN 1 ELSE 0 END) AS INTEGER) AS distance FROM b x JOIN (SELECT * FROM b WHERE id = 0) y USING (pos) GROUP BY x.id ORDER BY distance, x.id LIMIT 20")
+@query(f"{BITS_SQL} SELECT query_id, id, distance, rank FROM (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (SELECT y.id AS query_id, x.id AS id, CAST(sum(CASE WHEN x.bit <> y.bit THEN 1 ELSE 0 END) AS INTEGER) AS distance FROM b x JOIN (SELECT * FROM b WHERE {QUERY_SET.format('id')}) y USING (pos) GROUP BY ALL)) WHERE rank <= 20")
 def bq_hamming_topk(spark, sf_dir):
     p = points(spark, sf_dir)
     bq = quantize.BinaryQuantizer.train(p)
-    q = bq.encode(F.array(*map(F.lit, map(float, vector_of(p, 0)))))
-    return p.select("id", bq.score(bq.encode(F.col("vector")), q).alias("distance")).orderBy("distance", "id").limit(20)
+    return bq.join(p.withColumn("code", bq.encode(F.col("vector"))), queries_of(p), 20).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query()
 def pq_topk_rerank(spark, sf_dir):
+    """Product codes of all rows; recall against the exact join is measured in the tests."""
     p = points(spark, sf_dir)
-    q, pq = vector_of(p, 0), quantize.ProductQuantizer.train(p, 8, centroids=64, iterations=10)
-    coded = p.withColumn("code", pq.encode(F.col("vector")))
-    return quantize.two_phase(coded, pq.score(F.col("code"), q), q, 10, factor=10).select("id", "label", six())
+    pq = quantize.ProductQuantizer.train(p, 16, centroids=64, iterations=10)
+    return shown(quantize.join(p.withColumn("code", pq.encode(F.col("vector"))), queries_of(p), 10, pq, factor=10))
 
 
 def _work(spark: SparkSession, name: str) -> str:
@@ -467,32 +480,34 @@ def _work(spark: SparkSession, name: str) -> str:
 
 @query()
 def ivf_topk(spark, sf_dir):
+    """The three nearest quarters of the cells of an index over all rows; recall is measured in the tests."""
     p = points(spark, sf_dir)
     index = cells.CellIndex.build(p, _work(spark, "cells"), iterations=8)
-    return index.search(spark, vector_of(p, 0), 10, nprobe=48).select("id", "label", six())
+    return shown(index.join(queries_of(p), 10, nprobe=len(index.centroids) * 3 // 4))
 
 
 @query()
 def colbert_topk(spark, sf_dir):
+    """Candidates by cells of single tokens, then MaxSim over the candidates' whole token sets."""
     p = points(spark, sf_dir)
     tokens = doc_tokens(p)
     index = cells.CellIndex.build(tokens, _work(spark, "token-cells"), metric="cosine", iterations=8)
-    q = [r["vector"] for r in p.where("id < 4").orderBy("id").collect()]  # one request's tokens
-    near = cells.token_candidates(index, spark, q, 16)
-    return multivector.search(tokens.join(near, "doc_id", "left_semi"), q).select("doc_id", six())
+    asked = token_queries(p)
+    near = cells.token_candidates(index, spark, [r["vector"] for r in asked.collect()], 16)  # the query set's tokens
+    return multivector.join(tokens.join(near, "doc_id", "left_semi"), asked).select("query_id", "doc_id", six(), F.col("rank").cast("long"))
 
 
 @query()
 def graph_topk(spark, sf_dir):
     p = points(spark, sf_dir)
-    return cells.graph_search(p, vector_of(p, 0), 10, partitions=2).select("id", six())
+    return shown(cells.graph_join(p.repartition(2), queries_of(p), 10))
 
 
 @query("SELECT CAST(k AS INTEGER) AS k, 1.0::DOUBLE AS mean_recall FROM (VALUES (1), (10)) t(k)")
 def recall_at_k_sweep(spark, sf_dir):
     p = points(spark, sf_dir)
     exact = lambda base, q, k: search.knn_join(base, q, k)
-    return evaluate.sweep(p, queries_of(p, "id < 5"), {"exact": exact}, (1, 10)).select("k", "mean_recall")
+    return evaluate.sweep(p, queries_of(p), {"exact": exact}, (1, 10)).select("k", "mean_recall")
 
 
 @query("SELECT CAST(p AS DOUBLE) AS p, value FROM (SELECT 50 AS p, (SELECT value FROM events ORDER BY value LIMIT 1 OFFSET (SELECT CAST(round_even(0.50 * (count(*) - 1), 0) AS BIGINT) FROM events)) AS value UNION ALL SELECT 95, (SELECT value FROM events ORDER BY value LIMIT 1 OFFSET (SELECT CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) FROM events)))")
@@ -520,17 +535,18 @@ def payload_roundtrip(spark, sf_dir):
     return d.select("id", crypto.open_sealed(F.col("env"), key, "documents").alias("text"), crypto.is_sealed(F.col("env")).alias("sealed"))
 
 
-@query("SELECT CAST(vec_id AS VARCHAR) AS id, round(CAST(embedding[1] AS DOUBLE), 4) AS first, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings WHERE vec_id < 100")
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, round(CAST(embedding[1] AS DOUBLE), 4) AS first, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings")
 def import_vector_literal(spark, sf_dir):
     text = F.concat(F.lit(" ["), F.array_join(F.transform("vector", lambda x: x.cast("string")), ", "), F.lit("]"))
-    p = points(spark, sf_dir).where("id < 100").select(F.col("id").cast("string").alias("id"), connectors.parse_literal(text).alias("v"))
+    p = points(spark, sf_dir).select(F.col("id").cast("string").alias("id"), connectors.parse_literal(text).alias("v"))
     return p.select("id", F.round(F.col("v")[0].cast("double"), 4).alias("first"), F.size("v").alias("dim"))
 
 
-@query("SELECT CAST(vec_id AS VARCHAR) AS id, CAST(len(embedding) AS INTEGER) AS dim, 'label ' || label AS document FROM embeddings WHERE vec_id < 50")
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, CAST(len(embedding) AS INTEGER) AS dim, 'label ' || label AS document FROM embeddings")
 def import_parallel_arrays(spark, sf_dir):
-    p = points(spark, sf_dir).where("id < 50")
-    one = p.agg(*[F.transform(F.array_sort(F.collect_list(F.struct("id", c.alias("x")))), lambda r: r["x"]).alias(n) for n, c in (("ids", F.col("id").cast("string")), ("embeddings", F.col("vector")), ("documents", F.concat(F.lit("label "), F.col("label"))))])  # one import file
+    p = points(spark, sf_dir)
+    pick = [F.transform(F.array_sort(F.collect_list(F.struct("id", c.alias("x")))), lambda r: r["x"]).alias(n) for n, c in (("ids", F.col("id").cast("string")), ("embeddings", F.col("vector")), ("documents", F.concat(F.lit("label "), F.col("label"))))]
+    one = p.groupBy(F.floor(F.col("id") / 256).alias("file")).agg(*pick).drop("file")  # import files of 256 rows
     rows = connectors.from_parallel_arrays(one.withColumn("metadatas", F.lit(None).cast("array<map<string,variant>>")))
     return rows.select("id", F.size("vector").alias("dim"), F.get_json_object("payload", "$.document").alias("document"))
 

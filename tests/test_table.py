@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairnspark.functions.predicates import columns_of  # noqa: F401
+from cairnspark.functions import vectors as V
 from cairnspark.operators import cells, evaluate, fusion, lexical, multivector, quantize, search
 from cairnspark.plans.table import Catalog, Collection, ConflictError, Manifest
 from cairnspark.schema import CollectionSpec, IndexSpec, SpecError
@@ -172,7 +172,7 @@ def test_layouts_recall(spark, tmp_path):
     again = cells.CellIndex.open(spark, index.path)
     pq = quantize.ProductQuantizer.train(p, 4, centroids=64)
     sq, bq = quantize.ScalarQuantizer.train(p), quantize.BinaryQuantizer.train(p)
-    hit = {"cells": 0, "pq": 0, "sq": 0, "graph": 0}
+    hit = {"cells": 0, "pq": 0, "sq": 0}
     coded = p.withColumn("code", pq.encode(F.col("vector"))).cache()
     for i, want in truth.items():
         q = x[i].tolist()
@@ -180,7 +180,6 @@ def test_layouts_recall(spark, tmp_path):
             "cells": again.search(spark, q, 10, nprobe=8),
             "pq": quantize.two_phase(coded, pq.score(F.col("code"), q), q, 10, factor=10),
             "sq": quantize.two_phase(p, sq.score(sq.encode(F.col("vector")), q), q, 10),
-            "graph": cells.graph_search(p, q, 10, partitions=2),
         }
         for name, df in got.items():
             hit[name] += len(want & {r.id for r in df.collect()})
@@ -196,6 +195,54 @@ def test_layouts_recall(spark, tmp_path):
     assert even.sizes(spark).agg(F.sum("n")).first()[0] == 1503
 
 
+def test_joins_over_layouts_recall(spark, tmp_path):
+    """Every 100th row as a query against all rows; recall against the exact join."""
+    p, x = blobs(spark)
+    q = p.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    for metric in ("l2", "cosine"):
+        truth = search.knn_join(p, q, 10, metric=metric)
+        unit = metric == "cosine"
+        v = V.normalize(F.col("vector")) if unit else F.col("vector")
+        pq = quantize.ProductQuantizer.train(p.withColumn("vector", v), 8, centroids=64)
+        sq = quantize.ScalarQuantizer.train(p)
+        index = cells.CellIndex.build(p, f"file://{tmp_path}/join-{metric}", cells=24, metric=metric, iterations=8)
+        found = {
+            "cells": index.join(q, 10, nprobe=8),
+            "pq": quantize.join(p.withColumn("code", pq.encode(v)), q, 10, pq, factor=10, metric=metric),
+            "sq": quantize.join(p.withColumn("code", sq.encode(F.col("vector"))), q, 10, sq, metric=metric),
+            "graph": cells.graph_join(p, q, 10, metric=metric),
+        }
+        for name, df in found.items():
+            recall = evaluate.mean_recall(evaluate.recall_at_k(df, truth, 10)).first()[0]
+            assert recall >= 0.9, (metric, name, recall)
+        both = index.join(q, 10, nprobe=24)
+        assert both.exceptAll(truth).count() == truth.exceptAll(both).count() == 0  # all cells: exact
+    bq = quantize.BinaryQuantizer.train(p)
+    near = bq.join(p.withColumn("code", bq.encode(F.col("vector"))), q, 5)
+    bits = x.astype(np.float32).astype(float) > np.array(bq.mean)
+    for r in near.collect():
+        assert r.distance == (bits[r.query_id] != bits[r.id]).sum()
+    assert near.where("rank = 1").select((F.col("id") == F.col("query_id")) | (F.col("distance") == 0)).distinct().collect()[0][0]
+
+
+def test_join_with_one_vector_in_most_rows(spark):
+    """A very frequent vector: ties go by id, and a task still sends k rows of each query at most."""
+    p = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.col("id").cast("double"), F.lit(0.0))).alias("vector"))
+    q = p.where("id in (0, 300)").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    assert [r.id for r in search.knn_join(p, q, 4).orderBy("query_id", "rank").collect()] == [0, 3, 6, 9] * 2
+
+
+def test_maxsim_join(spark):
+    rng = np.random.default_rng(3)
+    rows = [(d, n, rng.normal(size=4).tolist()) for d in range(30) for n in range(d % 4 + 1)]
+    tokens = spark.createDataFrame(rows, "doc_id long, ordinal long, vector array<double>")
+    q = tokens.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+    got = multivector.join(tokens, q, 3)
+    for d in (0, 10, 20):
+        want = multivector.search(tokens, [v for i, _, v in rows if i == d], 3).collect()
+        assert [(r.doc_id, round(r.score, 9)) for r in got.where(F.col("query_id") == d).orderBy("rank").collect()] == [(r.doc_id, round(r.score, 9)) for r in want]
+
+
 def test_knn_join_matches_brute_force(spark):
     p, x = blobs(spark, 300, 8)
     q = p.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
