@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,11 +27,43 @@ def owner(ident: str, shards: list[int]) -> int:
     return max(shards, key=lambda s: (weight(ident, s), -s))
 
 
+def owners(idents: list[str], shards: list[int]) -> np.ndarray:
+    """:func:`owner` of many ids, a byte position of all of them at a time."""
+    data = [x.encode() for x in idents]
+    size = np.array([len(x) for x in data], np.int64)
+    flat, start = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64), np.cumsum(size) - size
+    h = np.full(len(data), 0xCBF29CE484222325, np.uint64)
+    for k in range(int(size.max(initial=0))):
+        at = np.flatnonzero(size > k)
+        h[at] = (h[at] ^ flat[start[at] + k]) * np.uint64(0x100000001B3)
+    order = sorted(shards)
+    scores = []
+    for s in order:
+        z = h + np.uint64(s * GOLDEN & _M)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        scores.append(z ^ (z >> np.uint64(31)))
+    return np.array(order)[np.argmax(np.stack(scores), axis=0)]
+
+
 def owner_column(ident: Column, shards: list[int]) -> Column:
-    """Owning shard by the same rule as :func:`owner` (Arrow batches: 64-bit wrap-around has no built-in)."""
+    """Owning shard by the same rule as :func:`owner` (Arrow batches: 64-bit wrap-around has no built-in); null for a null id."""
     import pandas as pd
 
-    return F.pandas_udf(lambda ids: ids.map(lambda x: owner(x, shards)).astype("int64") if len(ids) else pd.Series([], dtype="int64"), T.LongType())(ident)
+    def run(ids):
+        out = pd.Series(pd.NA, index=ids.index, dtype="Int64")
+        known = ids.notna()
+        if known.any():
+            out[known] = owners(ids[known].tolist(), shards)
+        return out
+
+    return F.pandas_udf(run, T.LongType())(ident)
+
+
+def migration(points: DataFrame, before: list[int], after: list[int], id_col: str = "id") -> DataFrame:
+    """The rows that another shard owns under the new shard list, with ``donor`` and ``target``: what a rebalance copies and then drops."""
+    ident = F.col(id_col).cast("string")
+    return points.withColumns({"donor": owner_column(ident, before), "target": owner_column(ident, after)}).where("donor <> target")
 
 
 def native_owner(ident: Column, shards: int, seed: int = 0) -> Column:

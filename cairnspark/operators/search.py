@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.crypto import open_vector
 from ..functions.predicates import columns_of, compile_filter
 from ..schema import check_limit
 
@@ -206,3 +207,9 @@ def overlay(base: DataFrame, delta: DataFrame, deleted: DataFrame, id_col: str =
     """Snapshot of a base with upserts and tombstones over it: newer rows win, deleted ids go."""
     changed = delta.select(id_col).unionByName(deleted.select(id_col)).distinct()
     return base.join(changed, id_col, "left_anti").unionByName(delta)
+
+
+def sealed_knn(points: DataFrame, key: bytes, query: Sequence[float], k: int = 10, *, metric: str = "l2", tree=None, aad: str = "", id_col: str = "id", sealed_col: str = "sealed") -> DataFrame:
+    """k-NN over vectors only the caller can open: filter first, open what is left, rank."""
+    rows = where(points, tree)
+    return knn(rows.withColumn("vector", open_vector(F.col(sealed_col), key, len(query), aad)), query, k, metric=metric, id_col=id_col)

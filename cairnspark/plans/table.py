@@ -161,6 +161,14 @@ class Collection:
             check_limit("batch", rows.limit(1001).count())
         return self._commit(shaped.withColumns({"op": F.lit("upsert"), "lsn": F.lit(base.lsn + 1).cast("long")}), base)
 
+    def prepare_upsert(self, rows: DataFrame) -> DataFrame:
+        """The checked operations an upsert would commit, for a log of one's own; nothing is written."""
+        return self._shape(rows).withColumns({"op": F.lit("upsert"), "lsn": F.lit(self.manifest().lsn + 1).cast("long")}).select(self.ops_schema().fieldNames())
+
+    def prepare_delete(self, ids: DataFrame) -> DataFrame:
+        nulls = {f.name: F.lit(None).cast(f.dataType) for f in self.ops_schema().fields if f.name not in ("id", "op", "lsn")}
+        return ids.select(F.col("id").cast("string").alias("id")).withColumns({"op": F.lit("delete"), "lsn": F.lit(self.manifest().lsn + 1).cast("long"), **nulls}).select(self.ops_schema().fieldNames())
+
     def delete(self, ids: DataFrame) -> int:
         """Tombstone the given ids; the number of them that existed."""
         hit = self.snapshot().select("id").join(ids.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi")

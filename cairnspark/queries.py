@@ -535,6 +535,20 @@ def payload_roundtrip(spark, sf_dir):
     return d.select("id", crypto.open_sealed(F.col("env"), key, "documents").alias("text"), crypto.is_sealed(F.col("env")).alias("sealed"))
 
 
+@query()
+def slice_migration(spark, sf_dir):
+    """Rows that move when a sixth shard joins five: all to the new one."""
+    return placement.migration(points(spark, sf_dir).select("id"), [0, 1, 2, 3, 4], [0, 1, 2, 3, 4, 5])
+
+
+@query(knn_sql("cosine", "label < 7", ident=4))
+def sealed_knn(spark, sf_dir):
+    key = b"0123456789abcdef"
+    p = points(spark, sf_dir)
+    sealed = p.select("id", "label", crypto.seal_vector(F.col("vector"), key, "points").alias("sealed"))
+    return search.sealed_knn(sealed, key, vector_of(p, 4), metric="cosine", tree={"lt": {"field": "label", "value": 7}}, aad="points").select("id", "label", six())
+
+
 @query("SELECT CAST(vec_id AS VARCHAR) AS id, round(CAST(embedding[1] AS DOUBLE), 4) AS first, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings")
 def import_vector_literal(spark, sf_dir):
     text = F.concat(F.lit(" ["), F.array_join(F.transform("vector", lambda x: x.cast("string")), ", "), F.lit("]"))

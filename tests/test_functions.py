@@ -153,3 +153,13 @@ def test_specs():
         with pytest.raises(schema.SpecError):
             schema.check_name(name)
     assert schema.default_subspaces(64) == 8 and schema.default_subspaces(7) == 1
+
+
+def test_vectorised_owners_and_migration(spark):
+    names = ["", "a", "é漢", "x" * 40, *map(str, range(300))]
+    assert placement.owners(names, [4, 0, 7]).tolist() == [placement.owner(n, [4, 0, 7]) for n in names]
+    p = spark.createDataFrame([(n,) for n in names] + [(None,)], "id string")
+    rows = p.select("id", placement.owner_column(F.col("id"), [0, 1]).alias("s")).collect()
+    assert all(r.s == (None if r.id is None else placement.owner(r.id, [0, 1])) for r in rows)
+    moved = placement.migration(p, [0, 1], [0, 1, 2]).collect()
+    assert {r.target for r in moved} == {2} and {r.id for r in moved} == {n for n in names if placement.owner(n, [0, 1, 2]) == 2}

@@ -56,6 +56,13 @@ def test_lifecycle(spark, catalog, tmp_path):
     assert catalog.drop("a") and not catalog.drop("a")
 
 
+def test_prepared_operations_write_nothing(spark, catalog):
+    c = catalog.create("prepared", CollectionSpec(2, "l2"))
+    up = c.prepare_upsert(points(spark, [("p1", (0, 1), {})]))
+    gone = c.prepare_delete(spark.createDataFrame([("p9",)], "id string"))
+    assert [(r.id, r.op, r.lsn) for r in up.unionByName(gone).collect()] == [("p1", "upsert", 1), ("p9", "delete", 1)] and c.manifest().version == 0
+
+
 def test_batches_and_conflicts(spark, catalog):
     c = catalog.create("b", CollectionSpec(2, "l2"))
     rows = points(spark, [("p", (0, 1), {"v": 1}), ("p", (0, 2), {"v": 2})]).withColumn("ord", F.get_json_object("payload", "$.v").cast("int"))
