@@ -22,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .common import discard, fresh, maybe_broadcast, row_of, written
@@ -72,15 +73,28 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def shingle_set(line: bytes) -> np.ndarray:
-    return np.unique(windows([line.decode()])[0])
+def shingle_sets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes (52 bits) of all lines, one line after the other, and their counts."""
+    out, counts = [], []
+    for i, j in _blocks(lines):
+        for k in range(i, j, 4096):
+            h, start, stop = windows([x.decode() for x in lines[k : min(k + 4096, j)]])
+            size = stop - start
+            number = np.repeat(np.arange(len(size), dtype=np.uint64), size)
+            h = h[np.arange(len(number)) + np.repeat(start - np.cumsum(size) + size, size)]
+            h = np.sort((number << np.uint64(52)) | (h >> np.uint64(12)))
+            h = h[np.append(True, h[1:] != h[:-1])]
+            out.append(h & np.uint64((1 << 52) - 1))
+            counts.append(np.bincount((h >> np.uint64(52)).astype(np.int64), minlength=len(size)))
+    return np.concatenate([*out, np.zeros(0, np.uint64)]), np.concatenate([*counts, np.zeros(0, np.int64)])
 
 
 def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
     return (x == y).mean(1)
 
 
-def _blocks(lines: list[str], chars: int = 1 << 20):
+def _blocks(lines: list[str], chars: int = 1 << 16):
+    """Runs of lines whose arrays stay in a core's cache."""
     i = 0
     while i < len(lines):
         j, n = i, 0
@@ -91,27 +105,39 @@ def _blocks(lines: list[str], chars: int = 1 << 20):
         i = j
 
 
-def _signed(lines: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """rid, doc_id, pos and id of each line that takes part; its text and band keys where the task meets it for the first time."""
+    source = docs.select(_rid(id_col, text_col).alias("rid"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    schema = T.StructType([*source.schema.fields[:2], T.StructField("pos", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("line", T.StringType()), T.StructField("keys", T.BinaryType())])
+
     def run(batches):
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
         a, b = _family()
         seen: set[int] = set()
         for batch in batches:
             if len(seen) > SEEN:
                 seen.clear()
-            ids, texts = [], []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if i not in seen:
-                    seen.add(i)
-                    ids.append(i)
-                    texts.append(x.as_py())
-            for i, j in _blocks(texts):
-                keys = band_keys(minima(*windows(texts[i:j]), a, b))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), lists], names=["id", "keys"])
-
-    return lines.select("id", "line").mapInArrow(run, "id long, keys array<long>")
+            row, pos, ids, new = [], [], [], []
+            for n, text in enumerate(batch.column(2)):
+                for p, line in enumerate(text.as_py().split("\n")):
+                    if len(line) >= min_chars and len(line.strip(" ")) >= min_chars:
+                        i = xxh64_intdigest(line.encode())
+                        row.append(n)
+                        pos.append(p)
+                        ids.append(i)
+                        new.append(None if i in seen else line)
+                        seen.add(i)
+            texts = [x for x in new if x is not None]
+            keys = [band_keys(minima(*windows(texts[i:j]), a, b)) for i, j in _blocks(texts)]
+            packed = np.concatenate(keys) if keys else np.zeros((0, BANDS), np.int64)
+            have = iter(packed.view(f"V{8 * BANDS}").ravel().tolist())
+            held = pa.array([None if x is None else next(have) for x in new], pa.binary())
+            at = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(new, pa.string()), held], names=["rid", "doc_id", "pos", "id", "line", "keys"])
+
+    return source.mapInArrow(run, schema)
 
 
 def _facts(lines: DataFrame) -> DataFrame:
@@ -122,10 +148,9 @@ def _facts(lines: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, j in _blocks(texts):
-                h, start, stop = windows(texts[i:j])
-                sigs = (minima(h, start, stop, a, b) & np.uint32(0xFFFF)).astype("<u2")
-                size = [len(np.unique(h[s:e])) for s, e in zip(start.tolist(), stop.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array([x.encode() for x in texts[i:j]], pa.binary())], names=["id", "n", "sig", "items"])
+                sigs = (minima(*windows(texts[i:j]), a, b) & np.uint32(0xFFFF)).astype("<u2")
+                lines = [x.encode() for x in texts[i:j]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(shingle_sets(lines)[1], pa.int64()), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array(lines, pa.binary())], names=["id", "n", "sig", "items"])
 
     return lines.mapInArrow(run, "id long, n long, sig binary, items binary")
 
@@ -138,17 +163,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """Every row of ``docs`` with its text rebuilt from the kept lines, and ``lines``: n_lines and n_dropped."""
     if min_chars < SHINGLE:
         raise ValueError(f"min_chars is at least the shingle length, {SHINGLE}")
-    parts = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    lines = docs.select(_rid(id_col, text_col).alias("rid"), F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(parts).alias("pos", "line")).where(F.length(F.trim("line")) >= min_chars).withColumn("id", F.xxhash64("line"))
-    places = written(lines.select("rid", "doc_id", "pos", "id"), "line-places")
-    nodes = written(_signed(lines), "line-bands")
+    lines = written(_signed(docs, id_col, text_col, min_chars), "lines")
+    places, texts = lines.select("rid", "doc_id", "pos", "id"), lines.where("line is not null")
 
     def facts_of(ids: DataFrame) -> DataFrame:
-        one = lines.select("id", "line").join(maybe_broadcast(ids, ids.count()), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+        one = texts.select("id", "line").join(maybe_broadcast(ids, ids.count()), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
         return written(_facts(one), "line-facts")
 
-    comps = classes(nodes, facts_of, estimate, threshold=threshold, margin=0.4, decode=shingle_set)
-    discard(nodes)
+    comps = classes(texts.select("id", "keys"), facts_of, estimate, threshold=threshold, margin=0.3, decode=shingle_sets)
     place = F.struct("doc_id", "rid", "pos")
     known = places.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).join(comps, "id", "left").where("n > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "id"))
     known = written(known.select("id", "comp", "first"), "line-classes")
@@ -156,12 +178,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     known = written(known.join(keeper, "comp").select("id", "keeper"), "line-keepers")
     gone = places.join(maybe_broadcast(known, 2 * known.count()), "id").where(~place.eqNullSafe(F.col("keeper"))).groupBy("rid").agg(F.collect_set("pos").alias("gone"))
     gone = written(gone, "lines-gone")
-    discard(places, known)
+    discard(lines, known)
     weight = gone.agg(F.coalesce(F.sum(1 + F.size("gone") / 2), F.lit(0.0)).alias("w")).first()["w"]
     rows = docs.select(row_of(docs).alias("r"), _rid(id_col, text_col).alias("rid")).join(maybe_broadcast(gone, int(weight)), "rid", "left")
     text = F.col(f"r.`{text_col}`")
     parts = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    # the split text is bound once as the lambda's argument, not split anew for each line
+    stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone"))
+    rebuilt = F.transform(F.array(parts), lambda p: F.array_join(F.transform(stay(p), lambda i: F.get(p, i)), "\n"))[0]
+    kept = F.when(F.col("gone").isNull(), text).otherwise(rebuilt)
     stats = F.struct(F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
     return rows.select(*[(kept if c == text_col else F.col(f"r.`{c}`")).alias(c) for c in docs.columns], stats.alias(fresh(docs.columns, "lines")))

@@ -106,10 +106,9 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFr
                     f1.append(tb.mix(s).sum(dtype=np.uint64))
                     f2.append(tb.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                 keys = band_keys(registers(np.stack(least)))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(np.array(f1).view(np.int64)), pa.array(np.array(f2).view(np.int64)), lists], names=["doc_id", "n_shingles", "f1", "f2", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(np.array(f1).view(np.int64)), pa.array(np.array(f2).view(np.int64)), pa.array([x.tobytes() for x in keys], pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "keys"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys binary")
 
 
 def _facts(texts: DataFrame, shingle: int) -> DataFrame:

@@ -28,8 +28,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, maybe_broadcast, release, written
+from .common import discard, release, written
 from .components import connected_components
+from .textbytes import mix
 
 #: Members of a block that carry signatures only (forest), or full sets too (families).
 LIGHT_BLOCK, BLOCK = 1024, 256
@@ -37,25 +38,185 @@ LIGHT_BLOCK, BLOCK = 1024, 256
 PAIRS = 8192
 
 
+#: (key, id) rows a task holds before it packs them by slice, and slices for each shuffle partition.
+PACKED, SLICES = 1 << 20, 4
+
+
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key)
+    return key[order], order
+
+
+def _ranked(key: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by key, and the number of each among those of its key."""
+    key, order = _sorted(key)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+    return key, id_[order], np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+
+
+def _packed(nodes: DataFrame, slices: int) -> DataFrame:
+    """(slice, rows): 16-byte (key, id) rows packed by slice of the key space; slice -1: rows of keys this task knows to have three nodes or more.
+
+    Of such a key only two rows go to its slice, so the slice of a very frequent
+    key gets two rows from each packing, not all of them.
+    """
+
+    def pack(key, id_):
+        key, id_, rank = _ranked(key, id_)
+        at = np.where(rank < 2, (key.view(np.uint64) % np.uint64(slices)).astype(np.int64), slices)
+        order = np.argsort(at, kind="stable")
+        at, rows = at[order], np.stack([key[order], id_[order]], 1)
+        cuts = np.append(np.flatnonzero(np.append(True, at[1:] != at[:-1])), len(at))
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            yield int(at[s]) if at[s] < slices else -1, rows[s:e].tobytes()
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, n = [], 0
+
+        def out():
+            rows = list(pack(*(np.concatenate(x) for x in zip(*held)))) if held else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["slice", "rows"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = _sigs(b.column(1), np.int64)
+            held.append((keys.ravel(), np.repeat(b.column(0).to_numpy(), keys.shape[1])))
+            n += keys.size
+            if n >= PACKED:
+                yield out()
+                held, n = [], 0
+        yield out()
+
+    return nodes.select("id", "keys").mapInArrow(run, "slice long, rows binary")
+
+
+def _shared(packed: DataFrame) -> DataFrame:
+    """(key, id) of the keys with two nodes or more, from rows sorted by slice."""
+
+    def table(rows):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], names=["key", "id"])
+
+    def unpacked(blobs):
+        return np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
+
+    def shared(blobs):
+        key, id_ = unpacked(blobs).T
+        key, order = _sorted(key)
+        again = key[1:] == key[:-1]
+        multi = np.append(False, again) | np.append(again, False)
+        key, id_ = key[multi], id_[order[multi]]
+        # one node may have come from several tasks
+        order = np.lexsort((id_, key))
+        key, id_ = key[order], id_[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])) if len(key) else np.zeros(0, bool)
+        key, id_ = key[new], id_[new]
+        again = key[1:] == key[:-1]
+        multi = np.append(False, again) | np.append(again, False) if len(key) else np.zeros(0, bool)
+        return table(np.stack([key[multi], id_[multi]], 1))
+
+    def run(batches):
+        last, blobs = None, []
+        for b in batches:
+            for s, rows in zip(b.column(0).to_pylist(), b.column(1)):
+                if s == -1:
+                    yield table(unpacked([rows.as_py()]))
+                    continue
+                if s != last and blobs:
+                    yield shared(blobs)
+                    blobs = []
+                last = s
+                blobs.append(rows.as_py())
+        if blobs:
+            yield shared(blobs)
+
+    return packed.mapInArrow(run, "key long, id long")
+
+
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, id, m): members of the buckets with two rows or more; m is the most central. ``nodes``: id long, keys array<long>; a node may repeat."""
-    rows = nodes.select("id", F.explode("keys").alias("key"))
-    multi = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-keys")
-    members = written(rows.join(maybe_broadcast(multi, multi.count()), "key").select("key", "id", "n"), "bucket-members")
+    """(key, id, n, m): members of the buckets of n >= 2 nodes; m is the most central. ``nodes``: id long, keys binary (as many longs for each); a node may repeat."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # rows of known keys need no meeting; their own salt spreads them
+    salt = F.when(F.col("slice") < 0, F.xxhash64("rows")).otherwise(F.col("slice"))
+    packed = _packed(nodes, SLICES * n).withColumn("salt", salt).repartition(n, "salt").sortWithinPartitions("slice").select("slice", "rows")
+    members = written(_shared(packed), "bucket-rows")
+    members = members.distinct()
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    members = written(members.join(sizes, "key").select("key", "id", "n"), "bucket-members")
     central = members.groupBy("id").agg(F.sum("n").alias("w"))
     top = members.select("key", "id").join(central, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("t")).select("key", (-F.col("t.i")).alias("m"))
-    out = written(members.select("key", "id").join(top, "key"), "bucket-stars")
-    discard(multi, members)
+    out = written(members.join(top, "key").select("key", "id", "n", "m"), "bucket-stars")
+    discard(members)
     return out
 
 
-def as_hashes(items: bytes) -> np.ndarray:
-    """The set itself, as it is stored."""
-    return np.frombuffer(items, np.uint64)
+def as_hashes(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sets that are stored as sorted distinct hashes: all of them one after the other, and their sizes."""
+    return np.frombuffer(b"".join(items), np.uint64), np.array([len(x) // 8 for x in items], np.int64)
 
 
 def _sigs(column, dtype="<u2") -> np.ndarray:
-    return np.stack([np.frombuffer(x.as_py(), dtype) for x in column]) if len(column) else np.zeros((0, 1), dtype)
+    """Rows of one length, as a matrix."""
+    offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    if not len(column) or offs[-1] == offs[0]:
+        return np.zeros((len(column), 1), dtype)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]].view(dtype).reshape(len(column), -1)
+
+
+#: Bytes of sets that :func:`verify` decodes at once.
+COMPARED = 8 << 20
+#: Right sets of one left set compared at once.
+LOOKED_UP = 256
+
+
+def similar(items: list[bytes], left: np.ndarray, right: np.ndarray, threshold: tuple[int, int], decode: Callable) -> np.ndarray:
+    """Whether the sets ``items[left]`` and ``items[right]`` have ``q * intersection >= p * union``, pair by pair.
+
+    All right sets of a left one are looked up in it (``decode`` sorts) at once.
+    """
+    p, q = threshold
+    out = np.zeros(len(left), bool)
+    if not len(left):
+        return out
+    values, size = decode(items)
+    start = np.cumsum(size) - size
+    order = np.argsort(left, kind="stable")
+    cuts = np.append(np.flatnonzero(np.append(True, np.diff(left[order]) != 0)), len(order))
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        at = order[s:e]
+        one, many = left[at[0]], right[at]
+        own = values[start[one] : start[one] + size[one]]
+        for k in range(0, len(at), LOOKED_UP):
+            n, first = size[many[k : k + LOOKED_UP]], start[many[k : k + LOOKED_UP]]
+            before = np.cumsum(n) - n
+            others = values[np.arange(n.sum()) + np.repeat(first - before, n)]
+            seen = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others if len(own) else np.zeros(len(others), bool)
+            total = np.append(0, np.cumsum(seen))
+            both = total[before + n] - total[before]
+            out[at[k : k + LOOKED_UP]] = (both > 0) & (q * both >= p * (size[one] + n - both))
+    return out
+
+
+def _numbered(left: list[bytes], right: list[bytes]):
+    """Runs of pairs whose sets are of bounded size: their slice, distinct sets, and numbers of left and right sets."""
+    i = 0
+    while i < len(left):
+        place: dict[bytes, int] = {}
+        j, n = i, 0
+        numbers: tuple[list, list] = ([], [])
+        while j < len(left) and (j == i or n < COMPARED):
+            for side, x in zip(numbers, (left[j], right[j])):
+                if x not in place:
+                    place[x] = len(place)
+                    n += len(x)
+                side.append(place[x])
+            j += 1
+        yield slice(i, j), list(place), np.array(numbers[0]), np.array(numbers[1])
+        i = j
 
 
 def verify(pairs: DataFrame, facts: DataFrame, estimate: Callable, threshold: tuple[int, int], margin: float, decode: Callable) -> DataFrame:
@@ -66,20 +227,13 @@ def verify(pairs: DataFrame, facts: DataFrame, estimate: Callable, threshold: tu
         import pyarrow as pa
 
         for b in batches:
-            keep = []
             n = np.stack([b.column(i).to_numpy() for i in (2, 3)], 1) if b.num_rows else np.zeros((0, 2))
-            ok = n.min(1) * q >= n.max(1) * p
-            at = np.flatnonzero(ok)
+            at = np.flatnonzero(n.min(1) * q >= n.max(1) * p)
             if len(at):
-                at = at[estimate(_sigs(b.column(4).take(pa.array(at))), _sigs(b.column(5).take(pa.array(at))), n[at, 0], n[at, 1]) >= p / q - margin]
-            last, held = None, None
-            for i in at.tolist():
-                if (left := b.column(0)[i].as_py()) != last:
-                    last, held = left, decode(b.column(6)[i].as_py())
-                other = decode(b.column(7)[i].as_py())
-                both = len(np.intersect1d(held, other, assume_unique=True)) if len(held) else 0
-                if q * both >= p * (len(held) + len(other) - both) and both:
-                    keep.append(i)
+                at = at[estimate(_sigs(b.column(4))[at], _sigs(b.column(5))[at], n[at, 0], n[at, 1]) >= p / q - margin]
+            sets = [b.column(k).take(pa.array(at)).to_pylist() for k in (6, 7)]
+            good = [similar(items, x, y, threshold, decode) for _, items, x, y in _numbered(*sets)]
+            keep = at[np.concatenate([*good, np.zeros(0, bool)])]
             yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
     left = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("items").alias("ia"))
@@ -123,31 +277,41 @@ def _apart(i, j, ids, comps, n, sig, p: int, q: int, margin: float):
     return i[at], j[at]
 
 
-def _grouped(keys: int, handle: Callable):
-    """mapInArrow function for rows sorted by their first ``keys`` columns: ``handle`` gets each group's table and returns pairs."""
+def _grouped(handle: Callable):
+    """mapInArrow function for rows sorted by their first four columns: ``handle`` gets tables of whole groups and their bounds, and returns pairs.
+
+    A table ends with the last whole group of a batch, so it holds a batch and one group more.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        def pairs(out):
+        forest = Forest()
+
+        def pairs(held):
+            out = []
+            if held:
+                t = pa.Table.from_batches(held).combine_chunks()
+                g = np.stack([t.column(k).to_numpy() for k in range(4)], 1)
+                out = handle(t, np.append(np.flatnonzero(np.append(True, (g[1:] != g[:-1]).any(1))), len(g)), forest)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         held: list = []
-        last = None
         for b in batches:
-            out = []
-            if b.num_rows:
-                g = np.stack([b.column(k).to_numpy() for k in range(keys)], 1)
-                cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]).any(1)) + 1).tolist(), b.num_rows]
-                for s, e in zip(cuts, cuts[1:]):
-                    if held and tuple(g[s]) != last:
-                        out += handle(pa.Table.from_batches(held))
-                        held = []
-                    last = tuple(g[s])
-                    held.append(b.slice(s, e - s))
-            yield pairs(out)
-        if held:
-            yield pairs(handle(pa.Table.from_batches(held)))
+            if not b.num_rows:
+                continue
+            g = np.stack([b.column(k).to_numpy() for k in range(4)], 1)
+            cuts = np.flatnonzero((g[1:] != g[:-1]).any(1)) + 1
+            last = tuple(held[-1].column(k)[-1].as_py() for k in range(4)) if held else None
+            if last is not None and last != tuple(g[0].tolist()):
+                yield pairs(held)
+                held = []
+            if len(cuts):
+                yield pairs([*held, b.slice(0, cuts[-1])])
+                held = [b.slice(cuts[-1])]
+            else:
+                held.append(b)
+        yield pairs(held)
 
     return run
 
@@ -173,65 +337,86 @@ def _dealt(rows: DataFrame, group: str, block: int) -> DataFrame:
     return dealt.withColumn("g", F.explode(F.when(F.col("core") == 1, inward).otherwise(F.concat(among, outward)))).select(group, "g.*", "id", "comp", "core", "block")
 
 
-def _block_pairs(t, p: int, q: int, margin: float):
-    """(ids, comps, i, j) of a group's table in the form of :func:`_dealt` with n and sig: plausible pairs between components."""
-    col = lambda k: t.column(k).to_numpy()
-    kind, left, right = (t.column(k)[0].as_py() for k in (1, 2, 3))
-    ids, comps, core, blocks = col(4), col(5), col(6), col(7)
-    if kind == 1:
-        i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(core == 0), np.flatnonzero(core == 1), indexing="ij"))
-    elif left == right:
-        i, j = np.triu_indices(len(ids), 1)
-    else:
-        i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(blocks == left), np.flatnonzero(blocks == right), indexing="ij"))
-    return ids, comps, *_apart(i, j, ids, comps, col(8), _sigs(t.column(9).combine_chunks()), p, q, margin)
+#: Groups of at most this many rows are compared together with others.
+SMALL = 64
+
+
+def _index_pairs(bounds: np.ndarray, kind, left, right, core, blocks):
+    """Runs of index pairs (i, j) that each group's kind asks for; small groups share runs."""
+    start, size = bounds[:-1], np.diff(bounds)
+    few = np.flatnonzero((size <= SMALL) & (size > 1))
+    done = 0
+    while done < len(few):
+        total = np.cumsum(size[few[done:]] ** 2)
+        take = max(1, int(np.searchsorted(total, PAIRS * 64, "right")))
+        g = few[done : done + take]
+        done += take
+        n2 = size[g] ** 2
+        group = np.repeat(g, n2)
+        k = np.arange(len(group)) - np.repeat(np.cumsum(n2) - n2, n2)
+        i, j = start[group] + k // size[group], start[group] + k % size[group]
+        at = start[group]
+        ok = np.where(kind[at] == 1, (core[i] == 0) & (core[j] == 1), np.where(left[at] == right[at], i < j, (blocks[i] == left[at]) & (blocks[j] == right[at])))
+        yield i[ok], j[ok]
+    for g in np.flatnonzero(size > SMALL).tolist():
+        s, e = int(bounds[g]), int(bounds[g + 1])
+        here = np.arange(s, e)
+        if kind[s] == 1:
+            i, j = here[core[s:e] == 0], here[core[s:e] == 1]
+        elif left[s] == right[s]:
+            yield tuple(x + s for x in np.triu_indices(e - s, 1))
+            continue
+        else:
+            i, j = here[blocks[s:e] == left[s]], here[blocks[s:e] == right[s]]
+        yield tuple(x.ravel() for x in np.meshgrid(i, j, indexing="ij"))
+
+
+def _block_pairs(t, bounds, p: int, q: int, margin: float):
+    """ids, comps and runs of plausible index pairs between components of a table in the form of :func:`_dealt` with n and sig."""
+    kind, left, right, ids, comps, core, blocks, n = (t.column(k).to_numpy() for k in range(1, 9))
+    sig = _sigs(t.column(9).chunk(0))
+    return ids, comps, (_apart(i, j, ids, comps, n, sig, p, q, margin) for i, j in _index_pairs(bounds, kind, left, right, core, blocks))
 
 
 def plausible(rows: DataFrame, sigs: DataFrame, threshold: tuple[int, int], margin: float) -> DataFrame:
-    """A spanning forest of the plausible links between components in each pair of a bucket's blocks. ``rows``: key, id, comp."""
+    """A spanning forest of a task's plausible links between components in pairs of blocks of its buckets. ``rows``: key, id, comp."""
     p, q = threshold
 
-    def handle(t):
-        ids, comps, i, j = _block_pairs(t, p, q, margin)
-        forest = Forest()
-        return [(min(x, y), max(x, y)) for x, y, a, b in zip(ids[i].tolist(), ids[j].tolist(), comps[i].tolist(), comps[j].tolist()) if forest.join(a, b)]
+    def handle(t, bounds, forest):
+        ids, comps, runs = _block_pairs(t, bounds, p, q, margin)
+        return [(min(x, y), max(x, y)) for i, j in runs for x, y, a, b in zip(ids[i].tolist(), ids[j].tolist(), comps[i].tolist(), comps[j].tolist()) if forest.join(a, b)]
 
     dealt = _dealt(rows, "key", LIGHT_BLOCK).join(sigs, "id").select("key", "kind", "l", "r", "id", "comp", "core", "block", "n", "sig")
     dealt = dealt.repartition("key", "kind", "l", "r").sortWithinPartitions("key", "kind", "l", "r", "id")
-    return dealt.mapInArrow(_grouped(4, handle), "a long, b long").distinct()
+    return dealt.mapInArrow(_grouped(handle), "a long, b long").distinct()
 
 
 def family_links(rows: DataFrame, facts: DataFrame, threshold: tuple[int, int], margin: float, decode: Callable) -> DataFrame:
-    """Confirmed links between the components of each family, a spanning forest per pair of blocks. ``rows``: fam, id, comp."""
+    """Confirmed links between the components of each family, a spanning forest per task. ``rows``: fam, id, comp."""
     p, q = threshold
 
-    def handle(t):
-        ids, comps, i, j = _block_pairs(t, p, q, margin)
-        items, forest, out, sets = t.column(10), Forest(), [], {}
-
-        def full(k):
-            if k not in sets:
-                sets[k] = decode(items[k].as_py())
-            return sets[k]
-
-        for x, y in zip(i.tolist(), j.tolist()):
-            a, b = int(comps[x]), int(comps[y])
-            if forest.root(a) == forest.root(b):
-                continue
-            both = len(np.intersect1d(full(x), full(y), assume_unique=True))
-            if both and q * both >= p * (len(full(x)) + len(full(y)) - both):
-                forest.join(a, b)
-                out.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
+    def handle(t, bounds, forest):
+        ids, comps, runs = _block_pairs(t, bounds, p, q, margin)
+        items, out = t.column(10), []
+        for i, j in runs:
+            # what earlier runs have joined is not compared again
+            apart = np.array([forest.root(a) != forest.root(b) for a, b in zip(comps[i].tolist(), comps[j].tolist())], bool)
+            i, j = i[apart], j[apart]
+            used, number = np.unique(np.concatenate([i, j]), return_inverse=True)
+            good = similar(items.take(used).to_pylist(), number[: len(i)], number[len(i) :], threshold, decode)
+            for a, b in zip(i[good].tolist(), j[good].tolist()):
+                if forest.join(int(comps[a]), int(comps[b])):
+                    out.append((min(int(ids[a]), int(ids[b])), max(int(ids[a]), int(ids[b]))))
         return out
 
     dealt = _dealt(rows, "fam", BLOCK).join(facts, "id").select("fam", "kind", "l", "r", "id", "comp", "core", "block", "n", "sig", "items")
     dealt = dealt.repartition("fam", "kind", "l", "r").sortWithinPartitions("fam", "kind", "l", "r", "id")
-    return dealt.mapInArrow(_grouped(4, handle), "a long, b long").distinct()
+    return dealt.mapInArrow(_grouped(handle), "a long, b long").distinct()
 
 
 def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, id, comp) of the buckets whose members lie in several components."""
-    rows = members.select("key", "id").distinct().join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    """(key, id, comp) of the buckets whose members lie in several components; in a bucket of two the only pair has been compared."""
+    rows = members.where("n > 2").select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     split = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     return rows.join(split, "key")
 
