@@ -32,7 +32,7 @@ SHINGLE = 9
 BANDS, BAND = 12, 3
 SEED = 17
 #: Line hashes a task remembers so as to sign a repeated line once.
-SEEN = 500_000
+SEEN = 250_000
 
 
 def _family() -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Data
             at = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(new, pa.string()), held], names=["rid", "doc_id", "pos", "id", "line", "keys"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tb.tidied(run), schema)
 
 
 def _facts(lines: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def _facts(lines: DataFrame) -> DataFrame:
                 lines = [x.encode() for x in texts[i:j]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(shingle_sets(lines)[1], pa.int64()), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array(lines, pa.binary())], names=["id", "n", "sig", "items"])
 
-    return lines.mapInArrow(run, "id long, n long, sig binary, items binary")
+    return lines.mapInArrow(tb.tidied(run), "id long, n long, sig binary, items binary")
 
 
 def _rid(id_col: str, text_col: str) -> Column:

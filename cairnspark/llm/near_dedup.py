@@ -108,7 +108,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFr
                 keys = band_keys(registers(np.stack(least)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(np.array(f1).view(np.int64)), pa.array(np.array(f2).view(np.int64)), pa.array([x.tobytes() for x in keys], pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "keys"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys binary")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(tb.tidied(run), "doc_id long, n_shingles long, f1 long, f2 long, keys binary")
 
 
 def _facts(texts: DataFrame, shingle: int) -> DataFrame:
@@ -123,7 +123,7 @@ def _facts(texts: DataFrame, shingle: int) -> DataFrame:
                 sigs = registers(np.stack([minima(s, a, b) for s in sets]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "sig", "items"])
 
-    return texts.mapInArrow(run, "id long, n long, sig binary, items binary")
+    return texts.mapInArrow(tb.tidied(run), "id long, n long, sig binary, items binary")
 
 
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:

@@ -183,5 +183,5 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 def keep_good(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores 0.5 or more."""
     score = train(docs, labels, text_col=text_col, **options).column(statistics())
-    scored = text_counts(docs.select(row_of(docs).alias("row")), F.col(f"row.`{text_col}`"), {"row": F.col("row")})
+    scored = text_counts(docs.select(row_of(docs).alias("row")), ("row", text_col), {"row": F.col("row")})
     return scored.where(score >= 0.5).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .textbytes import tidied
 
 KINDS = ("assign", "access", "hex", "opaque")
 ASSIGN = r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -79,7 +80,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, owner: Column, repo: Colu
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *[pa.array(x, pa.int64()) for x in n], pa.array(base, pa.string()), pa.array(rows, found_type)], names=["doc_id", "owner", "repo", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"))
-    return texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind:int,start:long,end:long,value_hash:binary>>")
+    return texts.mapInArrow(tidied(run), f"doc_id {dict(texts.dtypes)['doc_id']}, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind:int,start:long,end:long,value_hash:binary>>")
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, max_owners: int = 1, max_repos: int = 3) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spm_model import BPE, BYTE, CONTROL, MARK, UNIGRAM, UNKNOWN, USER_DEFINED, Model, parse_model
+from .textbytes import tidied
 
 #: Texts a call of encode_batch gets: about this many characters.
 CALL_CHARS = 1 << 20
@@ -52,8 +53,8 @@ def merges_of(model: Model) -> tuple[dict[str, int], list[tuple[str, str]]]:
     return vocab, [(a, b) for *_, a, b in ranked]
 
 
-def build_tokenizer(model: Model):
-    """A tokenizers.Tokenizer that encodes and decodes as the model does."""
+def build_tokenizer(model: Model, by_word: bool = False):
+    """A tokenizers.Tokenizer that encodes and decodes as the model does; ``by_word``: the caller remembers words itself."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     unk = model.pieces[model.unk_id].text
@@ -61,7 +62,7 @@ def build_tokenizer(model: Model):
         t = Tokenizer(models.Unigram([(p.text, p.score) for p in model.pieces], model.unk_id, model.byte_fallback))
     elif model.model_type == BPE:
         vocab, merges = merges_of(model)
-        t = Tokenizer(models.BPE(vocab, merges, unk_token=unk, fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=100_000))
+        t = Tokenizer(models.BPE(vocab, merges, unk_token=unk, fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0 if by_word else 100_000))
         if not any(MARK in p.text.lstrip(MARK) for p in model.pieces):
             t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
     else:
@@ -87,9 +88,10 @@ class Coder:
         import sentencepiece
 
         model = parse_model(data)
-        self.library, self.threads, self.verify = build_tokenizer(model), threads, verify
+        self.threads, self.verify = threads, verify
         self.exact = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.by_word = model.model_type == BPE and model.add_dummy_prefix and model.escape_whitespaces and not (model.charsmap or model.remove_extra_whitespaces) and MARK in model.names and not any(MARK in p.text.lstrip(MARK) or p.kind == USER_DEFINED for p in model.pieces)
+        self.library = build_tokenizer(model, self.by_word)
         self.alone = {"": _packed([model.names[MARK]])} if self.by_word else {}
         self.memo: dict[str, bytes] = dict(self.alone)
         self.odd: set[str] = set()
@@ -167,18 +169,18 @@ def encode_decode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
             held[key] = Coder(model.value, threads, verify)
         coder = held[key]
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
             i = 0
-            while i < len(texts):
-                j, chars = i, 0
-                while j < len(texts) and (j == i or chars + len(texts[j]) <= CALL_CHARS):
-                    chars += len(texts[j])
-                    j += 1
-                part = texts[i:j]
+            while i < b.num_rows:
+                # texts become Python strings a call at a time
+                part, chars = [], 0
+                while i + len(part) < b.num_rows and chars < CALL_CHARS:
+                    part.append(b.column(1)[i + len(part)].as_py() or "")
+                    chars += len(part[-1])
+                j = i + len(part)
                 ids, same = coder.encode(part)
                 trip = [x == y for x, y in zip(coder.decode(ids), part)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size := [len(x) // 4 for x in ids], pa.int64()), pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(size)], pa.int32()), pa.Array.from_buffers(pa.int32(), sum(size), [None, pa.py_buffer(b"".join(ids))])), pa.array(trip, pa.bool_()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip", "parity"])
                 i = j
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, n_tokens long, ids array<int>, round_trip boolean, parity boolean")
+    return texts.mapInArrow(tidied(run), f"doc_id {dict(texts.dtypes)['doc_id']}, n_tokens long, ids array<int>, round_trip boolean, parity boolean")

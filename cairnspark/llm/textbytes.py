@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -17,13 +17,35 @@ _POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i below n."""
-    if len(_POW[0]) < n:
-        for k, p in enumerate((_P, _PINV)):
-            out = np.full(n, p, np.uint64)
-            out[0] = 1
-            _POW[k] = np.multiply.accumulate(out)
-    return _POW[0][:n], _POW[1][:n]
+    """P**i and P**-i modulo 2**64 for i below n; those of very long texts are not kept."""
+    if len(_POW[0]) >= n:
+        return _POW[0][:n], _POW[1][:n]
+    found = []
+    for p in (_P, _PINV):
+        out = np.full(n, p, np.uint64)
+        out[0] = 1
+        found.append(np.multiply.accumulate(out))
+    if n <= 2 * BLOCK:
+        _POW[:] = found
+    return found[0], found[1]
+
+
+def tidied(run):
+    """A mapInArrow function that gives free memory back to the system when its task ends: workers stay, beside the JVM."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return tidy
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -79,19 +79,23 @@ def _distinct(h, doc):
     return doc[first]
 
 
-def text_counts(docs: DataFrame, text: Column, keep: dict[str, Column]) -> DataFrame:
-    """The columns ``keep`` (name to column) and :data:`COUNTS` (long) of every whole text."""
-    names = [*keep, *COUNTS]
+def text_counts(docs: DataFrame, text: Column | tuple[str, str], keep: dict[str, Column]) -> DataFrame:
+    """The columns ``keep`` (name to column) and :data:`COUNTS` (long) of every whole text.
+
+    ``text`` is a column, or a struct of ``keep`` and the field in it: then the text travels once.
+    """
+    names, inside = [*keep, *COUNTS], text if isinstance(text, tuple) else None
+    skip = inside is None
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            buf, offs = tb.buffers(b.column(0))
+            buf, offs = tb.buffers(b.column(0) if skip else b.column(names.index(inside[0])).field(inside[1]))
             for i, j in tb.groups(offs):
                 part = counts_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                yield pa.RecordBatch.from_arrays([*[b.column(k + 1).slice(i, j - i) for k in range(len(names) - len(COUNTS))], *[pa.array(part[c], pa.int64()) for c in COUNTS]], names=names)
+                yield pa.RecordBatch.from_arrays([*[b.column(k + skip).slice(i, j - i) for k in range(len(names) - len(COUNTS))], *[pa.array(part[c], pa.int64()) for c in COUNTS]], names=names)
 
-    texts = docs.select(text.alias("text"), *[c.alias(k) for k, c in keep.items()])
-    schema = T.StructType([*[T.StructField(k, f.dataType) for k, f in zip(keep, texts.schema.fields[1:])], *[T.StructField(c, T.LongType()) for c in COUNTS]])
-    return texts.mapInArrow(run, schema)
+    texts = docs.select(*([text.alias("text")] if skip else []), *[c.alias(k) for k, c in keep.items()])
+    schema = T.StructType([*[T.StructField(k, f.dataType) for k, f in zip(keep, texts.schema.fields[skip:])], *[T.StructField(c, T.LongType()) for c in COUNTS]])
+    return texts.mapInArrow(tb.tidied(run), schema)

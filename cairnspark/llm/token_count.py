@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spm_model import MARK, Model, parse_model
+from .textbytes import tidied
 
 #: Distinct words kept in a process's memo; it restarts when full.
 MEMO_WORDS = 400_000
@@ -118,4 +119,4 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"))
     kind = dict(texts.dtypes)["doc_id"]
-    return texts.mapInArrow(count, f"doc_id {kind}, n_chars long, n_tokens long")
+    return texts.mapInArrow(tidied(count), f"doc_id {kind}, n_chars long, n_tokens long")

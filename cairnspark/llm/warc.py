@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, new_path, written
+from .textbytes import tidied
 
 MIN_DEDUP = 1000
 #: An archive is closed at this size.
@@ -111,7 +112,7 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
                 out.close()
 
     rows = _typed(pages, id_col, url_col, payload_col, min_dedup)
-    return written(rows.mapInArrow(run, INDEX.format(id=dict(rows.dtypes)["page_id"])), "warc-index")
+    return written(rows.mapInArrow(tidied(run), INDEX.format(id=dict(rows.dtypes)["page_id"])), "warc-index")
 
 
 def read(index: DataFrame) -> DataFrame:
@@ -165,7 +166,7 @@ def read(index: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x or None for x in c] if i < 2 else c, t) for i, (c, t) in enumerate(zip(cols, types))], names=["page_id", "refers_to", "url", "record_type", "payload_bytes", "payload_digest", "payload"])
 
     dealt = index.select("archive", "offset", "length").repartition("archive", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("archive", "offset")
-    out = dealt.mapInArrow(run, "page_id string, refers_to string, url string, record_type string, payload_bytes long, payload_digest string, payload binary")
+    out = dealt.mapInArrow(tidied(run), "page_id string, refers_to string, url string, record_type string, payload_bytes long, payload_digest string, payload binary")
     return out.select(F.col("page_id").cast(kind).alias("page_id"), "url", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "payload_bytes", "payload_digest", "payload")
 
 
