@@ -28,9 +28,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, release, written
+from .common import discard, maybe_broadcast, release, written
 from .components import connected_components
-from .textbytes import mix
+from .textbytes import mix, tidied
 
 #: Members of a block that carry signatures only (forest), or full sets too (families).
 LIGHT_BLOCK, BLOCK = 1024, 256
@@ -39,7 +39,7 @@ PAIRS = 8192
 
 
 #: (key, id) rows a task holds before it packs them by slice, and slices for each shuffle partition.
-PACKED, SLICES = 1 << 20, 4
+PACKED, SLICES = 1 << 19, 4
 
 
 def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +90,7 @@ def _packed(nodes: DataFrame, slices: int) -> DataFrame:
                 held, n = [], 0
         yield out()
 
-    return nodes.select("id", "keys").mapInArrow(run, "slice long, rows binary")
+    return nodes.select("id", "keys").mapInArrow(tidied(run), "slice long, rows binary")
 
 
 def _shared(packed: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def _shared(packed: DataFrame) -> DataFrame:
         if blobs:
             yield shared(blobs)
 
-    return packed.mapInArrow(run, "key long, id long")
+    return packed.mapInArrow(tidied(run), "key long, id long")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -143,14 +143,16 @@ def buckets(nodes: DataFrame) -> DataFrame:
     # rows of known keys need no meeting; their own salt spreads them
     salt = F.when(F.col("slice") < 0, F.xxhash64("rows")).otherwise(F.col("slice"))
     packed = _packed(nodes, SLICES * n).withColumn("salt", salt).repartition(n, "salt").sortWithinPartitions("slice").select("slice", "rows")
-    members = written(_shared(packed), "bucket-rows")
-    members = members.distinct()
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    members = written(members.join(sizes, "key").select("key", "id", "n"), "bucket-members")
-    central = members.groupBy("id").agg(F.sum("n").alias("w"))
-    top = members.select("key", "id").join(central, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("t")).select("key", (-F.col("t.i")).alias("m"))
-    out = written(members.join(top, "key").select("key", "id", "n", "m"), "bucket-stars")
-    discard(members)
+    raw = written(_shared(packed), "bucket-rows")
+    members = written(raw.distinct(), "bucket-members")
+    # what is told of a key or node is a table of its own, so that the joins are broadcasts or can split a frequent key
+    sizes = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "bucket-sizes")
+    keys = sizes.count()
+    central = written(members.join(maybe_broadcast(sizes, keys), "key").groupBy("id").agg(F.sum("n").alias("w")), "bucket-weights")
+    best = members.join(maybe_broadcast(central, central.count()), "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("t"), F.count(F.lit(1)).alias("n"))
+    top = written(best.select("key", "n", (-F.col("t.i")).alias("m")), "bucket-centres")
+    out = written(members.join(maybe_broadcast(top, 2 * keys), "key").select("key", "id", "n", "m"), "bucket-stars")
+    discard(raw, members, sizes, central, top)
     return out
 
 
@@ -239,7 +241,7 @@ def verify(pairs: DataFrame, facts: DataFrame, estimate: Callable, threshold: tu
     left = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("items").alias("ia"))
     right = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("items").alias("ib"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb", "ia", "ib")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidied(run), "a long, b long")
 
 
 class Forest:
@@ -326,7 +328,8 @@ def _dealt(rows: DataFrame, group: str, block: int) -> DataFrame:
     parts = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("n"))
     size = parts.groupBy(group).agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     blocks = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("long")
-    size = size.select(group, F.col("top.comp").alias("top"), blocks(F.col("top.n")).alias("cores"), blocks(F.col("n") - F.col("top.n")).alias("rests"))
+    size = written(size.select(group, F.col("top.comp").alias("top"), blocks(F.col("top.n")).alias("cores"), blocks(F.col("n") - F.col("top.n")).alias("rests")), "group-sizes")
+    size = maybe_broadcast(size, 2 * size.count())
     dealt = rows.join(size, group).withColumn("core", (F.col("comp") == F.col("top")).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.when(F.col("core") == 1, F.col("cores")).otherwise(F.col("rests"))))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
@@ -388,7 +391,7 @@ def plausible(rows: DataFrame, sigs: DataFrame, threshold: tuple[int, int], marg
 
     dealt = _dealt(rows, "key", LIGHT_BLOCK).join(sigs, "id").select("key", "kind", "l", "r", "id", "comp", "core", "block", "n", "sig")
     dealt = dealt.repartition("key", "kind", "l", "r").sortWithinPartitions("key", "kind", "l", "r", "id")
-    return dealt.mapInArrow(_grouped(handle), "a long, b long").distinct()
+    return dealt.mapInArrow(tidied(_grouped(handle)), "a long, b long").distinct()
 
 
 def family_links(rows: DataFrame, facts: DataFrame, threshold: tuple[int, int], margin: float, decode: Callable) -> DataFrame:
@@ -411,14 +414,14 @@ def family_links(rows: DataFrame, facts: DataFrame, threshold: tuple[int, int],
 
     dealt = _dealt(rows, "fam", BLOCK).join(facts, "id").select("fam", "kind", "l", "r", "id", "comp", "core", "block", "n", "sig", "items")
     dealt = dealt.repartition("fam", "kind", "l", "r").sortWithinPartitions("fam", "kind", "l", "r", "id")
-    return dealt.mapInArrow(_grouped(handle), "a long, b long").distinct()
+    return dealt.mapInArrow(tidied(_grouped(handle)), "a long, b long").distinct()
 
 
 def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     """(key, id, comp) of the buckets whose members lie in several components; in a bucket of two the only pair has been compared."""
-    rows = members.where("n > 2").select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    split = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return rows.join(split, "key")
+    rows = members.where("n > 2").select("key", "id").join(maybe_broadcast(comps, comps.count()), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    split = written(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "split-buckets")
+    return rows.join(maybe_broadcast(split, split.count()), "key")
 
 
 def classes(nodes: DataFrame, facts_of: Callable[[DataFrame], DataFrame], estimate: Callable, *, threshold: tuple[int, int] = (80, 100), margin: float = 0.2, decode: Callable = as_hashes) -> DataFrame:
