@@ -76,11 +76,13 @@ def _candidates(docs: DataFrame, items: DataFrame, text_col: str, item_id: str,
     seen = found.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     parts = wins.select("item_id", "w", F.explode("shingles").alias("s")).select("item_id", "w", "s.pos", "s.h").join(seen, "h", "left")
     prefix = parts.groupBy("item_id", "w").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "pos", "h")).alias("p")).where("p.df > 0")
-    prefix = prefix.groupBy(F.col("p.h").alias("h")).agg(F.collect_list(F.struct(F.col("p.pos").alias("at"), "w", "item_id")).alias("windows"))
+    prefix = written(prefix.groupBy(F.col("p.h").alias("h")).agg(F.collect_list(F.struct(F.col("p.pos").alias("at"), "w", "item_id")).alias("windows")), "bench-prefixes")
+    # a passage that stands everywhere has one shingle in very many rows: these are not dealt by it while the items' windows are few
+    heavy = prefix.agg(F.coalesce(F.sum(F.size("windows")), F.lit(0)).alias("n")).first()["n"]
     # length and positional bounds, before any verification
     placed = F.transform("windows", lambda x: F.struct((F.col("pos") - x["at"]).alias("start"), x["w"].alias("w"), x["item_id"].alias("item_id")))
     fits = F.filter(placed, lambda x: (x["start"] >= 0) & (x["start"] + F.size(x["w"]) <= F.col("n_words")))
-    return written(found.join(prefix, "h").select("tk", fits.alias("c")).where(F.size("c") > 0).groupBy("tk").agg(F.flatten(F.collect_list("c")).alias("c")), "bench-candidates")
+    return written(found.join(maybe_broadcast(prefix, heavy * 10), "h").select("tk", fits.alias("c")).where(F.size("c") > 0).groupBy("tk").agg(F.flatten(F.collect_list("c")).alias("c")), "bench-candidates")
 
 
 def _key(text_col: str) -> Column:
