@@ -25,7 +25,7 @@ from .common import maybe_broadcast, new_path, row_of
 
 SEED = 20_240_607
 RECORD_OVERHEAD = 16
-#: A bucket's share of the heap an executor has for a core: a task may hold a few buckets, each in more than one form.
+#: A bucket's share of the heap an executor has for a core: a task holds one bucket, in more than one form.
 HEAP_SHARE = 32
 #: No bucket needs to be smaller than this many bytes.
 LEAST_BUCKET = 16 << 20
@@ -61,9 +61,12 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40, *, id_col: str =
     for r in volume:
         counts[r["shard"]] = max(1, -(-int(r["b"]) // bucket_bytes))
     rows = docs.select(row_of(docs).alias("record"), owner(ident, shards, seed).alias("shard"), F.xxhash64(F.lit(seed + 1), ident, F.crc32(F.coalesce(text, F.lit(""))), F.monotonically_increasing_id()).alias("u"))
-    rows = rows.withColumn("bucket", F.pmod("u", _by_shard(counts)).cast("int")).repartition(sum(counts), "shard", "bucket")
+    rows = rows.withColumn("bucket", F.pmod("u", _by_shard(counts)).cast("int"))
+    # one partition for each bucket: hashing would put several into one task
+    part = _by_shard([sum(counts[:s]) for s in range(shards)]) + F.col("bucket")
+    rows = rows.withColumn("part", part.cast("int")).repartitionById(sum(counts), "part")
     # sorted first: a retried task gathers, and so permutes, a bucket in the same way
-    gathered = rows.sortWithinPartitions("shard", "bucket", "u").groupBy("shard", "bucket").agg(F.collect_list("record").alias("records"))
+    gathered = rows.sortWithinPartitions("u").groupBy("part", "shard", "bucket").agg(F.collect_list("record").alias("records"))
     dealt = gathered.select("shard", "bucket", F.posexplode(F.shuffle("records", F.lit(seed))).alias("place", "record"))
     # the writer wants its rows by shard; this keeps them by bucket and place too
     dealt.select("record", "bucket", "place", "shard").sortWithinPartitions("shard", "bucket", "place").write.partitionBy("shard").parquet(f"{path}/data")
