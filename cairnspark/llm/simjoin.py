@@ -48,17 +48,24 @@ def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ranked(key: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows by key, and the number of each among those of its key."""
+    """Distinct rows by key, and the number of each among those of its key; a row may repeat."""
     key, order = _sorted(key)
+    id_ = id_[order]
+    again = key[1:] == key[:-1]
+    multi = np.flatnonzero((np.append(False, again) | np.append(again, False))[: len(key)])
+    id_[multi] = id_[multi][np.lexsort((id_[multi], key[multi]))]
+    new = np.append(True, (key[1:] != key[:-1]) | (id_[1:] != id_[:-1]))[: len(key)]
+    key, id_ = key[new], id_[new]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
-    return key, id_[order], np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+    return key, id_, np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
 
 
 def _packed(nodes: DataFrame, slices: int) -> DataFrame:
     """(slice, rows): 16-byte (key, id) rows packed by slice of the key space; slice -1: rows of keys this task knows to have three nodes or more.
 
-    Of such a key only two rows go to its slice, so the slice of a very frequent
-    key gets two rows from each packing, not all of them.
+    Of such a key only two nodes go to its slice, so the slice of a very frequent
+    key gets two rows from each packing, not all of them.  A node that repeats
+    inside a packing counts once.
     """
 
     def pack(key, id_):

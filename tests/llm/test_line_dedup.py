@@ -3,7 +3,7 @@ from itertools import combinations
 
 import pytest
 
-from cairnspark.llm import line_dedup, queries
+from cairnspark.llm import line_dedup, queries, simjoin
 
 
 def grams(line, k=line_dedup.SHINGLE):
@@ -67,6 +67,13 @@ def test_against_all_pairs(spark):
         assert r.lines.n_dropped == (0 if t is None or r.text == t else len(t.split("\n")) - (len(r.text.split("\n")) if r.text or want[r.doc_id] else 0)) or r.text == ""
 
 
+def test_repeated_nodes_of_a_packing(spark):
+    """A node that repeats inside one packing doesn't hide another one of its key."""
+    rows = [(a, k) for k in range(3000) for a in [(3 * k, 3 * k, 3 * k + 1), (3 * k + 1, 3 * k, 3 * k), (3 * k, 3 * k, 3 * k + 1, 3 * k + 1)][k % 3]]
+    nodes = spark.createDataFrame([(a, bytearray(k.to_bytes(8, "little"))) for a, k in rows], "id long, keys binary").coalesce(1)
+    assert {(r.key, r.id, r.n, r.m) for r in simjoin.buckets(nodes).collect()} == {(k, a, 2, 3 * k) for a, k in rows}
+
+
 def test_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r.doc_id: r.text for r in queries.op10_line_dedup(spark, sf).collect()}
