@@ -18,6 +18,8 @@ from .search import distances, exact_keys, final_ranks, matrix, top_k_by_task
 TRAIN_ROWS = 262_144
 #: A cell is split beyond this many rows and merged below that many.
 SPLIT_ROWS, MERGE_ROWS = 256, 16
+#: Rows of a neighbour graph at most: all of them are looked at as neighbours of each.
+GRAPH_ROWS = 1024
 
 
 def cell_count(n: int) -> int:
@@ -165,17 +167,16 @@ def token_candidates(index: CellIndex, spark: SparkSession, query: Sequence[Sequ
 def _links(y: np.ndarray, degree: int, seed: int) -> list[list[int]]:
     """A navigable graph: neighbours that no nearer neighbour shadows, and a few random ones."""
     n, rng, links = len(y), np.random.default_rng(seed), []
-    for i in range(n):
-        pool = rng.choice(n, min(n, 8 * degree), replace=False) if n > 4096 else np.arange(n)
-        d = ((y[pool] - y[i]) ** 2).sum(1)
+    between = np.stack([((y - v) ** 2).sum(1) for v in y])
+    for i, d in enumerate(between):
         order = np.argsort(d, kind="stable")
-        pool, d = pool[order], d[order]
         kept: list[int] = []
-        for j, far in zip(pool.tolist(), d.tolist()):
-            if j != i and (not kept or ((y[kept] - y[j]) ** 2).sum(1).min() >= far):
-                kept.append(j)
-                if len(kept) == degree:
-                    break
+        clear = np.arange(n) != i
+        while len(kept) < degree and clear.any():
+            j = int(order[clear[order].argmax()])
+            kept.append(j)
+            clear &= between[j] >= d
+            clear[j] = False
         links.append(kept + rng.integers(0, n, 4).tolist())
     return links
 
@@ -205,24 +206,30 @@ def _beam(y: np.ndarray, links: list[list[int]], z: np.ndarray, start: int, widt
 
 
 def graph_join(points: DataFrame, queries: DataFrame, k: int = 10, *, beam: int = 64, degree: int = 16, metric: str = "l2", id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", seed: int = 1) -> DataFrame:
-    """(query_id, id, score, rank) by beam search over a pruned neighbour graph of each Arrow batch.
+    """(query_id, id, score, rank) by beam search over pruned neighbour graphs of each Arrow batch.
 
-    The optional graph strategy: a batch is bounded by Spark's Arrow settings and
-    found rows get exact scores; the default strategy stays the exact scan.
+    The optional graph strategy: a batch is cut evenly into blocks of at most
+    :data:`GRAPH_ROWS` rows, each block has a graph and is searched, and found rows
+    get exact scores; the default strategy stays the exact scan.
     """
 
     def prepare(columns):
         x = matrix(columns[0])
         y = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
-        return x, y, _links(y, degree, seed), int(((y - y.mean(0)) ** 2).sum(1).argmin())
+        blocks = []
+        for at in np.array_split(np.arange(len(x)), -(-len(x) // GRAPH_ROWS)):
+            z = y[at]
+            blocks.append((at[0], z, _links(z, degree, seed), int(((z - z.mean(0)) ** 2).sum(1).argmin())))
+        return x, blocks
 
     def keys(_, q, data):
-        x, y, links, start = data
+        x, blocks = data
         out = np.full((len(q), len(x)), np.inf)
         for row, v in zip(out, q):
             z = v / max(np.linalg.norm(v), 1e-300) if metric == "cosine" else v
-            at = np.array(_beam(y, links, z, start, max(beam, k), metric == "dot"))
-            row[at] = exact_keys(metric, v, x[at])
+            for first, y, links, start in blocks:
+                at = first + np.array(_beam(y, links, z, start, max(beam, k), metric == "dot"))
+                row[at] = exact_keys(metric, v, x[at])
         return out
 
     return final_ranks(top_k_by_task(points, queries, k, prepare, keys, data_cols=[vector_col], id_col=id_col, query_id=query_id, query_vector=query_vector), k, metric)

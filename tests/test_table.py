@@ -343,3 +343,13 @@ def test_merge_and_listing(spark):
     p = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3)], "id string, n int")
     assert [r.id for r in search.multi_get(p, ["c", "zz", "a"]).collect()] == ["c", "a"]
     assert [r.id for r in search.fetch(p, {"gte": {"field": "n", "value": 2}}, offset=1, limit=5).collect()] == ["c"]
+
+
+def test_graph_join_beyond_one_batch(spark):
+    """Recall on 12,000 rows of one partition: more than an Arrow batch, and blocks of several graphs."""
+    x = np.random.default_rng(3).normal(size=(12_000, 32))
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").coalesce(1)
+    q = p.where("id % 600 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    got = {(r.query_id, r.id) for r in cells.graph_join(p, q, 10).collect()}
+    want = {(i, int(j)) for i in range(0, 12_000, 600) for j in np.argsort(((x - x[i]) ** 2).sum(1))[:10]}
+    assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
