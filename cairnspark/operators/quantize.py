@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .search import distances, final_ranks, matrix, ranked, top_k_by_task
+from .search import distances, exact_keys, final_ranks, matrix, top_k_by_task
 
 #: Rows a codebook is trained on at most (drawn by hash of the vector).
 TRAIN_ROWS = 262_144
@@ -47,8 +47,11 @@ class ScalarQuantizer:
         """Full-precision query against the decoded vector."""
         return V.score(metric, self.decode(code), query)
 
+    def values(self, codes: np.ndarray) -> np.ndarray:
+        return np.array(self.lo) + codes * np.array(self.step)
+
     def keys(self, q: np.ndarray, codes: np.ndarray, metric: str) -> np.ndarray:
-        return distances(metric, q, np.array(self.lo) + codes * np.array(self.step))
+        return distances(metric, q, self.values(codes))
 
 
 @dataclass(frozen=True)
@@ -129,6 +132,9 @@ class ProductQuantizer:
             return ((self.books - q[:, None, :]) ** 2).sum(2)
         return (self.books * q[:, None, :]).sum(2)
 
+    def values(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([b[codes[:, j].astype(int)] for j, b in enumerate(self.books)], axis=1)
+
     def keys(self, q: np.ndarray, codes: np.ndarray, metric: str) -> np.ndarray:
         """Sums of the queries' lookup tables; for cosine as :meth:`score` says."""
         m, _, d = self.books.shape
@@ -184,16 +190,42 @@ def kmeans(x: np.ndarray, k: int, iterations: int, seed: int) -> np.ndarray:
 
 
 def join(points: DataFrame, queries: DataFrame, k: int, quantizer, *, code_col: str = "code", factor: int = 4, metric: str = "l2", id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """(query_id, id, score, rank): k x factor rows of each query by its codes, then exact scores and the top k.
+    """(query_id, id, score, rank): the k nearest of each query, exactly, with rows left out by their codes.
 
-    Rows are read twice: codes for all of them, vectors for the candidates.
+    In each Arrow batch the k x factor best rows by code get exact keys.  A row's
+    code error bounds its exact key from below, and every other row whose bound is
+    within the k-th key found so gets an exact key too.
     """
     depth = k * factor
-    near = top_k_by_task(points, queries, depth, lambda c: matrix(c[0]), lambda _, q, codes: quantizer.keys(q, codes, metric), data_cols=[code_col], id_col=id_col, query_id=query_id, query_vector=query_vector)
-    pool = ranked(near, depth, F.col("key"), F.col("id"), by=["query_id"]).select("query_id", "id")
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("qv"))
-    rows = pool.join(points.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), "id").join(q, "query_id").withColumn("score", V.score(metric, F.col("v"), F.col("qv")))
-    return ranked(rows.select("query_id", "id", "score"), k, V.sort_key(metric, F.col("score")), F.col("id"), by=["query_id"])
+    size = lambda x: np.linalg.norm(x, axis=-1, keepdims=True)
+    unit = lambda x: x / np.maximum(size(x), 1e-300)
+
+    def prepare(columns):
+        codes, x = matrix(columns[0]), matrix(columns[1])
+        y = quantizer.values(codes)
+        if metric == "cosine":
+            # product codes hold unit vectors; scalar keys are of the decoded vector's direction
+            return codes, x, size(unit(x) - (y if isinstance(quantizer, ProductQuantizer) else unit(y)))[:, 0]
+        return codes, x, size(x - y)[:, 0]
+
+    def keys(_, q, data):
+        codes, x, error = data
+        near = quantizer.keys(q, codes, metric)
+        if metric == "l2":
+            low = np.maximum(np.sqrt(np.maximum(near, 0)) - error, 0) ** 2
+        else:
+            low = near - error * (size(q) if metric == "dot" else 1)
+        out = np.full(near.shape, np.inf)
+        for row, v, code, least in zip(out, q, near, low):
+            at = np.argpartition(code, depth - 1)[:depth] if len(code) > depth else np.arange(len(code))
+            row[at] = exact_keys(metric, v, x[at])
+            edge = np.partition(row[at], k - 1)[k - 1] if len(at) >= k else np.inf
+            at = np.flatnonzero((least <= edge + 1e-9 * (1 + abs(edge))) & (row == np.inf)) if edge < np.inf else np.flatnonzero(row == np.inf)
+            row[at] = exact_keys(metric, v, x[at])
+        return out
+
+    near = top_k_by_task(points, queries, k, prepare, keys, data_cols=[code_col, vector_col], id_col=id_col, query_id=query_id, query_vector=query_vector)
+    return final_ranks(near, k, metric)
 
 
 def two_phase(points: DataFrame, approximate: Column, query: V.Vector, k: int, *, factor: int = 4, metric: str = "l2", id_col: str = "id", vector_col: str = "vector", ascending: bool = True) -> DataFrame:

@@ -353,3 +353,16 @@ def test_graph_join_beyond_one_batch(spark):
     got = {(r.query_id, r.id) for r in cells.graph_join(p, q, 10).collect()}
     want = {(i, int(j)) for i in range(0, 12_000, 600) for j in np.argsort(((x - x[i]) ** 2).sum(1))[:10]}
     assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_code_join_on_a_larger_table(spark, metric):
+    """Coarse product codes and 20,000 rows: neighbours outside the k x factor best codes are found."""
+    x = np.random.default_rng(4).normal(size=(20_000, 16))
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").coalesce(2)
+    q = p.where("id % 1000 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    pq = quantize.ProductQuantizer.train(p.limit(500), 2, centroids=16, unit=metric == "cosine")
+    coded = p.withColumn("code", pq.encode(V.normalize(F.col("vector")) if metric == "cosine" else F.col("vector")))
+    got = [(r.query_id, r.rank, r.id) for r in quantize.join(coded, q, 10, pq, metric=metric).collect()]
+    want = [(r.query_id, r.rank, r.id) for r in search.knn_join(p, q, 10, metric=metric).collect()]
+    assert sorted(got) == sorted(want)
