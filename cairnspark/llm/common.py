@@ -80,6 +80,32 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: A key is hot if it has more than one row in HOT of the large side, so there are fewer than HOT of them.
+HOT = 1024
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[Column], *, rows: int, n: str | None = None, how: str = "inner") -> DataFrame:
+    """``left`` joined with a ``right`` of fewer rows, so that no key fills a task.
+
+    A ``right`` of counted ``rows`` within :data:`BROADCAST_ROWS` is broadcast.  Beyond it both sides shuffle; the rows of a
+    hot key are spread over all partitions by a hash of ``by`` and its ``right`` rows are repeated in each.  ``n``: the column of
+    ``right`` that tells a key's rows in ``left`` (else they are counted).
+    """
+    if rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), keys, how)
+    spark = left.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    flag, salt = (fresh([*left.columns, *right.columns], x) for x in ("hot", "salt"))
+    counts = right.groupBy(*keys).agg(F.max(n).alias("n")) if n else left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts, "join-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = F.broadcast(counts.where(F.col("n") * HOT > total).select(*keys, F.lit(True).alias(flag)))  # fewer than HOT rows
+    some = left.join(hot, keys, "left").withColumn(salt, F.when(F.col(flag), F.pmod(F.xxhash64(F.lit(parts), *by), F.lit(parts))).otherwise(0).cast("int")).drop(flag)
+    every = F.when(F.col(flag), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    many = right.join(hot, keys, "left").withColumn(salt, F.explode(every)).drop(flag)
+    return some.join(many, [*keys, salt], how).drop(salt)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name``, with as many underscores as set it apart from ``columns`` (Spark's names ignore case)."""
     taken = {c.lower() for c in columns}
@@ -88,9 +114,14 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def named(name: str) -> Column:
+    """A top-level column of any name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def row_of(docs: DataFrame) -> Column:
     """All columns as one struct: what travels with a record under any names."""
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return F.struct(*map(named, docs.columns))
 
 
 def lower_ascii(c: Column) -> Column:

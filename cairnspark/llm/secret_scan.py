@@ -14,10 +14,16 @@ owners over the whole corpus: a value with more than ``max_owners`` owners or
 owner-specific and look live.  Opaque spans stay only if owner-specific; base
 spans always stay and are counted by verdict.
 
+By default the owner is the column ``source`` and the repository is source and
+``lang`` together, so a repository never has two owners and ``max_repos`` binds
+only for an owner of several languages; give both where the table knows better.
+A table without these columns has one owner and one repository, the empty name.
+
 Offsets are code points, ends exclusive.  Defined results: a null text is empty;
 a null owner or repository counts as one of its own; repeated rows each get a
-result and count once per owner; other columns are ignored; an empty table gives
-no rows.
+result and count once per owner; spans that start together are ordered by kind;
+a very long text is scanned whole, in one row; other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import named, spread_join, written
 from .textbytes import tidied
 
 KINDS = ("assign", "access", "hex", "opaque")
@@ -79,22 +85,25 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, owner: Column, repo: Colu
                 rows.append([{"kind": k, "start": s, "end": e, "value_hash": hashlib.sha256(v.encode()).digest()[:16]} for k, s, e, v in spans])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *[pa.array(x, pa.int64()) for x in n], pa.array(base, pa.string()), pa.array(rows, found_type)], names=["doc_id", "owner", "repo", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"))
+    texts = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"))
     return texts.mapInArrow(tidied(run), f"doc_id {dict(texts.dtypes)['doc_id']}, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind:int,start:long,end:long,value_hash:binary>>")
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, max_owners: int = 1, max_repos: int = 3) -> DataFrame:
     """Per text: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_opaque, n_live, n_example.
 
-    ``owner`` and ``repo`` default to the document's source, and source with language.
+    ``owner`` and ``repo``: columns, by default as the module says.
     """
-    owner = F.col("source") if owner is None else owner
-    repo = F.concat_ws("/", "source", "lang") if repo is None else repo
+    has = [F.col(c) for c in ("source", "lang") if c in docs.columns]
+    owner = (F.col("source") if "source" in docs.columns else F.lit("")) if owner is None else owner
+    repo = F.concat_ws("/", *has) if repo is None else repo
     rows = written(_scan(docs, id_col, text_col, owner, repo).withColumn("rid", F.monotonically_increasing_id()), "secret-rows")
     found = rows.select("rid", "owner", "repo", F.explode("found").alias("f")).select("rid", "owner", "repo", "f.*")
-    # distinct owners before counting: a value copied everywhere shuffles one row per owner and task
-    use = found.select("value_hash", "owner", "repo").distinct().groupBy("value_hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
-    judged = found.select("rid", "kind", "start", "end", "value_hash").join(use, "value_hash").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).where((F.col("kind") < 3) | F.col("live"))
+    # owners before values: a value copied everywhere shuffles one row per owner and task
+    use = found.groupBy("value_hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("value_hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"), F.sum("n").alias("n"))
+    use = written(use.select("value_hash", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"), "n"), "secret-values")
+    found = found.select("rid", "kind", "start", "end", "value_hash")
+    judged = spread_join(found, use, ["value_hash"], [F.col("rid"), F.col("start")], rows=2 * use.count(), n="n").where((F.col("kind") < 3) | F.col("live"))
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     per_text = judged.groupBy("rid").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "kind", F.concat_ws(":", name, "start", "end").alias("s")))), lambda x: x["s"]), ",").alias("spans"),

@@ -16,7 +16,8 @@ pieces and scores as unigram pieces and log-scores; parity is tested against the
 tokenizers library with the same vocabulary.
 
 Defined results: null and empty texts have no tokens; rows repeat as they come;
-other columns are ignored; an empty table gives no rows.
+a very long text is counted whole, word by word, and a word of any length is one
+programme of its own length (words over 64 characters are not memoised); other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
 from .spm_model import MARK, Model, parse_model
 from .textbytes import tidied
 
@@ -117,6 +119,6 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([c.text(t.as_py()) for t in b.column(1)], pa.int64())], names=["doc_id", "n_chars", "n_tokens"])
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"))
+    texts = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"), F.coalesce(F.length(named(text_col)), F.lit(0)).cast("long").alias("n_chars"))
     kind = dict(texts.dtypes)["doc_id"]
     return texts.mapInArrow(tidied(count), f"doc_id {kind}, n_chars long, n_tokens long")

@@ -15,8 +15,10 @@ Files are reached through pyarrow's file systems (file, hdfs, s3, gs).  Defined
 results: a null payload is empty; a null page id is written as such and never
 named by a revisit unless its whole group has none (then all are responses);
 rows equal in page id and payload are all responses if theirs is the largest id;
-control characters in a URL are percent-encoded in the archive; an empty table
-gives an empty index; other columns are ignored.
+control characters in a URL are percent-encoded in the archive; of equal
+payloads the largest id is the response, whatever the order of rows; a very long
+payload is one record, read alone; an empty table gives an empty index; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, new_path, written
+from .common import named, new_path, spread_join, written
 from .textbytes import tidied
 
 MIN_DEDUP = 1000
 #: An archive is closed at this size.
 ARCHIVE_BYTES = 1 << 30
-#: Ranges that lie at most GAP bytes apart are read at once, up to READ bytes; a task's stretch of an archive.
-GAP, READ, STRETCH = 64 << 10, 8 << 20, 64 << 20
+#: Ranges that lie at most GAP bytes apart are read at once, up to READ bytes (or one record); a task reads about TASK bytes, and no fewer than LEAST.
+GAP, READ, TASK, LEAST = 64 << 10, 8 << 20, 64 << 20, 2 << 20
 INDEX = "page_id {id}, url string, record_type string, refers_to {id}, payload_bytes long, payload_digest string, archive string, offset long, length long"
 
 
@@ -68,11 +70,11 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _typed(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_dedup: int) -> DataFrame:
-    payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
+    payload = F.encode(F.coalesce(named(payload_col), F.lit("")), "UTF-8")
+    rows = pages.select(named(id_col).alias("page_id"), named(url_col).cast("string").alias("url"), payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     # only payloads that occur twice or more: pre-aggregated, small beside the pages
-    same = written(rows.where(F.col("payload_bytes") >= min_dedup).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "warc-copies")
-    rows = rows.join(maybe_broadcast(same, 4 * same.count()), ["payload_digest", "payload_bytes"], "left")
+    same = written(rows.where(F.col("payload_bytes") >= min_dedup).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"), "warc-copies")
+    rows = spread_join(rows, same, ["payload_digest", "payload_bytes"], [F.col("page_id")], rows=4 * same.count(), n="n", how="left")
     again = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("top")).alias("refers_to"))
 
@@ -115,9 +117,14 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     return written(rows.mapInArrow(tidied(run), INDEX.format(id=dict(rows.dtypes)["page_id"])), "warc-index")
 
 
-def read(index: DataFrame) -> DataFrame:
-    """Records of the index rows, as the archives have them: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null for revisits)."""
+def read(index: DataFrame, *, payloads: bool = True) -> DataFrame:
+    """Records of the index rows, as the archives have them: page_id, url, record_type, refers_to, payload_bytes, payload_digest, stored_bytes and payload (both null for revisits).
+
+    Tasks are made by the bytes the index tells, and a batch of records is given out at about ``READ`` bytes.  Without
+    ``payloads`` these are checked against their digests and dropped in the worker.
+    """
     kind = dict(index.dtypes)["page_id"]
+    names = ["page_id", "refers_to", "url", "record_type", "payload_bytes", "payload_digest", "stored_bytes", "payload"][: 7 + payloads]
 
     def run(batches):
         import hashlib
@@ -143,9 +150,14 @@ def read(index: DataFrame) -> DataFrame:
             if part:
                 yield archive, start, end, part
 
-        number = lambda x: int(x) if x else None
+        types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.binary()][: 7 + payloads]
+
+        def table(rows):
+            cols = [list(c) for c in zip(*rows)] if rows else [[]] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array([x or None for x in c] if i < 2 else c, t) for i, (c, t) in enumerate(zip(cols, types))], names=names)
+
+        rows, held_bytes = [], 0
         for b in batches:
-            rows = []
             for archive, start, end, part in ranges(zip(*[c.to_pylist() for c in b.columns])):
                 if archive not in held:
                     for f in held.values():
@@ -157,20 +169,27 @@ def read(index: DataFrame) -> DataFrame:
                 for offset, length in part:
                     fields, block = parse(zlib.decompress(data[offset - start : offset - start + length], 31))
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                    if fields["warc-type"] == "response" and hashlib.sha1(block).hexdigest() != digest:
+                    whole = fields["warc-type"] == "response"
+                    if whole and hashlib.sha1(block).hexdigest() != digest:
                         raise ValueError(f"{archive}: payload at {offset} does not match its digest")
                     ids = [fields.get(k, "")[10:-1] for k in ("warc-record-id", "warc-refers-to")]
-                    rows.append((*ids, fields["warc-target-uri"], fields["warc-type"], int(fields["warc-payload-length"]), digest, block if fields["warc-type"] == "response" else None))
-            cols = [list(c) for c in zip(*rows)] if rows else [[]] * 7
-            types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x or None for x in c] if i < 2 else c, t) for i, (c, t) in enumerate(zip(cols, types))], names=["page_id", "refers_to", "url", "record_type", "payload_bytes", "payload_digest", "payload"])
-
-    dealt = index.select("archive", "offset", "length").repartition("archive", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("archive", "offset")
-    out = dealt.mapInArrow(tidied(run), "page_id string, refers_to string, url string, record_type string, payload_bytes long, payload_digest string, payload binary")
-    return out.select(F.col("page_id").cast(kind).alias("page_id"), "url", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "payload_bytes", "payload_digest", "payload")
+                    rows.append((*ids, fields["warc-target-uri"], fields["warc-type"], int(fields["warc-payload-length"]), digest, len(block) if whole else None, *([block if whole else None] if payloads else [])))
+                    held_bytes += len(block) if payloads else 200
+                    if held_bytes >= READ:
+                        yield table(rows)
+                        rows, held_bytes = [], 0
+        yield table(rows)
+
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()["b"]
+    tasks = max(-(-size // TASK), min(2 * index.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST)), 1)
+    stretch = max(size // (8 * tasks), LEAST // 4)  # several to a task, so that tasks are about even
+    dealt = index.select("archive", "offset", "length").repartition(tasks, "archive", F.floor(F.col("offset") / stretch)).sortWithinPartitions("archive", "offset")
+    fields = "page_id string, refers_to string, url string, record_type string, payload_bytes long, payload_digest string, stored_bytes int" + ", payload binary" * payloads
+    out = dealt.mapInArrow(tidied(run), fields)
+    return out.select(F.col("page_id").cast(kind).alias("page_id"), "url", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "payload_bytes", "payload_digest", "stored_bytes", *(["payload"] * payloads))
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **columns: str) -> DataFrame:
     """Write all pages, read all of them back by the index; without the payloads themselves."""
     index = write(pages, folder or new_path(pages.sparkSession, "warc"), **columns)
-    return read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", F.octet_length("payload").alias("stored_bytes"))
+    return read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "stored_bytes")
