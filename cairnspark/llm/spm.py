@@ -2,19 +2,25 @@
 
 The model protobuf is parsed (:mod:`spm_model`), and normaliser, metaspace
 marker, piece scores (unigram) or merges (BPE) and byte fallback are rebuilt as
-a tokenizers pipeline.  Batches are encoded with the library's thread pool and
-their ids are compared with those of the sentencepiece library.
+a tokenizers pipeline.  Batches are encoded by the library's thread pool
+(``threads``) and their ids are compared with those of the sentencepiece library.
 
 A BPE model whose pieces never hold the marker after another character cannot
-merge across a word start, so its texts are cut there: a text's ids are those of
-its words.  Each process encodes a word once, by both libraries (`parity` of a
-text: no word of it differed), and keeps the ids in a bounded memo.  Other
-models have whole texts encoded.
+merge across a word start, and ties are broken from the left, so the ids of a
+text are those of its words one after the other.  For such a model the pipeline
+encodes each distinct word once a process and keeps its ids in a memo bounded in
+bytes; other models have whole texts encoded.  ``verify`` says what `parity`
+compares: "words" (each word that is encoded, by both libraries; a text has
+parity if all of its words have), "texts" (the whole text, encoded by
+sentencepiece as it stands) or None.  For other models both mean whole texts.
+Pieces decode to their bytes; ids that are no valid UTF-8 go to the library.
 
 Defined results: null and empty texts have no ids; a text that holds the marker
 itself decodes to a space there, as in sentencepiece, and `round_trip` is false
-for it; repeated rows repeat; other columns are ignored; an empty table gives no
-rows.
+for it; a very long text is encoded whole, alone in its call; words of over
+:data:`LONG` characters (texts without spaces) are encoded whole, never kept;
+equal scores are joined from the left, as both libraries do; repeated rows
+repeat; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,15 +30,17 @@ import re
 from array import array
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .common import named
 from .spm_model import BPE, BYTE, CONTROL, MARK, UNIGRAM, UNKNOWN, USER_DEFINED, Model, parse_model
 from .textbytes import tidied
 
 #: Texts a call of encode_batch gets: about this many characters.
 CALL_CHARS = 1 << 20
-#: Words kept in a process's memo; it restarts when larger.
-MEMO_WORDS = 300_000
+#: Bytes of a process's memo of words, about; it restarts when larger.  Longer words than LONG are not kept.
+MEMO_BYTES, LONG = 64 << 20, 64
+#: What a kept word costs beside its characters and ids: two objects and a place in a table.
+MEMO_ROW = 180
 
 
 def merges_of(model: Model) -> tuple[dict[str, int], list[tuple[str, str]]]:
@@ -63,7 +71,7 @@ def build_tokenizer(model: Model, by_word: bool = False):
     elif model.model_type == BPE:
         vocab, merges = merges_of(model)
         t = Tokenizer(models.BPE(vocab, merges, unk_token=unk, fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0 if by_word else 100_000))
-        if not any(MARK in p.text.lstrip(MARK) for p in model.pieces):
+        if not by_word and not any(MARK in p.text.lstrip(MARK) for p in model.pieces):
             t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
     else:
         raise ValueError("only unigram and BPE models are supported")
@@ -84,7 +92,7 @@ def build_tokenizer(model: Model, by_word: bool = False):
 class Coder:
     """Encodes and decodes batches of texts for one model."""
 
-    def __init__(self, data: bytes, threads: int, verify: bool):
+    def __init__(self, data: bytes, threads: int, verify: str | None):
         import sentencepiece
 
         model = parse_model(data)
@@ -94,6 +102,7 @@ class Coder:
         self.library = build_tokenizer(model, self.by_word)
         self.alone = {"": _packed([model.names[MARK]])} if self.by_word else {}
         self.memo: dict[str, bytes] = dict(self.alone)
+        self.held = 0
         self.odd: set[str] = set()
         self.bytes_of = [bytes([int(p.text[3:5], 16)]) if p.kind == BYTE else p.text.replace(MARK, " ").encode() for p in model.pieces] if self.by_word else []
 
@@ -109,19 +118,30 @@ class Coder:
             ids = self._whole(texts)
             return list(map(_packed, ids)), [a == b for a, b in zip(ids, self._reference(texts))] if self.verify else [None] * len(texts)
         memo = self.memo
-        if len(memo) > MEMO_WORDS:
+        if self.held > MEMO_BYTES:
             memo.clear()
             memo.update(self.alone)
             self.odd.clear()
+            self.held = 0
         cut = [_words(t) for t in texts]
         new = list({w for words in cut for w in words if w not in memo})
-        for w, ids in zip(new, got := self._whole(new)):
+        got = self._whole(new)
+        for w, ids in zip(new, got):
             memo[w] = _packed(ids)
-        if self.verify:
+        if self.verify == "words":
             self.odd.update(w for w, a, b in zip(new, got, self._reference(new)) if a != b)
         look = memo.__getitem__
-        same = [None if not self.verify else not self.odd or self.odd.isdisjoint(words) for words in cut]
-        return [b"".join(map(look, words)) for words in cut], same
+        out = [b"".join(map(look, words)) for words in cut]
+        if self.verify == "texts":
+            same = [a == _packed(b) for a, b in zip(out, self._reference(texts))]
+        else:
+            same = [None if not self.verify else not self.odd or self.odd.isdisjoint(words) for words in cut]
+        for w in new:
+            if len(w) > LONG:
+                del memo[w]
+            else:
+                self.held += MEMO_ROW + len(w) + len(memo[w])
+        return out, same
 
     def decode(self, packed: list[bytes]) -> list[str]:
         ids = [memoryview(x).cast("i").tolist() for x in packed]
@@ -148,11 +168,13 @@ def _words(text: str) -> list[str]:
     return text.split(" ") if text else []
 
 
-def encode_decode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", threads: int = 1, verify: bool = True) -> DataFrame:
-    """Per text: doc_id, n_tokens, ids, round_trip (decoding gives the text) and parity (null unless ``verify``).
+def encode_decode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", threads: int = 2, verify: str | None = "words") -> DataFrame:
+    """Per text: doc_id, n_tokens, ids, round_trip (decoding gives the text) and parity ("words", "texts", or None: null).
 
-    ``threads``: of the library's pool in each Python worker; a Spark task owns one core.
+    ``threads``: of the library's pool in each Python worker, which is idle while Spark reads and writes.
     """
+    if verify not in ("words", "texts", None):
+        raise ValueError('verify is "words", "texts" or None')
     model = docs.sparkSession.sparkContext.broadcast(open(model_path, "rb").read())  # under 1 MB; fixed by the tokenizer
 
     def run(batches):
@@ -182,5 +204,5 @@ def encode_decode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size := [len(x) // 4 for x in ids], pa.int64()), pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(size)], pa.int32()), pa.Array.from_buffers(pa.int32(), sum(size), [None, pa.py_buffer(b"".join(ids))])), pa.array(trip, pa.bool_()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip", "parity"])
                 i = j
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
     return texts.mapInArrow(tidied(run), f"doc_id {dict(texts.dtypes)['doc_id']}, n_tokens long, ids array<int>, round_trip boolean, parity boolean")

@@ -40,7 +40,7 @@ def test_odd_texts(spark, exact):
 
 def test_whole_text_backend_is_the_same(exact):
     """The library's pipeline without the memo of words, with several threads."""
-    coder = spm.Coder(DATA, 2, True)
+    coder = spm.Coder(DATA, 2, "texts")
     coder.by_word = False
     r = random.Random(2)
     texts = ODD[:6] + [" ".join(r.choice(["the", "Haus", "ción", "x1y", "–", "naïve", "  "]) for _ in range(50)) for _ in range(50)]
@@ -48,13 +48,41 @@ def test_whole_text_backend_is_the_same(exact):
     assert all(same) and [list(memoryview(x).cast("i")) for x in ids] == exact.encode(texts)
 
 
+def test_whole_texts_are_verified(spark, sf):
+    """parity="texts": sentencepiece encodes each whole text of the table."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = spm.encode_decode(docs, queries.SPM_MODEL, verify="texts").collect()
+    assert len(rows) == docs.count() and all(r.parity and r.round_trip for r in rows)
+
+
+def test_whole_text_parity_sees_a_difference_of_one_text():
+    coder = spm.Coder(DATA, 1, "texts")
+    reference = coder.exact.encode(["a b", "c d"])
+    coder._reference = lambda texts: [reference[0], reference[1][:-1]]
+    assert coder.encode(["a b", "c d"])[1] == [True, False]
+
+
+def test_texts_without_spaces(exact, monkeypatch):
+    """Long words are encoded whole and not kept; the memo stays within its bytes."""
+    monkeypatch.setattr(spm, "MEMO_BYTES", 50_000)
+    coder, r = spm.Coder(DATA, 2, "texts"), random.Random(3)
+    most = 0
+    for _ in range(40):
+        texts = ["".join(r.choice("漢字仮名交文abc{};=") for _ in range(r.randrange(30, 4000))) for _ in range(5)] + [" ".join(f"w{r.randrange(10**6)}" for _ in range(50))]
+        ids, same = coder.encode(texts)
+        assert all(same) and [list(memoryview(x).cast("i")) for x in ids] == exact.encode(texts) and coder.decode(ids) == texts
+        assert max(map(len, coder.memo)) <= spm.LONG
+        most = max(most, coder.held)
+    assert most < 2 * 50_000
+
+
 def test_null_and_empty(spark, awkward, empty):
     rows = spm.encode_decode(awkward, queries.SPM_MODEL).collect()
     assert len(rows) == awkward.count() and all(r.parity for r in rows)
     assert all(r.n_tokens == 0 and r.ids == [] for r in rows if r.doc_id in (3, 4))
     assert all(r.round_trip for r in rows if r.doc_id != 8)
     assert spm.encode_decode(empty, queries.SPM_MODEL).count() == 0
-    assert {r.parity for r in spm.encode_decode(awkward, queries.SPM_MODEL, verify=False).collect()} == {None}
+    assert {r.parity for r in spm.encode_decode(awkward, queries.SPM_MODEL, verify=None).collect()} == {None}
 
 
 def unigram(byte_fallback):
