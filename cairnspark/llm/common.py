@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side with at most this many rows of two longs (32 MB) is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: A side with at most this many rows of two longs (4 MB) is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,20 +84,20 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 HOT = 1024
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[Column], *, rows: int, n: str | None = None, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[Column], *, rows: int, n: str | None = None, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """``left`` joined with a ``right`` of fewer rows, so that no key fills a task.
 
     A ``right`` of counted ``rows`` within :data:`BROADCAST_ROWS` is broadcast.  Beyond it both sides shuffle; the rows of a
-    hot key are spread over all partitions by a hash of ``by`` and its ``right`` rows are repeated in each.  ``n``: the column of
-    ``right`` that tells a key's rows in ``left`` (else they are counted).
+    hot key are spread over all partitions by a hash of ``by`` and its ``right`` rows are repeated in each.  A key's rows in
+    ``left`` are told by the column ``n`` of ``right`` (if every key of several rows is there), by ``counts`` (keys and n), or counted.
     """
     if rows <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), keys, how)
     spark = left.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     flag, salt = (fresh([*left.columns, *right.columns], x) for x in ("hot", "salt"))
-    counts = right.groupBy(*keys).agg(F.max(n).alias("n")) if n else left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    counts = written(counts, "join-counts")
+    if counts is None:
+        counts = written(right.groupBy(*keys).agg(F.max(n).alias("n")) if n else left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "join-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     hot = F.broadcast(counts.where(F.col("n") * HOT > total).select(*keys, F.lit(True).alias(flag)))  # fewer than HOT rows
     some = left.join(hot, keys, "left").withColumn(salt, F.when(F.col(flag), F.pmod(F.xxhash64(F.lit(parts), *by), F.lit(parts))).otherwise(0).cast("int")).drop(flag)

@@ -17,9 +17,12 @@ occurrence of a window.
    the window's place equal the window's words.
 
 Work is linear in matches; no pair of texts is formed, so a widely copied
-passage only adds its own occurrences.
+passage only adds its own occurrences.  Of each join only a side counted to be
+small is broadcast; beyond that the join shuffles, and a shingle or text in very
+many rows is spread over all tasks (:func:`common.spread_join`).
 
-Defined results: null and empty texts have no words and are clean; items without
+Defined results: shingles that are equally rare are taken by their place in the
+window; a very long text stays one row with its words and places; null and empty texts have no words and are clean; items without
 words are ignored; repeated item ids count as one item, a null one has the empty name; repeated rows each get a
 result; the items table may be empty; other columns are ignored.
 """
@@ -29,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, lower_ascii, maybe_broadcast, row_of, written
+from .common import discard, fresh, lower_ascii, row_of, spread_join, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
@@ -47,10 +50,11 @@ def _shingles(w: Column, k: int) -> Column:
 
 
 def _windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """item_id, w (words), len, k and shingles (array of position and hash) of each window."""
+    """w (words), items (the ids of those that have it), len, k and shingles (array of position and hash) of each distinct window."""
     w = items.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("item_id"), words(F.col(f"`{text_col}`")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
-    cut = w.select("item_id", F.explode(starts).alias("s"), "w").select("item_id", F.slice("w", F.col("s") + 1, window).alias("w")).distinct()
+    cut = w.select("item_id", F.explode(starts).alias("s"), "w").select("item_id", F.slice("w", F.col("s") + 1, window).alias("w"))
+    cut = cut.groupBy("w").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     cut = cut.withColumn("len", F.size("w")).withColumn("k", F.least(F.col("len"), F.lit(SHINGLE)))
     parts = _shingles(F.col("w"), SHINGLE)
     for k in range(1, SHINGLE):
@@ -59,7 +63,7 @@ def _windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataF
 
 
 def _candidates(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int) -> DataFrame:
-    """tk (MD5 of a text) and c: an array of (start, w, item_id), the places where a window's rarest shingle stands."""
+    """tk (MD5 of a text) and c: an array of (start, w, items), the places where a window's rarest shingle stands."""
     wins = written(_windows(items, item_id, item_text, window), "bench-windows")
     grams = written(wins.select("k", F.explode("shingles.h").alias("h")).distinct(), "bench-shingles")
     sizes = {r["k"]: r["n"] for r in grams.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most SHINGLE rows
@@ -67,22 +71,22 @@ def _candidates(docs: DataFrame, items: DataFrame, text_col: str, item_id: str,
     found = None
     for k, n in sorted(sizes.items()):
         at = texts.select("tk", F.size("w").alias("n_words"), F.explode(_shingles(F.col("w"), k)).alias("s")).select("tk", "n_words", "s.pos", "s.h")
-        hit = at.join(maybe_broadcast(grams.where(F.col("k") == k).select("h"), n), "h")
+        hit = spread_join(at, grams.where(F.col("k") == k).select("h"), ["h"], [F.col("tk"), F.col("pos")], rows=n)
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         found = texts.select("tk", F.size("w").alias("n_words"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h")).limit(0)
-    found = written(found.distinct(), "bench-matches")
+    found = written(found.select("tk", "n_words", "pos", "h").distinct(), "bench-matches")
     # rarest shingle first; a window with a shingle that never occurs needs no look
-    seen = found.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    parts = wins.select("item_id", "w", F.explode("shingles").alias("s")).select("item_id", "w", "s.pos", "s.h").join(seen, "h", "left")
-    prefix = parts.groupBy("item_id", "w").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "pos", "h")).alias("p")).where("p.df > 0")
-    prefix = written(prefix.groupBy(F.col("p.h").alias("h")).agg(F.collect_list(F.struct(F.col("p.pos").alias("at"), "w", "item_id")).alias("windows")), "bench-prefixes")
-    # a passage that stands everywhere has one shingle in very many rows: these are not dealt by it while the items' windows are few
-    heavy = prefix.agg(F.coalesce(F.sum(F.size("windows")), F.lit(0)).alias("n")).first()["n"]
-    # length and positional bounds, before any verification
-    placed = F.transform("windows", lambda x: F.struct((F.col("pos") - x["at"]).alias("start"), x["w"].alias("w"), x["item_id"].alias("item_id")))
-    fits = F.filter(placed, lambda x: (x["start"] >= 0) & (x["start"] + F.size(x["w"]) <= F.col("n_words")))
-    return written(found.join(maybe_broadcast(prefix, heavy * 10), "h").select("tk", fits.alias("c")).where(F.size("c") > 0).groupBy("tk").agg(F.flatten(F.collect_list("c")).alias("c")), "bench-candidates")
+    seen = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "bench-frequencies")
+    parts = wins.select("w", "items", F.explode("shingles").alias("s")).select("w", "items", "s.pos", "s.h").join(seen, "h", "left")
+    prefix = parts.groupBy("w", "items").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pos", "h")).alias("p")).where("p.n > 0")
+    prefix = written(prefix.select(F.col("p.h").alias("h"), F.col("p.pos").alias("at"), "w", "items"), "bench-prefixes")
+    # length and positional bounds, before any verification; a window row is some ten times a row of two longs
+    placed = spread_join(found, prefix, ["h"], [F.col("tk"), F.col("pos")], rows=10 * prefix.count(), counts=seen)
+    placed = placed.select("tk", "n_words", (F.col("pos") - F.col("at")).alias("start"), "w", "items").where((F.col("start") >= 0) & (F.col("start") + F.size("w") <= F.col("n_words")))
+    out = written(placed.groupBy("tk").agg(F.collect_list(F.struct("start", "w", "items")).alias("c")), "bench-candidates")
+    discard(grams, found, seen, prefix)
+    return out
 
 
 def _key(text_col: str) -> Column:
@@ -93,13 +97,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, text_c
     """Every row and column of ``docs`` with one more, ``hit``: n_words, n_hit, n_items, items_sha256, contaminated."""
     cand = _candidates(docs, items, text_col, item_id, item_text, window)
     weight = cand.agg(F.coalesce(F.sum(F.size("c")), F.lit(0)).alias("n")).first()["n"]
-    cand = maybe_broadcast(cand, weight * 10)  # a candidate is some ten times a row of two longs
     rows = docs.select(row_of(docs).alias("r"), _key(text_col).alias("tk"))
-    rows = rows.join(cand, "tk", "left").select("r", "c", words(F.col(f"r.`{text_col}`")).alias("w"))
+    # copies of one text differ in other columns; a candidate is some ten times a row of two longs
+    other = [F.col(f"r.`{c}`") for c, t in docs.dtypes if c != text_col and "map<" not in t and "variant" not in t]
+    rows = spread_join(rows, cand, ["tk"], other, rows=10 * weight, how="left").select("r", "c", words(F.col(f"r.`{text_col}`")).alias("w"))
     true = F.filter(F.coalesce("c", F.array().cast(cand.schema["c"].dataType)), lambda x: F.slice(F.col("w"), x["start"] + 1, F.size(x["w"])) == x["w"])
     rows = rows.select("r", F.size("w").cast("long").alias("n_words"), true.alias("o"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("o", lambda x: F.sequence(x["start"], x["start"] + F.size(x["w"]) - 1)))))
-    names = F.array_sort(F.array_distinct(F.transform("o", lambda x: x["item_id"])))
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform("o", lambda x: x["items"]))))
     hit = F.struct("n_words", covered.cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.size("o") > 0).alias("contaminated"))
     name = fresh(docs.columns, "hit")
     return rows.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns], hit.alias(name))

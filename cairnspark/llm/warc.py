@@ -72,9 +72,10 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 def _typed(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_dedup: int) -> DataFrame:
     payload = F.encode(F.coalesce(named(payload_col), F.lit("")), "UTF-8")
     rows = pages.select(named(id_col).alias("page_id"), named(url_col).cast("string").alias("url"), payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
-    # only payloads that occur twice or more: pre-aggregated, small beside the pages
-    same = written(rows.where(F.col("payload_bytes") >= min_dedup).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"), "warc-copies")
-    rows = spread_join(rows, same, ["payload_digest", "payload_bytes"], [F.col("page_id")], rows=4 * same.count(), n="n", how="left")
+    # only payloads that occur twice or more (small ones too, for the count of a hot one): pre-aggregated, small beside the pages
+    top = F.when(F.col("payload_bytes") >= min_dedup, F.max("page_id"))
+    same = written(rows.groupBy("payload_digest", "payload_bytes").agg(top.alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"), "warc-copies")
+    rows = spread_join(rows, same, ["payload_digest", "payload_bytes"], [F.col("page_id")], rows=5 * same.count(), n="n", how="left")
     again = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("top")).alias("refers_to"))
 

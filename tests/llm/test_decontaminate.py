@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from cairnspark.llm import decontaminate, queries
+import pytest
+
+from cairnspark.llm import common, decontaminate, queries
 
 
 def words(text):
@@ -48,6 +50,23 @@ def test_overlaps_short_items_and_repeats(spark):
     held(decontaminate.decontaminate(d, b).select("doc_id", "hit.*").collect(), dict(docs), items)
 
 
+@pytest.mark.parametrize("hot", [1024, 8])
+def test_shuffled_joins_give_the_same(spark, monkeypatch, hot):
+    """No broadcast at all, a passage in every text and one text in a third of all rows."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT", hot)
+    r = random.Random(8)
+    pick = lambda n: " ".join(r.choice("abcd") + r.choice("xyz") for _ in range(n))
+    common_one, template = pick(15), pick(12)
+    items = [(1, common_one), (2, "one two"), (3, "q")] + [(i, template + " " + pick(4)) for i in range(10, 40)]
+    docs = [(i, f"{pick(20)} {common_one} {pick(9)}") for i in range(40)] + [(i, template) for i in range(100, 130)] + [(i, r.choice([None, "", "one two three", "q q q"])) for i in range(200, 220)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.decontaminate(d, b).select("doc_id", "hit.*").collect()
+    assert len(out) == len(docs)
+    held(out, dict(docs), items)
+
+
 def test_other_window(spark):
     docs, items = [(1, "a b c d e f"), (2, "x b c")], [("i", "a b c d"), ("j", "c x")]
     rows = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), window=2).select("doc_id", "hit.*").collect()
