@@ -84,12 +84,13 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 HOT = 1024
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[Column], *, rows: int, n: str | None = None, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[Column], *, rows: int, n: str | None = None, counts: DataFrame | None = None, how: str = "inner", wide: bool = False) -> DataFrame:
     """``left`` joined with a ``right`` of fewer rows, so that no key fills a task.
 
     A ``right`` of counted ``rows`` within :data:`BROADCAST_ROWS` is broadcast.  Beyond it both sides shuffle; the rows of a
     hot key are spread over all partitions by a hash of ``by`` and its ``right`` rows are repeated in each.  A key's rows in
-    ``left`` are told by the column ``n`` of ``right`` (if every key of several rows is there), by ``counts`` (keys and n), or counted.
+    ``left`` are told by the column ``n`` of ``right`` (if every key of several rows is there), by ``counts`` (keys and n), or counted.  ``wide``: rows of ``left`` hold whole texts and are not sorted; a
+    partition of ``right`` is hashed instead.
     """
     if rows <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), keys, how)
@@ -103,7 +104,7 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[Col
     some = left.join(hot, keys, "left").withColumn(salt, F.when(F.col(flag), F.pmod(F.xxhash64(F.lit(parts), *by), F.lit(parts))).otherwise(0).cast("int")).drop(flag)
     every = F.when(F.col(flag), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     many = right.join(hot, keys, "left").withColumn(salt, F.explode(every)).drop(flag)
-    return some.join(many, [*keys, salt], how).drop(salt)
+    return some.join(many.hint("shuffle_hash") if wide else many, [*keys, salt], how).drop(salt)
 
 
 def fresh(columns: list[str], name: str) -> str:

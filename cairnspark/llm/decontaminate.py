@@ -100,7 +100,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, text_c
     rows = docs.select(row_of(docs).alias("r"), _key(text_col).alias("tk"))
     # copies of one text differ in other columns; a candidate is some ten times a row of two longs
     other = [F.col(f"r.`{c}`") for c, t in docs.dtypes if c != text_col and "map<" not in t and "variant" not in t]
-    rows = spread_join(rows, cand, ["tk"], other, rows=10 * weight, how="left").select("r", "c", words(F.col(f"r.`{text_col}`")).alias("w"))
+    rows = spread_join(rows, cand, ["tk"], other, rows=10 * weight, how="left", wide=True).select("r", "c", words(F.col(f"r.`{text_col}`")).alias("w"))
     true = F.filter(F.coalesce("c", F.array().cast(cand.schema["c"].dataType)), lambda x: F.slice(F.col("w"), x["start"] + 1, F.size(x["w"])) == x["w"])
     rows = rows.select("r", F.size("w").cast("long").alias("n_words"), true.alias("o"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("o", lambda x: F.sequence(x["start"], x["start"] + F.size(x["w"]) - 1)))))

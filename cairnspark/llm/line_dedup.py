@@ -1,18 +1,22 @@
 r"""Fuzzy line deduplication over the whole corpus.
 
-Texts are split at ``\n``.  Lines of at least ``min_chars`` characters (without
-surrounding white space) take part; their character shingles of :data:`SHINGLE`
+Texts are split at ``\n``.  Lines of at least ``min_chars`` characters, and one
+at least, without surrounding white space take part (0 is legal: any line with a
+word); lines shorter than a shingle are compared for equality only.  Their character shingles of :data:`SHINGLE`
 code points get MinHash signatures, bands of these give candidates, candidates
 are confirmed by exact Jaccard similarity of the shingle sets, and a distributed
 union-find joins confirmed links.  Of each component the first line (by doc_id,
 then content, then position) is kept in its place and all others are removed.
 
-Equal lines are one node, known by the 64-bit hash of their content, and are
-collapsed inside each task before anything is shuffled.  Lines of similarity
+Equal lines are one node and are collapsed inside each task before anything is
+shuffled.  Lines are equal if 128 bits of hash are; 64 of them name a node.  Of
+unlike lines that share these (a chance of 3e-8 for a line among 1e12) one is
+compared with near lines, the others with equal ones only.  Lines of similarity
 0.8 share none of the 12 bands of 3 with probability 2e-4, of 0.9 with 2e-7.
 
 Defined results: null texts stay null and have no lines; an empty text is one
-short line; short lines are always kept; rows equal in id and text are one
+short line; a very long text is one row, its lines are taken one by one, and a
+very long line is one set; short lines are always kept; rows equal in id and text are one
 document and get the same result; a null id sorts first; a text whose every line
 goes becomes empty; other columns are kept; an empty table gives no rows.
 """
@@ -25,7 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .common import discard, fresh, maybe_broadcast, row_of, written
+from . import common
+from .common import discard, fresh, maybe_broadcast, named, release, row_of, spread_join, written
 from .simjoin import classes
 
 SHINGLE = 9
@@ -106,13 +111,15 @@ def _blocks(lines: list[str], chars: int = 1 << 16):
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """rid, doc_id, pos and id of each line that takes part; its text and band keys where the task meets it for the first time."""
-    source = docs.select(_rid(id_col, text_col).alias("rid"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    schema = T.StructType([*source.schema.fields[:2], T.StructField("pos", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("line", T.StringType()), T.StructField("keys", T.BinaryType())])
+    """rid, doc_id, pos, id and check of each line that takes part; its text and band keys where the task meets it for the first time."""
+    source = docs.select(_rid(id_col, text_col).alias("rid"), named(id_col).alias("doc_id"), named(text_col).alias("text")).where("text is not null")
+    longs = [T.StructField(x, T.LongType()) for x in ("id", "check")]
+    schema = T.StructType([*source.schema.fields[:2], T.StructField("pos", T.IntegerType()), *longs, T.StructField("line", T.StringType()), T.StructField("keys", T.BinaryType())])
+    least = max(min_chars, 1)
 
     def run(batches):
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
+        from xxhash import xxh3_128_intdigest
 
         a, b = _family()
         seen: set[int] = set()
@@ -122,12 +129,12 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Data
             row, pos, ids, new = [], [], [], []
             for n, text in enumerate(batch.column(2)):
                 for p, line in enumerate(text.as_py().split("\n")):
-                    if len(line) >= min_chars and len(line.strip(" ")) >= min_chars:
-                        i = xxh64_intdigest(line.encode())
+                    if len(line) >= least and len(line.strip()) >= least:
+                        i = xxh3_128_intdigest(line.encode())
                         row.append(n)
                         pos.append(p)
-                        ids.append(i)
-                        new.append(None if i in seen else line)
+                        ids.append(i.to_bytes(16, "little"))
+                        new.append(None if i in seen or len(line) < SHINGLE else line)
                         seen.add(i)
             texts = [x for x in new if x is not None]
             keys = [band_keys(minima(*windows(texts[i:j]), a, b)) for i, j in _blocks(texts)]
@@ -135,7 +142,8 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Data
             have = iter(packed.view(f"V{8 * BANDS}").ravel().tolist())
             held = pa.array([None if x is None else next(have) for x in new], pa.binary())
             at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(new, pa.string()), held], names=["rid", "doc_id", "pos", "id", "line", "keys"])
+            halves = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), *[pa.array(np.ascontiguousarray(halves[:, k])) for k in (0, 1)], pa.array(new, pa.string()), held], names=["rid", "doc_id", "pos", "id", "check", "line", "keys"])
 
     return source.mapInArrow(tb.tidied(run), schema)
 
@@ -156,36 +164,45 @@ def _facts(lines: DataFrame) -> DataFrame:
 
 
 def _rid(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(f"`{id_col}`"), F.lit(0), F.col(f"`{text_col}`"))
+    return F.xxhash64(named(id_col), F.lit(0), named(text_col))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """Every row of ``docs`` with its text rebuilt from the kept lines, and ``lines``: n_lines and n_dropped."""
-    if min_chars < SHINGLE:
-        raise ValueError(f"min_chars is at least the shingle length, {SHINGLE}")
+    if min_chars < 0:
+        raise ValueError("min_chars is 0 or more")
     lines = written(_signed(docs, id_col, text_col, min_chars), "lines")
-    places, texts = lines.select("rid", "doc_id", "pos", "id"), lines.where("line is not null")
+    places, texts = lines.select("rid", "doc_id", "pos", "id", "check"), lines.where("line is not null")
 
     def facts_of(ids: DataFrame) -> DataFrame:
-        one = texts.select("id", "line").join(maybe_broadcast(ids, ids.count()), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+        one = texts.select("id", "check", "line").join(maybe_broadcast(ids, ids.count()), "id", "left_semi").groupBy("id").agg(F.min_by("line", "check").alias("line"))
         return written(_facts(one), "line-facts")
 
     comps = classes(texts.select("id", "keys"), facts_of, estimate, threshold=threshold, margin=0.3, decode=shingle_sets)
     place = F.struct("doc_id", "rid", "pos")
-    known = places.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).join(comps, "id", "left").where("n > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "id"))
-    known = written(known.select("id", "comp", "first"), "line-classes")
+    firsts = written(places.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.min("check").alias("check"), F.max("check").alias("other")), "line-firsts")
+    known = firsts.join(comps, "id", "left").where("(n > 1 or comp is not null) and check = other").select("id", "check", F.coalesce("comp", "id").alias("comp"), "first", "n")
+    # unlike lines of one id: only that of the least check is in a class of near lines
+    clash = firsts.where("check <> other").select("id", F.col("check").alias("least"))
+    apart = places.join(maybe_broadcast(clash, clash.count()), "id").groupBy("id", "check", "least").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).join(comps, "id", "left")
+    apart = apart.withColumn("comp", F.when(F.col("check") == F.col("least"), F.coalesce("comp", "id")).otherwise(F.xxhash64("id", "check")))
+    known = written(known.unionByName(apart.select(*known.columns)), "line-classes")
     keeper = known.groupBy("comp").agg(F.min("first").alias("keeper"))
-    known = written(known.join(keeper, "comp").select("id", "keeper"), "line-keepers")
-    gone = places.join(maybe_broadcast(known, 2 * known.count()), "id").where(~place.eqNullSafe(F.col("keeper"))).groupBy("rid").agg(F.collect_set("pos").alias("gone"))
-    gone = written(gone, "lines-gone")
-    discard(lines, known)
+    keepers = written(known.select("id", "check", "comp", "n").join(keeper, "comp").select("id", "check", "n", "keeper"), "line-keepers")
+    # a line in very many texts is spread over all tasks
+    found = spread_join(places, keepers, ["id", "check"], [F.col("rid"), F.col("pos")], rows=4 * keepers.count(), n="n")
+    gone = written(found.where(~place.eqNullSafe(F.col("keeper"))).groupBy("rid").agg(F.collect_set("pos").alias("gone")), "lines-gone")
+    discard(lines, firsts, known, keepers, comps)
     weight = gone.agg(F.coalesce(F.sum(1 + F.size("gone") / 2), F.lit(0.0)).alias("w")).first()["w"]
-    rows = docs.select(row_of(docs).alias("r"), _rid(id_col, text_col).alias("rid")).join(maybe_broadcast(gone, int(weight)), "rid", "left")
-    text = F.col(f"r.`{text_col}`")
+    rows = docs.select(row_of(docs).alias("r"), _rid(id_col, text_col).alias("rid"))
+    release(docs.sparkSession)
+    # rows of one rid are equal in id and text; beyond a broadcast the texts are not sorted
+    rows = rows.join(F.broadcast(gone) if weight <= common.BROADCAST_ROWS else gone.hint("shuffle_hash"), "rid", "left")
+    text = F.col("r").getField(text_col)
     parts = F.split(text, "\n", -1)
     # the split text is bound once as the lambda's argument, not split anew for each line
     stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone"))
     rebuilt = F.transform(F.array(parts), lambda p: F.array_join(F.transform(stay(p), lambda i: F.get(p, i)), "\n"))[0]
     kept = F.when(F.col("gone").isNull(), text).otherwise(rebuilt)
     stats = F.struct(F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
-    return rows.select(*[(kept if c == text_col else F.col(f"r.`{c}`")).alias(c) for c in docs.columns], stats.alias(fresh(docs.columns, "lines")))
+    return rows.select(*[(kept if c == text_col else F.col("r").getField(c)).alias(c) for c in docs.columns], stats.alias(fresh(docs.columns, "lines")))

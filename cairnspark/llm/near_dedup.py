@@ -14,9 +14,10 @@ Sets are collapsed first, so copies cost one row each.  A link of similarity
 Defined results: null, empty and wordless texts have no shingles and are linked
 with nothing (component of their own id); texts with equal sets are linked;
 rows that share a ``doc_id`` are one node, so what either links to is linked;
-rows with a null ``doc_id`` are linked but cannot name a class: their component
-is the class's least id, or null if it has none, and they are kept only then;
-other columns are ignored by :func:`components` and kept by :func:`dedup`; an
+rows with a null ``doc_id`` belong to the class of the rows whose set equals
+theirs but cannot name one: their component is the class's least id, or null if
+it has none, and they are kept only then; a very long text is one set, sketched
+in chunks; of equally central nodes the least id is the centre; other columns are ignored by :func:`components` and kept by :func:`dedup`; an
 empty table gives no rows.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import fresh, maybe_broadcast, written
+from .common import discard, fresh, maybe_broadcast, named as column, spread_join, written
 from .simjoin import classes
 
 REGISTERS, BAND = 128, 4
@@ -108,7 +109,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFr
                 keys = band_keys(registers(np.stack(least)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(np.array(f1).view(np.int64)), pa.array(np.array(f2).view(np.int64)), pa.array([x.tobytes() for x in keys], pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "keys"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(tb.tidied(run), "doc_id long, n_shingles long, f1 long, f2 long, keys binary")
+    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(tb.tidied(run), "doc_id long, n_shingles long, f1 long, f2 long, keys binary")
 
 
 def _facts(texts: DataFrame, shingle: int) -> DataFrame:
@@ -134,14 +135,16 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     def facts_of(ids: DataFrame) -> DataFrame:
         n = ids.count()
-        texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+        texts = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
         facts = written(_facts(texts.join(maybe_broadcast(ids, n), "id", "left_semi"), shingle), "facts")
         return facts if facts.count() == n else written(facts.dropDuplicates(["id", "n", "sig", "items"]), "facts")
 
     comps = classes(nodes.where("id is not null").select("id", "keys"), facts_of, estimate, threshold=threshold)
     # only sets with copies and linked sets differ from their own documents
-    named = nodes.select("f1", "f2", "id", "copies").join(comps, "id", "left").where("copies > 1 or comp is not null").select("f1", "f2", F.coalesce("comp", "id").alias("component"))
-    out = full.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    named = nodes.select("f1", "f2", "id", "copies").join(comps, "id", "left").where("copies > 1 or comp is not null").select("f1", "f2", "copies", F.coalesce("comp", "id").alias("component"))
+    named = written(named, "set-classes")
+    discard(nodes, comps)
+    out = spread_join(full.select("doc_id", "n_shingles", "f1", "f2"), named, ["f1", "f2"], [F.col("doc_id")], rows=3 * named.count(), n="copies", how="left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     out = out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -150,4 +153,4 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, one document of each class (rows that repeat its id stay with it)."""
     name = fresh(docs.columns, "gone")
     gone = written(components(docs, id_col=id_col, **options).where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct(), "near-copies")
-    return docs.join(maybe_broadcast(gone, gone.count()), F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
+    return docs.join(maybe_broadcast(gone, gone.count()), column(id_col).cast("long") == F.col(name), "left_anti")

@@ -13,11 +13,15 @@ near certainty.  Candidates are formed and verified in three rounds:
    forest of the confirmed links comes out.
 
 Rounds 2 and 3 never form the pairs of a group as rows: its members are dealt to
-blocks of bounded size, a task holds two blocks at a time, and at most as
-many links as members come out.  A group of any size is spread over tasks; its
-largest component is sent once for each block of the other members.  Every pair
-that shares a bucket and is plausible is verified on full sets or is inside one
-component already.
+blocks of a bounded number of members and hashes, a task holds two blocks at a
+time, and at most as many links as members come out.  A group of any size is
+spread over tasks; its largest component is sent once for each block of the
+other members, so the rows of a group grow with its members times the blocks of
+those outside the largest component.  Every pair that shares a bucket and is
+plausible is verified on full sets or is inside one component already.
+
+Full sets never travel in pairs: in round 1 a centre's set goes once to each
+block of its members, in round 3 a member's set once to each pair of blocks.
 """
 
 from __future__ import annotations
@@ -28,18 +32,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, maybe_broadcast, release, written
+from .common import discard, maybe_broadcast, release, spread_join, written
 from .components import connected_components
 from .textbytes import mix, tidied
 
 #: Members of a block that carry signatures only (forest), or full sets too (families).
 LIGHT_BLOCK, BLOCK = 1024, 256
+#: Hashes of the sets of a block with full sets, about (16 MB), and members compared with their centre in one group.
+BLOCK_HASHES, STAR_BLOCK = 2 << 20, 1024
 #: Pairs compared at once inside a task.
 PAIRS = 8192
 
 
-#: (key, id) rows a task holds before it packs them by slice, and slices for each shuffle partition.
-PACKED, SLICES = 1 << 19, 4
+#: (key, id) rows a task holds before it packs them by slice, slices for each shuffle partition, and (key, id) rows of a slice at most, about.
+PACKED, SLICES, SLICE_ROWS = 1 << 19, 4, 1 << 20
 
 
 def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,21 +67,28 @@ def _ranked(key: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _packed(nodes: DataFrame, slices: int) -> DataFrame:
-    """(slice, rows): 16-byte (key, id) rows packed by slice of the key space; slice -1: rows of keys this task knows to have three nodes or more.
+    """(slice, rows): 12-byte (key, id) rows packed by slice of the key space; slice -1: 16-byte rows of keys this task knows to have three nodes or more.
 
-    Of such a key only two nodes go to its slice, so the slice of a very frequent
-    key gets two rows from each packing, not all of them.  A node that repeats
-    inside a packing counts once.
+    A key becomes 31 bits of slice and 32 of its own, so its row carries the latter only; slices grow with the rows, so
+    unlike keys that fall together stay rare, and their candidates are verified like all others.  Of a key known to have
+    three nodes only two go to its slice, so the slice of a very frequent key gets two rows from each packing, not all of
+    them.  A node that repeats inside a packing counts once.
     """
 
     def pack(key, id_):
-        key, id_, rank = _ranked(key, id_)
-        at = np.where(rank < 2, (key.view(np.uint64) % np.uint64(slices)).astype(np.int64), slices)
-        order = np.argsort(at, kind="stable")
-        at, rows = at[order], np.stack([key[order], id_[order]], 1)
-        cuts = np.append(np.flatnonzero(np.append(True, at[1:] != at[:-1])), len(at))
-        for s, e in zip(cuts[:-1], cuts[1:]):
-            yield int(at[s]) if at[s] < slices else -1, rows[s:e].tobytes()
+        bits = key.view(np.uint64)
+        slice_of = bits % np.uint64(slices)
+        key, id_, rank = _ranked(((slice_of << np.uint64(32)) | (bits >> np.uint64(32))).view(np.int64), id_)
+        many = rank >= 2
+        if many.any():
+            yield -1, np.stack([key[many], id_[many]], 1).tobytes()
+            key, id_ = key[~many], id_[~many]
+        at = key >> 32
+        low = (key & 0xFFFFFFFF).astype("<u4")
+        # keys are sorted, so slices are too
+        cuts = np.append(np.flatnonzero(np.append(True, at[1:] != at[:-1]))[: len(at)], len(at))
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield int(at[s]), low[s:e].tobytes() + id_[s:e].tobytes()
 
     def run(batches):
         import pyarrow as pa
@@ -103,62 +116,58 @@ def _packed(nodes: DataFrame, slices: int) -> DataFrame:
 def _shared(packed: DataFrame) -> DataFrame:
     """(key, id) of the keys with two nodes or more, from rows sorted by slice."""
 
-    def table(rows):
+    def table(key, id_):
         import pyarrow as pa
 
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], names=["key", "id"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (key, id_)], names=["key", "id"])
 
-    def unpacked(blobs):
-        return np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
-
-    def shared(blobs):
-        key, id_ = unpacked(blobs).T
+    def shared(slice_, blobs):
+        cut = [len(x) // 3 for x in blobs]  # 4 of each 12 bytes are keys
+        key = np.concatenate([np.frombuffer(x, "<u4", c // 4) for x, c in zip(blobs, cut)]).astype(np.int64) | (slice_ << 32)
+        id_ = np.concatenate([np.frombuffer(x, "<i8", c // 4, c) for x, c in zip(blobs, cut)])
         key, order = _sorted(key)
         again = key[1:] == key[:-1]
         multi = np.append(False, again) | np.append(again, False)
-        key, id_ = key[multi], id_[order[multi]]
         # one node may have come from several tasks
-        order = np.lexsort((id_, key))
-        key, id_ = key[order], id_[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])) if len(key) else np.zeros(0, bool)
-        key, id_ = key[new], id_[new]
+        key, id_, _ = _ranked(key[multi], id_[order[multi]])
         again = key[1:] == key[:-1]
-        multi = np.append(False, again) | np.append(again, False) if len(key) else np.zeros(0, bool)
-        return table(np.stack([key[multi], id_[multi]], 1))
+        multi = (np.append(False, again) | np.append(again, False))[: len(key)]
+        return table(key[multi], id_[multi])
 
     def run(batches):
         last, blobs = None, []
         for b in batches:
             for s, rows in zip(b.column(0).to_pylist(), b.column(1)):
                 if s == -1:
-                    yield table(unpacked([rows.as_py()]))
+                    yield table(*np.frombuffer(rows.as_py(), np.int64).reshape(-1, 2).T)
                     continue
                 if s != last and blobs:
-                    yield shared(blobs)
+                    yield shared(last, blobs)
                     blobs = []
                 last = s
                 blobs.append(rows.as_py())
         if blobs:
-            yield shared(blobs)
+            yield shared(last, blobs)
 
     return packed.mapInArrow(tidied(run), "key long, id long")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
     """(key, id, n, m): members of the buckets of n >= 2 nodes; m is the most central. ``nodes``: id long, keys binary (as many longs for each); a node may repeat."""
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shape = nodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.octet_length("keys")), F.lit(0)).alias("b")).first()
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shape["n"] * shape["b"] // (8 * SLICE_ROWS * SLICES)))
     # rows of known keys need no meeting; their own salt spreads them
     salt = F.when(F.col("slice") < 0, F.xxhash64("rows")).otherwise(F.col("slice"))
-    packed = _packed(nodes, SLICES * n).withColumn("salt", salt).repartition(n, "salt").sortWithinPartitions("slice").select("slice", "rows")
+    packed = _packed(nodes, SLICES * parts).withColumn("salt", salt).repartition(parts, "salt").sortWithinPartitions("slice").select("slice", "rows")
     raw = written(_shared(packed), "bucket-rows")
     members = written(raw.distinct(), "bucket-members")
-    # what is told of a key or node is a table of its own, so that the joins are broadcasts or can split a frequent key
+    # what is told of a key or node is a table of its own, so that a frequent key can be spread
     sizes = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "bucket-sizes")
     keys = sizes.count()
-    central = written(members.join(maybe_broadcast(sizes, keys), "key").groupBy("id").agg(F.sum("n").alias("w")), "bucket-weights")
+    central = written(spread_join(members, sizes, ["key"], [F.col("id")], rows=keys, n="n").groupBy("id").agg(F.sum("n").alias("w")), "bucket-weights")
     best = members.join(maybe_broadcast(central, central.count()), "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("t"), F.count(F.lit(1)).alias("n"))
     top = written(best.select("key", "n", (-F.col("t.i")).alias("m")), "bucket-centres")
-    out = written(members.join(maybe_broadcast(top, 2 * keys), "key").select("key", "id", "n", "m"), "bucket-stars")
+    out = written(spread_join(members, top, ["key"], [F.col("id")], rows=2 * keys, n="n").select("key", "id", "n", "m"), "bucket-stars")
     discard(raw, members, sizes, central, top)
     return out
 
@@ -210,45 +219,57 @@ def similar(items: list[bytes], left: np.ndarray, right: np.ndarray, threshold:
     return out
 
 
-def _numbered(left: list[bytes], right: list[bytes]):
-    """Runs of pairs whose sets are of bounded size: their slice, distinct sets, and numbers of left and right sets."""
-    i = 0
-    while i < len(left):
-        place: dict[bytes, int] = {}
-        j, n = i, 0
-        numbers: tuple[list, list] = ([], [])
-        while j < len(left) and (j == i or n < COMPARED):
-            for side, x in zip(numbers, (left[j], right[j])):
-                if x not in place:
-                    place[x] = len(place)
-                    n += len(x)
-                side.append(place[x])
-            j += 1
-        yield slice(i, j), list(place), np.array(numbers[0]), np.array(numbers[1])
-        i = j
-
-
 def verify(pairs: DataFrame, facts: DataFrame, estimate: Callable, threshold: tuple[int, int], margin: float, decode: Callable) -> DataFrame:
-    """Pairs (a, b) whose full sets have ``q * intersection >= p * union``; ``facts``: id, n, sig and items, of which ``decode`` makes sorted distinct hashes."""
+    """Pairs (a, b) whose full sets have ``q * intersection >= p * union``; ``facts``: id, n, sig and items, of which ``decode`` makes sorted distinct hashes.
+
+    ``a`` is the centre: its set goes once to each group of about STAR_BLOCK of its members, before them, and the worker
+    looks theirs up in it.
+    """
     p, q = threshold
 
     def run(batches):
         import pyarrow as pa
 
+        last, hubs = None, []
         for b in batches:
-            n = np.stack([b.column(i).to_numpy() for i in (2, 3)], 1) if b.num_rows else np.zeros((0, 2))
-            at = np.flatnonzero(n.min(1) * q >= n.max(1) * p)
-            if len(at):
-                at = at[estimate(_sigs(b.column(4))[at], _sigs(b.column(5))[at], n[at, 0], n[at, 1]) >= p / q - margin]
-            sets = [b.column(k).take(pa.array(at)).to_pylist() for k in (6, 7)]
-            good = [similar(items, x, y, threshold, decode) for _, items, x, y in _numbered(*sets)]
-            keep = at[np.concatenate([*good, np.zeros(0, bool)])]
-            yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], names=["a", "b"])
-
-    left = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("items").alias("ia"))
-    right = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("items").alias("ib"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb", "ia", "ib")
-    return rows.mapInArrow(tidied(run), "a long, b long")
+            if not b.num_rows:
+                continue
+            a, block, kind, ids, n = (b.column(k).to_numpy() for k in range(5))
+            sigs = _sigs(b.column(5))
+            cuts = np.append(np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (block[1:] != block[:-1]))), len(a))
+            left, right = [], []
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if (a[s], block[s]) != last:
+                    last, hubs = (a[s], block[s]), []
+                while s < e and kind[s] == 0:
+                    # an id may have several sets
+                    hubs.append((n[s], sigs[s], b.column(6)[s].as_py()))
+                    s += 1
+                for size, sig, own in hubs if s < e else []:
+                    at = np.arange(s, e)
+                    at = at[np.minimum(n[at], size) * q >= np.maximum(n[at], size) * p]
+                    if len(at):
+                        at = at[estimate(np.broadcast_to(sig, (len(at), len(sig))), sigs[at], np.full(len(at), size), n[at]) >= p / q - margin]
+                    i = 0
+                    while i < len(at):
+                        # sets of a bounded size at once
+                        j, held, items = i, 0, [own]
+                        while j < len(at) and (j == i or held < COMPARED):
+                            items.append(b.column(6)[at[j]].as_py())
+                            held += len(items[-1])
+                            j += 1
+                        good = similar(items, np.zeros(j - i, np.int64), np.arange(1, j - i + 1), threshold, decode)
+                        left += [int(a[s])] * int(good.sum())
+                        right += ids[at[i:j][good]].tolist()
+                        i = j
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    hubs = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", "n", F.ceil(F.col("n") / STAR_BLOCK).cast("int").alias("blocks")), "hubs")
+    rows = spread_join(pairs, hubs.select("a", "n", "blocks"), ["a"], [F.col("b")], rows=2 * hubs.count(), n="n")
+    rows = rows.select("a", F.pmod(F.xxhash64(F.lit(7), "b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("kind"), F.col("b").alias("id"))
+    first = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), F.col("a").alias("id"))
+    rows = rows.unionByName(first).join(facts, "id").select("a", "block", "kind", "id", "n", "sig", "items")
+    return rows.repartition("a", "block").sortWithinPartitions("a", "block", "kind").mapInArrow(tidied(run), "a long, b long")
 
 
 class Forest:
@@ -269,18 +290,20 @@ class Forest:
         return a != b
 
 
-def _equal_share(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Share of equal registers: similarity, if the base is near 1."""
-    return (x == y).mean(1)
+#: The share of equal registers may be this much below the estimate that decides.
+SHARE = 0.1
 
 
-def _apart(i, j, ids, comps, n, sig, p: int, q: int, margin: float):
-    """Plausible pairs between components among the index pairs (i, j), most similar first."""
+def _apart(i, j, ids, comps, n, sig, p: int, q: int, margin: float, estimate: Callable):
+    """Plausible pairs between components among the index pairs (i, j), most similar first; the share of equal registers is a first look only."""
     ok = (comps[i] != comps[j]) & (ids[i] != ids[j]) & (np.minimum(n[i], n[j]) * q >= np.maximum(n[i], n[j]) * p)
     i, j = i[ok], j[ok]
     if not len(i):
         return i, j
-    est = np.concatenate([_equal_share(sig[i[s : s + PAIRS]], sig[j[s : s + PAIRS]]) for s in range(0, len(i), PAIRS)])
+    share = np.concatenate([(sig[i[s : s + PAIRS]] == sig[j[s : s + PAIRS]]).mean(1) for s in range(0, len(i), PAIRS)])
+    at = np.flatnonzero(share >= p / q - margin - SHARE)
+    i, j = i[at], j[at]
+    est = np.concatenate([np.zeros(0), *[estimate(sig[i[s : s + PAIRS]], sig[j[s : s + PAIRS]], n[i[s : s + PAIRS]], n[j[s : s + PAIRS]]) for s in range(0, len(i), PAIRS)]])
     at = np.flatnonzero(est >= p / q - margin)
     at = at[np.argsort(-est[at], kind="stable")]
     return i[at], j[at]
@@ -325,19 +348,19 @@ def _grouped(handle: Callable):
     return run
 
 
-def _dealt(rows: DataFrame, group: str, block: int) -> DataFrame:
+def _dealt(rows: DataFrame, group: str, block: int, hashes: int) -> DataFrame:
     """group, kind, l, r, id, comp, core, block: a row for each pair of blocks a member is compared in.
 
     Kind 0 compares blocks of members outside the group's largest component (the
     core) with each other, kind 1 such a block with a block of the core, so the
     core is sent once for each block of the others.  Groups of one component go.
     """
-    parts = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("n"))
-    size = parts.groupBy(group).agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    blocks = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("long")
-    size = written(size.select(group, F.col("top.comp").alias("top"), blocks(F.col("top.n")).alias("cores"), blocks(F.col("n") - F.col("top.n")).alias("rests")), "group-sizes")
-    size = maybe_broadcast(size, 2 * size.count())
-    dealt = rows.join(size, group).withColumn("core", (F.col("comp") == F.col("top")).cast("int"))
+    parts = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("h"))
+    size = parts.groupBy(group).agg(F.max(F.struct("n", "comp", "h")).alias("top"), F.sum("n").alias("n"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda n, h: F.greatest(F.ceil(n / block), F.ceil(h / hashes), F.lit(1)).cast("long")
+    rest = blocks(F.col("n") - F.col("top.n"), F.col("h") - F.col("top.h"))
+    size = written(size.select(group, F.col("top.comp").alias("top"), blocks(F.col("top.n"), F.col("top.h")).alias("cores"), rest.alias("rests"), F.col("n").alias("rows")), "group-sizes")
+    dealt = spread_join(rows.drop("n"), size, [group], [F.col("id")], rows=3 * size.count(), n="rows").withColumn("core", (F.col("comp") == F.col("top")).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.when(F.col("core") == 1, F.col("cores")).otherwise(F.col("rests"))))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     pair = lambda kind, l, r: F.struct(F.lit(kind).alias("kind"), l.alias("l"), r.alias("r"))  # noqa: E731, E741
@@ -381,32 +404,33 @@ def _index_pairs(bounds: np.ndarray, kind, left, right, core, blocks):
         yield tuple(x.ravel() for x in np.meshgrid(i, j, indexing="ij"))
 
 
-def _block_pairs(t, bounds, p: int, q: int, margin: float):
+def _block_pairs(t, bounds, p: int, q: int, margin: float, estimate: Callable):
     """ids, comps and runs of plausible index pairs between components of a table in the form of :func:`_dealt` with n and sig."""
     kind, left, right, ids, comps, core, blocks, n = (t.column(k).to_numpy() for k in range(1, 9))
     sig = _sigs(t.column(9).chunk(0))
-    return ids, comps, (_apart(i, j, ids, comps, n, sig, p, q, margin) for i, j in _index_pairs(bounds, kind, left, right, core, blocks))
+    return ids, comps, (_apart(i, j, ids, comps, n, sig, p, q, margin, estimate) for i, j in _index_pairs(bounds, kind, left, right, core, blocks))
 
 
-def plausible(rows: DataFrame, sigs: DataFrame, threshold: tuple[int, int], margin: float) -> DataFrame:
+def plausible(rows: DataFrame, sigs: DataFrame, estimate: Callable, threshold: tuple[int, int], margin: float) -> DataFrame:
     """A spanning forest of a task's plausible links between components in pairs of blocks of its buckets. ``rows``: key, id, comp."""
     p, q = threshold
 
     def handle(t, bounds, forest):
-        ids, comps, runs = _block_pairs(t, bounds, p, q, margin)
+        ids, comps, runs = _block_pairs(t, bounds, p, q, margin, estimate)
         return [(min(x, y), max(x, y)) for i, j in runs for x, y, a, b in zip(ids[i].tolist(), ids[j].tolist(), comps[i].tolist(), comps[j].tolist()) if forest.join(a, b)]
 
-    dealt = _dealt(rows, "key", LIGHT_BLOCK).join(sigs, "id").select("key", "kind", "l", "r", "id", "comp", "core", "block", "n", "sig")
+    sized = rows.withColumn("n", F.lit(0).cast("long"))
+    dealt = _dealt(sized, "key", LIGHT_BLOCK, BLOCK_HASHES).join(sigs, "id").select("key", "kind", "l", "r", "id", "comp", "core", "block", "n", "sig")
     dealt = dealt.repartition("key", "kind", "l", "r").sortWithinPartitions("key", "kind", "l", "r", "id")
     return dealt.mapInArrow(tidied(_grouped(handle)), "a long, b long").distinct()
 
 
-def family_links(rows: DataFrame, facts: DataFrame, threshold: tuple[int, int], margin: float, decode: Callable) -> DataFrame:
+def family_links(rows: DataFrame, facts: DataFrame, estimate: Callable, threshold: tuple[int, int], margin: float, decode: Callable) -> DataFrame:
     """Confirmed links between the components of each family, a spanning forest per task. ``rows``: fam, id, comp."""
     p, q = threshold
 
     def handle(t, bounds, forest):
-        ids, comps, runs = _block_pairs(t, bounds, p, q, margin)
+        ids, comps, runs = _block_pairs(t, bounds, p, q, margin, estimate)
         items, out = t.column(10), []
         for i, j in runs:
             # what earlier runs have joined is not compared again
@@ -419,16 +443,17 @@ def family_links(rows: DataFrame, facts: DataFrame, threshold: tuple[int, int],
                     out.append((min(int(ids[a]), int(ids[b])), max(int(ids[a]), int(ids[b]))))
         return out
 
-    dealt = _dealt(rows, "fam", BLOCK).join(facts, "id").select("fam", "kind", "l", "r", "id", "comp", "core", "block", "n", "sig", "items")
+    sized = rows.join(facts.groupBy("id").agg(F.sum("n").alias("n")), "id")
+    dealt = _dealt(sized, "fam", BLOCK, BLOCK_HASHES).join(facts, "id").select("fam", "kind", "l", "r", "id", "comp", "core", "block", "n", "sig", "items")
     dealt = dealt.repartition("fam", "kind", "l", "r").sortWithinPartitions("fam", "kind", "l", "r", "id")
     return dealt.mapInArrow(tidied(_grouped(handle)), "a long, b long").distinct()
 
 
 def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     """(key, id, comp) of the buckets whose members lie in several components; in a bucket of two the only pair has been compared."""
-    rows = members.where("n > 2").select("key", "id").join(maybe_broadcast(comps, comps.count()), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    split = written(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "split-buckets")
-    return rows.join(maybe_broadcast(split, split.count()), "key")
+    rows = members.where("n > 2").select("key", "id", "n").join(maybe_broadcast(comps, comps.count()), "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    split = written(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("n").alias("size")).where("lo < hi").select("key", "size"), "split-buckets")
+    return spread_join(rows, split, ["key"], [F.col("id")], rows=split.count(), n="size").select("key", "id", "comp")
 
 
 def classes(nodes: DataFrame, facts_of: Callable[[DataFrame], DataFrame], estimate: Callable, *, threshold: tuple[int, int] = (80, 100), margin: float = 0.2, decode: Callable = as_hashes) -> DataFrame:
@@ -445,7 +470,7 @@ def classes(nodes: DataFrame, facts_of: Callable[[DataFrame], DataFrame], estima
     comps = written(connected_components(verify(tried, facts, estimate, threshold, margin, decode)), "components")
     rest = written(_open(members, comps), "open-buckets")
     discard(members)
-    near = written(plausible(rest, sigs, threshold, margin), "plausible")
+    near = written(plausible(rest, sigs, estimate, threshold, margin), "plausible")
     discard(rest)
     if near.isEmpty():
         return comps
@@ -454,7 +479,7 @@ def classes(nodes: DataFrame, facts_of: Callable[[DataFrame], DataFrame], estima
     inside = comps.where("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))
     families = connected_components(near.unionByName(inside)).select("id", F.col("comp").alias("fam"))
     rows = written(families.join(comps, "id", "left").select("fam", "id", F.coalesce("comp", "id").alias("comp")), "families")
-    links = written(family_links(rows, facts, threshold, margin, decode), "family-links")
+    links = written(family_links(rows, facts, estimate, threshold, margin, decode), "family-links")
     discard(facts, rows)
     if links.isEmpty():
         return comps

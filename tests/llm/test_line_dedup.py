@@ -3,7 +3,7 @@ from itertools import combinations
 
 import pytest
 
-from cairnspark.llm import line_dedup, queries, simjoin
+from cairnspark.llm import common, line_dedup, queries, simjoin
 
 
 def grams(line, k=line_dedup.SHINGLE):
@@ -11,11 +11,11 @@ def grams(line, k=line_dedup.SHINGLE):
 
 
 def brute(docs, least=20):
-    """doc to kept text, by comparing all pairs of lines that share a shingle."""
+    """doc to kept text, by comparing all pairs of lines that share a shingle; shorter lines have none."""
     places = {}
     for d, t in docs:
         for p, line in enumerate(t.split("\n") if t is not None else []):
-            if len(line.strip(" ")) >= least:
+            if len(line.strip()) >= max(least, 1):
                 places.setdefault(line, []).append((d, p))
     lines = list(places)
     sets = [grams(x) for x in lines]
@@ -70,8 +70,26 @@ def test_against_all_pairs(spark):
 def test_repeated_nodes_of_a_packing(spark):
     """A node that repeats inside one packing doesn't hide another one of its key."""
     rows = [(a, k) for k in range(3000) for a in [(3 * k, 3 * k, 3 * k + 1), (3 * k + 1, 3 * k, 3 * k), (3 * k, 3 * k, 3 * k + 1, 3 * k + 1)][k % 3]]
-    nodes = spark.createDataFrame([(a, bytearray(k.to_bytes(8, "little"))) for a, k in rows], "id long, keys binary").coalesce(1)
-    assert {(r.key, r.id, r.n, r.m) for r in simjoin.buckets(nodes).collect()} == {(k, a, 2, 3 * k) for a, k in rows}
+    nodes = spark.createDataFrame([(a, bytearray((k << 33).to_bytes(8, "little"))) for a, k in rows], "id long, keys binary").coalesce(1)
+    assert sorted((r.id, r.n, r.m) for r in simjoin.buckets(nodes).collect()) == sorted({(a, 2, 3 * k) for a, k in rows})
+
+
+@pytest.mark.parametrize("least", [0, 5])
+def test_short_lines(spark, least):
+    """Lines of less than a shingle are compared for equality; blank ones are always kept."""
+    docs = made(5) + [(60, "short\na b\n\t\n "), (61, "a b\nshort\n\t\n "), (62, "\t\t ab \t\t\t\t\t\t\t\t\t\t\t\t\t\t\t\t")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_chars=least).collect()
+    assert {r.doc_id: r.text for r in out} == brute(docs, least)
+
+
+@pytest.mark.parametrize("hot", [1024, 8])
+def test_shuffled_joins_give_the_same(spark, monkeypatch, hot):
+    """No broadcast at all, and one line in every text."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT", hot)
+    docs = [(i, f"{t}\none line that stands in every text" if t is not None else t) for i, t in made(7)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.text for r in out} == brute(docs)
 
 
 def test_query(spark, sf):
@@ -98,4 +116,4 @@ def test_null_and_empty(spark, awkward, empty):
 
 def test_least_length():
     with pytest.raises(ValueError):
-        line_dedup.dedup_lines(None, min_chars=3)
+        line_dedup.dedup_lines(None, min_chars=-1)

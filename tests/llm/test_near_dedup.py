@@ -3,8 +3,9 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 
-from cairnspark.llm import near_dedup, queries
+from cairnspark.llm import common, near_dedup, queries, simjoin
 from cairnspark.llm.components import connected_components
 
 
@@ -67,6 +68,18 @@ def test_chains_near_the_threshold(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.components(df, shingle=k).collect()} == brute(rows, k)
 
 
+@pytest.mark.parametrize("hot", [1024, 8])
+def test_shuffled_joins_give_the_same(spark, monkeypatch, hot):
+    """No broadcast at all, small blocks and one text in a third of all rows."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT", hot)
+    for name, value in (("LIGHT_BLOCK", 5), ("BLOCK", 3), ("STAR_BLOCK", 4), ("SLICE_ROWS", 50)):
+        monkeypatch.setattr(simjoin, name, value)
+    rows = chains(6) + [(i, "one text that many rows hold as it is") for i in range(1000, 1060)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.components(df, shingle=4).collect()} == brute(rows, 4)
+
+
 def test_large_family_is_whole(spark):
     """A family larger than a block, whose members link to some of the others only."""
     r = random.Random(1)
