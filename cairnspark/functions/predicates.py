@@ -82,7 +82,7 @@ class InVariant:
         elif isinstance(value, bool):
             found = F.when(self.is_bool, self._as("boolean") == F.lit(value))
         elif isinstance(value, (list, dict)):
-            found = F.to_json(self.value) == F.lit(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+            found = same_json(self.value, value)
         else:
             found = self._typed(value, lambda a, b: a == b)
         return F.coalesce(found, F.lit(False))
@@ -93,6 +93,30 @@ class InVariant:
         return F.coalesce(self._typed(value, _ORDER[op]), F.lit(False))
 
 
+def same_json(x: Column, value: Any) -> Column:
+    """Whether a variant equals a JSON value member by member; inside a structure an integer and a float are different."""
+    kind, part = F.schema_of_variant(x), lambda t: F.try_variant_get(x, "$", t)
+    if value is None:
+        return F.coalesce(F.is_variant_null(x), F.lit(False))
+    if isinstance(value, bool):
+        return F.coalesce(part("boolean") == F.lit(value), F.lit(False)) & (kind == "BOOLEAN")
+    if isinstance(value, str):
+        return F.coalesce(part("string") == F.lit(value), F.lit(False)) & (kind == "STRING")
+    if isinstance(value, int):
+        whole = kind.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))$")
+        return whole & F.coalesce(part("decimal(38,0)") == F.lit(str(value)).cast("decimal(38,0)"), F.lit(False))
+    if isinstance(value, float):
+        return kind.rlike(r"^(DOUBLE|FLOAT|DECIMAL\(\d+,[1-9]\d*\))$") & F.coalesce(part("double") == F.lit(value), F.lit(False))
+    if isinstance(value, list):
+        items, shape = part("array<variant>"), "^ARRAY"
+        parts = [same_json(F.get(items, F.lit(i)), v) for i, v in enumerate(value)]
+    else:
+        items, shape = part("map<string,variant>"), "^OBJECT"
+        parts = [same_json(F.try_element_at(items, F.lit(k)), v) for k, v in value.items()]
+    same = kind.rlike(shape) & F.coalesce(F.size(items) == len(value), F.lit(False))
+    return F.coalesce(reduce(lambda a, b: a & b, parts, same), F.lit(False))
+
+
 def kind_of(sql_type: str) -> str | None:
     if sql_type == "string":
         return "string"
@@ -171,3 +195,36 @@ def constrained_fields(tree: Mapping) -> set[str] | None:
         found = [constrained_fields(t) for t in body]
         return set().union(*found) if found and None not in found else None
     return {body["field"]} if op in ("eq", "in", "lt", "lte", "gt", "gte") else None
+
+
+#: Bounds as a double column may see them: rounding to double keeps order but not strictness.
+_LOOSE = {"lt": "lte", "gt": "gte", "lte": "lte", "gte": "gte"}
+
+
+def narrowing(tree: Mapping | str | bytes | None, fields: Mapping[str, Typed]) -> Column | None:
+    """A condition on typed columns that every row of ``tree`` satisfies, for the scan; None if there is none.
+
+    A typed column holds the values of one type only and numbers as doubles, so it
+    never decides: the exact filter follows on what is left.
+    """
+    if isinstance(tree, (str, bytes)):
+        tree = json.loads(tree)
+    if not isinstance(tree, Mapping) or len(tree) != 1:
+        return None
+    (op, body), = tree.items()
+    if op in ("and", "or"):
+        parts = [narrowing(t, fields) for t in body]
+        if op == "and":
+            parts = [x for x in parts if x is not None]
+            return reduce(lambda a, b: a & b, parts) if parts else None
+        return reduce(lambda a, b: a | b, parts) if parts and all(x is not None for x in parts) else None
+    x = fields.get(body["field"]) if op in ("eq", "in", "lt", "lte", "gt", "gte") and isinstance(body, Mapping) and isinstance(body.get("field"), str) else None
+    if x is None:
+        return None
+    values = body.get("values", []) if op == "in" else [body.get("value")]
+    if not all(isinstance(v, str) if x.kind == "string" else _number(v) for v in values):
+        return None
+    values = [float(v) if x.kind == "number" else v for v in values]
+    if op in ("eq", "in"):
+        return x.column.isin(*values) if values else F.lit(False)
+    return _ORDER[_LOOSE[op]](x.column, F.lit(values[0]))

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .quantize import ProductQuantizer, kmeans, nearest
+from ..plans.table import Files
+from .quantize import ProductQuantizer, kmeans, kmeans_tree, nearest
 from .search import distances, exact_keys, final_ranks, matrix, top_k_by_task
 
-TRAIN_ROWS = 262_144
+#: Rows that centroids are trained on at most, and their bytes on the driver.
+TRAIN_ROWS, TRAIN_BYTES = 262_144, 256 << 20
 #: A cell is split beyond this many rows and merged below that many.
 SPLIT_ROWS, MERGE_ROWS = 256, 16
 #: Rows of a neighbour graph at most: all of them are looked at as neighbours of each.
@@ -27,12 +29,15 @@ def cell_count(n: int) -> int:
 
 
 def _sample(points: DataFrame, vector_col: str) -> np.ndarray:
-    rows = points.select(F.col(vector_col).cast("array<double>").alias("v")).orderBy(F.xxhash64("v")).limit(TRAIN_ROWS).toPandas()["v"]  # a bounded sample
-    return np.array(rows.tolist(), float)
+    """A sample bounded in rows and bytes, the same at each run."""
+    first = points.select(F.size(vector_col).alias("n")).first()
+    rows = max(1, min(TRAIN_ROWS, TRAIN_BYTES // (8 * max(first["n"], 1)))) if first else 0
+    held = points.select(F.col(vector_col).cast("array<double>").alias("v")).orderBy(F.xxhash64("v")).limit(rows).toPandas()["v"]
+    return np.array(held.tolist(), float)
 
 
 def assign(v: Column, centroids: np.ndarray) -> Column:
-    """Nearest cell of each vector, by Arrow batch and matrix product."""
+    """Nearest cell of each vector, by Arrow batch and blocks of a distance matrix."""
     import pandas as pd
 
     def run(batch):
@@ -41,9 +46,17 @@ def assign(v: Column, centroids: np.ndarray) -> Column:
     return F.pandas_udf(run, "int")(v)
 
 
+def _laid_out(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write rows as cell folders; ranges of (cell, vector), so a crowded cell is cut over several tasks and files."""
+    rows.repartitionByRange("cell", F.xxhash64("vector")).sortWithinPartitions("cell").write.mode(mode).partitionBy("cell").parquet(path)
+
+
 @dataclass
 class CellIndex:
-    """Centroids (at most 65 536) and the table that is laid out by cell."""
+    """Centroids (at most 65 536) and the table that is laid out by cell.
+
+    Rows carry ``born``, the number of removals before them; a removal stores ids with its own number and hides older rows of them.
+    """
 
     path: str
     centroids: np.ndarray
@@ -58,16 +71,31 @@ class CellIndex:
         unit = metric == "cosine"
         points = points.withColumn("_v", V.normalize(F.col(vector_col)) if unit else F.col(vector_col).cast("array<double>"))
         x = _sample(points, "_v")
-        centroids = kmeans(x, min(cells or cell_count(points.count()), len(x)), iterations, seed)
+        centroids = kmeans_tree(x, min(cells or cell_count(points.count()), len(x)), iterations, seed)
         coder = ProductQuantizer.train(points, pq, vector_col="_v", seed=seed) if pq else None
-        rows = points.withColumn("cell", assign(F.col("_v"), centroids))
+        rows = points.withColumn("cell", assign(F.col("_v"), centroids)).withColumn("born", F.lit(0))
         if coder:
             rows = rows.withColumn("code", coder.encode(F.col("_v")))
-        rows.drop("_v").repartition("cell").write.partitionBy("cell").parquet(path)
-        spark = points.sparkSession
-        meta = {"metric": metric, "centroids": centroids.tolist(), "books": coder.books.tolist() if coder else None}
-        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(path + "_centroids")
-        return CellIndex(path, centroids, metric, coder)
+        _laid_out(rows.drop("_v") if vector_col == "vector" else rows.drop("_v").withColumn("vector", F.col(vector_col)), path)
+        return CellIndex(path, centroids, metric, coder)._described(points.sparkSession)
+
+    def _described(self, spark: SparkSession) -> CellIndex:
+        meta = {"metric": self.metric, "centroids": self.centroids.tolist(), "books": self.pq.books.tolist() if self.pq else None}
+        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(self.path + "_centroids")
+        return self
+
+    def _removals(self, spark: SparkSession) -> list[str]:
+        return Files(spark, self.path + "_gone").names("")
+
+    def rows(self, spark: SparkSession, cells: Sequence[int] | None = None, id_col: str = "id") -> DataFrame:
+        """Live rows, of the given cells or all."""
+        rows = spark.read.parquet(self.path)
+        if cells is not None:
+            rows = rows.where(F.col("cell").isin(list(cells)))
+        if gone := self._removals(spark):
+            dead = spark.read.parquet(*[f"{self.path}_gone/{n}" for n in gone]).groupBy(F.col("id").alias("_id")).agg(F.max("died").alias("_died"))
+            rows = rows.join(dead, (F.col(id_col) == F.col("_id")) & (F.col("_died") > F.col("born")), "left_anti")
+        return rows.drop("born")
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> CellIndex:
@@ -80,11 +108,13 @@ class CellIndex:
             q = q / np.linalg.norm(q)
         return np.argsort(((self.centroids - q) ** 2).sum(1), kind="stable")[:nprobe].tolist()
 
-    def search(self, spark: SparkSession, query: Sequence[float], k: int = 10, *, nprobe: int = 64, rerank: bool = True, factor: int = 4, id_col: str = "id", vector_col: str = "vector", where: Column | None = None) -> DataFrame:
-        """Top-k in the nprobe nearest cells (a partition filter); codes rank first if there are any, then exact scores."""
-        rows = spark.read.parquet(self.path).where(F.col("cell").isin(self.probe(query, nprobe)))
+    def search(self, spark: SparkSession, query: Sequence[float], k: int = 10, *, nprobe: int = 64, rerank: bool = True, factor: int = 4, id_col: str = "id", vector_col: str = "vector", where: Column | None = None, without: DataFrame | None = None) -> DataFrame:
+        """Top-k in the nprobe nearest cells (a partition filter); codes rank first if there are any, then exact scores. ``without``: ids to leave out."""
+        rows = self.rows(spark, self.probe(query, nprobe), id_col)
         if where is not None:
             rows = rows.where(where)
+        if without is not None:
+            rows = rows.join(without, id_col, "left_anti")
         if self.pq is not None:
             approx = self.pq.score(F.col("code"), query, "cosine" if self.metric == "cosine" else "l2")
             rows = rows.withColumn("score", approx).orderBy(V.sort_key(self.metric, F.col("score")), id_col).limit(k * factor if rerank else k)
@@ -92,6 +122,28 @@ class CellIndex:
                 return rows
         return rows.withColumn("score", V.score(self.metric, F.col(vector_col), query)).orderBy(V.sort_key(self.metric, F.col("score")), id_col).limit(k)
 
+    def _nearest(self, nprobe: int):
+        """Function from a matrix of vectors to their nprobe nearest cells."""
+        centroids, metric = self.centroids, self.metric
+        nprobe = min(nprobe, len(centroids))
+
+        def run(q):
+            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if metric == "cosine" else q
+            return np.argsort(distances("l2", q, centroids), axis=1, kind="stable")[:, :nprobe]
+
+        return run
+
+    def nearest_cells(self, v: Column, nprobe: int) -> Column:
+        """Array of the nprobe nearest cells of a vector column, by Arrow batch."""
+        import pandas as pd
+
+        cells = self._nearest(nprobe)
+
+        def run(batch):
+            return pd.Series(list(cells(np.array(batch.tolist(), float)).astype("int32")) if len(batch) else [], dtype=object)
+
+        return F.pandas_udf(run, "array<int>")(v)
+
     def join(self, queries: DataFrame, k: int = 10, *, nprobe: int = 64, id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
         """(query_id, id, score, rank): the k nearest of each query's nprobe nearest cells, with exact scores.
 
@@ -100,18 +152,9 @@ class CellIndex:
         """
         spark, metric, centroids = queries.sparkSession, self.metric, self.centroids
         nprobe = min(nprobe, len(centroids))
-
-        def nearest_cells(q):
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if metric == "cosine" else q
-            return np.argsort(distances("l2", q, centroids), axis=1, kind="stable")[:, :nprobe]
-
-        def cells_of(batch):
-            import pandas as pd
-
-            return pd.Series(list(nearest_cells(np.array(batch.tolist(), float)).astype("int32")) if len(batch) else [], dtype=object)
-
-        probed = queries.select(F.explode(F.pandas_udf(cells_of, "array<int>")(F.col(query_vector))).alias("c")).distinct().collect()  # at most one row for each cell
-        rows = spark.read.parquet(self.path).where(F.col("cell").isin([r["c"] for r in probed]))
+        nearest_cells = self._nearest(nprobe)
+        probed = queries.select(F.explode(self.nearest_cells(F.col(query_vector), nprobe)).alias("c")).distinct().collect()  # at most one row for each cell
+        rows = self.rows(spark, [r["c"] for r in probed], id_col)
 
         def keys(_, q, data):
             x, cell = data
@@ -127,41 +170,73 @@ class CellIndex:
     def append(self, points: DataFrame, vector_col: str = "vector") -> None:
         """Add rows to the cells nearest to them."""
         v = V.normalize(F.col(vector_col)) if self.metric == "cosine" else F.col(vector_col).cast("array<double>")
-        rows = points.withColumn("cell", assign(v, self.centroids))
+        rows = points.withColumn("cell", assign(v, self.centroids)).withColumn("born", F.lit(len(self._removals(points.sparkSession))))
         if self.pq is not None:
             rows = rows.withColumn("code", self.pq.encode(v))
-        rows.repartition("cell").write.mode("append").partitionBy("cell").parquet(self.path)
+        _laid_out(rows, self.path, "append")
+
+    def remove(self, ids: DataFrame, id_col: str = "id") -> None:
+        """Hide the rows that these ids have so far; :meth:`rebalanced` drops them."""
+        spark = ids.sparkSession
+        number = len(self._removals(spark)) + 1
+        ids.select(F.col(id_col).alias("id"), F.lit(number).alias("died")).distinct().write.parquet(f"{self.path}_gone/{number:09d}")
+
+    def insert(self, points: DataFrame) -> None:
+        """Insert or replace rows by id."""
+        self.remove(points.select("id"))
+        self.append(points)
 
     def sizes(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        return self.rows(spark).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+    def rebalance_due(self, spark: SparkSession, *, split: int = SPLIT_ROWS, merge: int = MERGE_ROWS) -> bool:
+        return not self.sizes(spark).where((F.col("n") > split) | (F.col("n") < merge)).isEmpty()
 
     def rebalanced(self, spark: SparkSession, path: str, *, split: int = SPLIT_ROWS, merge: int = MERGE_ROWS, seed: int = 1, vector_col: str = "vector") -> CellIndex:
-        """A new layout: crowded cells get a second centroid, sparse cells lose theirs, rows go to the nearest."""
+        """A new layout without removed rows: crowded cells are cut by 2-means and more, sparse cells lose their centroid.
+
+        All crowded cells are cut in one job, each on a bounded sample of its rows.  Rows of cells that stay keep
+        their cell unless a new centroid is nearer.
+        """
         size = {r["cell"]: r["n"] for r in self.sizes(spark).collect()}  # a row per cell
-        points = spark.read.parquet(self.path).drop("cell", "code")
+        rows = self.rows(spark).drop("cell", "code")
         v = V.normalize(F.col(vector_col)) if self.metric == "cosine" else F.col(vector_col).cast("array<double>")
-        out = []
-        for c, centre in enumerate(self.centroids):
-            n = size.get(c, 0)
-            if n > split:
-                x = np.array(spark.read.parquet(self.path).where(F.col("cell") == c).select(v.alias("v")).orderBy(F.xxhash64("v")).limit(4 * split).toPandas()["v"].tolist(), float)  # bounded sample of one cell
-                out += list(kmeans(x, 2, 10, seed))
-            elif n >= merge:
-                out.append(centre)
+        crowded = {c: n for c, n in size.items() if n > split}
+        out = [centre for c, centre in enumerate(self.centroids) if merge <= size.get(c, 0) <= split]
+        if crowded:
+            # a pseudo-random share of each crowded cell: about 8 x split rows
+            share = F.element_at(F.create_map(*[F.lit(x) for c, n in crowded.items() for x in (c, min(1.0, 8 * split / n))]), F.col("cell"))
+            some = self.rows(spark, list(crowded)).select("cell", v.alias("v")).where(F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(1 << 20)) < share * (1 << 20))
+            parts = {c: min(64, -(-n // split)) for c, n in crowded.items()}
+
+            def cut(pdf):
+                import pandas as pd
+
+                x = np.array(pdf["v"].tolist(), float)
+                return pd.DataFrame({"c": list(kmeans(x, min(parts[int(pdf["cell"].iloc[0])], len(x)), 10, seed))})
+
+            out += [np.array(r["c"]) for r in some.groupBy("cell").applyInPandas(cut, "c array<double>").collect()]  # centroids only
         centroids = np.array(out or [self.centroids.mean(0)])
-        rows = points.withColumn("cell", assign(v, centroids))
+        rows = rows.withColumn("cell", assign(v, centroids)).withColumn("born", F.lit(0))
         if self.pq is not None:
             rows = rows.withColumn("code", self.pq.encode(v))
-        rows.repartition("cell").write.partitionBy("cell").parquet(path)
-        meta = {"metric": self.metric, "centroids": centroids.tolist(), "books": self.pq.books.tolist() if self.pq else None}
-        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(path + "_centroids")
-        return CellIndex(path, centroids, self.metric, self.pq)
+        _laid_out(rows, path)
+        return CellIndex(path, centroids, self.metric, self.pq)._described(spark)
 
 
 def token_candidates(index: CellIndex, spark: SparkSession, query: Sequence[Sequence[float]], nprobe: int, doc_col: str = "doc_id") -> DataFrame:
     """Documents with a token in a cell near some query token (late interaction's candidate step)."""
     cells = sorted({c for q in query for c in index.probe(q, nprobe)})
-    return spark.read.parquet(index.path).where(F.col("cell").isin(cells)).select(doc_col).distinct()
+    return index.rows(spark, cells, doc_col).select(doc_col).distinct()
+
+
+def token_candidates_of(index: CellIndex, queries: DataFrame, nprobe: int, *, doc_col: str = "doc_id", query_id: str = "query_id", vector_col: str = "vector") -> DataFrame:
+    """(doc_id, queries): for each document the queries that have a token whose nearest cells hold one of its tokens."""
+    asked = queries.select(query_id, F.explode(index.nearest_cells(F.col(vector_col), nprobe)).alias("cell")).distinct()
+    held = index.rows(queries.sparkSession, None, doc_col).select("cell", doc_col).distinct()
+    # queries of a cell are one array, so a cell of many documents is not multiplied by its queries before the last step
+    by_cell = asked.groupBy("cell").agg(F.collect_set(query_id).alias("asked"))
+    return held.join(by_cell, "cell").groupBy(doc_col).agg(F.array_distinct(F.flatten(F.collect_list("asked"))).alias("queries"))
 
 
 def _links(y: np.ndarray, degree: int, seed: int) -> list[list[int]]:

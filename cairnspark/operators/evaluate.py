@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .search import knn_join
@@ -21,13 +21,33 @@ def mean_recall(recalls: DataFrame) -> DataFrame:
     return recalls.agg(F.coalesce(F.avg("recall"), F.lit(0.0)).alias("mean_recall"))
 
 
+#: Distinct values a percentile sorts in one place at most; more are narrowed down first.
+SORTED = 1_000_000
+ACCURACY = 10_000
+
+
 def percentile_nearest(values: DataFrame, column: str, p: float) -> DataFrame:
-    """Order statistic at round(p / 100 * (n - 1)), halves to even, without gathering the values."""
-    n = values.where(F.col(column).isNotNull()).count()
+    """Order statistic at round(p / 100 * (n - 1)), halves to even, without gathering the values.
+
+    A quantile sketch gives bounds around the place, exact counts make them sure,
+    and only the values between them are sorted, with equal ones counted once;
+    while these are many, a sketch of them narrows further.
+    """
+    x = values.select(F.col(column).cast("double").alias("value")).where("value is not null")
+    n = x.count()
     if not n:
-        return values.select(F.lit(None).cast("double").alias("value")).limit(1)
-    at = round(p / 100 * (n - 1))
-    return values.where(F.col(column).isNotNull()).orderBy(column).offset(at).limit(1).select(F.col(column).cast("double").alias("value"))
+        return values.sparkSession.createDataFrame([(None,)], "value double")
+    at, size = round(p / 100 * (n - 1)), n
+    while size > SORTED:
+        shares = [min(max(at / size + d, 0.0), 1.0) for d in (-2 / ACCURACY, 2 / ACCURACY)]
+        lo, hi = x.agg(F.percentile_approx("value", shares, ACCURACY).alias("b")).first()["b"]
+        below, inside = x.agg(F.count_if(F.col("value") < lo), F.count_if(F.col("value").between(lo, hi))).first()
+        if not below <= at < below + inside or inside == size:
+            break  # the sketch was off, or one value fills the range: equal values are counted once below
+        x, at, size = x.where(F.col("value").between(lo, hi)), at - below, inside
+    counts = x.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("value")))
+    return upto.where(F.col("upto") > at).orderBy("value").limit(1).select("value")
 
 
 def selectivity_mask(ident: Column, percent: int) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +111,13 @@ def normalise_scores(scores: DataFrame) -> DataFrame:
     return scores.crossJoin(s).select("id", F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.5).alias("score"))  # s has one row
 
 
+def random_axes(dim: int, seed: int = 0) -> tuple[list[float], list[float]]:
+    """Two seeded unit vectors with normal components."""
+    rng = np.random.default_rng(seed)
+    x, y = (v / np.linalg.norm(v) for v in rng.normal(size=(2, dim)))
+    return x.tolist(), y.tolist()
+
+
 def project_2d(points: DataFrame, x_axis: Sequence[float], y_axis: Sequence[float], *, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(id, x, y): dot products with two axes, each scaled to [0, 1] (0.5 if flat)."""
     p = points.select(F.col(id_col).alias("id"), V.dot(F.col(vector_col), x_axis).alias("x"), V.dot(F.col(vector_col), y_axis).alias("y"))

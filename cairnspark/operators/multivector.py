@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .search import ranked, where
+from .search import Best, matrix, ranked, where
 
 SEPARATOR = "\x1f"
 
@@ -67,32 +68,89 @@ def max_sim_scores(tokens: DataFrame, query: Sequence[Sequence[float]], metric:
 
 
 #: Query tokens scored in one pass over the documents' tokens.
-TOKENS = 64
+TOKENS = 1024
 
 
-def join(tokens: DataFrame, queries: DataFrame, k: int = 10, *, metric: str = "cosine", query_id: str = "query_id") -> DataFrame:
-    """(query_id, doc_id, score, rank) by MaxSim for a bounded set of queries (query_id, ordinal, vector).
+def join(tokens: DataFrame, queries: DataFrame, k: int = 10, *, metric: str = "cosine", query_id: str = "query_id", allowed: str | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank) by MaxSim for a set of queries (query_id, ordinal, vector).
 
-    Blocks of queries are literals of one pass each, so a document of any number
-    of tokens is reduced to one partial row in every task.
+    Tokens are dealt by document and stream through a task in document order; a
+    batch is scored against a block of query tokens by one matrix product, a
+    document's best similarities are carried from batch to batch, and a task sends
+    its k best documents of each query to the final ranking.  Queries come to the
+    workers in blocks of about :data:`TOKENS` tokens, each a pass.  ``allowed``: a
+    column of ``tokens`` with the array of query ids that a document is a candidate of.
     """
-    held: dict = {}
-    for r in queries.orderBy(query_id, "ordinal").collect():  # the query set is a request
-        held.setdefault(r[query_id], []).append(r["vector"])
-    blocks: list[list] = []
-    for name, vectors in held.items():
-        if not blocks or sum(len(v) for _, v in blocks[-1]) + len(vectors) > TOKENS:
-            blocks.append([])
-        blocks[-1].append((name, vectors))
-    kind, out = dict(queries.dtypes)[query_id], None
-    for block in blocks:
-        best = tokens.groupBy("doc_id").agg(*[F.max(V.score(metric, F.col("vector"), v)).alias(f"q{i}_{j}") for i, (_, vs) in enumerate(block) for j, v in enumerate(vs)])
-        scores = F.array(*[F.struct(F.lit(name).cast(kind).alias("query_id"), sum((F.col(f"q{i}_{j}") for j in range(1, len(vs))), F.col(f"q{i}_0")).alias("score")) for i, (name, vs) in enumerate(block)])
-        rows = best.select("doc_id", F.explode(scores).alias("s")).select("s.query_id", "doc_id", "s.score")
+    spark, kinds, qkind = tokens.sparkSession, dict(tokens.dtypes), dict(queries.dtypes)[query_id]
+    schema = f"query_id {qkind}, doc_id {kinds['doc_id']}, key double"
+    dealt = tokens.where("vector is not null").select("doc_id", F.col("vector").cast("array<double>").alias("vector"), *([F.col(allowed).alias("allowed")] if allowed else []))
+    dealt = dealt.repartition("doc_id").sortWithinPartitions("doc_id")
+    parts, out = max(1, -(-queries.count() // TOKENS)), None
+    for part in range(parts):
+        block = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(parts)) == part)
+        held = block.orderBy(query_id, "ordinal").select(query_id, F.col("vector").cast("array<double>")).collect()  # about TOKENS rows, whole queries
+        if not held:
+            continue
+        names = list(dict.fromkeys(r[0] for r in held))
+        place = {x: i for i, x in enumerate(names)}
+        starts = [i for i, r in enumerate(held) if i == 0 or held[i - 1][0] != r[0]]
+        share = spark.sparkContext.broadcast((names, place, np.array(starts), np.array([r[1] for r in held], float)))
+
+        def run(batches, share=share):
+            import pyarrow as pa
+
+            names, place, starts, q = share.value
+            unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            if metric == "cosine":
+                q = unit(q)
+            best, schema = Best(len(names), k), None
+            last: tuple | None = None
+
+            def done(docs, top, asked):
+                """Finished documents with their best similarities (query tokens x documents)."""
+                key = -np.add.reduceat(top, starts, axis=0)
+                if allowed:
+                    mask = np.ones(key.shape, bool)
+                    for j, ids in enumerate(asked):
+                        mask[[place[x] for x in ids or [] if x in place], j] = False
+                    key[mask] = np.inf
+                ids = np.array(docs, object)
+                for i, row in enumerate(key):
+                    at = np.flatnonzero((row <= best.bound(i)) & (row < np.inf))
+                    if len(at) > k:
+                        at = at[row[at] <= np.partition(row[at], k - 1)[k - 1]]
+                    if len(at):
+                        best.add(i, row[at], ids[at])
+
+            for b in batches:
+                schema = b.schema
+                if not b.num_rows:
+                    continue
+                x = matrix(b.column(1))
+                s = q @ (unit(x) if metric == "cosine" else x).T
+                docs = b.column(0).to_pylist()
+                cuts = [i for i, d in enumerate(docs) if i == 0 or docs[i - 1] != d]
+                top = np.maximum.reduceat(s, cuts, axis=1)
+                names_here = [docs[i] for i in cuts]
+                asked = b.column(2).take(pa.array(cuts)).to_pylist() if allowed else [None] * len(cuts)
+                if last is not None and last[0] == names_here[0]:
+                    top[:, 0] = np.maximum(top[:, 0], last[1])
+                elif last is not None:
+                    done([last[0]], last[1][:, None], [last[2]])
+                if len(cuts) > 1:
+                    done(names_here[:-1], top[:, :-1], asked[:-1])
+                last = (names_here[-1], top[:, -1].copy(), asked[-1])
+            if last is not None:
+                done([last[0]], last[1][:, None], [last[2]])
+            if schema is not None:
+                at, ids, keys = best.rows()
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at.tolist()]), pa.array(ids.tolist(), schema.field(0).type), pa.array(keys, pa.float64())], names=["query_id", "doc_id", "key"])
+
+        rows = dealt.mapInArrow(run, schema)
         out = rows if out is None else out.unionByName(rows)
     if out is None:
-        out = tokens.select(F.lit(None).cast(kind).alias("query_id"), "doc_id", F.lit(0.0).alias("score")).limit(0)
-    return ranked(out, k, F.desc("score"), F.col("doc_id"), by=["query_id"])
+        out = spark.createDataFrame([], schema)
+    return ranked(out, k, F.col("key"), F.col("doc_id"), by=["query_id"]).select("query_id", "doc_id", (-F.col("key")).alias("score"), "rank")
 
 
 def search(tokens: DataFrame, query: Sequence[Sequence[float]], k: int = 10, *, metric: str = "cosine", tree=None) -> DataFrame:

@@ -160,9 +160,34 @@ class ProductQuantizer:
         return sum(parts[1:], parts[0])
 
 
+#: Cells of a distance matrix held at once (32 MB).
+MATRIX = 4 << 20
+
+
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """Index of the nearest centroid; the lowest on ties."""
-    return ((x**2).sum(1)[:, None] - 2 * x @ centroids.T + (centroids**2).sum(1)[None, :]).argmin(1)
+    """Index of the nearest centroid, the lowest on ties; the distance matrix is made a block of rows at a time."""
+    size = (centroids**2).sum(1)[None, :]
+    step = max(1, MATRIX // max(len(centroids), 1))
+    parts = [(size - 2 * x[s : s + step] @ centroids.T).argmin(1) for s in range(0, len(x), step)]
+    return np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64)
+
+
+#: Centroids trained at once; more are trained in two levels.
+FLAT = 512
+
+
+def kmeans_tree(x: np.ndarray, k: int, iterations: int, seed: int) -> np.ndarray:
+    """k centroids: by :func:`kmeans` up to :data:`FLAT`, else coarse ones first and each coarse part on its own, by its share of the rows."""
+    if k <= FLAT:
+        return kmeans(x, k, iterations, seed)
+    top = kmeans(x, int(np.ceil(np.sqrt(k))), iterations, seed)
+    at = nearest(x, top)
+    count = np.bincount(at, minlength=len(top))
+    share = np.minimum(np.maximum(1, np.floor(k * count / len(x))).astype(int), count)
+    # what rounding left over goes to the fullest parts
+    for c in np.argsort(-(count / np.maximum(share, 1)), kind="stable")[: max(0, k - share.sum())]:
+        share[c] += share[c] < count[c]
+    return np.concatenate([kmeans(x[at == c], n, iterations, seed + 1 + c) for c, n in enumerate(share.tolist()) if n])
 
 
 def kmeans(x: np.ndarray, k: int, iterations: int, seed: int) -> np.ndarray:

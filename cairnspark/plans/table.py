@@ -4,8 +4,13 @@ A collection folder holds ``segments/<name>`` (Parquet: id, op, lsn, vector,
 payload and promoted columns) and ``manifest/<version>.json``.  A commit writes
 its segment first and then creates the next manifest file, which fails if
 another writer made it meanwhile; so a version is visible whole or not at all,
-and a retried job leaves at most an unreferenced segment.  The live view is the
-row with the largest lsn of each id, without deletes.
+and a retried job leaves at most an unreferenced segment.
+
+A segment has one operation for each id, and a later segment's operation wins.
+The live view is the union of the segments' upserts, each without the ids of
+later segments: an anti-join with the small set of newer ids, through which
+filters reach every scan, and no vector is shuffled.  Promoted columns narrow a
+scan; the payload decides.
 
 Files are reached through Hadoop's file system API, so a collection may lie on
 any store Spark writes to.
@@ -15,17 +20,21 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.predicates import columns_of, compile_filter
-from ..schema import CollectionSpec, check_limit, check_name, promoted
+from ..functions.predicates import InVariant, columns_of, compile_filter, narrowing
+from ..schema import LIMITS, CollectionSpec, SpecError, check_limit, check_name, promoted
 
 #: Compaction is due at this many segments, or when half of the rows are dead.
 MAX_SEGMENTS, DEAD_SHARE = 8, 0.5
+#: Ids of newer segments are broadcast up to this many (the manifest counts them); beyond it the anti-join shuffles.
+NEWER_IDS = 1_000_000
 
 
 class ConflictError(RuntimeError):
@@ -77,12 +86,16 @@ class Files:
 
 @dataclass(frozen=True)
 class Manifest:
+    """One version: its segments with their rows, the largest lsn in them, and what made it."""
+
     version: int
     lsn: int
     segments: tuple[str, ...]
+    rows: tuple[int, ...] = ()
+    action: str = "create"
 
     def to_json(self) -> str:
-        return json.dumps({"version": self.version, "lsn": self.lsn, "segments": list(self.segments)})
+        return json.dumps({"version": self.version, "lsn": self.lsn, "segments": list(self.segments), "rows": list(self.rows), "action": self.action})
 
 
 def latest(ops: DataFrame, id_col: str = "id") -> DataFrame:
@@ -96,8 +109,11 @@ def latest(ops: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 class Collection:
-    def __init__(self, spark: SparkSession, root: str, spec: CollectionSpec):
+    """``observers`` are called with each manifest this object commits; ``auto_compact``: compact when a commit makes it due."""
+
+    def __init__(self, spark: SparkSession, root: str, spec: CollectionSpec, *, observers: Sequence[Callable[[Manifest], None]] = (), auto_compact: bool = False):
         self.spark, self.root, self.spec = spark, root, spec
+        self.observers, self.auto_compact = list(observers), auto_compact
         self.files = Files(spark, root)
 
     @staticmethod
@@ -119,7 +135,13 @@ class Collection:
         names = self.files.names("manifest")
         name = f"{version:012d}.json" if version is not None else [n for n in names if n.endswith(".json")][-1]
         d = json.loads(self.files.read(f"manifest/{name}"))
-        return Manifest(d["version"], d["lsn"], tuple(d["segments"]))
+        return Manifest(d["version"], d["lsn"], tuple(d["segments"]), tuple(d["rows"]), d["action"])
+
+    def log(self) -> DataFrame:
+        """The commits that have not been vacuumed: version, lsn, action, segments and rows of the newest segment."""
+        kept = [self.manifest(int(n[:12])) for n in self.files.names("manifest") if n.endswith(".json")]
+        rows = [(m.version, m.lsn, m.action, len(m.segments), m.rows[-1] if m.rows else 0) for m in kept]
+        return self.spark.createDataFrame(rows, "version long, lsn long, action string, segments int, rows long")
 
     def ops_schema(self) -> T.StructType:
         extra = [f for f in self.spec.struct().fields if f.name not in ("id", "vector", "payload")]
@@ -134,40 +156,72 @@ class Collection:
             vector = F.col("vector").cast("array<float>")
         fields = {}
         for path, kind in self.spec.filterable.items():
-            x = F.try_variant_get(F.parse_json(payload), "$." + path, "variant")
-            is_kind = F.schema_of_variant(x).rlike("^STRING$" if kind == "keyword" else "^(BIGINT|DECIMAL|DOUBLE)")
-            fields[promoted(path)] = F.when(is_kind, F.try_variant_get(x, "$", "string" if kind == "keyword" else "double"))
+            x = InVariant(F.parse_json(payload), path)
+            fields[promoted(path)] = F.when(x.is_string, x._as("string")) if kind == "keyword" else F.when(x.is_number, x._as("double"))
         return rows.select(F.col("id").cast("string").alias("id"), vector.alias("vector"), payload.alias("payload"), *([F.col("ord")] if "ord" in rows.columns else [])).withColumns(fields)
 
-    def _commit(self, ops: DataFrame, base: Manifest, replace: bool = False) -> Manifest:
-        name = f"segments/{base.version + 1:012d}-{uuid.uuid4().hex}"
-        ops.select(self.ops_schema().fieldNames()).sortWithinPartitions("id").write.parquet(f"{self.root}/{name}")
-        done = Manifest(base.version + 1, base.lsn + 1, (name,) if replace else (*base.segments, name))
+    def _write(self, ops: DataFrame, base: Manifest, suffix: str = "") -> tuple[str, int]:
+        """A segment of the next version and its rows (as its footers count them)."""
+        name = f"segments/{base.version + 1:012d}-{uuid.uuid4().hex}{suffix}"
+        ops.select(self.ops_schema().fieldNames()).write.parquet(f"{self.root}/{name}")
+        return name, self._segments([name]).count()
+
+    def _publish(self, done: Manifest) -> Manifest:
         self.files.create(self._manifest(done.version), done.to_json())
+        for tell in self.observers:
+            tell(done)
+        if self.auto_compact and done.action != "compact" and len(done.segments) > 1 and self.needs_compaction():
+            return self.compact()
         return done
 
+    def _commit(self, ops: DataFrame, base: Manifest, action: str, lsn: int | None = None) -> Manifest:
+        """Publish operations, one for each id, as the next version; ``lsn``: the largest among them."""
+        name, rows = self._write(ops.sortWithinPartitions("id"), base)
+        return self._publish(Manifest(base.version + 1, max(base.lsn, base.lsn + 1 if lsn is None else lsn), (*base.segments, name), (*base.rows, rows), action))
+
+    def _one_each(self, rows: DataFrame) -> DataFrame:
+        """Upserts in segment form with one row for each id."""
+        shaped = self._shape(rows)
+        if "ord" in shaped.columns:
+            cols = [c for c in shaped.columns if c not in ("id", "ord")]
+            return shaped.groupBy("id").agg(F.max_by(F.struct(*cols), "ord").alias("r")).select("id", "r.*")
+        # a look at the ids only: vectors are not shuffled
+        if not shaped.select("id").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            raise SpecError("ids repeat in the batch: give ord, by which the last of them wins")
+        return shaped
+
     def upsert(self, rows: DataFrame, *, bulk: bool = False) -> Manifest:
         """Insert or replace whole rows (id, vector, payload).
 
         A batch is one version; of equal ids in it the row with the largest ``ord``
-        wins (give ``ord`` where ids repeat: a DataFrame has no order of its own).
+        wins.  A DataFrame has no order of its own, so repeated ids without ``ord`` are an error.
         """
+        limit = "bulk" if bulk else "batch"
+        if limit == "batch":
+            check_limit(limit, rows.select("id").limit(LIMITS[limit] + 1).count())
+        return self.apply(upserts=rows, action="upsert")
+
+    def apply(self, *, upserts: DataFrame | None = None, deletes: DataFrame | None = None, action: str = "apply") -> Manifest:
+        """Upserts and deletes (by id) as one version; an id in both is upserted."""
         base = self.manifest()
-        shaped = self._shape(rows)
-        if "ord" in shaped.columns:
-            cols = [c for c in shaped.columns if c not in ("id", "ord")]
-            shaped = shaped.groupBy("id").agg(F.max_by(F.struct(*cols), "ord").alias("r")).select("id", "r.*")
-        if not bulk:
-            check_limit("batch", rows.limit(1001).count())
-        return self._commit(shaped.withColumns({"op": F.lit("upsert"), "lsn": F.lit(base.lsn + 1).cast("long")}), base)
+        parts = []
+        if upserts is not None:
+            parts.append(self._one_each(upserts).withColumns({"op": F.lit("upsert"), "lsn": F.lit(base.lsn + 1).cast("long")}).select(self.ops_schema().fieldNames()))
+        if deletes is not None:
+            gone = deletes.select(F.col("id").cast("string").alias("id")).distinct()
+            parts.append(self._gone(gone.join(parts[0].select("id"), "id", "left_anti") if parts else gone, base.lsn + 1))
+        return self._commit(reduce(DataFrame.unionByName, parts), base, action)
+
+    def _gone(self, ids: DataFrame, lsn: int) -> DataFrame:
+        nulls = {f.name: F.lit(None).cast(f.dataType) for f in self.ops_schema().fields if f.name not in ("id", "op", "lsn")}
+        return ids.select(F.col("id").cast("string").alias("id")).withColumns({"op": F.lit("delete"), "lsn": F.lit(lsn).cast("long"), **nulls}).select(self.ops_schema().fieldNames())
 
     def prepare_upsert(self, rows: DataFrame) -> DataFrame:
         """The checked operations an upsert would commit, for a log of one's own; nothing is written."""
         return self._shape(rows).withColumns({"op": F.lit("upsert"), "lsn": F.lit(self.manifest().lsn + 1).cast("long")}).select(self.ops_schema().fieldNames())
 
     def prepare_delete(self, ids: DataFrame) -> DataFrame:
-        nulls = {f.name: F.lit(None).cast(f.dataType) for f in self.ops_schema().fields if f.name not in ("id", "op", "lsn")}
-        return ids.select(F.col("id").cast("string").alias("id")).withColumns({"op": F.lit("delete"), "lsn": F.lit(self.manifest().lsn + 1).cast("long"), **nulls}).select(self.ops_schema().fieldNames())
+        return self._gone(ids, self.manifest().lsn + 1)
 
     def delete(self, ids: DataFrame) -> int:
         """Tombstone the given ids; the number of them that existed."""
@@ -179,9 +233,8 @@ class Collection:
 
     def _tombstones(self, hit: DataFrame) -> int:
         base = self.manifest()
-        nulls = {f.name: F.lit(None).cast(f.dataType) for f in self.ops_schema().fields if f.name not in ("id", "op", "lsn")}
-        done = self._commit(hit.withColumns({"op": F.lit("delete"), "lsn": F.lit(base.lsn + 1).cast("long"), **nulls}), base)
-        return self._segments(done.segments[-1:]).count()
+        done = self._commit(self._gone(hit, base.lsn + 1), base, "delete")
+        return done.rows[-1] if done.action == "delete" else self.manifest(base.version + 1).rows[-1]
 
     def _segments(self, names) -> DataFrame:
         if not names:
@@ -194,15 +247,26 @@ class Collection:
     def snapshot(self, version: int | None = None) -> DataFrame:
         """Live rows as of a version (the newest by default)."""
         m = self.manifest(version)
-        rows = self._segments(m.segments)
-        # one compacted segment has one row per id and no deletes
-        return rows.drop("op") if len(m.segments) == 1 and m.segments[0].endswith("-compact") else latest(rows)
+        parts = []
+        for i, name in enumerate(m.segments):
+            rows = self._segments([name]).where("op <> 'delete'").drop("op")
+            if newer := m.segments[i + 1 :]:
+                ids = self._segments(newer).select("id")
+                rows = rows.join(F.broadcast(ids) if sum(m.rows[i + 1 :]) <= NEWER_IDS else ids, "id", "left_anti")
+            parts.append(rows)
+        return reduce(DataFrame.unionByName, parts) if parts else self._segments(()).drop("op")
 
     def where(self, tree, version: int | None = None) -> DataFrame:
-        """Live rows that satisfy a JSON filter; declared fields use their typed columns."""
+        """Live rows that satisfy a JSON filter.
+
+        Declared fields narrow the scans by their typed columns; every row left is held against its payload, so declaring a
+        field never changes what is found.
+        """
         rows = self.snapshot(version)
         typed = {p: columns_of(rows.dtypes)[promoted(p)] for p in self.spec.filterable}
-        return rows.where(compile_filter(tree, typed, F.parse_json("payload")))
+        exact = compile_filter(tree, {}, F.parse_json("payload"))
+        few = narrowing(tree, typed) if tree is not None else None
+        return rows.where(exact) if few is None else rows.where(few).where(exact)
 
     def count(self) -> int:
         return self.snapshot().count()
@@ -212,19 +276,36 @@ class Collection:
         return self.ops().where(F.col("lsn") > lsn)
 
     def needs_compaction(self) -> bool:
+        """Whether segments or dead rows are many; the log's rows are counted by the manifest."""
         m = self.manifest()
-        total = self.ops().count()
+        total = sum(m.rows)
         return len(m.segments) >= MAX_SEGMENTS or total > 0 and (total - self.count()) >= DEAD_SHARE * total
 
-    def compact(self) -> Manifest:
-        """Rewrite the live rows as one segment; older versions stay readable until :meth:`vacuum`."""
+    def checkpoint(self) -> Manifest:
+        """Mark the present state in the log: a version with nothing new, from which a tail is read."""
         base = self.manifest()
-        rows = self.snapshot().withColumn("op", F.lit("upsert"))
-        name = f"segments/{base.version + 1:012d}-{uuid.uuid4().hex}-compact"
-        rows.select(self.ops_schema().fieldNames()).repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{self.root}/{name}")
-        done = Manifest(base.version + 1, base.lsn, (name,))
-        self.files.create(self._manifest(done.version), done.to_json())
-        return done
+        return self._publish(Manifest(base.version + 1, base.lsn, base.segments, base.rows, "checkpoint"))
+
+    def compact(self, tries: int = 3) -> Manifest:
+        """Rewrite the live rows as one segment; older versions stay readable until :meth:`vacuum`.
+
+        Writers go on meanwhile: segments they have added are kept behind the compacted one, and only the short
+        publication is tried again.
+        """
+        base = self.manifest()
+        rows = self.snapshot(base.version).withColumn("op", F.lit("upsert"))
+        name, n = self._write(rows.repartitionByRange("id").sortWithinPartitions("id"), base, "-compact")
+        for attempt in range(tries):
+            now = self.manifest()
+            if now.segments[: len(base.segments)] != base.segments:
+                raise ConflictError("the segments were compacted meanwhile")
+            k = len(base.segments)
+            try:
+                return self._publish(Manifest(now.version + 1, now.lsn, (name, *now.segments[k:]), (n, *now.rows[k:]), "compact"))
+            except ConflictError:
+                if attempt == tries - 1:
+                    raise
+        raise ConflictError(name)
 
     def vacuum(self) -> int:
         """Delete segments that the newest version does not name, and older manifests."""
@@ -244,9 +325,8 @@ class Collection:
             raise FileExistsError(dest)
         m = self.manifest()
         out = Collection.create(self.spark, dest, self.spec)
-        name = "segments/000000000001-backup-compact"
-        self.snapshot().withColumn("op", F.lit("upsert")).select(self.ops_schema().fieldNames()).write.mode("errorifexists").parquet(f"{dest}/{name}")
-        out.files.create(self._manifest(1), Manifest(1, m.lsn, (name,)).to_json())
+        name, rows = out._write(self.snapshot(m.version).withColumn("op", F.lit("upsert")), Manifest(0, 0, ()), "-compact")
+        out.files.create(self._manifest(1), Manifest(1, m.lsn, (name,), (rows,), "restore").to_json())
         return {"version": m.version, "files": len(out.files.names(name)), "bytes": out.files.bytes()}
 
     @staticmethod

@@ -5,8 +5,6 @@ Scores are doubles rounded to 6 digits after ranking; ranks use (key, id).
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +14,8 @@ from .functions import crypto, placement
 from .functions import text as X
 from .functions import vectors as V
 from .functions.predicates import Typed, compile_filter
-from .operators import cells, evaluate, fusion, lexical, multivector, quantize, search
+from .operators import cells, evaluate, fusion, lexical, multivector, postings, quantize, search
+from .plans.shared import work_dir
 from .plans.table import latest
 from .sources import connectors
 from .streaming import oplog
@@ -254,8 +253,19 @@ def _terms(spark: SparkSession) -> list[str]:
     return lexical.analyse(spark, " ".join(TERMS))
 
 
+_STORES: dict[tuple, postings.Postings] = {}
+
+
+def text_store(spark: SparkSession, sf_dir: str, stem: bool = False) -> postings.Postings:
+    """Stored postings of all documents: built once a session and table, then read by term."""
+    key = (spark.sparkContext.applicationId, sf_dir, stem)
+    if key not in _STORES:
+        _STORES[key] = postings.Postings(spark, work_dir(spark, "postings"), stem=stem).build(docs(spark, sf_dir))
+    return _STORES[key]
+
+
 def _bm25(spark, sf_dir) -> DataFrame:
-    return lexical.bm25_scores(lexical.postings_from_text(docs(spark, sf_dir)), _terms(spark))
+    return text_store(spark, sf_dir).bm25(_terms(spark))
 
 
 @query(f"WITH {BM25_SQL} SELECT id, round(score, 6) AS score FROM (SELECT * FROM bm ORDER BY score DESC, id LIMIT 10)")
@@ -265,12 +275,14 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"WITH {BM25_SQL} SELECT id, round(score, 6) AS score FROM (SELECT bm.* FROM bm JOIN documents ON id = doc_id WHERE lang = 'de' ORDER BY score DESC, id LIMIT 10)")
 def bm25_filtered(spark, sf_dir):
-    return lexical.bm25_search(docs(spark, sf_dir), " ".join(TERMS), tree={"eq": {"field": "lang", "value": "de"}}, stem=False).select("id", six())
+    allowed = search.where(docs(spark, sf_dir), {"eq": {"field": "lang", "value": "de"}}).select("id")
+    return lexical.top(_bm25(spark, sf_dir).join(allowed, "id", "left_semi"), 10).select("id", six())
 
 
 @query()
 def bm25_stemmed(spark, sf_dir):
-    return lexical.bm25_search(docs(spark, sf_dir), " ".join(TERMS), stem=True).select("id", six())
+    terms = lexical.analyse(spark, " ".join(TERMS), stem=True)
+    return lexical.top(text_store(spark, sf_dir, True).bm25(terms), 10).select("id", six())
 
 
 WEIGHTS = {"thnt": 2.0, "hain": 0.5, "und": 1.5, "reer": -1.0}
@@ -279,7 +291,7 @@ SPARSE_SQL = f"SELECT id, sum(weight * CASE term WHEN 'thnt' THEN 2.0 WHEN 'hain
 
 @query(f"SELECT id, round(CAST(score AS DOUBLE), 6) AS score FROM ({SPARSE_SQL}) ORDER BY score DESC, id LIMIT 10")
 def sparse_dot_topk(spark, sf_dir):
-    return lexical.sparse_search(lexical.postings_from_text(docs(spark, sf_dir)), WEIGHTS).select("id", six())
+    return lexical.top(text_store(spark, sf_dir).sparse(WEIGHTS), 10).select("id", six())
 
 
 def rank_sql(name: str, source: str, order: str) -> str:
@@ -295,7 +307,7 @@ def _rrf(three: bool, k0: float) -> Query:
         dense = search.scored(p, vector_of(p, 0), "cosine")
         lists = [fusion.ranked_list(dense, 100), fusion.ranked_list(_bm25(spark, sf_dir), 100)]
         if three:
-            lists.append(fusion.ranked_list(lexical.sparse_scores(lexical.postings_from_text(docs(spark, sf_dir)), WEIGHTS), 100))
+            lists.append(fusion.ranked_list(text_store(spark, sf_dir).sparse(WEIGHTS), 100))
         return fusion.rrf(lists, 10, k0).select("id", six())
 
     return run
@@ -315,15 +327,38 @@ def rerank_overlap(spark, sf_dir):
     return fusion.rerank(pool, lexical.overlap_score("the thnt UND reer the", F.col("text")), 10).select("id", "rerank_score")
 
 
-@query()
+HYBRID_BM25 = BM25_SQL.replace("FROM documents)", "FROM documents JOIN embeddings ON doc_id = vec_id)").replace("('thnt', 'hain', 'reer', 'und', 'ñez')", "('thnt', 'hain', 'reer')")
+
+
+@query(f"""WITH {HYBRID_BM25}, ok AS (SELECT doc_id AS id FROM documents WHERE lang <> 'fr'),
+  {rank_sql('d', f"SELECT * FROM ({DENSE_SQL}) JOIN ok USING (id)", 'score DESC, id')}, {rank_sql('b', 'SELECT * FROM bm JOIN ok USING (id)', 'score DESC, id')}
+  SELECT id, round(s, 6) AS score FROM (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM (SELECT * FROM d UNION ALL SELECT * FROM b) JOIN (SELECT doc_id AS id FROM documents JOIN embeddings ON doc_id = vec_id) USING (id) GROUP BY id ORDER BY s DESC, id LIMIT 10)""")
 def hybrid_search(spark, sf_dir):
     p = points(spark, sf_dir).join(docs(spark, sf_dir), "id")
-    return fusion.hybrid(p, 10, dense=vector_of(p, 0), text="thnt hain reer", tree={"ne": {"field": "lang", "value": "fr"}}).select("id", six())
+    return fusion.hybrid(p, 10, dense=vector_of(p, 0), text="thnt hain reer", tree={"ne": {"field": "lang", "value": "fr"}}, stem=False).select("id", six())
 
 
-@query()
+def bytes_sql(x: str, kind: str) -> str:
+    return f"list_transform(range(1, strlen({x}) + 1), lambda i: ('0x' || substr(hex(encode({x})), CAST(2 * i - 1 AS BIGINT), 2))::{kind})"
+
+
+def fnv_sql(x: str, bits: int) -> str:
+    offset, prime, kind = (2166136261, 16777619, "UBIGINT") if bits == 32 else (14695981039346656037, 1099511628211, "UHUGEINT")
+    return f"list_reduce(list_prepend({offset}::{kind}, {bytes_sql(x, kind)}), lambda h, b: (xor(h, b) * {prime}::{kind}) % {2**bits}::{kind})"
+
+
+@query(f"SELECT id, term, CAST({fnv_sql('term', 32)} AS BIGINT) AS term_id FROM (SELECT DISTINCT id, term FROM ({TOKENS_SQL}))")
 def term_ids(spark, sf_dir):
-    return docs(spark, sf_dir).select("id", F.transform(F.array_distinct(X.tokens(F.col("text"))), X.term_id).alias("terms"))
+    words = docs(spark, sf_dir).select("id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+    return words.select("id", "term", X.term_id(F.col("term")).alias("term_id"))
+
+
+@query(f"SELECT id, count(*) AS n_terms, CAST(sum(k) AS DOUBLE) AS total, CAST(max(k) AS DOUBLE) AS most, min(t) AS least FROM (SELECT id, term, count(*) AS k, CAST({fnv_sql('term', 32)} AS BIGINT) AS t FROM ({TOKENS_SQL}) GROUP BY id, term) GROUP BY id")
+def term_vectors(spark, sf_dir):
+    """The sparse vector of each text: term ids and counts."""
+    v = docs(spark, sf_dir).select("id", X.term_frequencies(F.col("text")).alias("v")).where(F.size("v.indices") > 0)
+    counts = F.transform("v.values", lambda x: x.cast("double"))
+    return v.select("id", F.size("v.indices").cast("long").alias("n_terms"), F.aggregate(counts, F.lit(0.0), lambda s, x: s + x).alias("total"), F.array_max(counts).alias("most"), F.get("v.indices", F.lit(0)).alias("least"))
 
 
 # --- late interaction ---------------------------------------------------------
@@ -408,10 +443,11 @@ def stream_latest_state(spark, sf_dir):
     # a stream reads folders, so a single file is named by a pattern
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     ops = stream.select(F.col("user_id").alias("id"), F.struct("ts", "event_id").alias("lsn"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"), "value", "event_id")
-    name = "latest_" + uuid.uuid4().hex
-    run = oplog.last_operations(ops).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _work(spark, "stream")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return oplog.live(spark.table(name)).select("id", "value", "event_id")
+    path = work_dir(spark, "stream-state")
+    # each result goes to a table, never to the driver
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    oplog.last_operations(ops).writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", work_dir(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return oplog.live(spark.read.parquet(path)).select("id", "value", "event_id")
 
 
 # --- statistics, quantizers, placement, connectors -----------------------------
@@ -433,11 +469,11 @@ def sq_train(spark, sf_dir):
     return quantize.per_dimension(points(spark, sf_dir)).select("pos", F.round("lo", 6).alias("lo"), F.round((F.col("hi") - F.col("lo")) / 255, 9).alias("step"))
 
 
-@query(f"WITH d AS ({DIM_SQL}), r AS (SELECT pos, min(x) AS lo, (max(x) - min(x)) / 255 AS step FROM d GROUP BY pos) SELECT id, CAST(sum(CASE WHEN step > 0 THEN greatest(0, least(255, floor((x - lo) / step + 0.5))) ELSE 0 END) AS BIGINT) AS code_sum FROM d JOIN r USING (pos) GROUP BY id")
+@query(f"WITH d AS ({DIM_SQL}), r AS (SELECT pos, min(x) AS lo, (max(x) - min(x)) / 255 AS step FROM d GROUP BY pos) SELECT id, string_agg(CAST(CAST(CASE WHEN step > 0 THEN greatest(0, least(255, floor((x - lo) / step + 0.5))) ELSE 0 END AS INTEGER) AS VARCHAR), ',' ORDER BY pos) AS code FROM d JOIN r USING (pos) GROUP BY id")
 def sq_codes(spark, sf_dir):
     p = points(spark, sf_dir)
     code = quantize.ScalarQuantizer.train(p).encode(F.col("vector"))
-    return p.select("id", F.aggregate(code, F.lit(0).cast("long"), lambda s, c: s + c).alias("code_sum"))
+    return p.select("id", F.array_join(F.transform(code, lambda c: c.cast("int").cast("string")), ",").alias("code"))
 
 
 @query(join_sql("l2", 10))
@@ -450,11 +486,11 @@ def sq_topk_rerank(spark, sf_dir):
 BITS_SQL = f"WITH d AS ({DIM_SQL}), m AS (SELECT pos, avg(x) AS mean FROM d GROUP BY pos), b AS (SELECT id, pos, x > mean AS bit FROM d JOIN m USING (pos))"
 
 
-@query(f"{BITS_SQL} SELECT id, CAST(sum(CASE WHEN bit THEN 1 ELSE 0 END) AS INTEGER) AS ones FROM b GROUP BY id")
+@query(f"{BITS_SQL} SELECT id, string_agg(CASE WHEN bit THEN '1' ELSE '0' END, '' ORDER BY pos DESC) AS bits FROM b GROUP BY id")
 def bq_codes(spark, sf_dir):
     p = points(spark, sf_dir)
     code = quantize.BinaryQuantizer.train(p).encode(F.col("vector"))
-    return p.select("id", F.aggregate(code, F.lit(0), lambda s, w: s + F.bit_count(w)).alias("ones"))
+    return p.select("id", F.lpad(F.bin(F.get(code, F.lit(0))), 64, "0").alias("bits"))  # 64 dimensions: one word, lowest bit first
 
 
 @query(f"{BITS_SQL} SELECT query_id, id, distance, rank FROM (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (SELECT y.id AS query_id, x.id AS id, CAST(sum(CASE WHEN x.bit <> y.bit THEN 1 ELSE 0 END) AS INTEGER) AS distance FROM b x JOIN (SELECT * FROM b WHERE {QUERY_SET.format('id')}) y USING (pos) GROUP BY ALL)) WHERE rank <= 20")
@@ -472,17 +508,11 @@ def pq_topk_rerank(spark, sf_dir):
     return shown(quantize.join(p.withColumn("code", pq.encode(F.col("vector"))), queries_of(p), 10, pq, factor=10))
 
 
-def _work(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/cairnspark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 @query()
 def ivf_topk(spark, sf_dir):
-    """The three nearest quarters of the cells of an index over all rows; recall is measured in the tests."""
+    """The nearest cells of an index over all rows; this table has no clusters, so three quarters are probed (the tests show recall at a tenth on clustered vectors)."""
     p = points(spark, sf_dir)
-    index = cells.CellIndex.build(p, _work(spark, "cells"), iterations=8)
+    index = cells.CellIndex.build(p, work_dir(spark, "cells"), iterations=8)
     return shown(index.join(queries_of(p), 10, nprobe=len(index.centroids) * 3 // 4))
 
 
@@ -491,10 +521,10 @@ def colbert_topk(spark, sf_dir):
     """Candidates by cells of single tokens, then MaxSim over the candidates' whole token sets."""
     p = points(spark, sf_dir)
     tokens = doc_tokens(p)
-    index = cells.CellIndex.build(tokens, _work(spark, "token-cells"), metric="cosine", iterations=8)
+    index = cells.CellIndex.build(tokens, work_dir(spark, "token-cells"), metric="cosine", iterations=8)
     asked = token_queries(p)
-    near = cells.token_candidates(index, spark, [r["vector"] for r in asked.collect()], 16)  # the query set's tokens
-    return multivector.join(tokens.join(near, "doc_id", "left_semi"), asked).select("query_id", "doc_id", six(), F.col("rank").cast("long"))
+    near = cells.token_candidates_of(index, asked, 16)
+    return multivector.join(tokens.join(near, "doc_id"), asked, allowed="queries").select("query_id", "doc_id", six(), F.col("rank").cast("long"))
 
 
 @query()
@@ -503,11 +533,17 @@ def graph_topk(spark, sf_dir):
     return shown(cells.graph_join(p.repartition(2), queries_of(p), 10))
 
 
-@query("SELECT CAST(k AS INTEGER) AS k, 1.0::DOUBLE AS mean_recall FROM (VALUES (1), (10)) t(k)")
+def recall_sql(strategy: str, keep: str) -> str:
+    """Mean over queries of the share of the true k nearest that a search among ``keep`` ids finds (those of them it keeps)."""
+    return f"SELECT '{strategy}' AS strategy, CAST(k AS INTEGER) AS k, round(avg(r), 6) AS mean_recall FROM (SELECT k, query_id, avg(CASE WHEN {keep} THEN 1.0::DOUBLE ELSE 0 END) AS r FROM ({join_sql('l2', 10)}), (VALUES (1), (10)) t(k) WHERE rank <= k GROUP BY k, query_id) GROUP BY k"
+
+
+@query(f"{recall_sql('exact', 'true')} UNION ALL {recall_sql('two thirds', 'id % 3 <> 1')}")
 def recall_at_k_sweep(spark, sf_dir):
+    """Recall of the exact join and of one that sees two thirds of the rows."""
     p = points(spark, sf_dir)
-    exact = lambda base, q, k: search.knn_join(base, q, k)
-    return evaluate.sweep(p, queries_of(p), {"exact": exact}, (1, 10)).select("k", "mean_recall")
+    runs = {"exact": lambda base, q, k: search.knn_join(base, q, k), "two thirds": lambda base, q, k: search.knn_join(base.where("id % 3 <> 1"), q, k)}
+    return evaluate.sweep(p, queries_of(p), runs, (1, 10)).select("strategy", "k", six("mean_recall"))
 
 
 @query("SELECT CAST(p AS DOUBLE) AS p, value FROM (SELECT 50 AS p, (SELECT value FROM events ORDER BY value LIMIT 1 OFFSET (SELECT CAST(round_even(0.50 * (count(*) - 1), 0) AS BIGINT) FROM events)) AS value UNION ALL SELECT 95, (SELECT value FROM events ORDER BY value LIMIT 1 OFFSET (SELECT CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) FROM events)))")
@@ -517,15 +553,30 @@ def percentile_rank(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-@query()
+def mixed_sql(z: str) -> str:
+    """SplitMix64 finaliser of a 128-bit column that holds 64 bits."""
+    step = lambda x, shift, by: f"(xor({x}, {x} // {2**shift}::UHUGEINT) * {by}::UHUGEINT) % {2**64}::UHUGEINT"
+    first = f"SELECT *, {step(z, 30, 0xBF58476D1CE4E5B9)} AS z1 FROM w0"
+    return f"w1 AS ({first}), w2 AS (SELECT *, {step('z1', 27, 0x94D049BB133111EB)} AS z2 FROM w1), w3 AS (SELECT *, xor(z2, z2 // {2**31}::UHUGEINT) AS score FROM w2)"
+
+
+def owner_sql(shards: list[int]) -> str:
+    """CTEs up to w3 (id, shard, score) of every id on every shard."""
+    return f"h AS (SELECT vec_id AS id, {fnv_sql('CAST(vec_id AS VARCHAR)', 64)} AS h FROM embeddings), w0 AS (SELECT id, shard, (h + shard::UHUGEINT * {placement.GOLDEN}::UHUGEINT) % {2**64}::UHUGEINT AS z FROM h, (SELECT unnest({shards}) AS shard)), {mixed_sql('z')}"
+
+
+@query(f"WITH {owner_sql([0, 1, 2, 3, 4])} SELECT id, CAST(arg_max(shard, score) AS BIGINT) AS shard FROM w3 GROUP BY id")
 def hrw_assignment(spark, sf_dir):
     return points(spark, sf_dir).select("id", placement.owner_column(F.col("id").cast("string"), [0, 1, 2, 3, 4]).alias("shard"))
 
 
-@query(f"WITH a AS (SELECT {', '.join(f'v[{i + 1}] AS x{i}' for i in range(2))}, id FROM ({P})), r AS (SELECT min(x0) a0, max(x0) a1, min(x1) b0, max(x1) b1 FROM a) SELECT id, round((x0 - a0) / (a1 - a0), 6) AS x, round((x1 - b0) / (b1 - b0), 6) AS y FROM a, r")
+AXES = fusion.random_axes(64, 7)
+AXIS_SQL = ", ".join(f"list_inner_product(v, {axis}::DOUBLE[]) AS x{i}" for i, axis in enumerate(AXES))
+
+
+@query(f"WITH a AS (SELECT {AXIS_SQL}, id FROM ({P})), r AS (SELECT min(x0) a0, max(x0) a1, min(x1) b0, max(x1) b1 FROM a) SELECT id, round((x0 - a0) / (a1 - a0), 6) AS x, round((x1 - b0) / (b1 - b0), 6) AS y FROM a, r")
 def projection_2d(spark, sf_dir):
-    axis = lambda i: [1.0 if j == i else 0.0 for j in range(64)]
-    return fusion.project_2d(points(spark, sf_dir), axis(0), axis(1)).select("id", six("x"), six("y"))
+    return fusion.project_2d(points(spark, sf_dir), *AXES).select("id", six("x"), six("y"))
 
 
 @query("SELECT doc_id AS id, text, true AS sealed FROM documents")
@@ -535,7 +586,7 @@ def payload_roundtrip(spark, sf_dir):
     return d.select("id", crypto.open_sealed(F.col("env"), key, "documents").alias("text"), crypto.is_sealed(F.col("env")).alias("sealed"))
 
 
-@query()
+@query(f"WITH {owner_sql([0, 1, 2, 3, 4, 5])} SELECT id, CAST(donor AS BIGINT) AS donor, CAST(target AS BIGINT) AS target FROM (SELECT id, arg_max(shard, score) FILTER (shard < 5) AS donor, arg_max(shard, score) AS target FROM w3 GROUP BY id) WHERE donor <> target")
 def slice_migration(spark, sf_dir):
     """Rows that move when a sixth shard joins five: all to the new one."""
     return placement.migration(points(spark, sf_dir).select("id"), [0, 1, 2, 3, 4], [0, 1, 2, 3, 4, 5])
@@ -583,3 +634,6 @@ def normalized(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["knn_join_l2"](spark, sf_dir)
+
+
+from . import collection_queries  # noqa: E402, F401  (registers its queries here)

@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import types as T
 
+# fixed values: names and limits that specifications of collections must keep to
 METRICS = ("l2", "cosine", "dot")
 INDEX_KINDS = ("hnsw", "vamana", "disk_vamana", "ivf", "colbert")
 ENCRYPTION = ("none", "dcpe", "client_side")
@@ -73,8 +74,8 @@ class CollectionSpec:
 
 
 def promoted(field_path: str) -> str:
-    """Name of the typed column that holds a declared payload field."""
-    return "f_" + re.sub(r"\W", "_", field_path)
+    """Name of the typed column of a declared payload field; no two paths share one, whatever their case."""
+    return "f_" + re.sub("[^a-z0-9]", lambda m: f"_{ord(m[0]):x}_", field_path)
 
 
 def check_name(name: str) -> str:

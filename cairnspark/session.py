@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import term_id  # noqa: F401  (part of the public surface)
-from .operators import fusion, lexical, multivector, search
+from .operators import fusion, indexes, lexical, multivector, postings, search
 from .plans.table import Catalog, Collection
 from .schema import CollectionSpec, SpecError, check_limit
 
@@ -43,25 +44,36 @@ class Engine:
     root: str
     grant: Grant = field(default_factory=Grant)
     audit: list[dict] = field(default_factory=list)
+    #: A local file that each audit record is appended to as a JSON line, if given.
+    audit_file: str | None = None
 
     def __post_init__(self):
         self.catalog = Catalog(self.spark, self.root)
 
-    def _open(self, name: str, need: str, verb: str) -> Collection:
+    def _record(self, need: str, verb: str, name: str) -> None:
+        """Check access and leave an audit record, whatever the outcome."""
+        entry = {"at": time.time(), "actor": self.grant.role, "action": verb, "resource": name, "outcome": "ok"}
         try:
             self.grant.check(need, name)
         except AccessError:
-            self.audit.append({"at": time.time(), "action": verb, "resource": name, "outcome": "denied"})
+            entry["outcome"] = "denied"
             raise
-        self.audit.append({"at": time.time(), "action": verb, "resource": name, "outcome": "ok"})
+        finally:
+            self.audit.append(entry)
+            if self.audit_file:
+                with open(self.audit_file, "a") as out:
+                    out.write(json.dumps(entry) + "\n")
+
+    def _open(self, name: str, need: str, verb: str) -> Collection:
+        self._record(need, verb, name)
         return self.catalog.open(name)
 
     def create_collection(self, name: str, spec: CollectionSpec) -> None:
-        self.grant.check("admin", name)
+        self._record("admin", "create", name)
         self.catalog.create(name, spec)
 
     def drop_collection(self, name: str) -> bool:
-        self.grant.check("admin", name)
+        self._record("admin", "drop", name)
         return self.catalog.drop(name)
 
     #: Sealed collections keep their key beside the data, so dropping the folder destroys it.
@@ -73,38 +85,60 @@ class Engine:
     def describe(self, name: str) -> dict:
         c = self._open(name, "read", "describe")
         m = c.manifest()
-        return json.loads(c.spec.to_json()) | {"name": name, "count": c.count(), "version": m.version, "index_ready": True}
+        return json.loads(c.spec.to_json()) | {"name": name, "count": c.count(), "version": m.version, "index_ready": indexes.ready(c)}
 
     def stats(self) -> DataFrame:
         return self.catalog.stats()
 
-    def upsert(self, name: str, points: DataFrame, *, bulk: bool = False):
+    def _rows(self, points) -> DataFrame:
+        """A DataFrame as it is, or (id, vector, payload) tuples in order; payloads are JSON texts or objects."""
+        if isinstance(points, DataFrame):
+            return points
+        rows = [(str(i), [float(x) for x in v], p if isinstance(p, str) or p is None else json.dumps(p), n) for n, (i, v, p) in enumerate(points)]
+        return self.spark.createDataFrame(rows, "id string, vector array<float>, payload string, ord long")
+
+    def upsert(self, name: str, points, *, bulk: bool = False):
+        """Points as a DataFrame (with ``ord`` if ids repeat) or a list of (id, vector, payload), of which the last of equal ids wins."""
         c = self._open(name, "write", "upsert")
         if c.spec.multivector:
             raise SpecError("use upsert_documents on a multi-vector collection")
-        return c.upsert(points, bulk=bulk)
+        if not isinstance(points, DataFrame):
+            check_limit("bulk" if bulk else "batch", len(points))
+            for _, _, p in points:
+                check_limit("payload_bytes", len((p if isinstance(p, str) else json.dumps(p)).encode()) if p is not None else 0)
+        return c.upsert(self._rows(points), bulk=bulk or not isinstance(points, DataFrame))
+
+    def upsert_many(self, name: str, points: Iterable, batch: int = 10_000) -> int:
+        """Points of any iterator, a version for each batch of them; their number."""
+        source, total = iter(points), 0
+        while part := list(itertools.islice(source, check_limit("bulk", batch))):
+            self.upsert(name, part, bulk=True)
+            total += len(part)
+        return total
 
     def upsert_text(self, name: str, rows: DataFrame):
-        """(id, text[, payload]): embed with the collection's provider and keep the text in the payload."""
+        """(id, text[, payload][, ord]): embed with the collection's provider; the payload keeps the text, unless it has a ``text`` of its own."""
         c = self._open(name, "write", "upsert_text")
         embed = fusion.PROVIDERS[name]["embedder"]
         payload = F.to_json(F.struct("text"))
-        return c.upsert(rows.select("id", fusion.embed_column(F.col("text"), embed, c.spec.dim).alias("vector"), payload.alias("payload")), bulk=True)
+        if "payload" in rows.columns:
+            own = F.try_variant_get(F.parse_json("payload"), "$", "map<string,variant>")
+            text = F.create_map(F.lit("text"), F.col("text").cast("variant"))
+            payload = F.when(own.isNull(), payload).when(F.map_contains_key(own, "text"), F.col("payload")).otherwise(F.to_json(F.map_concat(own, text)))
+        ready = rows.select("id", fusion.embed_column(F.col("text"), embed, c.spec.dim).alias("vector"), payload.alias("payload"), *(["ord"] if "ord" in rows.columns else []))
+        return c.upsert(ready, bulk=True)
 
     def upsert_documents(self, name: str, docs: DataFrame):
-        """(doc_id, vectors, payload): token rows; tokens of an older, longer version are deleted."""
+        """(doc_id, vectors, payload): token rows; tokens of an older, longer version go in the same commit."""
         c = self._open(name, "write", "upsert_documents")
         if not c.spec.multivector:
             raise SpecError("this collection has one vector a point")
         tokens = multivector.to_tokens(docs).withColumn("id", multivector.token_id(F.col("doc_id"), F.col("ordinal")))
-        old = self._tokens(c).join(docs.select("doc_id"), "doc_id", "left_semi").select("id").join(tokens.select("id"), "id", "left_anti")
-        stale = old.count()
-        if stale:
-            c.delete(old)
-        return c.upsert(tokens.select("id", "vector", "payload"), bulk=True)
+        old = self._tokens(c).join(docs.select("doc_id"), "doc_id", "left_semi").select("id")
+        return c.apply(upserts=tokens.select("id", "vector", "payload"), deletes=old, action="upsert_documents")
 
-    def _tokens(self, c: Collection) -> DataFrame:
-        return c.snapshot().withColumn("_t", multivector.parse_token_id(F.col("id"))).select("id", "_t.*", "vector", "payload")
+    def _tokens(self, c: Collection, tree=None) -> DataFrame:
+        return c.where(tree).withColumn("_t", multivector.parse_token_id(F.col("id"))).select("id", "_t.*", "vector", "payload")
 
     def get_document(self, name: str, doc_id: str) -> DataFrame:
         rows = self._tokens(self._open(name, "read", "get_document")).where(F.col("doc_id") == doc_id)
@@ -140,51 +174,88 @@ class Engine:
     def _shown(rows: DataFrame, with_payload: bool, with_vector: bool) -> DataFrame:
         return rows.select("id", "score", *(["payload"] if with_payload else []), *(["vector"] if with_vector else []))
 
-    def search(self, name: str, vector: Sequence[float], k: int = 10, *, tree=None, with_payload: bool = True, with_vector: bool = False, version: int | None = None) -> DataFrame:
+    def build_index(self, name: str, **options) -> dict:
+        """Build or rebuild the index that the specification's kind asks for, over the newest version."""
+        return indexes.build(self._open(name, "write", "build_index"), **options)
+
+    def search(self, name: str, vector: Sequence[float], k: int = 10, *, tree=None, with_payload: bool = True, with_vector: bool = False, version: int | None = None, ef: int | None = None, exact: bool = False) -> DataFrame:
+        """The k nearest points: by the collection's index where one is ready and the plan is worth it, else exactly.
+
+        ``ef``: how many candidates an index looks at; a filter, a version or ``exact`` asks for the exact scan.
+        """
         c = self._open(name, "read", "search")
         if c.spec.vector_encryption == "client_side" or c.spec.multivector:
             raise SpecError("this collection is not searched by one vector")
         if len(vector) != c.spec.dim:
             raise SpecError(f"the query has not {c.spec.dim} components")
-        return self._shown(search.knn(c.where(tree, version), vector, k, metric=c.spec.metric), with_payload, with_vector)
-
-    def search_documents(self, name: str, query: Sequence[Sequence[float]], k: int = 10) -> DataFrame:
+        check_limit("k", k)
+        if ef is not None:
+            check_limit("ef", ef)
+        found = indexes.search(c, vector, k, tree=tree, version=version, ef=ef, exact=exact)
+        return self._shown(found, with_payload, with_vector)
+
+    def search_documents(self, name: str, query: Sequence[Sequence[float]], k: int = 10, *, tree=None) -> DataFrame:
+        """Documents by MaxSim; the filter reads the payload on a document's first token."""
         c = self._open(name, "read", "search_documents")
         if not c.spec.multivector:
             raise SpecError("this collection has one vector a point")
-        return multivector.search(self._tokens(c), query, k, metric=c.spec.metric)
+        tokens = self._tokens(c)
+        if tree is not None:
+            tokens = tokens.join(self._tokens(c, tree).where("ordinal = 0").select("doc_id"), "doc_id", "left_semi")
+        return multivector.search(tokens, query, k, metric=c.spec.metric)
+
+    @staticmethod
+    def _texts(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("text", F.get_json_object("payload", "$.text"))
 
-    def _texts(self, c: Collection, tree=None) -> DataFrame:
-        return c.where(tree).withColumn("text", F.get_json_object("payload", "$.text"))
+    def hybrid(self, name: str, k: int = 10, *, vector=None, sparse: Mapping[int, float] | None = None, text: str | None = None, tree=None) -> DataFrame:
+        """Ranks of a vector, a sparse vector (weights by term id) and a text fused; at least one is given.
 
-    def hybrid(self, name: str, k: int = 10, *, vector=None, text: str | None = None, tree=None) -> DataFrame:
+        Sparse weights of a point are its payload's ``sparse`` (indices and values), else the term ids of its ``text``.
+        Statistics and weights come from the collection's stored postings where these are of the newest version.
+        """
         c = self._open(name, "read", "hybrid")
         depth, lists = max(10 * k, 100), []
         allowed = c.where(tree).select("id") if tree is not None else None
+        keep = lambda s: s if allowed is None else s.join(allowed, "id", "left_semi")
         if vector is not None:
             lists.append(fusion.ranked_list(search.knn(c.where(tree), vector, depth, metric=c.spec.metric), depth, descending=c.spec.metric != "l2"))
+        if sparse is not None:
+            check_limit("sparse_terms", len(sparse))
+            lists.append(fusion.ranked_list(keep(lexical.sparse_scores(self._weights(c), sparse)), depth))
         if text is not None:
-            p = lexical.postings_from_text(self._texts(c), stem=True)
-            scores = lexical.bm25_scores(p, lexical.analyse(self.spark, text, stem=True))
-            lists.append(fusion.ranked_list(scores if allowed is None else scores.join(allowed, "id", "left_semi"), depth))
+            terms = lexical.analyse(self.spark, text, stem=True)
+            stored = postings.of(c)
+            scores = stored.bm25(terms) if stored else lexical.bm25_scores(lexical.postings_from_text(self._texts(c.snapshot()), stem=True), terms)
+            lists.append(fusion.ranked_list(keep(scores), depth))
         if not lists:
-            raise SpecError("give a vector or a text")
+            raise SpecError("give a vector, a sparse vector or a text")
         return fusion.rrf(lists, k)
 
+    def _weights(self, c: Collection) -> DataFrame:
+        """(id, term, weight) by term id, of explicit sparse vectors or texts."""
+        given = F.from_json("payload", "struct<sparse:struct<indices:array<bigint>,values:array<float>>,text:string>")
+        rows = c.snapshot().select("id", given.alias("p")).select("id", "p.sparse.indices", "p.sparse.values", "p.text")
+        return lexical.extract_postings(rows, stem=True)
+
+    def index_text(self, name: str) -> None:
+        """Store the postings of the newest version, or bring them up to it."""
+        postings.refresh(self._open(name, "write", "index_text"))
+
     def search_text(self, name: str, query: str, k: int = 10, *, tree=None, rerank: bool = False) -> DataFrame:
         provider = fusion.PROVIDERS[name]
         found = self.hybrid(name, max(k, 50) if rerank else k, vector=provider["embedder"]([query])[0], text=query, tree=tree)
         if not rerank:
             return found
-        c = self.catalog.open(name)
-        pool = search.ranked(found, max(k, 50), F.desc("score"), F.col("id")).join(self._texts(c).select("id", "text"), "id")
+        rows = self._texts(self.catalog.open(name).snapshot()).select("id", fusion.rerank_text(F.col("text"), F.col("payload")).alias("text"))
+        pool = search.ranked(found, max(k, 50), F.desc("score"), F.col("id")).join(rows, "id")
         return fusion.rerank_with(pool, query, provider["reranker"], k)
 
     def backup(self, name: str, dest: str) -> dict:
         return self._open(name, "admin", "backup").backup(dest)
 
     def restore(self, source: str, name: str) -> Collection:
-        self.grant.check("admin", name)
+        self._record("admin", "restore", name)
         return Collection.restore(self.spark, source, f"{self.root}/{name}")
 
 
@@ -203,12 +274,13 @@ class VectorStore:
 
     def similarity_search_with_score(self, query: str, k: int = 4, *, hybrid: bool = False) -> list[tuple[str, str, float]]:
         if hybrid:
-            found = self.engine.search_text(self.name, query, k)
+            found, larger_is_nearer = self.engine.search_text(self.name, query, k), True
         else:
-            found = self.engine.search(self.name, fusion.PROVIDERS[self.name]["embedder"]([query])[0], k).select("id", "score")
-        texts = self.engine._texts(self.engine.catalog.open(self.name)).select("id", "text")
-        rows = found.join(texts, "id").collect()  # k rows
-        return [(r["id"], r["text"], r["score"]) for r in sorted(rows, key=lambda r: (-r["score"], r["id"]))]
+            found = self.engine.search(self.name, fusion.PROVIDERS[self.name]["embedder"]([query])[0], k, with_payload=False)
+            larger_is_nearer = self.engine.catalog.open(self.name).spec.metric != "l2"
+        texts = self.engine._texts(self.engine.catalog.open(self.name).snapshot()).select("id", "text")
+        rows = found.select("id", "score").join(texts, "id").collect()  # k rows
+        return [(r["id"], r["text"], r["score"]) for r in sorted(rows, key=lambda r: (-r["score"] if larger_is_nearer else r["score"], r["id"]))]
 
     def similarity_search(self, query: str, k: int = 4, **options) -> list[str]:
         return [t for _, t, _ in self.similarity_search_with_score(query, k, **options)]

@@ -63,8 +63,9 @@ def apply_stateful(stream: DataFrame, value_type: str, id_col: str = "id", value
 def follow(stream: DataFrame, target: Collection, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
     """Apply a stream of (id, op, lsn, vector, payload) to a collection, one version per micro-batch.
 
-    The target remembers the source position in its rows' lsn; operations that are
-    not newer are skipped, so a replayed batch is harmless.
+    The target remembers the source position in its rows' lsn and the largest of them in
+    its manifest, so a write of its own comes after them; operations that are not newer
+    are skipped, so a replayed batch is harmless.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
@@ -72,11 +73,14 @@ def follow(stream: DataFrame, target: Collection, checkpoint: str, *, available_
         last = batch.groupBy("id").agg(F.max("lsn").alias("lsn"), F.max_by(F.struct(*cols), "lsn").alias("row")).select("id", "lsn", "row.*")
         base = target.manifest()
         known = target.ops().groupBy("id").agg(F.max("lsn").alias("_seen"))
-        new = last.join(known, "id", "left").where("_seen is null or lsn > _seen").drop("_seen")
-        shaped = target._shape(new.where("op = 'upsert'").select("id", "vector", "payload")).join(new.select("id", "lsn", "op"), "id")
-        names = target.ops_schema().fieldNames()
-        gone = new.where("op = 'delete'").select(*[F.col(c) if c in ("id", "op", "lsn") else F.lit(None).cast(target.ops_schema()[c].dataType).alias(c) for c in names])
-        target._commit(shaped.select(names).unionByName(gone), base)
+        new = last.join(known, "id", "left").where("_seen is null or lsn > _seen").drop("_seen").persist()
+        top = new.agg(F.max("lsn").alias("lsn")).first()["lsn"]
+        if top is not None:
+            shaped = target._shape(new.where("op = 'upsert'").select("id", "vector", "payload")).join(new.select("id", "lsn", "op"), "id")
+            names = target.ops_schema().fieldNames()
+            gone = new.where("op = 'delete'").select(*[F.col(c) if c in ("id", "op", "lsn") else F.lit(None).cast(target.ops_schema()[c].dataType).alias(c) for c in names])
+            target._commit(shaped.select(names).unionByName(gone), base, "follow", max(top, base.lsn))
+        new.unpersist()
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -72,6 +72,8 @@ def test_batches_and_conflicts(spark, catalog):
         c.upsert(points(spark, [("p", (1, 2, 3), {})]))
     with pytest.raises(ConflictError):
         c.files.create(c._manifest(1), Manifest(1, 1, ()).to_json())
+    with pytest.raises(SpecError, match="repeat"):
+        c.upsert(rows.drop("ord"))
 
 
 def test_followed_log(spark, catalog, tmp_path):
