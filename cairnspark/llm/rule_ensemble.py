@@ -12,7 +12,9 @@ Defined results: null and empty texts have zero counts and a score like any
 other; a document labelled twice has the mean label, rounded half up; without
 usable labels of both kinds the score is the (smoothed) share of label 1; a null
 id is never labelled and not held out; repeated rows repeat; an empty table gives
-no rows; other columns are ignored.
+no rows; a very long text is counted whole; of labelled rows with equal hashes the
+least id is fitted first; a score of exactly 0.5 is predicted 1; other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -2,8 +2,10 @@
 
 Pass one scatters whole records into memory-sized buckets with seeded hashes:
 the shard by rendezvous hashing of ``doc_id`` (law ``key``), the bucket inside
-the shard by a hash of id, content and scan position, so that repeats of one key
-spread over the buckets of their shard.  Pass two gathers one bucket at a time,
+the shard by a hash of the content and of the row's place in its scan partition
+sorted by that content.  So repeats of one key, and of one whole row, spread over
+the buckets of their shard, and a scan task that runs again deals its rows alike
+in whichever order it gets them.  Pass two gathers one bucket at a time,
 permutes it with Fisher-Yates (Spark's ``shuffle`` function) and writes it.  The
 buckets' row counts, taken from the written files, make slots gapless.
 
@@ -11,7 +13,8 @@ buckets' row counts, taken from the written files, make slots gapless.
 any name, and ``path``/buckets a row for every bucket.
 
 Defined results: null texts have no bytes (size 16) and crc32 of the empty
-string; a null ``doc_id`` is one more key; repeated rows each get a slot of
+string; a very long text is one record of a bucket of its size; equal rendezvous
+hashes go to the larger shard number; a null ``doc_id`` is one more key; repeated rows each get a slot of
 their own; an empty table gives no rows; other columns are carried along.
 """
 
@@ -21,14 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import maybe_broadcast, new_path, row_of
+from .common import maybe_broadcast, named, new_path, row_of
 
 SEED = 20_240_607
 RECORD_OVERHEAD = 16
 #: A bucket's share of the heap an executor has for a core: a task holds one bucket, in more than one form.
-HEAP_SHARE = 32
+HEAP_SHARE = 16
 #: No bucket needs to be smaller than this many bytes.
-LEAST_BUCKET = 16 << 20
+LEAST_BUCKET = 32 << 20
 
 
 def owner(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -55,12 +58,15 @@ def _by_shard(values: list[int]) -> Column:
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, bucket_bytes: int | None = None) -> None:
     """Write all records of ``docs`` under ``path``, bucket after bucket, each bucket in Fisher-Yates order."""
-    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    ident, text = named(id_col), named(text_col)
     volume = docs.select(owner(ident, shards, seed).alias("shard"), size_of(text).alias("size")).groupBy("shard").agg(F.sum("size").alias("b")).collect()  # a row for each shard
     counts, bucket_bytes = [1] * shards, bucket_bytes or bucket_bytes_of(docs.sparkSession)
     for r in volume:
         counts[r["shard"]] = max(1, -(-int(r["b"]) // bucket_bytes))
-    rows = docs.select(row_of(docs).alias("record"), owner(ident, shards, seed).alias("shard"), F.xxhash64(F.lit(seed + 1), ident, F.crc32(F.coalesce(text, F.lit(""))), F.monotonically_increasing_id()).alias("u"))
+    content = [named(c) for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    rows = docs.select(row_of(docs).alias("record"), owner(ident, shards, seed).alias("shard"), F.xxhash64(F.lit(seed + 1), *content).alias("h"))
+    # of rows that are alike only the number among them counts, so this does not hang on the order of the scan
+    rows = rows.sortWithinPartitions("h").withColumn("u", F.xxhash64(F.lit(seed + 2), "h", F.monotonically_increasing_id())).drop("h")
     rows = rows.withColumn("bucket", F.pmod("u", _by_shard(counts)).cast("int"))
     # one partition for each bucket: hashing would put several into one task
     part = _by_shard([sum(counts[:s]) for s in range(shards)]) + F.col("bucket")

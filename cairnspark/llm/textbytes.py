@@ -120,7 +120,11 @@ def words(buf: np.ndarray, offs: np.ndarray, word: np.ndarray = SPACE_WORDS, fol
     return h, start, end, np.searchsorted(start, offs, "left")
 
 
-_C = [np.uint64(int(x, 16)) for x in ("D6E8FEB86659FD93", "A0761D6478BD642F", "E7037ED1A0B428DB", "8EBC6AF09C88C6E3", "589965CC75374CC3", "1D8E4E27C47D124F", "EB44ACCAB455D165", "9FB21C651E98DF25")]
+#: Odd multipliers of the places in a window, and those of sequences below.
+_C = [
+    np.uint64(x)
+    for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25)
+]
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:

@@ -8,7 +8,8 @@ good replaces all-must-pass filtering.  Scoring is a column expression.
 
 Defined results: a null or empty text has no words, so `base_failed`; repeated
 rows get equal results; an empty table gives no rows (the model then is its
-starting point); other columns are ignored.
+starting point); a very long text is counted whole; a quality of exactly
+``min_quality`` is kept; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,12 +1,16 @@
+import math
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cairnspark.llm import queries, rule_ensemble
 from cairnspark.llm.textstats import text_counts
 
+from .test_weak_rules import base, more
+
 
 @pytest.fixture(scope="module")
 def scored(spark):
@@ -51,6 +55,29 @@ def test_compiled_rules_are_the_model(spark, sf):
     assert 0 < len(model.rules) < 200 and all(len(r) <= 3 for r, _ in model.rules)
 
 
+def test_query_end_to_end(spark, sf):
+    """Statistics of each text in plain Python, and the model fitted on them: the query's scores."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None}
+
+    def inputs(text):
+        (n, chars, symbols, dup, repeat), m = base(text), more(text)
+        w, lines = max(n, 1), max(m["n_lines"], 1)
+        letters = max(m["n_upper"] + m["n_lower"] + m["n_wide"], 1)
+        return [math.log1p(n), chars / w, symbols / w, m["n_bang"] / w, m["n_pipe"] / w, m["n_upper"] / letters, m["n_digits"] / max(chars, 1), m["n_punct"] / w, repeat / w, dup / lines, m["n_distinct_words"] / math.sqrt(w), n / lines, m["n_ended_lines"] / lines]
+
+    def order(i):
+        h = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest((11).to_bytes(4, "little"), 42))
+        return h - (1 << 64) if h >> 63 else h
+
+    fitted = sorted((i for i in labels if i in docs and zlib.crc32(str(i).encode()) % 3 != 1), key=order)
+    model = rule_ensemble.fit(list(rule_ensemble.statistics()), np.array([inputs(docs[i]) for i in fitted]), np.array([float(labels[i]) for i in fitted]))
+    for r in queries.op9_quality_classifier(spark, sf).collect():
+        x = inputs(docs[r.doc_id])
+        z = model.intercept + sum(w for rule, w in model.rules if all((x[i] > at) if above else (x[i] <= at) for i, above, at in rule))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9) and r.predicted == (r.score >= 0.5)
+
+
 def test_lasso_drops_rules_that_say_nothing():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 6))

@@ -1,6 +1,10 @@
+import glob
 import zlib
 from collections import Counter
 
+import pyarrow.parquet as pq
+import xxhash
+
 from cairnspark.llm import queries, sharding
 from cairnspark.llm.common import new_path
 
@@ -20,6 +24,42 @@ def test_query(spark, sf):
     assert ((p.grown_shard == p.shard) | (p.grown_shard == 40)).all() and (p.grown_shard == 40).any()
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of ints, longs and strings: XXH64 seeded with the hash of what came before."""
+    h = 42
+    for v, size in values:
+        h = xxhash.xxh64_intdigest(v.to_bytes(size, "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_law_and_slots_again(spark, sf):
+    """The owner by a second implementation, and slots from the order of records in the files."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    path = new_path(spark, "test-shards")
+    rows = {r.doc_id: r for r in sharding.assign(docs, 40, path=path).collect()}
+    law = lambda i, n: max(range(n), key=lambda s: (spark_hash((sharding.SEED, 4), (s, 4), (i, 8)), s))
+    assert all((r.shard, r.grown_shard) == (law(i, 40), law(i, 41)) for i, r in rows.items())
+    local = path.removeprefix("file://").removeprefix("file:")
+    for shard in range(40):
+        held = []
+        for f in glob.glob(f"{local}/data/shard={shard}/*.parquet"):
+            held += [(r["bucket"], r["place"], r["record"]["doc_id"]) for r in pq.ParquetFile(f).read(["bucket", "place", "record"]).to_pylist()]
+        assert [(b, p) for b, p, _ in sorted(held)] == [(b, p) for b in sorted({x[0] for x in held}) for p in range(sum(x[0] == b for x in held))]
+        assert [rows[i].slot for _, _, i in sorted(held)] == list(range(len(held)))
+
+
+def test_buckets_do_not_hang_on_the_order_of_the_scan(spark):
+    """A scan partition in two orders, with rows that are alike: the same records in each bucket."""
+    rows = [(i % 50, f"text {i % 7}") for i in range(3000)]
+    found = []
+    for data in (rows, rows[::-1]):
+        path = new_path(spark, "test-shards")
+        sharding.write_shards(spark.createDataFrame(data, "doc_id long, text string").coalesce(1), path, 3, bucket_bytes=4000)
+        back = sharding.read_shards(spark, path, spark.createDataFrame(data, "doc_id long, text string").schema)
+        found.append(Counter((r.record, r.shard, r.bucket) for r in back.collect()))
+    assert found[0] == found[1] and len({(s, b) for _, s, b in found[0]}) > 10
+
+
 def test_key_law_does_not_depend_on_the_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     a = {r.doc_id: r for r in sharding.assign(docs.where("doc_id % 3 = 0"), 40).collect()}

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -38,6 +39,61 @@ def test_query(spark, sf):
     held(rows, texts)
 
 
+def more(text):
+    """The counts beside the base ones, one text at a time."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return {
+        "n_lines": len(lines),
+        "n_ended_lines": sum(x[-1] in '.!?:;"' for x in lines),
+        "n_distinct_words": len(set(words)),
+        "n_upper": len(re.findall("[A-Z\u00c0-\u00de]", text)),
+        "n_lower": len(re.findall("[a-z]", text)),
+        "n_digits": len(re.findall("[0-9]", text)),
+        "n_bang": text.count("!"),
+        "n_pipe": text.count("|"),
+        "n_punct": len(re.findall(r"""[.,;:?'"()-]""", text)),
+        "n_wide": sum(ord(x) > 0x7F for x in text),
+    }
+
+
+def votes_of(text):
+    """The ten rules as plain conditions; good 1, bad -1."""
+    n, chars, symbols, dup, repeat = base(text)
+    m = more(text)
+    w, lines = max(n, 1), max(m["n_lines"], 1)
+    upper = m["n_upper"] / max(m["n_upper"] + m["n_lower"] + m["n_wide"], 1)
+    bad = [symbols / w > 0.2, symbols / max(chars, 1) > 0.03, m["n_bang"] / w > 0.3, upper > 0.5, repeat / w > 0.3, dup / lines > 0.3 and m["n_lines"] >= 3, m["n_distinct_words"] / w**0.5 < 2.5, not 2 <= chars / w <= 14, m["n_pipe"] * 10 > n]
+    good = m["n_ended_lines"] / lines > 0.7 and upper < 0.2 and symbols / w < 0.1 and m["n_bang"] / w < 0.1 and repeat / w < 0.15
+    return [-int(b) for b in bad] + [int(good)]
+
+
+def test_query_end_to_end(spark, sf):
+    """Votes, expectation-maximisation over single documents and posteriors, without the operator's own code."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    v = {i: votes_of(t) for i, t in docs.items()}
+    acc, prior = [0.95] * 10, 0.5
+    post = {}
+    for _ in range(200):
+        log = [math.log(a / (1 - a)) for a in acc]
+        new = {i: 1 / (1 + math.exp(-(math.log(prior / (1 - prior)) + sum(a * b for a, b in zip(log, x))))) for i, x in v.items()}
+        done, post = bool(post) and max(abs(new[i] - post[i]) for i in v) < 1e-9, new
+        if done:
+            break
+        prior = (1 + sum(post.values())) / (2 + len(v))
+        for k in range(10):
+            cast = sum(x[k] != 0 for x in v.values())
+            right = sum(post[i] if x[k] > 0 else 1 - post[i] for i, x in v.items() if x[k])
+            extra = max(1.0, 0.02 * cast)
+            acc[k] = min(max((right + 0.95 * extra) / (cast + extra), 0.5), 0.9999)
+    for r in queries.op4_quality_rules(spark, sf).collect():
+        assert [getattr(r, f"vote_{k}") for k in weak_rules.rules()] == v[r.doc_id]
+        assert r.quality == pytest.approx(post[r.doc_id], abs=1e-6)
+        n, *_, repeat = base(docs[r.doc_id])
+        assert r.kept == (n >= 50 and 100 * repeat <= 50 * n and post[r.doc_id] >= 0.5)
+
+
 def test_verdicts_agree_with_labels_it_never_saw(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op4_quality_rules(spark, sf).withColumnRenamed("quality", "posterior").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").toPandas()
