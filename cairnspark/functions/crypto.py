@@ -96,3 +96,56 @@ class DistancePreserving:
             return pd.Series([None if x is None else self.encrypt(x, n.encode(), False)[0].tolist() for x, n in zip(vs, ns)])
 
         return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(v, nonce)
+
+    def decrypt_column(self, out: Column, nonce: Column, tag: Column) -> Column:
+        """Vectors (array<double>) of encrypted ones whose tag matches; another tag is an error."""
+        import pandas as pd
+
+        def run(xs, ns, ts):
+            return pd.Series([None if x is None else self.decrypt(x, n.encode(), bytes(t)).tolist() for x, n, t in zip(xs, ns, ts)])
+
+        return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(out, nonce, tag)
+
+    def tag_column(self, out: Column, nonce: Column) -> Column:
+        import pandas as pd
+
+        def run(xs, ns):
+            return pd.Series([None if x is None else self._tag(np.asarray(x, "<f8"), n.encode()) for x, n in zip(xs, ns)])
+
+        return F.pandas_udf(run, T.BinaryType())(out, nonce)
+
+
+class Keyring:
+    """A data key for each collection, wrapped by a root key and stored as a file of its own.
+
+    Deleting a collection's file makes everything sealed with its key unreadable, backups too.
+    """
+
+    def __init__(self, spark, root: str, root_key: bytes):
+        from ..plans.table import Files
+
+        if len(root_key) not in (16, 24, 32):
+            raise ValueError("the root key has 16, 24 or 32 bytes")
+        self.spark, self.files, self.root_key = spark, Files(spark, root), root_key
+
+    def _one(self, column: Column):
+        return self.spark.range(1).select(column.alias("x")).first()["x"]
+
+    def create(self, name: str) -> bytes:
+        """A new key for ``name``, which must have none."""
+        import secrets
+
+        key = secrets.token_bytes(32)
+        sealed = self._one(F.base64(F.aes_encrypt(F.lit(key), F.lit(self.root_key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), F.lit(name.encode()))))
+        self.files.create(f"{name}.key", sealed)
+        return key
+
+    def key(self, name: str) -> bytes:
+        """The key of ``name``; KeyError if it was never made or has been shredded."""
+        if not self.files.exists(f"{name}.key"):
+            raise KeyError(name)
+        sealed = self.files.read(f"{name}.key")
+        return bytes(self._one(F.aes_decrypt(F.unbase64(F.lit(sealed)), F.lit(self.root_key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(name.encode()))))
+
+    def shred(self, name: str) -> bool:
+        return self.files.exists(f"{name}.key") and self.files.delete(f"{name}.key")

@@ -6,6 +6,7 @@ from typing import Any
 
 from .predicates import FilterError
 
+#: Operator names of the two dialects.
 _COMPARE = {"==": "eq", "!=": "ne", ">": "gt", ">=": "gte", "<": "lt", "<=": "lte", "eq": "eq", "ne": "ne", "gt": "gt", "gte": "gte", "lt": "lt", "lte": "lte"}
 
 

@@ -66,6 +66,38 @@ def migration(points: DataFrame, before: list[int], after: list[int], id_col: st
     return points.withColumns({"donor": owner_column(ident, before), "target": owner_column(ident, after)}).where("donor <> target")
 
 
+def partitioned(points: DataFrame, shards: list[int], id_col: str = "id") -> DataFrame:
+    """Rows with their ``shard``, those of a shard together."""
+    return points.withColumn("shard", owner_column(F.col(id_col).cast("string"), shards)).repartition("shard")
+
+
+def move_slice(shards: dict, before: list[int], after: list[int]) -> dict[int, int]:
+    """Copy the rows that change hands to their new collections, then drop them from the old ones; rows copied to each.
+
+    ``shards``: collections by number.  Each target gets one commit and each donor another, copies first, so a row is
+    found on one shard or on both at any time and a broken run can be run again.
+    """
+    copied, gone = {}, {}
+    for target in after:
+        moved = None
+        for donor in before:
+            if donor == target:
+                continue
+            rows = migration(shards[donor].snapshot(), before, after).where((F.col("donor") == donor) & (F.col("target") == target))
+            gone[donor] = gone.get(donor, []) + [rows.select("id")]
+            rows = rows.select("id", "vector", "payload")
+            moved = rows if moved is None else moved.unionByName(rows)
+        if moved is not None and not moved.isEmpty():
+            copied[target] = shards[target].apply(upserts=moved, action="migrate").rows[-1]
+    for donor, parts in gone.items():
+        ids = parts[0]
+        for x in parts[1:]:
+            ids = ids.unionByName(x)
+        if not ids.isEmpty():
+            shards[donor].apply(deletes=ids, action="migrate")
+    return copied
+
+
 def native_owner(ident: Column, shards: int, seed: int = 0) -> Column:
     """Rendezvous placement with Spark's own hash; stays in the JVM."""
     return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(F.xxhash64(F.lit(seed), s, ident).alias("h"), s.alias("s"))))["s"]

@@ -239,8 +239,8 @@ def token_candidates_of(index: CellIndex, queries: DataFrame, nprobe: int, *, do
     return held.join(by_cell, "cell").groupBy(doc_col).agg(F.array_distinct(F.flatten(F.collect_list("asked"))).alias("queries"))
 
 
-def _links(y: np.ndarray, degree: int, seed: int) -> list[list[int]]:
-    """A navigable graph: neighbours that no nearer neighbour shadows, and a few random ones."""
+def _links(y: np.ndarray, degree: int, seed: int, alpha: float = 1.0) -> list[list[int]]:
+    """A navigable graph: neighbours that no nearer neighbour shadows (is ``alpha`` times nearer to them), and a few random ones."""
     n, rng, links = len(y), np.random.default_rng(seed), []
     between = np.stack([((y - v) ** 2).sum(1) for v in y])
     for i, d in enumerate(between):
@@ -250,7 +250,7 @@ def _links(y: np.ndarray, degree: int, seed: int) -> list[list[int]]:
         while len(kept) < degree and clear.any():
             j = int(order[clear[order].argmax()])
             kept.append(j)
-            clear &= between[j] >= d
+            clear &= alpha * alpha * between[j] >= d
             clear[j] = False
         links.append(kept + rng.integers(0, n, 4).tolist())
     return links

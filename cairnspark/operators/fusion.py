@@ -124,3 +124,10 @@ def project_2d(points: DataFrame, x_axis: Sequence[float], y_axis: Sequence[floa
     s = F.broadcast(p.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
     scale = lambda v, lo, hi: F.when(F.col(hi) > F.col(lo), (F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(0.5)
     return p.crossJoin(s).select("id", scale("x", "x0", "x1").alias("x"), scale("y", "y0", "y1").alias("y"))  # s has one row
+
+
+def constellation(points: DataFrame, ident, x_axis: Sequence[float], y_axis: Sequence[float], *, n: int = 256, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """(id, score, x, y): the n points nearest to a stored one, itself included, on two axes; none if it is not there."""
+    at = points.where(F.col(id_col) == F.lit(ident)).select(vector_col).first()
+    near = knn(points, at[0], n, metric=metric, id_col=id_col, vector_col=vector_col) if at else points.withColumn("score", F.lit(0.0)).limit(0)
+    return near.select(F.col(id_col).alias("id"), "score").join(project_2d(near, x_axis, y_axis, id_col=id_col, vector_col=vector_col), "id")

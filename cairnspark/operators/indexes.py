@@ -1,6 +1,7 @@
 """Which plan answers a collection's vector search: the specification's index kind decides.
 
-* ``hnsw``, ``vamana``: the exact scan (no graph beats it on recall, and a scan is what a cluster is good at).
+* ``hnsw``, ``vamana``: the exact scan (no graph beats it on recall, and a scan is what a cluster is good at), or, where it was
+  built with ``graph=True``, stored block graphs (:mod:`graph`) with a beam of ``ef``.
 * ``ivf``: cells as partition folders (:mod:`cells`), ``ef`` cells are probed.
 * ``disk_vamana``: product or binary codes beside the vectors; the best ``ef`` by code get exact scores.
 
@@ -23,6 +24,7 @@ from ..functions import vectors as V
 from ..plans.table import Collection, Files
 from ..schema import default_subspaces
 from .cells import CellIndex
+from .graph import GraphIndex
 from .quantize import BinaryQuantizer, ProductQuantizer, two_phase
 from .search import knn, merge_top_k
 
@@ -56,10 +58,13 @@ def current(c: Collection) -> Built | None:
 def build(c: Collection, **options) -> dict:
     """Build the index over the newest version (readers keep the old one until this is published); what was built."""
     kind, m = c.spec.index.kind, c.manifest()
-    if kind in EXACT_KINDS or kind == "colbert":
+    graph = options.pop("graph", False) and kind in EXACT_KINDS
+    if not graph and (kind in EXACT_KINDS or kind == "colbert"):
         return {"kind": kind, "plan": "exact", "version": m.version}
     path, rows, coder = f"{c.root}/index/{kind}-{uuid.uuid4().hex}", c.snapshot(m.version), None
-    if kind == "ivf":
+    if graph:
+        GraphIndex.build(rows, path, c.spec.metric, **options)
+    elif kind == "ivf":
         CellIndex.build(rows, path, metric=c.spec.metric, pq=c.spec.index.pq_subspaces, **options)
     else:
         unit = c.spec.metric == "cosine"
@@ -74,7 +79,7 @@ def build(c: Collection, **options) -> dict:
     files = _files(c)
     number = len([n for n in files.names("") if n.endswith(".json")]) if files.exists() else 0
     files.create(f"{number:012d}.json", json.dumps({"kind": kind, "version": m.version, "path": path, "coder": coder}))
-    return {"kind": kind, "plan": "cells" if kind == "ivf" else "codes", "version": m.version}
+    return {"kind": kind, "plan": "graph" if graph else "cells" if kind == "ivf" else "codes", "version": m.version}
 
 
 def _delta(c: Collection, built: Built) -> tuple[str, ...] | None:
@@ -99,13 +104,20 @@ def ready(c: Collection) -> bool:
 def search(c: Collection, vector: Sequence[float], k: int = 10, *, tree=None, version: int | None = None, ef: int | None = None, exact: bool = False) -> DataFrame:
     """The k nearest live rows with their score."""
     kind, metric = c.spec.index.kind, c.spec.metric
-    built = None if exact or tree is not None or version is not None or kind in (*EXACT_KINDS, "colbert") else current(c)
+    built = None if exact or tree is not None or version is not None or kind == "colbert" else current(c)
     newer = _delta(c, built) if built is not None and built.kind == kind else None
     if newer is None:
         return knn(c.where(tree, version), vector, k, metric=metric)
     changed = c._segments(newer).select("id").distinct() if newer else None
     columns = c.snapshot().columns
-    if kind == "ivf":
+    if kind in EXACT_KINDS:
+        asked = c.spark.createDataFrame([(0, [float(x) for x in vector])], "query_id int, query_vector array<double>")
+        hits = GraphIndex(built.path, metric).join(asked, k if changed is None else k + min(sum(c.manifest().rows), 4 * k), beam=ef or EF)
+        if changed is not None:
+            hits = hits.join(F.broadcast(changed), "id", "left_anti")
+        # k rows get their columns
+        found = c.snapshot(built.version).join(F.broadcast(hits.orderBy("rank").limit(k).select("id", "score")), "id")
+    elif kind == "ivf":
         found = CellIndex.open(c.spark, built.path).search(c.spark, vector, k, nprobe=ef or EF, without=changed)
     else:
         rows = c.spark.read.parquet(built.path)
@@ -121,7 +133,7 @@ def search(c: Collection, vector: Sequence[float], k: int = 10, *, tree=None, ve
         found = two_phase(rows, approx, vector, k, factor=factor, metric=metric, ascending=up)
     found = found.select(*columns, "score")
     if not newer:
-        return found
+        return found.orderBy(V.sort_key(metric, F.col("score")), "id")
     fresh = knn(c.snapshot().join(F.broadcast(changed), "id", "left_semi"), vector, k, metric=metric).select(*columns, "score")
     return merge_top_k([found, fresh], k, metric=metric)
 

@@ -113,7 +113,7 @@ class PagedSource(DataSource):
     """Pages of a live store: ``format("cairnspark_pages")`` with options url, collection, kind and batch.
 
     kind ``scroll``: POST {url}/collections/{collection}/points/scroll until there is no next offset.
-    kind ``offset``: POST {url}/collections/{id}/get with growing offsets until a short page.
+    kind ``offset``: GET {url}/collections lists names and ids, then POST {url}/collections/{id}/get with growing offsets until a short page.
     Network access is the standard library's; ``fetch`` can be replaced for tests.
     """
 
@@ -141,8 +141,8 @@ class PagedReader(DataSourceReader):
 
         url, name, batch = self.options["url"].rstrip("/"), self.options["collection"], int(self.options.get("batch", 256))
 
-        def post(path: str, body: dict) -> dict:
-            request = urllib.request.Request(f"{url}{path}", json.dumps(body).encode(), {"Content-Type": "application/json"})
+        def post(path: str, body: dict | None) -> dict:
+            request = urllib.request.Request(f"{url}{path}", None if body is None else json.dumps(body).encode(), {"Content-Type": "application/json"})
             with urllib.request.urlopen(request, timeout=60) as r:
                 return json.load(r)
 
@@ -150,7 +150,7 @@ class PagedReader(DataSourceReader):
 
 
 def pages(post, kind: str, name: str, batch: int = 256) -> Iterator[tuple]:
-    """Points of a paged store; ``post(path, body)`` returns the decoded answer."""
+    """Points of a paged store; ``post(path, body)`` returns the decoded answer (without a body it is a GET)."""
     import json
 
     if kind == "scroll":
@@ -162,9 +162,12 @@ def pages(post, kind: str, name: str, batch: int = 256) -> Iterator[tuple]:
             offset = got.get("next_page_offset")
             if offset is None:
                 return
+    known = {c["name"]: c["id"] for c in post("/collections", None)}
+    if name not in known:
+        raise KeyError(f"the store has no collection {name}")
     at = 0
     while True:
-        got = post(f"/collections/{name}/get", {"limit": batch, "offset": at, "include": ["embeddings", "metadatas", "documents"]})
+        got = post(f"/collections/{known[name]}/get", {"limit": batch, "offset": at, "include": ["embeddings", "metadatas", "documents"]})
         for i, ident in enumerate(got["ids"]):
             payload = dict((got.get("metadatas") or [None] * len(got["ids"]))[i] or {})
             if (doc := (got.get("documents") or [None] * len(got["ids"]))[i]) is not None:

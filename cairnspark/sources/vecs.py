@@ -17,22 +17,44 @@ def decode(data: bytes, dtype: str) -> np.ndarray:
     return rows.reshape(-1, dim + 1)[:, 1:].view(dtype)
 
 
+#: Bytes of a file that a task reads, about.
+SPLIT = 64 << 20
+
+
 def read_vecs(spark: SparkSession, path: str, kind: str = "fvecs") -> DataFrame:
-    """(id, vector) with ids counted from 0 in each file; a file is one task (Spark limits it to 2 GB)."""
+    """(id, vector) with ids counted from 0 in each file; files of any size, a stretch of whole rows for each task."""
     dtype, sql = ("<f4", "float") if kind == "fvecs" else ("<i4", "int")
+    files = spark.read.format("binaryFile").load(path).select("path", "length").collect()  # a row for each file, contents unread
 
     def run(batches):
         import pyarrow as pa
+        from pyarrow import fs
 
         for b in batches:
-            for data in b.column(0):
-                x = decode(data.as_py(), dtype)
-                for s in range(0, len(x), 8192):
-                    part = x[s : s + 8192]
-                    flat = pa.array(part.ravel())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(s, s + len(part))), pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]), flat)], names=["id", "vector"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, f"id long, vector array<{sql}>")
+            for name, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                system, local = fs.FileSystem.from_uri("file://" + name[5:] if name.startswith("file:/") and not name.startswith("file://") else name)
+                with system.open_input_file(local) as f:
+                    size = f.size()
+                    if not size:
+                        continue
+                    dim = int(np.frombuffer(f.read_at(4, 0), "<i4")[0])
+                    row = 4 * (dim + 1)
+                    if dim <= 0 or size % row:
+                        raise ValueError("rows of a vector file share one positive dimension")
+                    each = max(1, SPLIT // row)
+                    first, last = part * each, min((part + 1) * each, size // row)
+                    for s in range(first, last, 8192):
+                        x = decode(f.read_at(row * (min(s + 8192, last) - s), row * s), dtype)
+                        if x.shape[1] != dim:
+                            raise ValueError("rows of a vector file share one positive dimension")
+                        flat = pa.array(x.ravel())
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(s, s + len(x))), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), flat)], names=["id", "vector"])
+
+    # a row is at most all of a stretch, so this many stretches cover a file; the last ones may be empty
+    parts = [(r["path"], i) for r in files for i in range(max(1, -(-r["length"] // (SPLIT // 2))))]
+    if not parts:
+        return spark.createDataFrame([], f"id long, vector array<{sql}>")
+    return spark.createDataFrame(parts, "path string, part long").repartition(len(parts), "path", "part").mapInArrow(run, f"id long, vector array<{sql}>")
 
 
 def encode(x: np.ndarray) -> bytes:

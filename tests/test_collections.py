@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairnspark.operators import cells, evaluate, fusion, indexes, lexical, postings, quantize, search
-from cairnspark.plans.table import Catalog, Collection, ConflictError
+from cairnspark.functions import crypto, placement
+from cairnspark.operators import cells, evaluate, fusion, lexical, postings, providers, quantize, search
+from cairnspark.operators.graph import GraphIndex
+from cairnspark.plans.table import Collection, ConflictError
 from cairnspark.schema import CollectionSpec, IndexSpec, SpecError, promoted
 from cairnspark.session import AccessError, Engine, Grant
 
@@ -219,3 +221,91 @@ def test_late_interaction_candidates_are_per_query(spark, tmp_path):
     for q in (3, 50):
         want = {r.doc_id for r in cells.token_candidates(index, spark, x[q * 4 : q * 4 + 4].tolist(), 2).collect()}
         assert {d for d, qs in near.items() if q in qs} == want
+
+
+def test_stored_graph(spark, engine, tmp_path):
+    rng = np.random.default_rng(6)
+    x = {i: v for i, v in enumerate(rng.normal(size=(2500, 16)))}
+    frame = lambda keys: spark.createDataFrame([(i, x[i].tolist()) for i in keys], "id long, vector array<double>")
+    index = GraphIndex.build(frame(x).repartition(2), f"file://{tmp_path}/g")
+
+    def recall():
+        keys = np.array(sorted(x))
+        all_of = np.array([x[i] for i in keys])
+        asked = keys[::125].tolist()
+        q = frame(asked).select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+        got = {(r.query_id, r.id) for r in index.join(q, 10).collect()}
+        want = {(i, int(keys[j])) for i in asked for j in np.argsort(((all_of - x[i]) ** 2).sum(1))[:10]}
+        assert len(got) == len(want)
+        return len(got & want) / len(want)
+
+    assert recall() >= 0.9 and not index.rebuild_due(spark)
+    for i in range(0, 500):
+        x[i] = x[i] + 1
+    index.insert(frame(range(500)))
+    gone = list(range(500, 900))
+    for i in gone:
+        del x[i]
+    index.remove(spark.createDataFrame([(i,) for i in gone], "id long"))
+    assert recall() >= 0.9 and index.members(spark).count() == len(x) and index.rebuild_due(spark)
+    engine.create_collection("g", CollectionSpec(16, "cosine"))
+    engine.upsert("g", [(str(i), x[i].tolist(), {}) for i in range(300)])
+    assert engine.build_index("g", graph=True)["plan"] == "graph"
+    assert engine.search("g", x[7].tolist(), 3).first()["id"] == "7"
+    engine.delete("g", ["7"])
+    assert "7" not in ids(engine.search("g", x[7].tolist(), 3)) and engine.search("g", x[7].tolist(), 3).count() == 3
+
+
+def test_slices_move_between_collections(spark, tmp_path):
+    shards = {n: Collection.create(spark, f"file://{tmp_path}/{n}", CollectionSpec(1, "l2")) for n in range(4)}
+    names = [f"p{i}" for i in range(120)]
+    for n in range(3):
+        own = [x for x in names if placement.owner(x, [0, 1, 2]) == n]
+        shards[n].upsert(spark.createDataFrame([(x, [1.0], "{}") for x in own], "id string, vector array<float>, payload string"))
+    copied = placement.move_slice(shards, [0, 1, 2], [0, 1, 2, 3])
+    assert list(copied) == [3]
+    for n, c in shards.items():
+        assert ids(c.snapshot()) == sorted(x for x in names if placement.owner(x, [0, 1, 2, 3]) == n)
+
+
+def test_keys_are_wrapped_and_shredded(spark, tmp_path):
+    ring = crypto.Keyring(spark, f"file://{tmp_path}/keys", b"r" * 32)
+    key = ring.create("c")
+    assert len(key) == 32 and ring.key("c") == key and ring.create("d") != key
+    with pytest.raises(Exception):
+        crypto.Keyring(spark, f"file://{tmp_path}/keys", b"s" * 32).key("c")
+    assert ring.shred("c") and not ring.shred("c")
+    with pytest.raises(KeyError):
+        ring.key("c")
+
+
+def test_distance_preserving_columns(spark):
+    d = crypto.DistancePreserving(b"k" * 16, 3, 2.0, 0.5)
+    rows = spark.createDataFrame([("a", [1.0, 2.0, 3.0]), ("b", None)], "n string, v array<double>").withColumn("e", d.encrypt_column(F.col("v"), F.col("n")))
+    back = rows.withColumn("t", d.tag_column(F.col("e"), F.col("n"))).withColumn("w", d.decrypt_column(F.col("e"), F.col("n"), F.col("t"))).orderBy("n").collect()
+    assert back[0].w == pytest.approx([1.0, 2.0, 3.0]) and back[1].w is None
+
+
+def test_http_embedders():
+    calls = []
+
+    def post(url, body, headers):
+        calls.append((url, headers))
+        if "input" in body:
+            return {"data": [{"index": i, "embedding": [float(len(t))]} for i, t in reversed(list(enumerate(body["input"])))]}
+        return {"embeddings": {"float": [[float(len(t))] for t in body["texts"]]}}
+
+    texts = ["x" * i for i in range(200)]
+    for make, path in ((providers.data_list_embedder, "/embeddings"), (providers.typed_embedder, "/embed")):
+        calls.clear()
+        assert make("http://h/v1/", "m", "secret", post=post)(texts) == [[float(i)] for i in range(200)]
+        assert len(calls) == 3 and calls[0] == ("http://h/v1" + path, {"Authorization": "Bearer secret"})
+    with pytest.raises(ValueError):
+        providers.typed_embedder("http://h", "m", post=lambda *_: {"embeddings": []})(["a"])
+
+
+def test_constellation(spark):
+    p = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id long, vector array<double>")
+    got = fusion.constellation(p, 5, [1.0, 0.0], [0.0, 1.0], n=4, metric="l2").orderBy("id").collect()
+    assert [r.id for r in got] == [3, 4, 5, 6] and got[0].x == 0.0 and got[-1].x == 1.0 and {r.y for r in got} == {0.5}
+    assert fusion.constellation(p, 99, [1.0, 0.0], [0.0, 1.0]).count() == 0

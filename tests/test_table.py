@@ -149,17 +149,22 @@ def test_paged_sources():
     assert [x[0] for x in connectors.pages(scroll, "scroll", "c", 2)] == list("01234")
 
     def get(path, body):
+        if body is None:
+            return [{"id": "u-1", "name": "c"}, {"id": "u-2", "name": "d"}]
+        assert path == "/collections/u-1/get"
         part = store[body["offset"] : body["offset"] + body["limit"]]
         return {"ids": [str(p["id"]) for p in part], "embeddings": [p["vector"] for p in part], "metadatas": [p["payload"] for p in part], "documents": ["d"] * len(part)}
 
     assert json.loads(list(connectors.pages(get, "offset", "c", 2))[4][2]) == {"n": 4, "document": "d"}
 
 
-def test_vector_files(spark, tmp_path):
+def test_vector_files(spark, tmp_path, monkeypatch):
     x = np.arange(12, dtype="<f4").reshape(3, 4)
     (tmp_path / "t_base.fvecs").write_bytes(vecs.encode(x))
     (tmp_path / "t_query.fvecs").write_bytes(vecs.encode(x[:1] + 0.1))
     assert [r.vector for r in vecs.read_vecs(spark, str(tmp_path / "t_base.fvecs")).orderBy("id").collect()] == x.tolist()
+    monkeypatch.setattr(vecs, "SPLIT", 40)  # two rows a task
+    assert [(r.id, r.vector) for r in vecs.read_vecs(spark, str(tmp_path / "t_base.fvecs")).orderBy("id").collect()] == list(enumerate(x.tolist()))
     got = vecs.load_benchmark(spark, f"file://{tmp_path}", "t", 2)
     assert [r.id for r in got["truth"].orderBy("rank").collect()] == [0, 1]
     with pytest.raises(ValueError):
