@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,4 +18,12 @@ def work_dir(spark: SparkSession, name: str) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/cairnspark-{sc.applicationId}/{name}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/cairnspark-{sc.applicationId}"
+    if folder not in _HELD:
+        _HELD.add(folder)
+        if folder.startswith(("/", "file:")):  # a local disk; a store's folder goes by its own rules
+            atexit.register(shutil.rmtree, "/" + folder.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+_HELD: set[str] = set()

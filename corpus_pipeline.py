@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnspark.llm import decontaminate, line_dedup, near_dedup, rule_ensemble, spm
-from cairnspark.llm.common import new_path, table
+from cairnspark.llm.common import discard, table, written
 from cairnspark.llm.queries import SPM_MODEL
 
 #: SQL cannot express a fitted classifier, exact set similarity classes or subword merges; tests/llm holds run() against brute force.
@@ -57,10 +57,9 @@ STAGES = [("quality", quality), ("lines", lines), ("near_dups", near_dups), ("be
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written in the shared folder and read again."""
+    """Apply the stages to ``documents``; each result is written in the shared folder and read again, and the one before it deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return docs
