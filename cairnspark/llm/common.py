@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side with at most this many rows of two longs (4 MB) is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 250_000
+#: A side with at most this many rows of two longs (half a MB) is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 32_768
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,7 +89,7 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[Col
 
     A ``right`` of counted ``rows`` within :data:`BROADCAST_ROWS` is broadcast.  Beyond it both sides shuffle; the rows of a
     hot key are spread over all partitions by a hash of ``by`` and its ``right`` rows are repeated in each.  A key's rows in
-    ``left`` are told by the column ``n`` of ``right`` (if every key of several rows is there), by ``counts`` (keys and n), or counted.  ``wide``: rows of ``left`` hold whole texts and are not sorted; a
+    ``left`` are told by the column ``n`` of ``right`` (if its keys are distinct and every key of several rows is there), by ``counts`` (keys and n), or counted.  ``wide``: rows of ``left`` hold whole texts and are not sorted; a
     partition of ``right`` is hashed instead.
     """
     if rows <= BROADCAST_ROWS:
@@ -98,9 +98,12 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[Col
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     flag, salt = (fresh([*left.columns, *right.columns], x) for x in ("hot", "salt"))
     if counts is None:
-        counts = written(right.groupBy(*keys).agg(F.max(n).alias("n")) if n else left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "join-counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    hot = F.broadcast(counts.where(F.col("n") * HOT > total).select(*keys, F.lit(True).alias(flag)))  # fewer than HOT rows
+        counts = right.select(*keys, F.col(n).alias("n")) if n else written(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "join-counts")
+    seen = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    right = right.hint("shuffle_hash") if wide else right
+    if seen["most"] * HOT <= seen["total"]:
+        return left.join(right, keys, how)
+    hot = F.broadcast(counts.where(F.col("n") * HOT > seen["total"]).select(*keys, F.lit(True).alias(flag)))  # fewer than HOT rows
     some = left.join(hot, keys, "left").withColumn(salt, F.when(F.col(flag), F.pmod(F.xxhash64(F.lit(parts), *by), F.lit(parts))).otherwise(0).cast("int")).drop(flag)
     every = F.when(F.col(flag), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     many = right.join(hot, keys, "left").withColumn(salt, F.explode(every)).drop(flag)

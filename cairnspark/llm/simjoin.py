@@ -230,38 +230,52 @@ def verify(pairs: DataFrame, facts: DataFrame, estimate: Callable, threshold: tu
     def run(batches):
         import pyarrow as pa
 
-        last, hubs = None, []
+        last, open_hubs = None, []
         for b in batches:
             if not b.num_rows:
                 continue
             a, block, kind, ids, n = (b.column(k).to_numpy() for k in range(5))
-            sigs = _sigs(b.column(5))
+            sigs, items = _sigs(b.column(5)), b.column(6)
             cuts = np.append(np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (block[1:] != block[:-1]))), len(a))
-            left, right = [], []
+            hubs, which, rows = [], [], []  # centres of this batch; the pairs to look at, as numbers of centres and rows
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if (a[s], block[s]) != last:
-                    last, hubs = (a[s], block[s]), []
+                    last, open_hubs = (a[s], block[s]), []
                 while s < e and kind[s] == 0:
                     # an id may have several sets
-                    hubs.append((n[s], sigs[s], b.column(6)[s].as_py()))
+                    open_hubs.append((int(a[s]), n[s], sigs[s], items[s].as_py()))
                     s += 1
-                for size, sig, own in hubs if s < e else []:
-                    at = np.arange(s, e)
-                    at = at[np.minimum(n[at], size) * q >= np.maximum(n[at], size) * p]
-                    if len(at):
-                        at = at[estimate(np.broadcast_to(sig, (len(at), len(sig))), sigs[at], np.full(len(at), size), n[at]) >= p / q - margin]
-                    i = 0
-                    while i < len(at):
-                        # sets of a bounded size at once
-                        j, held, items = i, 0, [own]
-                        while j < len(at) and (j == i or held < COMPARED):
-                            items.append(b.column(6)[at[j]].as_py())
-                            held += len(items[-1])
-                            j += 1
-                        good = similar(items, np.zeros(j - i, np.int64), np.arange(1, j - i + 1), threshold, decode)
-                        left += [int(a[s])] * int(good.sum())
-                        right += ids[at[i:j][good]].tolist()
-                        i = j
+                for hub in open_hubs if s < e else []:
+                    which.append(np.full(e - s, len(hubs)))
+                    rows.append(np.arange(s, e))
+                    hubs.append(hub)
+            x, at = np.concatenate([*which, np.zeros(0, np.int64)]), np.concatenate([*rows, np.zeros(0, np.int64)])
+            size = np.array([h[1] for h in hubs], np.int64)
+            ok = np.minimum(n[at], size[x]) * q >= np.maximum(n[at], size[x]) * p
+            x, at = x[ok], at[ok]
+            if len(x):
+                signs = np.stack([h[2] for h in hubs])
+                est = np.concatenate([estimate(signs[x[i : i + PAIRS]], sigs[at[i : i + PAIRS]], size[x[i : i + PAIRS]], n[at[i : i + PAIRS]]) for i in range(0, len(x), PAIRS)])
+                x, at = x[est >= p / q - margin], at[est >= p / q - margin]
+            left, right, i = [], [], 0
+            while i < len(x):
+                # sets of a bounded size at once, a centre's set once for its members
+                held, sets, l, r = 0, [], [], []  # noqa: E741
+                j = i
+                while j < len(x) and (j == i or held < COMPARED):
+                    if j == i or x[j] != x[j - 1]:
+                        sets.append(hubs[x[j]][3])
+                        hub = len(sets) - 1
+                        held += len(sets[-1])
+                    sets.append(items[at[j]].as_py())
+                    held += len(sets[-1])
+                    l.append(hub)
+                    r.append(len(sets) - 1)
+                    j += 1
+                good = similar(sets, np.array(l), np.array(r), threshold, decode)
+                left += [hubs[h][0] for h in x[i:j][good].tolist()]
+                right += ids[at[i:j][good]].tolist()
+                i = j
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     hubs = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", "n", F.ceil(F.col("n") / STAR_BLOCK).cast("int").alias("blocks")), "hubs")

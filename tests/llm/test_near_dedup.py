@@ -5,8 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from cairnspark.llm import common, near_dedup, queries, simjoin
-from cairnspark.llm.components import connected_components
+from cairnspark.llm import common, components, near_dedup, queries, simjoin
 
 
 def shingles(text, k):
@@ -73,6 +72,7 @@ def test_shuffled_joins_give_the_same(spark, monkeypatch, hot):
     """No broadcast at all, small blocks and one text in a third of all rows."""
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(components, "LOCAL_EDGES", 0)
     for name, value in (("LIGHT_BLOCK", 5), ("BLOCK", 3), ("STAR_BLOCK", 4), ("SLICE_ROWS", 50)):
         monkeypatch.setattr(simjoin, name, value)
     rows = chains(6) + [(i, "one text that many rows hold as it is") for i in range(1000, 1060)]
@@ -120,8 +120,25 @@ def test_sketch():
     assert abs(j - 4000 / 5000) < 0.12
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [1 << 20, 0])
+def test_components(spark, monkeypatch, local):
+    """Joined in one task, and by rounds over the cluster."""
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7), (None, 3)]
-    got = {r.id: r.comp for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    got = {r.id: r.comp for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 150: 100, 200: 100}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_least_labels():
+    r = np.random.default_rng(3)
+    for n, m in ((10, 8), (400, 380), (2000, 5000)):
+        a, b = r.integers(-n, n, (2, m))
+        forest = simjoin.Forest()
+        for x, y in zip(a.tolist(), b.tolist()):
+            forest.join(x, y)
+        least = {}
+        for x in {*a.tolist(), *b.tolist()}:
+            least[forest.root(x)] = min(x, least.get(forest.root(x), x))
+        ids, comp = components.least_labels(a, b)
+        assert dict(zip(ids.tolist(), comp.tolist())) == {x: least[forest.root(x)] for x in {*a.tolist(), *b.tolist()}}
