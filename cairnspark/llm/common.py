@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A side with at most this many rows of two longs (half a MB) is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 32_768
+#: The same (32 MB) where the other way would move whole texts, or a row for each word of them.
+WIDE_ROWS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,8 +77,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast ``df`` only if its counted ``rows`` are within :data:`BROADCAST_ROWS`; else the join shuffles."""
+def maybe_broadcast(df: DataFrame, rows: int, wide: bool = False) -> DataFrame:
+    """Broadcast ``df`` only if its counted ``rows`` are within :data:`BROADCAST_ROWS`; else the join shuffles.
+
+    ``wide``: the other side holds whole texts; the bound is :data:`WIDE_ROWS`, and beyond it texts are not sorted, a
+    partition of ``df`` is hashed instead.
+    """
+    if wide:
+        return F.broadcast(df) if rows <= WIDE_ROWS else df.hint("shuffle_hash")
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
@@ -84,15 +92,15 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 HOT = 1024
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[Column], *, rows: int, n: str | None = None, counts: DataFrame | None = None, how: str = "inner", wide: bool = False) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[Column], *, rows: int, n: str | None = None, counts: DataFrame | None = None, how: str = "inner", wide: bool = False, bound: int | None = None) -> DataFrame:
     """``left`` joined with a ``right`` of fewer rows, so that no key fills a task.
 
-    A ``right`` of counted ``rows`` within :data:`BROADCAST_ROWS` is broadcast.  Beyond it both sides shuffle; the rows of a
+    A ``right`` of counted ``rows`` within ``bound`` (by default :data:`BROADCAST_ROWS`) is broadcast.  Beyond it both sides shuffle; the rows of a
     hot key are spread over all partitions by a hash of ``by`` and its ``right`` rows are repeated in each.  A key's rows in
     ``left`` are told by the column ``n`` of ``right`` (if its keys are distinct and every key of several rows is there), by ``counts`` (keys and n), or counted.  ``wide``: rows of ``left`` hold whole texts and are not sorted; a
     partition of ``right`` is hashed instead.
     """
-    if rows <= BROADCAST_ROWS:
+    if rows <= (BROADCAST_ROWS if bound is None else bound):
         return left.join(F.broadcast(right), keys, how)
     spark = left.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

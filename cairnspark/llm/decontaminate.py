@@ -32,6 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import discard, fresh, lower_ascii, row_of, spread_join, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -71,7 +72,7 @@ def _candidates(docs: DataFrame, items: DataFrame, text_col: str, item_id: str,
     found = None
     for k, n in sorted(sizes.items()):
         at = texts.select("tk", F.size("w").alias("n_words"), F.explode(_shingles(F.col("w"), k)).alias("s")).select("tk", "n_words", "s.pos", "s.h")
-        hit = spread_join(at, grams.where(F.col("k") == k).select("h"), ["h"], [F.col("tk"), F.col("pos")], rows=n)
+        hit = spread_join(at, grams.where(F.col("k") == k).select("h"), ["h"], [F.col("tk"), F.col("pos")], rows=n, bound=common.WIDE_ROWS)
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         found = texts.select("tk", F.size("w").alias("n_words"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h")).limit(0)

@@ -136,7 +136,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     def facts_of(ids: DataFrame) -> DataFrame:
         n = ids.count()
         texts = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
-        facts = written(_facts(texts.join(maybe_broadcast(ids, n), "id", "left_semi"), shingle), "facts")
+        facts = written(_facts(texts.join(maybe_broadcast(ids, n, wide=True), "id", "left_semi"), shingle), "facts")
         return facts if facts.count() == n else written(facts.dropDuplicates(["id", "n", "sig", "items"]), "facts")
 
     comps = classes(nodes.where("id is not null").select("id", "keys"), facts_of, estimate, threshold=threshold)
@@ -153,4 +153,4 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, one document of each class (rows that repeat its id stay with it)."""
     name = fresh(docs.columns, "gone")
     gone = written(components(docs, id_col=id_col, **options).where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct(), "near-copies")
-    return docs.join(maybe_broadcast(gone, gone.count()), column(id_col).cast("long") == F.col(name), "left_anti")
+    return docs.join(maybe_broadcast(gone, gone.count(), wide=True), column(id_col).cast("long") == F.col(name), "left_anti")

@@ -90,7 +90,7 @@ def _data(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
 def read_shards(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
     """record (of the type of the records written), shard, bucket and slot: the place in the shard, gapless from 0."""
     buckets = spark.read.parquet(f"{path}/buckets").select("shard", "bucket", "first_slot")
-    rows = _data(spark, path, record).join(maybe_broadcast(buckets, buckets.count()), ["shard", "bucket"])
+    rows = _data(spark, path, record).join(maybe_broadcast(buckets, buckets.count(), wide=True), ["shard", "bucket"])
     return rows.select("record", "shard", "bucket", (F.col("first_slot") + F.col("place")).alias("slot"))
 
 

@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import named, new_path, spread_join, written
 from .textbytes import tidied
 
@@ -75,7 +76,7 @@ def _typed(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_de
     # only payloads that occur twice or more (small ones too, for the count of a hot one): pre-aggregated, small beside the pages
     top = F.when(F.col("payload_bytes") >= min_dedup, F.max("page_id"))
     same = written(rows.groupBy("payload_digest", "payload_bytes").agg(top.alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"), "warc-copies")
-    rows = spread_join(rows, same, ["payload_digest", "payload_bytes"], [F.col("page_id")], rows=5 * same.count(), n="n", how="left")
+    rows = spread_join(rows, same, ["payload_digest", "payload_bytes"], [F.col("page_id")], rows=5 * same.count(), n="n", how="left", wide=True, bound=common.WIDE_ROWS)
     again = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("top")).alias("refers_to"))
 

@@ -54,6 +54,7 @@ def test_overlaps_short_items_and_repeats(spark):
 def test_shuffled_joins_give_the_same(spark, monkeypatch, hot):
     """No broadcast at all, a passage in every text and one text in a third of all rows."""
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "WIDE_ROWS", 0)
     monkeypatch.setattr(common, "HOT", hot)
     r = random.Random(8)
     pick = lambda n: " ".join(r.choice("abcd") + r.choice("xyz") for _ in range(n))

@@ -86,6 +86,7 @@ def test_short_lines(spark, least):
 def test_shuffled_joins_give_the_same(spark, monkeypatch, hot):
     """No broadcast at all, and one line in every text."""
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "WIDE_ROWS", 0)
     monkeypatch.setattr(common, "HOT", hot)
     docs = [(i, f"{t}\none line that stands in every text" if t is not None else t) for i, t in made(7)]
     out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()

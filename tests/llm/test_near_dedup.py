@@ -71,6 +71,7 @@ def test_chains_near_the_threshold(spark):
 def test_shuffled_joins_give_the_same(spark, monkeypatch, hot):
     """No broadcast at all, small blocks and one text in a third of all rows."""
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "WIDE_ROWS", 0)
     monkeypatch.setattr(common, "HOT", hot)
     monkeypatch.setattr(components, "LOCAL_EDGES", 0)
     for name, value in (("LIGHT_BLOCK", 5), ("BLOCK", 3), ("STAR_BLOCK", 4), ("SLICE_ROWS", 50)):

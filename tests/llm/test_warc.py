@@ -2,7 +2,9 @@ import glob
 import gzip
 import hashlib
 
-from cairnspark.llm import queries, warc
+import pytest
+
+from cairnspark.llm import common, queries, warc
 from cairnspark.llm.common import new_path
 
 PAGES = "page_id long, url string, html string"
@@ -41,6 +43,15 @@ def test_revisits_nulls_and_ties(spark):
     assert rows(warc.round_trip(pages)) == sorted(law(pages.collect()), key=repr)
 
 
+@pytest.mark.parametrize("hot", [1024, 2])
+def test_shuffled_joins_give_the_same(spark, monkeypatch, hot):
+    """No broadcast, and one payload in most rows."""
+    for name, value in (("BROADCAST_ROWS", 0), ("WIDE_ROWS", 0), ("HOT", hot)):
+        monkeypatch.setattr(common, name, value)
+    pages = made(spark).unionByName(spark.range(100, 160).selectExpr("id as page_id", "'u' as url", "repeat('p', 1500) as html"))
+    assert rows(warc.round_trip(pages)) == sorted(law(pages.collect()), key=repr)
+
+
 def test_archives_are_plain_warc(spark):
     """Read with nothing but gzip: members one after the other, as the index says."""
     folder = new_path(spark, "test-warc")
