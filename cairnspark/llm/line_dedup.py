@@ -175,7 +175,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     places, texts = lines.select("rid", "doc_id", "pos", "id", "check"), lines.where("line is not null")
 
     def facts_of(ids: DataFrame) -> DataFrame:
-        one = texts.select("id", "check", "line").join(maybe_broadcast(ids, ids.count()), "id", "left_semi").groupBy("id").agg(F.min_by("line", "check").alias("line"))
+        one = texts.select("id", "check", "line").join(maybe_broadcast(ids, ids.count(), wide=True), "id", "left_semi").groupBy("id").agg(F.min_by("line", "check").alias("line"))
         return written(_facts(one), "line-facts")
 
     comps = classes(texts.select("id", "keys"), facts_of, estimate, threshold=threshold, margin=0.3, decode=shingle_sets)
@@ -187,12 +187,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     apart = places.join(maybe_broadcast(clash, clash.count()), "id").groupBy("id", "check", "least").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).join(comps, "id", "left")
     apart = apart.withColumn("comp", F.when(F.col("check") == F.col("least"), F.coalesce("comp", "id")).otherwise(F.xxhash64("id", "check")))
     known = written(known.unionByName(apart.select(*known.columns)), "line-classes")
-    keeper = known.groupBy("comp").agg(F.min("first").alias("keeper"))
-    keepers = written(known.select("id", "check", "comp", "n").join(keeper, "comp").select("id", "check", "n", "keeper"), "line-keepers")
+    keeper = written(known.groupBy("comp").agg(F.min("first").alias("keeper"), F.count(F.lit(1)).alias("size")), "line-heads")
+    # a component of very many lines is spread over all tasks too
+    headed = spread_join(known.select("id", "check", "comp", "n"), keeper, ["comp"], [F.col("id"), F.col("check")], rows=3 * keeper.count(), n="size")
+    keepers = written(headed.select("id", "check", "n", "keeper"), "line-keepers")
     # a line in very many texts is spread over all tasks
     found = spread_join(places, keepers, ["id", "check"], [F.col("rid"), F.col("pos")], rows=4 * keepers.count(), n="n")
     gone = written(found.where(~place.eqNullSafe(F.col("keeper"))).groupBy("rid").agg(F.collect_set("pos").alias("gone")), "lines-gone")
-    discard(lines, firsts, known, keepers, comps)
+    discard(lines, firsts, known, keeper, keepers, comps)
     weight = gone.agg(F.coalesce(F.sum(1 + F.size("gone") / 2), F.lit(0.0)).alias("w")).first()["w"]
     rows = docs.select(row_of(docs).alias("r"), _rid(id_col, text_col).alias("rid"))
     release(docs.sparkSession)
