@@ -39,7 +39,7 @@ from .textbytes import mix, tidied
 #: Members of a block that carry signatures only (forest), or full sets too (families).
 LIGHT_BLOCK, BLOCK = 1024, 256
 #: Hashes of the sets of a block with full sets, about (16 MB), and members compared with their centre in one group.
-BLOCK_HASHES, STAR_BLOCK = 2 << 20, 1024
+BLOCK_HASHES, STAR_BLOCK = 2 << 20, 256
 #: Pairs compared at once inside a task.
 PAIRS = 8192
 
