@@ -252,7 +252,7 @@ def _links(y: np.ndarray, degree: int, seed: int, alpha: float = 1.0) -> list[li
             kept.append(j)
             clear &= alpha * alpha * between[j] >= d
             clear[j] = False
-        links.append(kept + rng.integers(0, n, 4).tolist())
+        links.append(list(dict.fromkeys(kept + rng.integers(0, n, 4).tolist())))
     return links
 
 

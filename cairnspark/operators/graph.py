@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..plans.table import Files
 from .cells import GRAPH_ROWS, _beam, _links
@@ -101,7 +102,7 @@ class GraphIndex:
         hidden = self.deleted_share(spark) if dead is not None else 0.0
         width = math.ceil(max(beam, k) / max(1 - hidden, 0.05))
         blocks = spark.read.parquet(self.path)
-        kind = blocks.schema["ids"].dataType.elementType.simpleString()
+        kind, asked = blocks.schema["ids"].dataType.elementType.simpleString(), to_arrow_type(queries.schema[query_id].dataType)
 
         def run(batches):
             import pyarrow as pa
@@ -119,7 +120,7 @@ class GraphIndex:
                         for side, values in zip(out, ([name] * len(at), [ids[i] for i in at], keys.tolist())):
                             side += values
                     field = b.schema.field(0).type.value_type
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1], field), pa.array(out[2], pa.float64()), pa.array([born] * len(out[0]), pa.int32())], names=["query_id", "id", "key", "born"])
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], asked), pa.array(out[1], field), pa.array(out[2], pa.float64()), pa.array([born] * len(out[0]), pa.int32())], names=["query_id", "id", "key", "born"])
 
         found = blocks.mapInArrow(run, f"query_id {dict(queries.dtypes)[query_id]}, id {kind}, key double, born int")
         if dead is not None:
