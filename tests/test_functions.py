@@ -163,3 +163,14 @@ def test_vectorised_owners_and_migration(spark):
     assert all(r.s == (None if r.id is None else placement.owner(r.id, [0, 1])) for r in rows)
     moved = placement.migration(p, [0, 1], [0, 1, 2]).collect()
     assert {r.target for r in moved} == {2} and {r.id for r in moved} == {n for n in names if placement.owner(n, [0, 1, 2]) == 2}
+
+
+def test_term_frequencies_by_batch(spark, monkeypatch):
+    """Ids and counts of many texts at once, over several blocks of words; no byte is an expression's step."""
+    monkeypatch.setattr(text, "COUNTED", 3, raising=False)
+    texts = ["b a b ñez", "", None, "the", "x" * 300 + " y y", "b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", text.term_frequencies(F.col("t")).alias("v"))
+    assert "conv(" not in rows._jdf.queryExecution().toString()
+    for r in rows.collect():
+        want = {text.fnv1a(w.encode()): (texts[r.i] or "").split().count(w) for w in (texts[r.i] or "").split() if w not in text.STOP_WORDS}
+        assert dict(zip(r.v["indices"], r.v["values"])) == want and r.v["indices"] == sorted(want)
