@@ -174,3 +174,13 @@ def test_term_frequencies_by_batch(spark, monkeypatch):
     for r in rows.collect():
         want = {text.fnv1a(w.encode()): (texts[r.i] or "").split().count(w) for w in (texts[r.i] or "").split() if w not in text.STOP_WORDS}
         assert dict(zip(r.v["indices"], r.v["values"])) == want and r.v["indices"] == sorted(want)
+
+
+def test_hash_embedder_in_batches(monkeypatch):
+    """All texts are hashed together, a text once for all components."""
+    from cairnspark.operators import fusion
+
+    texts = ["", "a", "ñez " * 50, "x" * 3000] + [f"t{i}" * (i % 40) for i in range(100)]
+    want = [[(text.fnv1a(f"{t}:{i}".encode(), 64) >> 40) / 2**23 - 1 for i in range(11)] for t in texts]
+    monkeypatch.setattr(text, "fnv1a", None)
+    assert fusion.hash_embedder(11)(texts) == want and fusion.hash_embedder(3)([]) == []
