@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.table import Collection, Files
@@ -60,7 +60,7 @@ class Postings:
         return F.pmod(F.xxhash64(F.col("term").cast("string")), F.lit(n)).cast("int")
 
     def _add(self, weights: DataFrame | None, gone: DataFrame | None, source: int, fresh: bool = False) -> State:
-        """Publish a segment of (id, term, weight) rows that replaces the postings of ``gone``."""
+        """Publish a segment of (id, term, weight) rows, with the ids' lengths ``dl`` if these are known, that replaces the postings of ``gone``."""
         now = None if fresh else self.state()
         before = self.state()
         name = f"segments/{uuid.uuid4().hex}"
@@ -75,16 +75,18 @@ class Postings:
                 lost_docs, lost_total = r["n"], r["t"]
         n_docs, total, buckets = 0, 0.0, now.buckets if now else 1
         if weights is not None:
-            weights.write.parquet(f"{path}/raw")
+            # rows of an id are together here, so its length needs no join of all postings
+            rows = weights if "dl" in weights.columns else weights.withColumn("dl", F.sum("weight").over(Window.partitionBy("id")))
+            rows.select("id", "term", "weight", "dl").write.parquet(f"{path}/raw")
             raw = self.spark.read.parquet(f"{path}/raw")
-            raw.groupBy("id").agg(F.sum("weight").alias("dl")).write.parquet(f"{path}/docs")
+            raw.groupBy("id").agg(F.max("dl").alias("dl")).write.parquet(f"{path}/docs")
             docs = self.spark.read.parquet(f"{path}/docs")
             r = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0.0)).alias("t")).first()
             n_docs, total = r["n"], r["t"]
             if now is None:
                 buckets = max(1, min(MAX_BUCKETS, raw.count() // BUCKET_ROWS))
             # ranges of (bucket, term, id), so a term of very many texts is cut over several tasks
-            rows = raw.join(docs, "id").withColumn("bucket", self._bucket(buckets)).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+            rows = raw.withColumn("bucket", self._bucket(buckets)).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
             rows.write.partitionBy("bucket").parquet(f"{path}/terms")
             self.files.delete(f"{name}/raw")
         old = (now.n_docs, now.total, now.segments, now.gone) if now else (0, 0.0, (), ())
@@ -115,7 +117,7 @@ class Postings:
     def merge(self) -> State:
         """Rewrite the live postings as one segment."""
         now = self.state()
-        return self._add(self.read(now).select("id", "term", "weight"), None, now.source, fresh=True)
+        return self._add(self.read(now), None, now.source, fresh=True)
 
     def _parts(self, now: State, folder: str) -> list[DataFrame]:
         """A table of each segment, without the ids that later ones name."""
