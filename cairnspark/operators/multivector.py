@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -85,6 +85,8 @@ def join(tokens: DataFrame, queries: DataFrame, k: int = 10, *, metric: str = "c
     schema = f"query_id {qkind}, doc_id {kinds['doc_id']}, key double"
     dealt = tokens.where("vector is not null").select("doc_id", F.col("vector").cast("array<double>").alias("vector"), *([F.col(allowed).alias("allowed")] if allowed else []))
     dealt = dealt.repartition("doc_id").sortWithinPartitions("doc_id")
+    if allowed:  # a document's first row alone has the array
+        dealt = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
     parts, out = max(1, -(-queries.count() // TOKENS)), None
     for part in range(parts):
         block = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(parts)) == part)
@@ -135,6 +137,7 @@ def join(tokens: DataFrame, queries: DataFrame, k: int = 10, *, metric: str = "c
                 asked = b.column(2).take(pa.array(cuts)).to_pylist() if allowed else [None] * len(cuts)
                 if last is not None and last[0] == names_here[0]:
                     top[:, 0] = np.maximum(top[:, 0], last[1])
+                    asked[0] = last[2]
                 elif last is not None:
                     done([last[0]], last[1][:, None], [last[2]])
                 if len(cuts) > 1:
@@ -146,7 +149,12 @@ def join(tokens: DataFrame, queries: DataFrame, k: int = 10, *, metric: str = "c
                 at, ids, keys = best.rows()
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at.tolist()]), pa.array(ids.tolist(), schema.field(0).type), pa.array(keys, pa.float64())], names=["query_id", "doc_id", "key"])
 
-        rows = dealt.mapInArrow(run, schema)
+        part_of = dealt
+        if allowed:
+            # and of the array, the queries of this pass
+            asked = F.col("allowed") if parts == 1 else F.filter("allowed", lambda x: F.pmod(F.xxhash64(x), F.lit(parts)) == F.lit(part))  # noqa: B023: called at once
+            part_of = dealt.select("doc_id", "vector", F.when(F.col("_n") == 1, asked).alias("allowed"))
+        rows = part_of.mapInArrow(run, schema)
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         out = spark.createDataFrame([], schema)
